@@ -33,9 +33,9 @@ from .common import checkpoint
 @dataclass(frozen=True)
 class Plan:
     shards: int = 8
-    rounds: int = 4
-    #: Room of a shard during propagation, times an even share.
-    slack: float = 1.02
+    rounds: int = 6
+    #: Room of a shard during propagation, times an even share of the linked documents.
+    slack: float = 1.1
     buckets: int = 512
 
 
@@ -73,12 +73,14 @@ def _ranked(rows: DataFrame, by: list[str], order: Column, buckets: int, out: st
 def propagate(labels: DataFrame, links: DataFrame, total: int, plan: Plan) -> DataFrame:
     """labels: (node, shard) of linked nodes only. links: (node, hub)."""
     both = checkpoint(links.unionByName(links.select(F.col("hub").alias("node"), F.col("node").alias("hub"))))
-    for _ in range(plan.rounds):
+    hubs = checkpoint(links.select(F.col("hub").alias("node")).distinct())
+    for turn in range(plan.rounds):
         near = both.join(labels.select(F.col("node").alias("hub"), F.col("shard").alias("near")), "hub").groupBy("node", "near").agg(F.count("*").alias("votes"))
         # the most votes win; of equals, the one that most nodes can agree on: the smallest
         best = near.groupBy("node").agg(F.max(F.struct("votes", (-F.col("near")).alias("m"))).alias("b"), F.map_from_entries(F.collect_list(F.struct("near", "votes"))).alias("all"))
         asked = best.join(labels, "node").select("node", "shard", (-F.col("b.m")).cast("int").alias("to"), (F.col("b.votes") - F.coalesce(F.element_at("all", F.col("shard")), F.lit(0))).alias("gain"))
-        asked = checkpoint(asked)
+        # In turns, only members or only hubs move: if both ends of a link did, they would swap for ever.
+        asked = checkpoint(asked.join(hubs, "node", "left_semi" if turn % 2 else "left_anti"))
         movers = asked.filter("to <> shard and gain > 0")
         # Quotas: a shard takes what others give back to it, and what room it has left.
         flow = movers.groupBy("shard", "to").agg(F.count("*").alias("asks"))
