@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, sharding, topk
+from . import minhash, mixing, quality_rules, sharding, topk
 from .common import table
 
 
@@ -28,5 +28,9 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, F.col("vec_id") % 20 == 0)
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.components_of(table(spark, sf_dir, "documents"), minhash.NearDup(width=2))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op4_sharding, op5_topk)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op4_sharding, op5_topk, op8_minhash)}
