@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, mixing, pieces, quality_rules, sharding, topk
+from . import langid, minhash, mixing, pieces, pii, quality_rules, sharding, topk
 from .common import table
 
 
@@ -37,9 +37,15 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(spark, sf_dir, "documents"), pieces.read_model())
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    count = lambda k: F.size(F.filter("entities", lambda e: e["kind"] == k))
+    return pii.protect(docs).select("doc_id", F.size("entities").alias("n_entities"), *[count(k).alias(f"n_{k}") for k in pii.KINDS], F.crc32(F.col("text").cast("binary")).alias("text_crc32"), "entities", "text")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components_of(table(spark, sf_dir, "documents"), minhash.NearDup(width=2))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_langid, op4_sharding, op5_topk, op6_pieces, op8_minhash)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_langid, op4_sharding, op5_topk, op6_pieces, op7_pii, op8_minhash)}
