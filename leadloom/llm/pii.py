@@ -17,7 +17,7 @@ keyed surrogates of the same type and format:
 Equal after normalising means same person or account: case in e-mail addresses, layout of
 numbers, leading zeros in IPv4 addresses, spaces in names.
 
-Where spans overlap, the earliest wins, then the order of KINDS. No shuffle of texts;
+Where spans overlap, the kind that comes first in KINDS wins. No shuffle of texts;
 a task's memory is one batch.
 
 Defined results: a null text stays null, with no entities; an empty one stays empty;
@@ -42,7 +42,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 TITLES = {"Mrs.": "f", "Mrs": "f", "Ms.": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Mme": "f", "Madame": "f", "Sra.": "f", "Señora": "f", "г-жа": "f", "κυρία": "f", "Mr.": "m", "Mr": "m", "Herr": "m", "Herrn": "m", "M.": "m", "Monsieur": "m", "Sr.": "m", "Señor": "m", "г-н": "m", "κύριος": "m", "Dr.": "any", "Prof.": "any"}
 _TITLE = "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True))
 _NAME = r"[^\W\d_a-z]\w+(?:[-'’]\w+)*"
-#: In order of precedence for spans with the same start. Digits are ASCII only.
+#: In order of precedence. Digits are ASCII only.
 KINDS = {
     "secret": re.compile(r"""(?i:\b(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd))\s*[=:]\s*["']?(?P<v>[A-Za-z0-9+/_.~-]{8,})|\b(?P<w>(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,})\b"""),
     "email": re.compile(r"(?P<v>[\w.+%-]+@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,})"),
@@ -69,9 +69,10 @@ def find(text: str, kinds: tuple[str, ...] = tuple(KINDS)) -> list[tuple[int, in
     """(start, end, kind, value, gender) of entities, in order, without overlaps."""
     digits, at = _DIGITS.search(text) is not None, "@" in text
     can = {"secret": _SECRET_WORD.search(text) is not None, "email": at, "name": _ANY_TITLE.search(text) is not None}
-    spans = []
-    for rank, kind in enumerate(kinds):
+    spans: list = []
+    for kind in kinds:
         if can.get(kind, digits):
+            found = len(spans)
             for m in KINDS[kind].finditer(text):
                 group = "w" if kind == "secret" and m["v"] is None else "v"
                 value = m[group]
@@ -80,13 +81,10 @@ def find(text: str, kinds: tuple[str, ...] = tuple(KINDS)) -> list[tuple[int, in
                         value = shorter[1]
                     if not 7 <= sum(map(str.isdigit, value)) <= 15:
                         continue
-                spans.append((m.start(group), rank, m.start(group) + len(value), kind, value, TITLES[m["t"]] if kind == "name" else ""))
-    out, last = [], 0
-    for start, _, end, kind, value, gender in sorted(spans):
-        if start >= last:
-            out.append((start, end, kind, value, gender))
-            last = end
-    return out
+                spans.append((m.start(group), m.start(group) + len(value), kind, value, TITLES[m["t"]] if kind == "name" else ""))
+            for start, end, *_ in spans[found:]:  # hidden from the kinds that follow
+                text = text[:start] + "\0" * (end - start) + text[end:]
+    return sorted(spans)
 
 
 # --- permutations of formats ---
