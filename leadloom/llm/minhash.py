@@ -43,7 +43,7 @@ class NearDup:
     percent: int = 80
     permutations: int = 64
     rows: int = 4
-    rounds: int = 4
+    rounds: int = 2
     seed: int = 20240229
 
 
@@ -154,34 +154,34 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def links_of(docs: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
-    """Confirmed links (a, b) that connect the classes' documents as all links would."""
+    """classes: doc_id, n_shingles, bands of one document per set. Confirmed links (a, b) that connect the classes' documents as all links would."""
     spark = docs.sparkSession
-    all_rows = classes.select("doc_id", F.explode("bands").alias("bucket"))
+    all_rows = classes.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
     shared = all_rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     rows = checkpoint(all_rows.join(shared, "bucket"))
     sets = checkpoint(_sets(docs, rows.select("doc_id").distinct(), p))
     none = spark.createDataFrame([], "a long, b long")
     links, tested, label = none, none, None
+    near_in_size = lambda x, y: 100 * F.least(x, y) >= p.percent * F.greatest(x, y)  # noqa: E731  which no similar sets miss
     for turn in range(p.rounds + 1):
         if label is not None:
-            rows = rows.join(label, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+            rows = rows.join(label, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
         else:
-            rows = rows.select("bucket", "doc_id", F.col("doc_id").alias("component"))
-        open_ = rows.groupBy("bucket").agg(F.min(F.struct("doc_id", "component")).alias("lead"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1")
-        open_ = checkpoint(open_.select("bucket", F.col("lead.doc_id").alias("a"), F.col("lead.component").alias("lead_component")))
-        if not open_.limit(1).count():
-            break
-        here = rows.join(open_, "bucket")
+            rows = rows.select("bucket", "doc_id", "n_shingles", F.col("doc_id").alias("component"))
+        open_ = rows.groupBy("bucket").agg(F.min(F.struct("doc_id", "component", "n_shingles")).alias("lead"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1")
+        here = rows.join(open_.select("bucket", "lead"), "bucket")
+        if turn:  # few rows are left
+            here = checkpoint(here)
         if turn < p.rounds:
-            pairs = here.filter("component <> lead_component").select("a", F.col("doc_id").alias("b"))
-        else:  # few documents are left here, all in components that are still apart
-            other = here.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("other"))
-            pairs = here.select("bucket", F.col("doc_id").alias("a"), "component").join(other, "bucket").filter("a < b and component <> other").select("a", "b")
-        pairs = checkpoint(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
+            found = here.filter((F.col("component") != F.col("lead.component")) & near_in_size(F.col("n_shingles"), F.col("lead.n_shingles"))).select(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b"))
+        else:  # documents that are still apart from others of their bucket
+            other = here.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("other"), F.col("n_shingles").alias("m"))
+            found = here.select("bucket", F.col("doc_id").alias("a"), "component", "n_shingles").join(other, "bucket").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & near_in_size(F.col("n_shingles"), F.col("m"))).select("a", "b")
+        pairs = checkpoint(found.distinct().join(tested, ["a", "b"], "left_anti"))
         links = checkpoint(links.unionByName(_confirmed(pairs, sets, p.percent)))
-        tested = tested.unionByName(pairs)
-        label = components(links)
-        rows = checkpoint(here.filter("doc_id <> a").select("bucket", "doc_id"))
+        if turn < p.rounds:
+            tested, label = tested.unionByName(pairs), components(links)
+            rows = here.filter(F.col("doc_id") != F.col("lead.doc_id")).select("bucket", "doc_id", "n_shingles")
     return links
 
 
@@ -189,8 +189,8 @@ def components_of(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row per row of `docs`."""
     found = checkpoint(described(docs, p))
     with_set = found.filter(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull())
-    classes = checkpoint(with_set.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.min_by("bands", "doc_id").alias("bands")))
-    near = links_of(docs, classes.select("doc_id", "bands"), p)
+    classes = checkpoint(with_set.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
+    near = links_of(docs, classes.select("doc_id", "n_shingles", "bands"), p)
     same = with_set.join(classes.select("set_key", F.col("doc_id").alias("b")), "set_key").select(F.col("doc_id").alias("a"), "b").filter("a <> b")
     label = components(near.unionByName(same))
     out = found.select("doc_id", "n_shingles").join(label, F.col("doc_id") == F.col("node"), "left")
