@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, mixing, pieces, pii, quality_rules, sharding, suffixes, topk
+from . import chaining, langid, minhash, mixing, pieces, pii, quality_rules, sharding, suffixes, topk
 from .common import table
 
 
@@ -47,9 +47,13 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components_of(table(spark, sf_dir, "documents"), minhash.NearDup(width=2))
 
 
+def op9_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.fuzzy(table(spark, sf_dir, "documents"))
+
+
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.removed(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_langid, op4_sharding, op5_topk, op6_pieces, op7_pii, op8_minhash, op10_suffixes)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_langid, op4_sharding, op5_topk, op6_pieces, op7_pii, op8_minhash, op9_chaining, op10_suffixes)}
