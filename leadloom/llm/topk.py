@@ -35,11 +35,11 @@ from .common import checkpoint
 @dataclass(frozen=True)
 class Search:
     k: int = 20
-    pivots: int = 32
+    pivots: int = 16
     #: Vectors in a block of queries, and in a block of candidates.
     query_block: int = 512
     block: int = 8192
-    #: Candidates that a query evaluates at a time, in bound order.
+    #: Candidates that a query evaluates at first, in bound order; then twice as many, and so on.
     step: int = 256
 
 
@@ -76,34 +76,46 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
 
 def _best(query_ids, queries, ids, vecs, pivots, largest: float, k: int, step: int):
     """The k best of one block of candidates for each query of one block."""
-    q, x = queries.astype("f8"), vecs.astype("f8")
+    # Sums of products stay below `largest`, so 24 bits hold them exactly if they hold that.
+    exact = "f4" if largest < 2**24 else "f8"
+    order = np.argsort(ids, kind="stable")  # ties in bound and score then go to smaller ids
+    ids, q, x = ids[order], queries.astype("f8"), vecs[order].astype("f8")
     lift = np.sqrt(np.maximum(0.0, largest - (x * x).sum(1)))
     p, p_lift = pivots[:, :-1], pivots[:, -1]
 
     def apart(a, a_lift):
-        d = (a * a).sum(1)[:, None] + (a_lift * a_lift)[:, None] + (pivots * pivots).sum(1)[None] - 2 * (a @ p.T + np.outer(a_lift, p_lift))
+        d = (a * a).sum(1)[None] + (a_lift * a_lift)[None] + (pivots * pivots).sum(1)[:, None] - 2 * (p @ a.T + np.outer(p_lift, a_lift))
         return np.sqrt(np.maximum(0.0, d))
 
-    d_x, d_q, norms = apart(x, lift), apart(q, np.zeros(len(q))), (q * q).sum(1)
-    order = np.argsort(ids, kind="stable")
+    d_x, d_q, norms = np.ascontiguousarray(apart(x, lift), "f4"), apart(q, np.zeros(len(q))).astype("f4"), (q * q).sum(1)
+    x, q = x.astype(exact), q.astype(exact)
+    # Of a bound, (|q|^2 + M - low^2) / 2, single precision may be off by this much.
+    slack = 0.5 + 1e-5 * largest
     out = []
+    low, one = np.empty(len(x), "f4"), np.empty(len(x), "f4")
     for i in range(len(q)):
-        low = np.abs(d_x - d_q[i]).max(1)
-        bound = (norms[i] + largest - low * low) / 2 + 1e-3  # rounding stays far below this
-        bound[ids == query_ids[i]] = -np.inf
-        by = order[np.argsort(-bound[order], kind="stable")]
+        low[:] = 0
+        for a, b in zip(d_x, d_q[:, i], strict=True):
+            np.subtract(a, b, out=one)
+            np.abs(one, out=one)
+            np.maximum(low, one, out=low)
+        low[ids == query_ids[i]] = np.inf
+        by = np.argsort(low, kind="stable")
+        bound = (norms[i] + largest - np.square(low[by], dtype="f8")) / 2 + slack
         scores, found = np.empty(0, "i8"), np.empty(0, "i8")
-        at = 0
-        while at < len(by) and bound[by[at]] > -np.inf:
-            if len(scores) == k and bound[by[at]] < scores[-1]:
-                break
-            part = by[at : at + step]
-            part = part[bound[part] > -np.inf]
-            scores = np.concatenate([scores, (x[part] @ q[i]).round().astype("i8")])
-            found = np.concatenate([found, ids[part]])
+        at, size, end = 0, step, int(np.searchsorted(-bound, np.inf))
+        while at < end:
+            part = by[at : min(at + size, end)]
+            here = (x[part] @ q[i]).astype("i8")
+            if len(scores) == k:
+                better = here >= scores[-1]
+                part, here = part[better], here[better]
+            scores, found = np.concatenate([scores, here]), np.concatenate([found, ids[part]])
             top = np.lexsort((found, -scores))[:k]
             scores, found = scores[top], found[top]
-            at += step
+            at, size = at + size, 2 * size
+            if len(scores) == k:  # no bound further on reaches the k-th score
+                end = min(end, int(np.searchsorted(-bound, -scores[-1], "right")))
         out.append((np.full(len(scores), query_ids[i]), found, scores))
     return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, "i8")] * 3
 
@@ -122,12 +134,17 @@ def top_k(rows: DataFrame, is_query: Column, search: Search = Search()) -> DataF
     pivots = np.hstack([pivots, np.sqrt(np.maximum(0.0, float(most) - (pivots**2).sum(1)))[:, None]])
     width, k, step = pivots.shape[1] - 1, search.k, search.step
 
-    queries = checkpoint(_packed(rows.filter(is_query), search.query_block).withColumn("qb", F.monotonically_increasing_id()))
-    blocks = _packed(rows, search.block)
-    # Every block of candidates goes to every block of queries: an equi-join on the queries' block number.
-    numbers = queries.select("qb").withColumn("one", F.lit(1))
-    sent = blocks.select(F.col("ids").alias("c_ids"), F.col("vecs").alias("c_vecs"), F.lit(1).alias("one")).join(numbers, "one").select("qb", "c_ids", "c_vecs")
-    met = sent.join(queries.select("qb", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs")), "qb")
+    asking = rows.filter(is_query)
+    parts = asking.count() // search.query_block + 1
+
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"qb": [pdf["qb"].iloc[0]], "q_ids": [pdf["vec_id"].to_numpy("<i8").tobytes()], "q_vecs": [np.array(pdf["v"].tolist(), "<i4").tobytes()]})
+
+    # Every block of candidates goes to every block of queries, by an equi-join on the queries' block number.
+    queries = asking.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(parts))).groupBy("qb").applyInPandas(gather, "qb long, q_ids binary, q_vecs binary")
+    blocks = _packed(rows, search.block).select(F.col("ids").alias("c_ids"), F.col("vecs").alias("c_vecs"))
+    sent = blocks.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    met = sent.join(queries, "qb")
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
