@@ -5,11 +5,540 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .. import api
+from ..functions import dates, hashing, text
+from ..operators import budget, dedupe, finance, queue, registry, summary, upsert
+from ..sources import landing, sweeps
+from .models import MODELS, SIGNALS
+from .views import JOBS as JOB_VIEW
+from .views import LEADS, NOW, duck, view
+from .views import POSTS as POST_VIEW
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- SQL of the twins: normalisation, keys, scores ---
+
+_D_TEXT = "trim(regexp_replace(regexp_replace(coalesce({x}, ''), '[\\x00-\\x1f\\x7f]', ' ', 'g'), '[\\s\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x{{85}}]+', ' ', 'g'))"
+
+
+def d_text(x: str) -> str:
+    return _D_TEXT.format(x=x)
+
+
+def d_domain(x: str) -> str:
+    return f"regexp_replace(split_part(split_part(regexp_replace(lower({d_text(x)}), '^https?://', ''), '/', 1), ':', 1), '^www\\.', '')"
+
+
+def d_phone(x: str) -> str:
+    raw = f"regexp_replace({x}, '[^0-9+]', '', 'g')"
+    digits = f"regexp_replace({x}, '[^0-9]', '', 'g')"
+    return f"CASE WHEN starts_with({raw}, '+') THEN {raw} WHEN length({digits}) = 11 AND starts_with({digits}, '1') THEN '+' || {digits} WHEN length({digits}) = 10 THEN '+1' || {digits} WHEN length({digits}) BETWEEN 8 AND 15 THEN '+' || {digits} ELSE {digits} END"
+
+
+def d_group(*parts: str) -> str:
+    return "left(sha1(concat_ws('|', " + ", ".join(f"nullif({p}, '')" for p in parts) + ")), 16)"
+
+
+def d_hash32(x: str) -> str:
+    wrapped = f"list_reduce(list_prepend(0::BIGINT, list_transform(string_split({x}, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296)"
+    return f"(SELECT 'h' || lower(to_hex(CASE WHEN w >= 2147483648 THEN 4294967296 - w ELSE w END)) FROM (SELECT {wrapped} AS w))"
+
+
+def d_ratio(part: str, total: str, digits: int) -> str:
+    s = 10**digits
+    return f"CASE WHEN {total} = 0 THEN 0.0::DOUBLE ELSE (({part}) * {2 * s} + {total})::BIGINT // (({total}) * 2)::BIGINT / {s}.0::DOUBLE END"
+
+
+def d_leads(model: str) -> str:
+    name, email = d_text("raw_name"), f"lower({d_text('raw_email')})"
+    website = d_text("raw_website") if model == "simple" else d_domain("raw_website")
+    phone = d_text("raw_phone") if model == "simple" else d_phone("raw_phone")
+    return f"SELECT *, {name} AS business_name, {website} AS website, {phone} AS phone, {email} AS email FROM ({duck(LEADS)})"
+
+
+def d_posts() -> str:
+    signals = "list_filter([" + ", ".join(f"'{s}'" for s in SIGNALS) + "], lambda k: contains(lower(concat_ws(' ', job_title, raw_snippet)), k))"
+    return f"SELECT *, len({signals})::INT AS signal_count, array_to_string({signals}, '|') AS signals FROM ({duck(POST_VIEW)})"
+
+
+def d_scored(model: str, records: str) -> str:
+    m = MODELS[model]
+    parts = ", ".join(f"CAST({m.component(c)} AS INT) AS score_{c}" for c in m.weights)
+    total = f"SELECT *, {m.total()} AS {m.score} FROM (SELECT *, {parts} FROM ({records}))"
+    return duck(f"SELECT *, {m.band('high', 'usable', 'low')} AS score_band, {m.band('send_first', 'keep', 'hold')} AS recommended_action, {m.reasons()} AS reasons FROM ({total})")
+
+
+_GROUPS = {
+    "full": d_group("business_name", "coalesce(nullif(website, ''), nullif(phone, ''), email)", "coalesce(nullif(city, ''), context_city)"),
+    "hvac": d_group("business_name", "coalesce(nullif(website, ''), nullif(phone, ''), email)", "coalesce(nullif(city, ''), context_city)"),
+    "simple": "concat_ws('|', business_name, website, phone, email, city)",
+    "jobs": d_group("lower(company_name)", "lower(job_title)", "source"),
+    "posts": d_group("coalesce(nullif(post_id, ''), posting_url)", "company_name", "subreddit"),
+}
+
+
+def d_flagged(model: str, records: str, by: str = "") -> str:
+    m = MODELS[model]
+    scored = f"SELECT *, {_GROUPS[model]} AS g FROM ({d_scored(model, records)})"
+    part = f"PARTITION BY {by + ', ' if by else ''}g"
+    return f"SELECT *, row_number() OVER ({part} ORDER BY {m.score} DESC, ord) = 1 AS is_unique, min(ord) OVER ({part}) AS first_seen FROM ({scored})"
+
+
+def _leads(spark: SparkSession, sf_dir: str, model: str) -> DataFrame:
+    return api.normalized_leads(view(spark, sf_dir, LEADS, "customer", "nation"), model)
+
+
+def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts = view(spark, sf_dir, POST_VIEW, "documents").withColumn("matched_signals", text.matched_keywords(F.concat_ws(" ", "job_title", "raw_snippet"), SIGNALS))
+    return posts.withColumn("signal_count", F.size("matched_signals"))
+
+
+# --- scalar functions ---
+
+
+@query(f"SELECT doc_id, {d_text('text')} AS normalized FROM documents")
+def normalize_text_documents(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", text.normalize_text("text").alias("normalized"))
+
+
+@query("SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(lower(p_name || ' ' || p_type || ' #' || p_brand), '[^a-z0-9\\s.-]', '', 'g')), '\\s+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM part")
+def slugify_parts(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", text.slugify(F.concat("p_name", F.lit(" "), "p_type", F.lit(" #"), "p_brand")).alias("slug"))
+
+
+@query(f"SELECT page_id, {d_domain('url')} AS domain FROM pages")
+def normalize_domain_pages(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", text.normalize_domain("url").alias("domain"))
+
+
+@query(f"SELECT id, {d_phone('raw_phone')} AS phone, lower({d_text('raw_email')}) AS email FROM ({duck(LEADS)})")
+def normalize_phone_customers(spark, sf_dir):
+    return view(spark, sf_dir, LEADS, "customer", "nation").select("id", text.normalize_phone("raw_phone").alias("phone"), text.normalize_email("raw_email").alias("email"))
+
+
+@query(f"SELECT c_custkey, {d_group('c_name', 'c_mktsegment', 'CAST(c_nationkey AS VARCHAR)')} AS group_id, sha1(c_name) AS name_sha1 FROM customer")
+def stable_group_ids(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer")
+    return c.select("c_custkey", hashing.stable_group_id("c_name", "c_mktsegment", "c_nationkey").alias("group_id"), F.sha1(F.col("c_name").cast("binary")).alias("name_sha1"))
+
+
+@query(f"SELECT s_suppkey, {d_hash32('x')} AS hash FROM (SELECT s_suppkey, s_name || '|' || CAST(s_nationkey AS VARCHAR) AS x FROM supplier)")
+def hash32_suppliers(spark, sf_dir):
+    s = _t(spark, sf_dir, "supplier")
+    return s.select("s_suppkey", hashing.hash32(F.concat_ws("|", "s_name", F.col("s_nationkey").cast("string"))).alias("hash"))
+
+
+@query("SELECT sha1(text) AS payload_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
+def payload_hash_dedupe(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.sha1(F.col("text").cast("binary")).alias("payload_hash"))
+    return docs.groupBy("payload_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '[\\s\\x0b]+', ' ', 'g')) AS visible FROM pages")
+def visible_text_pages(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", text.visible_text("html").alias("visible"))
+
+
+@query("SELECT doc_id, w AS email FROM (SELECT doc_id, unnest(string_split(replace(text, chr(10), ' '), ' ')) AS w FROM documents) WHERE regexp_matches(w, '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$')")
+def email_extract_valid(spark, sf_dir):
+    words = _t(spark, sf_dir, "documents").filter(F.contains("text", F.lit("@"))).select("doc_id", F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("email"))
+    return words.filter(text.is_email("email"))
+
+
+@query("SELECT turn, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped, conv_id FROM conversations")
+def escape_conversations(spark, sf_dir):
+    return _t(spark, sf_dir, "conversations").select("turn", text.html_escape("text").alias("escaped"), "conv_id")
+
+
+@query(f"SELECT ord, signal_count, signals FROM ({d_posts()})")
+def keyword_signals(spark, sf_dir):
+    return _posts(spark, sf_dir).select("ord", "signal_count", F.concat_ws("|", "matched_signals").alias("signals"))
+
+
+@query("SELECT conv_id, turn, regexp_matches(lower(text), 'the.*of|and') AS broad, regexp_matches(lower(text), 'zu|der|que') AS narrow FROM conversations")
+def intent_regex_flags(spark, sf_dir):
+    low = F.lower("text")
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", low.rlike("the.*of|and").alias("broad"), low.rlike("zu|der|que").alias("narrow"))
+
+
+_FIELDS = ["business_name", "website", "phone", "email", "city", "source_url"]
+
+
+@query(f"SELECT id, ({' + '.join(f'CASE WHEN {c} <> {chr(39) * 2} THEN 1 ELSE 0 END' for c in _FIELDS)})::INT AS filled FROM ({d_leads('hvac')})")
+def field_completeness(spark, sf_dir):
+    return _leads(spark, sf_dir, "hvac").select("id", text.filled_count(*_FIELDS).alias("filled"))
+
+
+_HVAC_D = "CASE WHEN regexp_matches(lower(d), '\\b(commercial|industrial|contractor)\\b') THEN 'commercial' WHEN regexp_matches(lower(d), '\\b(residential|home|household)\\b') THEN 'residential' ELSE 'both' END"
+
+
+@query(f"SELECT c_custkey, {_HVAC_D} AS hvac_type, contains(lower(d), 'urgent') OR contains(lower(d), '24hr') AS emergency, array_to_string(list_transform(string_split(d, ','), lambda s: trim(s)), '|') AS services FROM (SELECT c_custkey, c_mktsegment || CASE WHEN c_custkey % 3 = 0 THEN ', Home, urgent' WHEN c_custkey % 5 = 0 THEN ',Industrial , 24hr' ELSE '' END AS d FROM customer)")
+def hvac_enrichment(spark, sf_dir):
+    tail = F.when(F.col("c_custkey") % 3 == 0, ", Home, urgent").when(F.col("c_custkey") % 5 == 0, ",Industrial , 24hr").otherwise("")
+    d = F.concat("c_mktsegment", tail)
+    return _t(spark, sf_dir, "customer").select("c_custkey", text.hvac_type(d).alias("hvac_type"), text.emergency_service(d).alias("emergency"), F.concat_ws("|", text.service_list(d)).alias("services"))
+
+
+# --- scores ---
+
+
+def _score_query(model: str, records, sql_records: str, key: str = "ord"):
+    m = MODELS[model]
+    parts = [f"score_{c}" for c in m.weights]
+    sql = f"SELECT {key}, {', '.join(parts)}, {m.score}, score_band, recommended_action, reasons FROM ({d_scored(model, sql_records)})"
+
+    def run(spark, sf_dir):
+        return api.score(records(spark, sf_dir), model).select(key, *parts, m.score, "score_band", "recommended_action", F.concat_ws("|", "score_reasons").alias("reasons"))
+
+    run.__name__ = f"score_{model}"
+    return query(sql)(run)
+
+
+_score_query("full", lambda s, d: _leads(s, d, "full"), d_leads("full"))
+_score_query("hvac", lambda s, d: _leads(s, d, "hvac"), d_leads("hvac"))
+_score_query("jobs", lambda s, d: view(s, d, JOB_VIEW, "documents"), duck(JOB_VIEW))
+_score_query("posts", _posts, d_posts())
+
+
+@query(f"SELECT ord, lead_score, score_band, recommended_action FROM ({d_scored('simple', d_leads('simple'))})")
+def score_simple(spark, sf_dir):
+    return api.score(_leads(spark, sf_dir, "simple"), "simple").select("ord", "lead_score", "score_band", "recommended_action")
+
+
+# --- duplicates, ranking, counts ---
+
+
+def _process_queries(model: str, records, sql_records: str, by: tuple[str, ...] = ()):
+    m = MODELS[model]
+    flagged = d_flagged(model, sql_records, ", ".join(by))
+    keys = "".join(f"{b}, " for b in by)
+    tail = f" GROUP BY {', '.join(by)}" if by else ""
+    signals = ", sum(signal_count)::BIGINT AS total_signals" if model == "posts" else ""
+    counts = (
+        f"SELECT {keys}count(*) AS total, count(*) FILTER (WHERE is_unique) AS unique_count, count(*) FILTER (WHERE score_band = 'high') AS high, count(*) FILTER (WHERE score_band = 'usable') AS usable, count(*) FILTER (WHERE score_band = 'low') AS low{signals}, "
+        f"{d_ratio('count(*) - count(*) FILTER (WHERE is_unique)', 'count(*)', 3)} AS duplicate_rate, {d_ratio(f'sum({m.score})', 'count(*)', 1)} AS average_score FROM ({flagged}){tail}"
+    )
+    routing = (
+        f"SELECT {keys}count(*) FILTER (WHERE is_unique AND {m.score} >= {m.high}) AS instant_alert, count(*) FILTER (WHERE is_unique AND {m.score} >= {m.nurture} AND {m.score} < {m.high}) AS nurture, count(*) FILTER (WHERE is_unique AND {m.score} < {m.nurture}) AS hold FROM ({flagged}){tail}"
+    )
+
+    def unique(spark, sf_dir):
+        return api.process(records(spark, sf_dir), model, by).unique.select(*by, "ord", "first_seen", m.score)
+
+    def count(spark, sf_dir):
+        return api.process(records(spark, sf_dir), model, by).counts
+
+    def route(spark, sf_dir):
+        return api.process(records(spark, sf_dir), model, by).routing
+
+    for name, f, sql in (("dedupe", unique, f"SELECT {keys}ord, first_seen, {m.score} FROM ({flagged}) WHERE is_unique"), ("counts", count, counts), ("routing", route, routing)):
+        f.__name__ = f"{name}_{model}" + "_by_run" * bool(by)
+        query(sql)(f)
+
+
+_process_queries("hvac", lambda s, d: _leads(s, d, "hvac"), d_leads("hvac"))
+_process_queries("hvac", lambda s, d: _leads(s, d, "hvac"), d_leads("hvac"), ("run_id",))
+_process_queries("full", lambda s, d: _leads(s, d, "full"), d_leads("full"))
+_process_queries("jobs", lambda s, d: view(s, d, JOB_VIEW, "documents"), duck(JOB_VIEW))
+_process_queries("posts", _posts, d_posts())
+
+_FLAGGED = d_flagged("hvac", d_leads("hvac"))
+
+
+@query(f"SELECT ord, business_name, website, phone, email, city, lead_score, score_band, first_seen FROM ({_FLAGGED}) WHERE is_unique ORDER BY lead_score DESC, first_seen LIMIT 10")
+def dedupe_ranked_top10(spark, sf_dir):
+    return api.process(_leads(spark, sf_dir, "hvac")).top_items.select("ord", "business_name", "website", "phone", "email", "city", "lead_score", "score_band", "first_seen")
+
+
+@query(f"SELECT ord, business_name, website, phone, email, city, lead_score, score_band, recommended_action, reasons, first_seen FROM ({_FLAGGED}) WHERE is_unique")
+def dedupe_ranked(spark, sf_dir):
+    unique = api.process(_leads(spark, sf_dir, "hvac")).unique
+    return dedupe.ranked(unique, "lead_score").select("ord", "business_name", "website", "phone", "email", "city", "lead_score", "score_band", "recommended_action", F.concat_ws("|", "score_reasons").alias("reasons"), "first_seen")
+
+
+@query(f"SELECT run_id, string_agg(ord || ':' || lead_score, '|' ORDER BY lead_score DESC, first_seen) AS top_items FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY lead_score DESC, first_seen) AS rk FROM ({d_flagged('hvac', d_leads('hvac'), 'run_id')}) WHERE is_unique) WHERE rk <= 3 GROUP BY run_id")
+def run_summary_top3(spark, sf_dir):
+    items = api.process(_leads(spark, sf_dir, "hvac"), by=("run_id",)).items
+    best = summary.top(items, ["run_id"], 3, "lead_score", ["ord", "lead_score"])
+    return best.select("run_id", F.array_join(F.transform("top_items", lambda x: F.concat_ws(":", x["ord"].cast("string"), x["lead_score"].cast("string"))), "|").alias("top_items"))
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER (WHERE is_unique) AS unique_count, max(lead_score) FILTER (WHERE is_unique) AS top_score, arg_max(recommended_action, lead_score) FILTER (WHERE is_unique) AS top_action FROM ({_FLAGGED})")
+def batch_summary(spark, sf_dir):
+    items = api.process(_leads(spark, sf_dir, "hvac")).items
+    best = F.max(F.when(F.col("is_unique"), F.struct("lead_score", "recommended_action")))
+    return items.agg(F.count("*").alias("total"), F.count_if("is_unique").alias("unique_count"), best.alias("b")).select("total", "unique_count", F.col("b.lead_score").alias("top_score"), F.col("b.recommended_action").alias("top_action"))
+
+
+# --- runs, queues, deliveries ---
+
+_RUNS_D = "SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'processed' WHEN 'O' THEN 'queued' ELSE 'sample_delivered' END AS status, o_orderdate AS requested_at, CASE WHEN o_orderkey % 10 > 0 THEN o_orderdate END AS processed_at FROM orders"
+
+
+def _runs(spark, sf_dir):
+    status = F.when(F.col("o_orderstatus") == "F", "processed").when(F.col("o_orderstatus") == "O", "queued").otherwise("sample_delivered")
+    return _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), status.alias("status"), F.col("o_orderdate").alias("requested_at"), F.when(F.col("o_orderkey") % 10 > 0, F.col("o_orderdate")).alias("processed_at"))
+
+
+@query(f"SELECT * FROM ({_RUNS_D}) WHERE status = 'queued' ORDER BY requested_at, id LIMIT 25")
+def queued_runs(spark, sf_dir):
+    return queue.queued(_runs(spark, sf_dir))
+
+
+@query(f"SELECT * FROM ({_RUNS_D}) WHERE status = 'processed' ORDER BY processed_at DESC NULLS FIRST, id DESC LIMIT 1")
+def latest_processed_run(spark, sf_dir):
+    return queue.resolve_run(_runs(spark, sf_dir))
+
+
+@query(f"SELECT id, lead_score, row_number() OVER (ORDER BY lead_score DESC, id)::INT AS row_index, CASE WHEN lead_score >= 80 THEN 'high' WHEN lead_score >= 50 THEN 'usable' ELSE 'low' END AS label FROM (SELECT * FROM ({d_scored('hvac', d_leads('hvac'))}) WHERE run_id = 7 ORDER BY lead_score DESC, id LIMIT 50)")
+def delivery_top50(spark, sf_dir):
+    leads = api.score(_leads(spark, sf_dir, "hvac").filter("run_id = 7"), "hvac")
+    return queue.delivery(leads).select("id", "lead_score", "row_index", "label")
+
+
+_QUEUE_D = "SELECT event_id AS id, 'user' || user_id || '@example.com' AS email, (event_id % 5)::INT AS step, CASE WHEN event_id % 9 = 0 THEN 'failed' ELSE 'pending' END AS status, ts AS scheduled_for FROM events"
+_OPT_D = "SELECT DISTINCT 'user' || c_custkey || '@example.com' AS email FROM customer WHERE c_custkey % 3 = 0"
+_DUE_D = f"SELECT * FROM ({_QUEUE_D}) WHERE status = 'pending' AND scheduled_for <= TIMESTAMP '2024-01-15 00:00:00' ORDER BY scheduled_for, id LIMIT 50"
+
+
+def _queue(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("@example.com")).alias("email"), (F.col("event_id") % 5).cast("int").alias("step"), F.when(F.col("event_id") % 9 == 0, "failed").otherwise("pending").alias("status"), F.col("ts").alias("scheduled_for"))
+
+
+def _optouts(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.concat(F.lit(" User"), F.col("c_custkey").cast("string"), F.lit("@Example.com")).alias("email"))
+
+
+@query(f"SELECT id, email, step, scheduled_for, CASE step WHEN 1 THEN 'reminder' WHEN 2 THEN 'proof' WHEN 3 THEN 'last_call' ELSE 'welcome' END AS template FROM ({_DUE_D}) WHERE email NOT IN ({_OPT_D})")
+def due_queue_minus_optouts(spark, sf_dir):
+    return api.due_messages(_queue(spark, sf_dir), _optouts(spark, sf_dir), dates.moment("2024-01-15 00:00:00"))[0].select("id", "email", "step", "scheduled_for", "template")
+
+
+@query(f"SELECT id, email FROM ({_DUE_D}) WHERE email IN ({_OPT_D})")
+def queue_optout_deletes(spark, sf_dir):
+    return api.due_messages(_queue(spark, sf_dir), _optouts(spark, sf_dir), dates.moment("2024-01-15 00:00:00"))[1].select("id", "email")
+
+
+@query(f"SELECT ord, email, lead_score, TIMESTAMP '{NOW}' + INTERVAL 1 MINUTE * (rn - 1) AS scheduled_for FROM (SELECT *, row_number() OVER (ORDER BY lead_score DESC, first_seen) AS rn FROM ({_FLAGGED}) WHERE is_unique AND lead_score >= 50 AND email <> '') WHERE rn <= 20")
+def followup_stagger(spark, sf_dir):
+    unique = api.process(_leads(spark, sf_dir, "hvac")).unique
+    return queue.followups(unique, dates.moment(NOW)).select("ord", "email", "lead_score", "scheduled_for")
+
+
+@query(f"SELECT id, CASE WHEN id % 4 = 1 THEN 'failed' ELSE status END AS status FROM ({_QUEUE_D}) WHERE id % 4 <> 0")
+def queue_settled(spark, sf_dir):
+    waiting = _queue(spark, sf_dir)
+    results = waiting.filter("id % 4 < 2").select("id", (F.col("id") % 4 == 0).alias("ok"))
+    return queue.settle(waiting, results).select("id", "status")
+
+
+# --- finance ---
+
+_CAND_D = (
+    "SELECT 'balance.available.' || n AS entity_id, 'balance.available.' || n AS event_type, 'stripe_balance' AS signal_type, DATE '2024-01-31' AS event_date, 'balance' AS source FROM (SELECT DISTINCT lower(n_name) AS n FROM nation WHERE n_nationkey < 3) "
+    "UNION ALL SELECT 'balance.pending.' || n, 'balance.pending.' || n, 'stripe_balance', DATE '2024-01-31', 'balance' FROM (SELECT DISTINCT lower(n_name) AS n FROM nation WHERE n_nationkey < 3) "
+    "UNION ALL SELECT x, 'charge.' || x, 'stripe_charge', ts::DATE, 'charge' FROM (SELECT user_id || '_' || event_type AS x, ts FROM events WHERE event_id % 2 = 0) "
+    "UNION ALL SELECT x, 'subscription.' || x, 'stripe_subscription', d::DATE, 'subscription' FROM (SELECT CAST(o_custkey AS VARCHAR) AS x, o_orderdate AS d FROM orders)"
+)
+_KEYED_D = f"SELECT *, 'finance_event:acct:' || event_type || ':' || CAST(event_date AS VARCHAR) AS dedupe_key, 'finance_signal:' || entity_id || ':' || signal_type AS signal_key FROM ({_CAND_D})"
+
+
+def _candidates(spark, sf_dir):
+    day = F.lit("2024-01-31").cast("date")
+    money = F.collect_list(F.struct(F.lower("n_name").alias("currency")))
+    balances = _t(spark, sf_dir, "nation").filter("n_nationkey < 3").agg(money.alias("available"), money.alias("pending"))
+    charges = _t(spark, sf_dir, "events").filter("event_id % 2 = 0").select(F.concat_ws("_", F.col("user_id").cast("string"), "event_type").alias("id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("created"))
+    subs = _t(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("id"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("created"))
+    return finance.union_all([finance.balance_candidates(balances, day), finance.list_candidates(charges, "charge", "stripe_charge", day), finance.list_candidates(subs, "subscription", "stripe_subscription", day)])
+
+
+@query(_KEYED_D)
+def finance_candidates_union(spark, sf_dir):
+    return finance.keyed(_candidates(spark, sf_dir), "acct")
+
+
+@query(f"SELECT DISTINCT dedupe_key, signal_key, source, event_date FROM ({_KEYED_D}) WHERE day(event_date) <> 5")
+def finance_new_signals(spark, sf_dir):
+    rows = finance.keyed(_candidates(spark, sf_dir), "acct").withColumn("ord", F.col("entity_id"))
+    seen = rows.filter(F.dayofmonth("event_date") == 5).select("dedupe_key").distinct()
+    return finance.new_signals(rows, seen).select("dedupe_key", "signal_key", "source", "event_date")
+
+
+@query(f"SELECT count(*) AS candidate_count, count(*) - count(DISTINCT dedupe_key) AS dedupe_count, true AS pagination_exhausted, 'ingested' AS mode FROM ({_KEYED_D})")
+def finance_receipt(spark, sf_dir):
+    return api.ingest_finance(_candidates(spark, sf_dir).withColumn("ord", F.col("entity_id")), None, True, "acct")[1]
+
+
+@query(f"SELECT source, count(*) AS candidates FROM ({_CAND_D}) GROUP BY source")
+def finance_source_counts(spark, sf_dir):
+    return _candidates(spark, sf_dir).groupBy("source").agg(F.count("*").alias("candidates"))
+
+
+@query(f"SELECT signal_key, min(event_date) AS first_date, max(event_date) AS last_date FROM ({_KEYED_D}) GROUP BY signal_key")
+def finance_stored_signals(spark, sf_dir):
+    rows = finance.keyed(_candidates(spark, sf_dir), "acct").withColumn("updated_at", F.col("event_date")).select("signal_key", "dedupe_key", "event_date", "updated_at")
+    # Days arrive in order, so what is stored first is the earliest.
+    early = F.col("event_date") < "1997-01-01"
+    out = finance.stored(rows.filter(early), rows.filter(~early))
+    return out.select("signal_key", F.col("event_date").alias("first_date"), F.col("updated_at").alias("last_date"))
+
+
+@query("SELECT event_id, hour(ts) < 6 AS open, ts::DATE AS day FROM events")
+def overnight_window_events(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", dates.overnight(F.col("ts")).alias("open"), F.to_date("ts").alias("day"))
+
+
+_AGE_D = f"(epoch_us(TIMESTAMP '{NOW}') - epoch_us(ts)) / 3.6e9::DOUBLE"
+
+
+@query(f"SELECT CASE WHEN {_AGE_D} <= 24 THEN 'fresh_24h' WHEN {_AGE_D} <= 72 THEN 'fresh_72h' WHEN {_AGE_D} <= 168 THEN 'fresh_week' ELSE 'old' END AS bucket, count(*) AS n FROM events GROUP BY 1")
+def freshness_buckets(spark, sf_dir):
+    age = dates.age_hours(F.col("ts").cast("timestamp"), dates.moment(NOW))
+    bucket = F.when(age <= 24, "fresh_24h").when(age <= 72, "fresh_72h").when(age <= 168, "fresh_week").otherwise("old")
+    return _t(spark, sf_dir, "events").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+# --- upserts, intake, subscribers ---
+
+
+@query("SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY 1, 2")
+def upsert_latest_wins(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
+    cut = 5000
+    return upsert.latest_wins(e.filter(F.col("event_id") < cut), e.filter(F.col("event_id") >= cut), ["user_id", "event_type"], "event_id")
+
+
+@query("SELECT arg_min(event_id, event_id) AS first_id, user_id, event_type, count(*) - 1 AS duplicate_count, min(ts) + INTERVAL 1 DAY AS sla_due_at FROM (SELECT *, ts AS t FROM events) GROUP BY user_id, event_type HAVING arg_min(ts, event_id) = min(ts)")
+def intake_insert_or_bump(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts", F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("k"))
+    out = upsert.insert_or_bump(e, "k", "event_id", at="ts")
+    least = e.groupBy("k").agg(F.min("ts").alias("least"))
+    return out.join(least, "k").filter("ts = least").select(F.col("event_id").alias("first_id"), "user_id", "event_type", "duplicate_count", "sla_due_at")
+
+
+@query("SELECT 'sha256:' || sha256('[\"' || lower(c_name) || '\",\"' || lower(c_mktsegment) || '\"]') AS dedupe_key, c_custkey FROM customer")
+def intake_keys(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").select(hashing.intake_key("c_name", "c_mktsegment").alias("dedupe_key"), "c_custkey")
+
+
+_STATE_D = "CASE event_type WHEN 'purchase' THEN 'active' WHEN 'error' THEN 'past_due' WHEN 'signup' THEN 'trialing' WHEN 'click' THEN 'cancelled' END"
+
+
+@query(f"SELECT lower(c.c_name) AS email, user_id::VARCHAR AS customer_id, status, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM (SELECT *, {_STATE_D} AS status FROM events WHERE event_type <> 'view')) e JOIN customer c ON c.c_custkey = e.user_id WHERE rn = 1")
+def subscriber_status_sync(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "purchase", "checkout.session.completed").when(F.col("event_type") == "click", "customer.subscription.deleted").when(F.col("event_type") == "view", "invoice.paid").otherwise("customer.subscription.updated")
+    status = F.when(F.col("event_type") == "error", "unpaid").when(F.col("event_type") == "signup", "trialing")
+    events = _t(spark, sf_dir, "events").select("event_id", "ts", kind.alias("type"), F.col("user_id").cast("string").alias("customer_id"), F.lit("").alias("email"), status.alias("status"), F.lit("starter").alias("tier"), F.lit("subscription").alias("mode"))
+    customers = _t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("customer_id"), F.col("c_name").alias("customer_email"))
+    none = spark.createDataFrame([], "email string, customer_id string, status string, ts timestamp").withColumn("ts", F.col("ts").cast(dict(events.dtypes)["ts"]))
+    return api.sync_subscribers(none, events, customers)
+
+
+@query(f"SELECT id, email, CASE WHEN email IN (SELECT 'info' || c_custkey || '@example.com' FROM customer WHERE c_custkey < 100) THEN 'active' ELSE 'none' END AS subscription_status FROM ({d_leads('hvac')})")
+def tag_leads_by_email(spark, sf_dir):
+    subs = _t(spark, sf_dir, "customer").filter("c_custkey < 100").select(F.concat(F.lit("info"), F.col("c_custkey").cast("string"), F.lit("@example.com")).alias("email"), F.lit("active").alias("status"))
+    return upsert.tag_by_email(_leads(spark, sf_dir, "hvac").select("id", "email"), subs)
+
+
+@query("SELECT id, status FROM (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'sample_delivered' ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey % 5 <> 0)")
+def patch_and_delete(spark, sf_dir):
+    runs = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    return upsert.without(upsert.patch(runs, runs.filter("id % 7 = 0"), {"status": "sample_delivered"}), runs.filter("id % 5 = 0"))
+
+
+# --- budgets, sweeps, registry ---
+
+_SCEN_D = "SELECT o_orderkey AS id, CAST(o_orderkey % 40 AS DOUBLE) / 4 AS budget_cap, CAST(o_orderkey % 90 AS DOUBLE) / 16 AS est_run_cost, 0.25::DOUBLE AS overhead_pct, CAST(o_orderkey % 30 AS DOUBLE) / 2 AS monthly_usage, CAST(o_orderkey % 3 AS DOUBLE) * 8 AS plan_limit FROM orders"
+_GUARD_D = "SELECT *, least(greatest(0.0::DOUBLE, CASE WHEN plan_limit > 0 THEN plan_limit ELSE budget_cap END - monthly_usage), budget_cap) AS r, budget_cap * (1.0::DOUBLE - overhead_pct) AS p, est_run_cost * (1.0::DOUBLE + overhead_pct) AS e FROM (" + _SCEN_D + ")"
+
+
+def _scenarios(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return _t(spark, sf_dir, "orders").select(k.alias("id"), ((k % 40).cast("double") / 4).alias("budget_cap"), ((k % 90).cast("double") / 16).alias("est_run_cost"), F.lit(0.25).alias("overhead_pct"), ((k % 30).cast("double") / 2).alias("monthly_usage"), ((k % 3).cast("double") * 8).alias("plan_limit"))
+
+
+@query(f"SELECT id, e <= p AND e <= r AS allowed, CASE WHEN e > p THEN 'capped' WHEN e > r THEN 'over_budget' ELSE 'within_budget' END AS state, CASE WHEN e > p OR e > r THEN r ELSE r - e END AS remaining, CASE WHEN e > p THEN 'run_cost_exceeds_safe_budget' WHEN e > r THEN 'insufficient_remaining' ELSE '' END AS why FROM ({_GUARD_D})")
+def budget_guard_scenarios(spark, sf_dir):
+    return budget.check(_scenarios(spark, sf_dir)).select("id", "allowed", "state", "remaining", F.split_part("reason", F.lit(":"), F.lit(1)).alias("why"))
+
+
+@query(f"SELECT id, state, r FROM (SELECT id, CASE WHEN e > p THEN 'capped' WHEN e > r THEN 'over_budget' ELSE 'within_budget' END AS state, p - monthly_usage - e AS r FROM ({_GUARD_D}))")
+def budget_simulation(spark, sf_dir):
+    return budget.simulate(_scenarios(spark, sf_dir)).select("id", "state", F.col("remaining").alias("r"))
+
+
+_WORDS_D = "['instructional design', 'LMS', 'e-learning', 'training content', 'course creation', 'training coordinator', 'learning & development']"
+_SWEEP_D = f"SELECT ((k - 1) * 2 + s)::INT AS ord, {_WORDS_D}[k] AS keyword, CASE s WHEN 0 THEN 'indeed' ELSE 'linkedin' END AS source, CASE s WHEN 0 THEN 0.59::DOUBLE ELSE 1.50::DOUBLE END AS est_cost FROM range(1, 8) a(k), range(0, 2) b(s)"
+
+
+@query(_SWEEP_D)
+def sweep_configs(spark, sf_dir):
+    return sweeps.job_sweep(spark).drop("actor_input")
+
+
+@query(f"SELECT count(*) AS runs, round(sum(est_cost), 2) AS total_cost FROM ({_SWEEP_D})")
+def sweep_cost(spark, sf_dir):
+    return sweeps.cost(sweeps.job_sweep(spark))
+
+
+@query("SELECT 0::INT AS ord, 'instructionaldesign' AS subreddit, 'r/instructionaldesign' AS label, 0.5::DOUBLE AS est_cost UNION ALL SELECT 1, 'elearning', 'r/elearning', 0.5")
+def forum_sweep(spark, sf_dir):
+    return sweeps.forum_sweep(spark)
+
+
+@query("SELECT source, count(*) AS total, count(*) FILTER (WHERE doc_id % 4 > 0) AS succeeded, count(*) FILTER (WHERE doc_id % 4 = 0) AS failed FROM documents GROUP BY source")
+def trigger_outcomes(spark, sf_dir):
+    return summary.outcomes(_t(spark, sf_dir, "documents").select("source", (F.col("doc_id") % 4 > 0).alias("ok")))
+
+
+@query("SELECT CASE WHEN k <> '' THEN 'key:' || k WHEN u <> '' THEN 'url:' || u ELSE 'esg:' || left(sha1(lower(e)), 16) END AS registry_key, count(*) - 1 AS merged_count, string_agg(DISTINCT lane, ',' ORDER BY lane) AS lanes, max(score) AS score FROM (SELECT CASE WHEN user_id % 3 = 0 THEN CAST(user_id AS VARCHAR) ELSE '' END AS k, CASE WHEN user_id % 3 = 1 THEN 'http://x/' || user_id ELSE '' END AS u, event_type AS e, 'lane' || (event_id % 3) AS lane, value AS score FROM events) GROUP BY 1")
+def registry_merge(spark, sf_dir):
+    u = F.col("user_id")
+    rows = _t(spark, sf_dir, "events").select(F.when(u % 3 == 0, u.cast("string")).alias("canonical_key"), F.when(u % 3 == 1, F.concat(F.lit("http://x/"), u.cast("string"))).alias("url"), F.col("event_type").alias("entity"), F.lit("").alias("geo"), F.lit("").alias("signal"), F.col("ts").alias("seen_at"), F.concat(F.lit("lane"), (F.col("event_id") % 3).cast("string")).alias("lane"), F.col("value").alias("score"))
+    return registry.merged(rows).select("registry_key", "merged_count", F.concat_ws(",", "source_lanes").alias("lanes"), "score")
+
+
+# --- landed JSON ---
+
+
+@query()
+def variant_ingest(spark, sf_dir):
+    """Events' props as dynamic records: canonical hash, and a number with its null-or-absent rule."""
+    items = _t(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("item"))
+    return items.select("event_id", F.sha1(F.to_json("item").cast("binary")).alias("raw_item_hash"), landing.number_field(F.col("item"), "missing").alias("missing"), F.to_json("item").alias("canonical"))
+
+
+@query()
+def variant_leads(spark, sf_dir):
+    """Pages as landed lead items, normalised and scored."""
+    item = F.to_json(F.struct(F.concat(F.lit("Page "), F.col("page_id").cast("string")).alias("name"), F.col("url").alias("website"), F.lit("512-555-0100").alias("phone")))
+    leads = landing.lead_records(_t(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), F.parse_json(item).alias("item")), "HVAC", "Austin", NOW)
+    out = api.process(leads, "full").unique
+    return out.select("ord", "business_name", "website", "phone", "city", "lead_score", "score_band")
