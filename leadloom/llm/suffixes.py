@@ -231,34 +231,58 @@ class Chunk:
         k, d = self.key[order], self.ids[self.doc[order]]
         return np.unique(k[1:][(k[1:] == k[:-1]) & (d[1:] != d[:-1])])
 
-    def entries(self, shared: np.ndarray, crowded: np.ndarray, blocks: int):
-        """The distinct runs of shared keys: text -> (block, smallest doc_id, key), and
-        (start, text) of each run; runs of crowded keys are split into windows."""
+    def entries(self, shared: np.ndarray, crowded: np.ndarray) -> Entries:
+        """The distinct runs of shared keys, in order of first appearance; runs of
+        crowded keys are split into windows."""
         length, text = self.r.length, self.text
-        use = np.flatnonzero(np.isin(self.key, shared))
-        split = np.isin(self.key[use], crowded)
-        found: dict[bytes, list] = {}
-        runs = []
-        ids = self.ids[self.doc[use]].tolist()
-        for s, n, k, d, w in zip(self.start[use].tolist(), self.count[use].tolist(), self.key[use].tolist(), ids, split.tolist(), strict=True):
-            for a, b in [(j, j + length) for j in range(s, s + n)] if w else [(s, s + n + length - 1)]:
-                part = text[a:b]
-                e = found.get(part)
-                if e is None:
-                    found[part] = [k if not w else xxhash.xxh3_64_intdigest(part), d]
-                elif d < e[1]:
-                    e[1] = d
-                runs.append((a, d, part))
-        return found, runs
-
-    def in_order(self, found: dict[bytes, list], blocks: int) -> dict[int, list[bytes]]:
-        out: dict[int, list[bytes]] = {}
-        parts = sorted(found)
-        if parts:
-            to = _block(np.array([found[p][0] for p in parts], np.uint64), blocks).tolist()
-            for b, p in zip(to, parts, strict=True):
-                out.setdefault(b, []).append(p)
-        return out
+        use = np.flatnonzero(_among(self.key, shared))
+        start, count, key, doc = self.start[use], self.count[use], self.key[use], self.ids[self.doc[use]]
+        split = _among(key, crowded)
+        if split.any():
+            times = np.where(split, count, 1)
+            inner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            start, count, key, doc, split = np.repeat(start, times) + inner, np.repeat(np.where(split, 1, count), times), np.repeat(key, times), np.repeat(doc, times), np.repeat(split, times)
+        found: dict[bytes, int] = {}
+        entry = np.fromiter((found.setdefault(text[a:b], len(found)) for a, b in zip(start.tolist(), (start + count + (length - 1)).tolist(), strict=True)), np.int64, len(start))
+        texts = list(found)
+        first = np.full(len(texts), np.iinfo(np.int64).max)
+        np.minimum.at(first, entry, doc)
+        keys = np.zeros(len(texts), np.uint64)
+        keys[entry] = key
+        if split.any():  # windows of crowded keys go by hashes of their own
+            for i in np.unique(entry[split]).tolist():
+                keys[i] = xxhash.xxh3_64_intdigest(texts[i])
+        return Entries(texts, keys, first, start, count, doc, entry)
+
+
+@dataclass(frozen=True)
+class Entries:
+    """Distinct texts with keys and smallest doc_ids; and the runs that have them."""
+
+    texts: list[bytes]
+    keys: np.ndarray
+    first: np.ndarray
+    start: np.ndarray
+    count: np.ndarray
+    doc: np.ndarray
+    entry: np.ndarray
+
+    def dealt(self, blocks: int) -> list[tuple[int, np.ndarray]]:
+        """(block, numbers of its texts), the same whenever the chunk is read again."""
+        if not self.texts:
+            return []
+        to = _block(self.keys, blocks)
+        order = np.argsort(to, kind="stable")
+        return [(int(to[part[0]]), part) for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1)]
+
+
+def _among(x: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which of x are in `some`, which has few distinct values or is empty."""
+    if not len(some) or not len(x):
+        return np.zeros(len(x), bool)
+    some = np.unique(some)
+    at = np.minimum(np.searchsorted(some, x), len(some) - 1)
+    return some[at] == x
 
 
 def _block(keys: np.ndarray, blocks: int) -> np.ndarray:
@@ -285,64 +309,94 @@ def _sent(rows: list[tuple], names: tuple[str, ...]) -> pa.Table:
     return pa.table({n: pa.array([r[i] for r in rows], kinds[n]) for i, n in enumerate(names)})
 
 
+def _equals(joined: bytes, at: np.ndarray, own: np.ndarray, r: Repeats) -> np.ndarray:
+    """The smallest owner of each window at `at` and its equals."""
+    place = np.full(len(joined), -1, np.int64)
+    place[at] = np.arange(len(at))
+    order = SuffixOrder(joined, r.length)
+    best = own.copy()
+    for bucket in order.buckets(at, r.bucket):
+        same = order.equal(bucket[:-1], bucket[1:], r.length)
+        heads = np.flatnonzero(np.concatenate([[True], ~same]))
+        i = place[bucket]
+        best[i] = np.repeat(np.minimum.reduceat(own[i], heads), np.diff(np.append(heads, len(i))))
+    return best
+
+
+def _windows(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all windows in the joined texts, and the text of each."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    windows = sizes - length + 1
+    begins = np.cumsum(sizes) - sizes
+    text = np.repeat(np.arange(len(texts)), windows)
+    return np.repeat(begins - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum()), text
+
+
+def _hashes(joined: bytes, at: np.ndarray, length: int) -> np.ndarray:
+    words = np.ndarray(len(joined) - 7, "<u8", joined, strides=(1,))
+    h = np.zeros(len(at), np.uint64)
+    for j in [*range(0, length - 8, 8), length - 8]:
+        h = (h ^ words[at + j]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
 def decided(parts: list[tuple[int, bytes]], r: Repeats) -> list[tuple[int, bytes]]:
-    """One block: (chunk, packed entries) in, (chunk, packed owners) out."""
-    owner: dict[bytes, int] = {}
-    by_key: dict[int, list[bytes]] = {}
-    each = []
+    """One block: (chunk, packed entries) in, (chunk, packed runs of removed windows) out."""
+    number: dict[bytes, int] = {}
+    each, all_docs, all_keys = [], [], []
     for chunk, raw in parts:
         keys, docs, sizes, text = _unpack(raw, "<u8", "<i8", "<u4", "u1")
-        text, ends = text.tobytes(), np.cumsum(sizes.astype(np.int64)).tolist()
-        own, at = [], 0
-        for k, d, end in zip(keys.tolist(), docs.tolist(), ends, strict=True):
-            t = text[at:end]
-            at = end
-            before = owner.get(t)
-            if before is None:
-                owner[t] = d
-                by_key.setdefault(k, []).append(t)
-            elif d < before:
-                owner[t] = d
-            own.append((t, d))
-        each.append((chunk, own))
-    # Texts that share a key with others: their windows in suffix order.
-    open_ = [t for ts in by_key.values() if len(ts) > 1 for t in ts]
-    pieces: dict[bytes, list[tuple[int, int, int]]] = {}
-    if open_:
-        joined = b"".join(open_)
-        sizes = np.array([len(t) for t in open_], np.int64)
-        windows = sizes - r.length + 1
-        begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        first = np.concatenate([[0], np.cumsum(windows)])
-        at = np.repeat(begins - first[:-1], windows) + np.arange(first[-1])
-        own = np.repeat(np.array([owner[t] for t in open_], np.int64), windows)
-        place = np.full(len(joined), -1, np.int64)
-        place[at] = np.arange(len(at))
-        order = SuffixOrder(joined, r.length)
-        best = own.copy()
-        for bucket in order.buckets(at, r.bucket):
-            same = order.equal(bucket[:-1], bucket[1:], r.length)
-            heads = np.flatnonzero(np.concatenate([[True], ~same]))
-            i = place[bucket]
-            least = np.minimum.reduceat(own[i], heads)
-            best[i] = np.repeat(least, np.diff(np.append(heads, len(i))))
-        for t, a, b in zip(open_, first[:-1].tolist(), first[1:].tolist(), strict=True):
-            o = best[a:b]
-            cuts = np.flatnonzero(np.diff(o)) + 1
-            s = np.concatenate([[0], cuts])
-            pieces[t] = list(zip(s.tolist(), np.diff(np.append(s, len(o))).tolist(), o[s].tolist(), strict=True))
+        text, ends = text.tobytes(), np.cumsum(sizes.astype(np.int64))
+        own = np.fromiter((number.setdefault(text[a:b], len(number)) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)), np.int64, len(ends))
+        each.append((chunk, own, docs))
+        all_docs.append(docs)
+        all_keys.append(keys)
+    texts = list(number)
+    own = np.concatenate([e[1] for e in each])
+    owner = np.full(len(texts), np.iinfo(np.int64).max)
+    np.minimum.at(owner, own, np.concatenate(all_docs))
+    key = np.zeros(len(texts), np.uint64)
+    key[own] = np.concatenate(all_keys)
+    # Texts that share a key with others: their windows are put into suffix order, but for
+    # those whose hash no other window has, as they have no equals.
+    _, group, size = np.unique(key, return_inverse=True, return_counts=True)
+    open_ = np.flatnonzero(size[group] > 1)
+    start = count = of = np.empty(0, np.int64)
+    if len(open_):
+        at, text = _windows([texts[i] for i in open_], r.length)
+        h = _hashes(b"".join(texts[i] for i in open_), at, r.length)
+        order = np.argsort(h)
+        same = h[order][1:] == h[order][:-1]
+        twice = np.zeros(len(h), bool)
+        twice[order[1:]] |= same
+        twice[order[:-1]] |= same
+        if twice.any():
+            some = np.unique(text[twice])
+            chosen = open_[some]
+            at, text = _windows([texts[i] for i in chosen], r.length)
+            twice = twice[np.isin(np.repeat(np.arange(len(open_)), np.fromiter((len(texts[i]) for i in open_), np.int64) - r.length + 1), some)]
+            first = owner[chosen][text]
+            better = np.zeros(len(at), bool)
+            better[twice] = _equals(b"".join(texts[i] for i in chosen), at[twice], first[twice], r) < first[twice]
+            # Runs of windows that an earlier document has, within a text.
+            begin = better & np.concatenate([[True], ~better[:-1] | (text[1:] != text[:-1])])
+            end = better & np.concatenate([~better[1:] | (text[1:] != text[:-1]), [True]])
+            s, e = np.flatnonzero(begin), np.flatnonzero(end)
+            heads = np.searchsorted(text, np.arange(len(chosen)))
+            of, start, count = chosen[text[s]], s - heads[text[s]], e - s + 1
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts)) - r.length + 1
+    where = np.searchsorted(of, np.arange(len(texts) + 1))
     out = []
-    for chunk, own in each:
-        n, s, c, o = [], [], [], []
-        for i, (t, d) in enumerate(own):
-            for start, count, least in pieces.get(t) or [(0, len(t) - r.length + 1, owner[t])]:
-                if least < d:
-                    n.append(i)
-                    s.append(start)
-                    c.append(count)
-                    o.append(least)
-        if n:
-            out.append((chunk, _pack(np.array(n, "<u4"), np.array(s, "<u4"), np.array(c, "<u4"), np.array(o, "<i8"))))
+    for chunk, mine, docs in each:
+        whole = np.flatnonzero(owner[mine] < docs)
+        rest = np.flatnonzero((owner[mine] == docs) & (where[mine + 1] > where[mine]))
+        times = where[mine[rest] + 1] - where[mine[rest]]
+        i = np.repeat(where[mine[rest]] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        n = np.concatenate([whole, np.repeat(rest, times)])
+        if len(n):
+            s, c = np.concatenate([np.zeros(len(whole), np.int64), start[i]]), np.concatenate([lengths[mine[whole]], count[i]])
+            out.append((chunk, _pack(n.astype("<u4"), s.astype("<u4"), c.astype("<u4"))))
     return out
 
 
@@ -371,11 +425,13 @@ def removed(docs: DataFrame, r: Repeats = Repeats()) -> DataFrame:
         order = np.argsort(keys, kind="stable")
         heads = np.flatnonzero(np.diff(keys[order], prepend=keys[order[0]] ^ np.uint64(1)))
         runs = np.add.reduceat(often[order].astype(np.int64), heads)
-        multi = np.diff(np.append(heads, len(keys))) > 1
-        shared, crowded = keys[order][heads][multi], keys[order][heads][runs > r.crowded]
-        rows = []
+        sizes = np.diff(np.append(heads, len(keys)))
+        many, busy = np.empty(len(keys), bool), np.empty(len(keys), bool)
+        many[order], busy[order] = np.repeat(sizes > 1, sizes), np.repeat(runs > r.crowded, sizes)
+        rows, at = [], 0
         for ch, k, _ in parts:
-            s, w = np.isin(k, shared), np.isin(k, crowded)
+            s, w = many[at : at + len(k)], busy[at : at + len(k)]
+            at += len(k)
             if s.any() or w.any():
                 rows.append((block, ch, _pack(np.packbits(s), np.packbits(w) if w.any() else np.empty(0, "u1"))))
         return _sent(rows, ("block", "chunk", "data"))
@@ -397,10 +453,10 @@ def removed(docs: DataFrame, r: Repeats = Repeats()) -> DataFrame:
             return _sent([], ("block", "chunk", "data"))
         c, chunk, rows = Chunk(table, r), table.column("chunk")[0].as_py(), []
         shared, crowded = _shared(c, answers)
-        found, _ = c.entries(shared, crowded, blocks)
-        for block, parts in c.in_order(found, blocks).items():
-            own = [found[p] for p in parts]
-            rows.append((block, chunk, _pack(np.array([e[0] for e in own], "<u8"), np.array([e[1] for e in own], "<i8"), np.array([len(p) for p in parts], "<u4"), np.frombuffer(b"".join(parts), "u1"))))
+        found = c.entries(shared, crowded)
+        for block, part in found.dealt(blocks):
+            texts = [found.texts[i] for i in part.tolist()]
+            rows.append((block, chunk, _pack(found.keys[part].astype("<u8"), found.first[part].astype("<i8"), np.fromiter(map(len, texts), "<u4", len(texts)), np.frombuffer(b"".join(texts), "u1"))))
         # The masks are needed again at the end: they go along to the chunk's own answers.
         rows += [(-1 - b, chunk, d) for b, d in zip(answers.column("block").to_pylist(), answers.column("data").to_pylist(), strict=True)]
         return _sent(rows, ("block", "chunk", "data"))
@@ -421,26 +477,26 @@ def removed(docs: DataFrame, r: Repeats = Repeats()) -> DataFrame:
         masks = answers.filter(pa.array(blocks_of < 0))
         masks = pa.table({"block": pa.array(-1 - blocks_of[blocks_of < 0]), "data": masks.column("data")})
         shared, crowded = _shared(c, masks)
-        found, runs = c.entries(shared, crowded, blocks)
-        order = c.in_order(found, blocks)
-        lower: dict[bytes, list] = {}
-        for block, raw in zip(blocks_of.tolist(), answers.column("data").to_pylist(), strict=True):
-            if block >= 0:
-                for n, s, k, o in zip(*(a.tolist() for a in _unpack(raw, "<u4", "<u4", "<u4", "<i8")), strict=True):
-                    lower.setdefault(order[block][n], []).append((s, k, o))
+        found = c.entries(shared, crowded)
+        dealt_to = dict(found.dealt(blocks))
+        # Runs of a text that an earlier document of the chunk has are removed whole; of the others,
+        # what the block has found. Answers are joined to runs by the text's number.
         edge = np.zeros(len(c.text) + 1, np.int32)
-        a_, b_ = [], []
-        for s, d, part in runs:
-            if found[part][1] < d:
-                a_.append(s)
-                b_.append(s + len(part))
-            else:
-                for start, count, least in lower.get(part, ()):
-                    if least < d:
-                        a_.append(s + start)
-                        b_.append(s + start + count + length - 1)
-        np.add.at(edge, np.array(a_, np.int64), 1)
-        np.add.at(edge, np.array(b_, np.int64), -1)
+        later = found.first[found.entry] < found.doc
+        np.add.at(edge, found.start[later], 1)
+        np.add.at(edge, found.start[later] + found.count[later] + length - 1, -1)
+        told = [(dealt_to[block], *_unpack(raw, "<u4", "<u4", "<u4")) for block, raw in zip(blocks_of.tolist(), answers.column("data").to_pylist(), strict=True) if block >= 0]
+        if told:
+            entry = np.concatenate([part[n] for part, n, _, _ in told])
+            shift, many = (np.concatenate([x[i] for x in told]).astype(np.int64) for i in (2, 3))
+            order = np.argsort(entry, kind="stable")
+            entry, shift, many = entry[order], shift[order], many[order]
+            low, high = np.searchsorted(entry, found.entry), np.searchsorted(entry, found.entry, "right")
+            times = np.where(later, 0, high - low)
+            i = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            at = np.repeat(found.start, times) + shift[i]
+            np.add.at(edge, at, 1)
+            np.add.at(edge, at + many[i] + length - 1, -1)
         gone = np.cumsum(edge[:-1]) > 0
         rows = []
         for i, doc in enumerate(c.real):
