@@ -11,8 +11,9 @@ Candidates are confirmed on the full sets of shingles (as sorted 64-bit hashes).
 No bucket is expanded into all its pairs: equal sets are one class from the start;
 then in each round every bucket compares its smallest document with those that
 aren't yet in the same component, and drops it. A bucket ends as soon as its
-documents are connected. What is still apart after `rounds` rounds is compared
-pair by pair, so no link between components is lost.
+documents are connected. Of what is still apart after `rounds` rounds, all pairs are
+compared but those that sizes and rare shingles rule out, so no link between
+components is lost.
 
 Defined results: no words: set empty, linked with nothing; fewer words than a
 shingle: the whole sequence is the one shingle; rows with the same doc_id
@@ -43,7 +44,9 @@ class NearDup:
     percent: int = 80
     permutations: int = 64
     rows: int = 4
-    rounds: int = 2
+    rounds: int = 1
+    #: A shingle is rare if at most so many of the documents in question have it.
+    rare: int = 8
     seed: int = 20240229
 
 
@@ -153,6 +156,39 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "hashes_a", "hashes_b").mapInArrow(run, "a long, b long")
 
 
+def _apart(here: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
+    """Pairs (a < b) of documents in a common bucket but in different components that
+    may still be similar enough.
+
+    Most can't, and aren't made into rows. If x and y are similar enough, x has at most
+    (100 |x| - percent |y|) / (100 + percent) shingles that y lacks. So if x has more rare
+    shingles than that, y must have one of them too: such pairs come from an equi-join on
+    rare shingles (each in at most `rare` documents, so it stays linear), and only pairs
+    where that holds for neither side come from the bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for d, h in zip(batch.column(0), batch.column(1), strict=True):
+                values = np.frombuffer(h.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), d.as_py(), np.int64)), pa.array(values)], ["doc_id", "token"])
+
+    docs = checkpoint(here.groupBy("doc_id").agg(F.first("n_shingles").alias("n"), F.first("component").alias("component")))
+    tokens = checkpoint(sets.join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", "hashes").mapInArrow(run, "doc_id long, token long"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("often")).filter(F.col("often") <= p.rare)
+    rare = checkpoint(tokens.join(often, "token"))
+    known = rare.filter("often > 1").join(docs, "doc_id").select("token", "doc_id", "component")
+    other = known.select("token", F.col("doc_id").alias("b"), F.col("component").alias("other"))
+    by_token = known.withColumnRenamed("doc_id", "a").join(other, "token").filter("a < b and component <> other").select("a", "b")
+    counts = rare.groupBy("doc_id").agg(F.count("*").alias("k"))
+    weak = here.join(counts, "doc_id", "left").withColumn("k", F.coalesce("k", F.lit(0))).filter(100 * F.col("k") <= (100 - p.percent) * F.col("n_shingles"))
+    weak = checkpoint(weak.select("bucket", "doc_id", "n_shingles", "component", "k"))
+    mate = weak.select("bucket", F.col("doc_id").alias("b"), F.col("n_shingles").alias("m"), F.col("component").alias("other"), F.col("k").alias("l"))
+    misses = lambda k, x, y: (100 + p.percent) * k <= 100 * x - p.percent * y
+    n, m = F.col("n_shingles"), F.col("m")
+    by_bucket = weak.withColumnRenamed("doc_id", "a").join(mate, "bucket").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & misses(F.col("k"), n, m) & misses(F.col("l"), m, n)).select("a", "b")
+    return by_token.unionByName(by_bucket)
+
+
 def links_of(docs: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
     """classes: doc_id, n_shingles, bands of one document per set. Confirmed links (a, b) that connect the classes' documents as all links would."""
     spark = docs.sparkSession
@@ -164,19 +200,18 @@ def links_of(docs: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
     links, tested, label = none, none, None
     near_in_size = lambda x, y: 100 * F.least(x, y) >= p.percent * F.greatest(x, y)  # noqa: E731  which no similar sets miss
     for turn in range(p.rounds + 1):
-        if label is not None:
-            rows = rows.join(label, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
-        else:
+        if label is None:
             rows = rows.select("bucket", "doc_id", "n_shingles", F.col("doc_id").alias("component"))
+        else:
+            rows = rows.join(label, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
         open_ = rows.groupBy("bucket").agg(F.min(F.struct("doc_id", "component", "n_shingles")).alias("lead"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1")
         here = rows.join(open_.select("bucket", "lead"), "bucket")
         if turn:  # few rows are left
             here = checkpoint(here)
         if turn < p.rounds:
             found = here.filter((F.col("component") != F.col("lead.component")) & near_in_size(F.col("n_shingles"), F.col("lead.n_shingles"))).select(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b"))
-        else:  # documents that are still apart from others of their bucket
-            other = here.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("other"), F.col("n_shingles").alias("m"))
-            found = here.select("bucket", F.col("doc_id").alias("a"), "component", "n_shingles").join(other, "bucket").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & near_in_size(F.col("n_shingles"), F.col("m"))).select("a", "b")
+        else:
+            found = _apart(here.select("bucket", "doc_id", "n_shingles", "component"), sets, p)
         pairs = checkpoint(found.distinct().join(tested, ["a", "b"], "left_anti"))
         links = checkpoint(links.unionByName(_confirmed(pairs, sets, p.percent)))
         if turn < p.rounds:
