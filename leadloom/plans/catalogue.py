@@ -379,16 +379,16 @@ def _candidates(spark, sf_dir):
     return finance.union_all([finance.balance_candidates(balances, day), finance.list_candidates(charges, "charge", "stripe_charge", day), finance.list_candidates(subs, "subscription", "stripe_subscription", day)])
 
 
-@query(_KEYED_D)
+@query(f"SELECT * REPLACE (CAST(event_date AS VARCHAR) AS event_date) FROM ({_KEYED_D})")
 def finance_candidates_union(spark, sf_dir):
-    return finance.keyed(_candidates(spark, sf_dir), "acct")
+    return finance.keyed(_candidates(spark, sf_dir), "acct").withColumn("event_date", F.col("event_date").cast("string"))
 
 
-@query(f"SELECT DISTINCT dedupe_key, signal_key, source, event_date FROM ({_KEYED_D}) WHERE day(event_date) <> 5")
+@query(f"SELECT DISTINCT dedupe_key, signal_key, source, CAST(event_date AS VARCHAR) AS event_date FROM ({_KEYED_D}) WHERE day(event_date) <> 5")
 def finance_new_signals(spark, sf_dir):
     rows = finance.keyed(_candidates(spark, sf_dir), "acct").withColumn("ord", F.col("entity_id"))
     seen = rows.filter(F.dayofmonth("event_date") == 5).select("dedupe_key").distinct()
-    return finance.new_signals(rows, seen).select("dedupe_key", "signal_key", "source", "event_date")
+    return finance.new_signals(rows, seen).select("dedupe_key", "signal_key", "source", F.col("event_date").cast("string").alias("event_date"))
 
 
 @query(f"SELECT count(*) AS candidate_count, count(*) - count(DISTINCT dedupe_key) AS dedupe_count, true AS pagination_exhausted, 'ingested' AS mode FROM ({_KEYED_D})")
@@ -401,18 +401,18 @@ def finance_source_counts(spark, sf_dir):
     return _candidates(spark, sf_dir).groupBy("source").agg(F.count("*").alias("candidates"))
 
 
-@query(f"SELECT signal_key, min(event_date) AS first_date, max(event_date) AS last_date FROM ({_KEYED_D}) GROUP BY signal_key")
+@query(f"SELECT signal_key, CAST(min(event_date) AS VARCHAR) AS first_date, CAST(max(event_date) AS VARCHAR) AS last_date FROM ({_KEYED_D}) GROUP BY signal_key")
 def finance_stored_signals(spark, sf_dir):
     rows = finance.keyed(_candidates(spark, sf_dir), "acct").withColumn("updated_at", F.col("event_date")).select("signal_key", "dedupe_key", "event_date", "updated_at")
     # Days arrive in order, so what is stored first is the earliest.
     early = F.col("event_date") < "1997-01-01"
     out = finance.stored(rows.filter(early), rows.filter(~early))
-    return out.select("signal_key", F.col("event_date").alias("first_date"), F.col("updated_at").alias("last_date"))
+    return out.select("signal_key", F.col("event_date").cast("string").alias("first_date"), F.col("updated_at").cast("string").alias("last_date"))
 
 
-@query("SELECT event_id, hour(ts) < 6 AS open, ts::DATE AS day FROM events")
+@query("SELECT event_id, hour(ts) < 6 AS open, CAST(ts::DATE AS VARCHAR) AS day FROM events")
 def overnight_window_events(spark, sf_dir):
-    return _t(spark, sf_dir, "events").select("event_id", dates.overnight(F.col("ts")).alias("open"), F.to_date("ts").alias("day"))
+    return _t(spark, sf_dir, "events").select("event_id", dates.overnight(F.col("ts")).alias("open"), F.to_date("ts").cast("string").alias("day"))
 
 
 _AGE_D = f"(epoch_us(TIMESTAMP '{NOW}') - epoch_us(ts)) / 3.6e9::DOUBLE"
