@@ -28,6 +28,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -93,10 +94,15 @@ class Model:
         self.unknown = next((i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN), 0)
         self.penalty = min(self.scores.values(), default=0.0) - 10.0
         self.plain = [b"" if t == CONTROL else bytes([int(p[3:5], 16)]) if t == BYTE else " ⁇ ".encode() if t == UNKNOWN else p.replace(MARK, " ").encode() for p, _, t in self.pieces]
-        self.follows: dict[tuple[str, str], bool] = {}
+        #: By piece, whether other strings may follow it as the next piece.
+        self.after: dict[str, dict[str, bool]] = {}
+        self.learnt = 0
 
     def ids_of(self, pieces: list[str]) -> bytes:
-        out = []
+        try:
+            return array("i", [self.ids[p] for p in pieces]).tobytes()
+        except KeyError:
+            out = []
         for p in pieces:
             if p in self.ids:
                 out.append(self.ids[p])
@@ -104,7 +110,7 @@ class Model:
                 out += [self.bytes[b] for b in p.encode("utf-8", "surrogatepass")]
             elif out[-1:] != [self.unknown]:
                 out.append(self.unknown)
-        return np.array(out, "<i4").tobytes()
+        return array("i", out).tobytes()
 
     def merged(self, text: str) -> list[str]:
         """What the merges make of a short text: the best pair first, then the leftmost."""
@@ -121,19 +127,51 @@ class Model:
         return parts
 
     def may_follow(self, before: str, piece: str) -> bool:
-        known = self.follows.get((before, piece))
-        if known is None:
-            if len(self.follows) > 500_000:
-                self.follows.clear()
-            want = [before, piece] if before else [piece]
-            known = self.follows[before, piece] = self.merged(before + piece) == want
+        """Whether the pair, encoded together, gives just that pair; it is remembered."""
+        known = (len(piece) == 1 or piece in self.scores) and self.merged(before + piece) == ([before, piece] if before else [piece])
+        self.learnt += 1
+        self.after.setdefault(before, {})[piece] = known
         return known
 
     def encode_sorted(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Ids of sorted distinct words. state[i]: of the prefix of length i, the last
-        piece's start and the score (unigram) or the piece itself (BPE)."""
-        state: list = [(0, 0.0 if self.kind == UNIGRAM else "")]
-        before, pieces, longest, bpe = "", self.scores, self.longest, self.kind == BPE
+        """Ids of sorted distinct words, in their order."""
+        return self._merges_walk(words) if self.kind == BPE else self._scores_walk(words)
+
+    def _merges_walk(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """last[i]: the last piece of the prefix of length i; nexts[i]: what may follow it.
+        Only one piece fits at each place, so the shortest are tried first."""
+        if self.learnt > 400_000:
+            self.after, self.learnt = {}, 0
+        after, before = self.after, ""
+        last, nexts = [""], [after.setdefault("", {})]
+        for word in words:
+            shared, most = 0, min(len(before), len(word))
+            while shared < most and before[shared] == word[shared]:
+                shared += 1
+            del last[shared + 1 :], nexts[shared + 1 :]
+            for end in range(shared + 1, len(word) + 1):
+                start = end - 1
+                while True:
+                    piece = word[start:end]
+                    fits = nexts[start].get(piece)
+                    if fits is None:
+                        fits = self.may_follow(last[start], piece)
+                    if fits:
+                        break
+                    start -= 1
+                last.append(piece)
+                follow = after.get(piece)
+                nexts.append(after.setdefault(piece, {}) if follow is None else follow)
+            before, cut, end = word, [], len(word)
+            while end:
+                cut.append(last[end])
+                end -= len(last[end])
+            yield word, self.ids_of(cut[::-1])
+
+    def _scores_walk(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """state[i]: where the last piece of the best way to prefix i starts, and its score."""
+        state: list = [(0, 0.0)]
+        before, pieces, longest = "", self.scores, self.longest
         for word in words:
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
@@ -142,13 +180,8 @@ class Model:
             for end in range(shared + 1, len(word) + 1):
                 best = None
                 for start in range(max(0, end - longest), end):
-                    piece = word[start:end]
-                    score = pieces.get(piece)
-                    if bpe:
-                        if (score is not None or end - start == 1) and self.may_follow(state[start][1], piece):
-                            best = (start, piece)
-                            break
-                    elif score is not None or end - start == 1:
+                    score = pieces.get(word[start:end])
+                    if score is not None or end - start == 1:
                         total = state[start][1] + (self.penalty if score is None else score)
                         if best is None or total > best[1]:
                             best = (start, total)
@@ -166,7 +199,7 @@ class Model:
             marked = MARK + marked
         return _WORDS.findall(marked)
 
-    def encode(self, texts: list[str | None], known: dict[str, bytes], room: int = 250_000) -> list[bytes | None]:
+    def encode(self, texts: list[str | None], known: dict[str, bytes], room: int = 400_000) -> list[bytes | None]:
         """Ids of each text, as little-endian 32-bit numbers; `known` is a cache."""
         cut = [None if t is None else self.words(t) for t in texts]
         if len(known) > room:
