@@ -53,8 +53,8 @@ KINDS = {
     "card": re.compile(r"(?<![0-9+])(?P<v>[0-9](?:[ -]?[0-9]){12,18})(?![0-9])"),
     "name": re.compile(rf"(?<!\w)(?P<t>{_TITLE})\s+(?P<v>{_NAME}(?:[ ]{_NAME}){{0,2}})"),
 }
-_DIGITS, _SECRET_WORD = re.compile("[0-9]"), re.compile("(?i)key|secret|token|passw|pwd|AKIA|ASIA|gh[pousr]_|sk-")
-_ANY_TITLE = re.compile(rf"(?<!\w)(?:{_TITLE})\s")
+#: Texts without any of these can't hold a secret; searching for them is far cheaper than the pattern.
+_SECRET_SIGNS = ("=", ":", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-")
 
 
 @dataclass(frozen=True)
@@ -67,8 +67,8 @@ class Surrogates:
 
 def find(text: str, kinds: tuple[str, ...] = tuple(KINDS)) -> list[tuple[int, int, str, str, str]]:
     """(start, end, kind, value, gender) of entities, in order, without overlaps."""
-    digits, at = _DIGITS.search(text) is not None, "@" in text
-    can = {"secret": _SECRET_WORD.search(text) is not None, "email": at, "name": _ANY_TITLE.search(text) is not None}
+    digits = any(d in text for d in "0123456789")
+    can = {"secret": any(x in text for x in _SECRET_SIGNS), "email": "@" in text, "name": any(t in text for t in TITLES)}
     spans: list = []
     for kind in kinds:
         if can.get(kind, digits):
