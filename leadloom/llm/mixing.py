@@ -2,8 +2,9 @@
 
 Documents fall into cells (source, language, topic). The cells' token weights
 are raked in turns to the target shares of each marginal; a document's sampling
-probability is its cell's calibrated weight, scaled so that no probability
-exceeds one; the choice is a hash of doc_id, so it repeats.
+probability is its cell's calibrated weight over its tokens, scaled so that cells with
+up to a share of `whole` of all tokens are taken whole (probability one); the
+choice is a hash of doc_id, so it repeats.
 
 Native. Texts are read once, for tokens and topic. Cells are pre-aggregated (so a
 hot source is one row for each of its cells) and fitted by window sums; each
@@ -42,6 +43,9 @@ class Mix:
     targets: dict[str, dict[str, float] | None] = field(default_factory=dict)
     temper: float = 0.5
     rounds: int = 8
+    #: Cells most wanted for their size are taken whole, up to this share of all tokens. At 0 no
+    #: probability is cut at one and weights are met exactly, at the price of a small sample.
+    whole: float = 0.25
     seed: str = "mix"
     topics: dict[str, str] = field(default_factory=lambda: TOPICS)
 
@@ -81,8 +85,24 @@ def calibrated(sizes: DataFrame, mix: Mix) -> DataFrame:
         if n % 4 == 3:
             cells = checkpoint(cells)
     cells = cells.withColumn("ratio", F.when(F.col("cell_tokens") > 0, F.col("share") / F.col("cell_tokens")).otherwise(F.lit(0.0)))
-    most = cells.agg(F.max("ratio")).first()[0] or 1.0
-    return cells.select(*DIMENSIONS, "cell_tokens", "share", (F.col("ratio") / F.lit(float(most))).alias("probability"))
+    most = _scale(cells, mix.whole)
+    return cells.select(*DIMENSIONS, "cell_tokens", "share", F.least(F.lit(1.0), F.col("ratio") / F.lit(most)).alias("probability"))
+
+
+def _scale(cells: DataFrame, whole: float) -> float:
+    """The ratio that gets probability one: the largest, or the least step of a geometric
+    scale above which cells hold at most `whole` of all tokens. Steps are few, whatever the
+    number of cells, so their running sum is small."""
+    some = cells.filter("ratio > 0")
+    if whole <= 0:
+        return float(some.agg(F.max("ratio")).first()[0] or 1.0)
+    steps = some.groupBy(F.floor(F.log2("ratio") * 4).alias("step")).agg(F.sum("cell_tokens").alias("t"))
+    above = F.sum("t").over(Window.orderBy(F.desc("step"))) / F.sum("t").over(Window.partitionBy())
+    step = steps.withColumn("above", above).filter(F.col("above") <= whole).agg(F.min("step")).first()[0]
+    if step is None:  # the first step holds more
+        step = steps.agg(F.max("step")).first()[0]
+        return 1.0 if step is None else 2.0 ** ((step + 1) / 4)
+    return 2.0 ** (step / 4)
 
 
 def sample(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
