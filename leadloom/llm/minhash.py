@@ -235,4 +235,4 @@ def components_of(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
 def keep(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     """One document of each component (that with the smallest doc_id), with its columns."""
     gone = components_of(docs, p).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.alias("d").join(gone.alias("g"), F.col("d.doc_id") == F.col("g._gone"), "left_anti")

@@ -118,4 +118,4 @@ def sample(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 def keep(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The sampled documents, with their columns."""
     chosen = sample(docs, mix).filter("sampled").select(F.col("doc_id").alias("_in")).distinct()
-    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_in")), "left_semi")
+    return docs.alias("d").join(chosen.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c._in")), "left_semi")

@@ -20,7 +20,8 @@ No shuffle: a task's memory is one batch and a bounded cache of words.
 Defined results: a null text gives null ids (and null when decoded), an empty one
 no ids; unknown characters become byte pieces or, without these, the unknown id;
 the mark itself in a text counts as a space, so such texts don't decode to
-themselves; repeated rows are encoded alike; an empty table gives an empty result.
+themselves; repeated rows are encoded alike; columns named ids or decoded are replaced; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations

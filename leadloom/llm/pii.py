@@ -21,7 +21,8 @@ Where spans overlap, the kind that comes first in KINDS wins. No shuffle of text
 a task's memory is one batch.
 
 Defined results: a null text stays null, with no entities; an empty one stays empty;
-repeated rows are treated alike; other columns are kept; an empty table gives an
+repeated rows are treated alike; other columns are kept, but for one named entities, which is
+replaced; an empty table gives an
 empty result.
 """
 

@@ -179,4 +179,4 @@ def keep(docs: DataFrame, rule: Divergence = Divergence()) -> DataFrame:
     """The documents that the rules keep, with their columns. Rows that share a
     doc_id are kept only if none of them is rejected."""
     bad = judge(docs, rule).filter(~F.col("kept")).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.alias("d").join(bad.alias("b"), F.col("d.doc_id").eqNullSafe(F.col("b._bad")), "left_anti")
