@@ -45,8 +45,9 @@ class NearDup:
     permutations: int = 64
     rows: int = 4
     rounds: int = 1
-    #: A shingle is rare if at most so many of the documents in question have it.
+    #: A shingle is rare if at most `rare` of the documents in question have it, or one in `crowd`.
     rare: int = 8
+    crowd: int = 32
     seed: int = 20240229
 
 
@@ -161,31 +162,39 @@ def _apart(here: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
     may still be similar enough.
 
     Most can't, and aren't made into rows. If x and y are similar enough, x has at most
-    (100 |x| - percent |y|) / (100 + percent) shingles that y lacks. So if x has more rare
-    shingles than that, y must have one of them too: such pairs come from an equi-join on
-    rare shingles (each in at most `rare` documents, so it stays linear), and only pairs
-    where that holds for neither side come from the bucket."""
+    (100 |x| - percent |y|) / (100 + percent) shingles that y lacks. So of the rare shingles
+    of x, y must have all but so many. Pairs with common rare shingles come from an
+    equi-join on these, with their number, and must pass that test for both; of other
+    pairs in a bucket both must pass it with no rare shingle in common.
+
+    A shingle is rare if at most `rare` of the documents in question have it, or, in
+    crowded buckets, one in `crowd` of the smallest crowd that it occurs in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for d, h in zip(batch.column(0), batch.column(1), strict=True):
+            for d, c, h in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 values = np.frombuffer(h.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), d.as_py(), np.int64)), pa.array(values)], ["doc_id", "token"])
-
-    docs = checkpoint(here.groupBy("doc_id").agg(F.first("n_shingles").alias("n"), F.first("component").alias("component")))
-    tokens = checkpoint(sets.join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", "hashes").mapInArrow(run, "doc_id long, token long"))
-    often = tokens.groupBy("token").agg(F.count("*").alias("often")).filter(F.col("often") <= p.rare)
-    rare = checkpoint(tokens.join(often, "token"))
-    known = rare.filter("often > 1").join(docs, "doc_id").select("token", "doc_id", "component")
-    other = known.select("token", F.col("doc_id").alias("b"), F.col("component").alias("other"))
-    by_token = known.withColumnRenamed("doc_id", "a").join(other, "token").filter("a < b and component <> other").select("a", "b")
-    counts = rare.groupBy("doc_id").agg(F.count("*").alias("k"))
-    weak = here.join(counts, "doc_id", "left").withColumn("k", F.coalesce("k", F.lit(0))).filter(100 * F.col("k") <= (100 - p.percent) * F.col("n_shingles"))
-    weak = checkpoint(weak.select("bucket", "doc_id", "n_shingles", "component", "k"))
-    mate = weak.select("bucket", F.col("doc_id").alias("b"), F.col("n_shingles").alias("m"), F.col("component").alias("other"), F.col("k").alias("l"))
-    misses = lambda k, x, y: (100 + p.percent) * k <= 100 * x - p.percent * y
-    n, m = F.col("n_shingles"), F.col("m")
-    by_bucket = weak.withColumnRenamed("doc_id", "a").join(mate, "bucket").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & misses(F.col("k"), n, m) & misses(F.col("l"), m, n)).select("a", "b")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), d.as_py(), np.int64)), pa.array(np.full(len(values), c.as_py(), np.int64)), pa.array(values)], ["doc_id", "crowd", "token"])
+
+    sizes = here.groupBy("bucket").agg(F.count("*").alias("size"))
+    # A document is in no more buckets than there are bands.
+    docs = checkpoint(here.join(sizes, "bucket").groupBy("doc_id").agg(F.first("n_shingles").alias("n"), F.first("component").alias("component"), F.max("size").alias("crowd"), F.sort_array(F.collect_set("bucket")).alias("buckets")))
+    tokens = checkpoint(sets.join(docs.select("doc_id", "crowd"), "doc_id").select("doc_id", "crowd", "hashes").mapInArrow(run, "doc_id long, crowd long, token long"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("often"), F.min("crowd").alias("least")).filter(F.col("often") <= F.greatest(F.lit(p.rare), F.floor(F.col("least") / p.crowd))).select("token", "often")
+    rare = checkpoint(tokens.select("doc_id", "token").join(often, "token"))
+    docs = checkpoint(docs.join(rare.groupBy("doc_id").agg(F.count("*").alias("k")), "doc_id", "left").withColumn("k", F.coalesce("k", F.lit(0))))
+    lacks = lambda k, x, y: (100 + p.percent) * k <= 100 * x - p.percent * y
+    n, m, k, l = (F.col(c) for c in "nmkl")  # noqa: E741
+
+    known = rare.filter("often > 1").select("token", "doc_id").join(docs.select("doc_id", "n", "component", "k"), "doc_id")
+    other = known.select("token", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("k").alias("l"))
+    met = known.withColumnRenamed("doc_id", "a").join(other, "token").filter("a < b and component <> other").groupBy("a", "b", "n", "m", "k", "l").agg(F.count("*").alias("both"))
+    by_token = met.filter(lacks(k - F.col("both"), n, m) & lacks(l - F.col("both"), m, n)).select("a", "b")
+
+    weak = checkpoint(docs.filter(100 * k <= (100 - p.percent) * n).withColumn("bucket", F.explode("buckets")))
+    mate = weak.select("bucket", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("k").alias("l"), F.col("buckets").alias("others"))
+    first_common = F.col("bucket") == F.array_min(F.array_intersect("buckets", "others"))
+    by_bucket = weak.withColumnRenamed("doc_id", "a").join(mate, "bucket").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & lacks(k, n, m) & lacks(l, m, n) & first_common).select("a", "b")
     return by_token.unionByName(by_bucket)
 
 
