@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import api
-from ..functions import dates, hashing, text
-from ..operators import budget, dedupe, finance, queue, registry, summary, upsert
+from ..functions import dates, hashing, text, web
+from ..operators import budget, dedupe, finance, queue, registry, runs, summary, upsert
 from ..sources import landing, sweeps
 from .models import MODELS, SIGNALS
 from .views import JOBS as JOB_VIEW
@@ -525,6 +525,60 @@ def registry_merge(spark, sf_dir):
     return registry.merged(rows).select("registry_key", "merged_count", F.concat_ws(",", "source_lanes").alias("lanes"), "score")
 
 
+# --- boundaries and storage ---
+
+
+@query("SELECT page_id, url LIKE '%example%' AS allowed FROM (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'https://www.shop.example.com/x' WHEN page_id % 4 = 1 THEN '' ELSE 'https://other.test/example' END AS url FROM pages) WHERE url LIKE 'https://www%' UNION ALL SELECT page_id, page_id % 4 = 1 FROM pages WHERE page_id % 4 > 0")
+def origin_allow_list(spark, sf_dir):
+    k = F.col("page_id") % 4
+    url = F.when(k == 0, "https://www.shop.example.com/x").when(k == 1, "").otherwise("https://other.test/example")
+    return _t(spark, sf_dir, "pages").select("page_id", web.origin_allowed(url, ["shop.example.com"]).alias("allowed"))
+
+
+@query(f"SELECT id, concat_ws('|', CASE WHEN website = '' THEN 'website' END, CASE WHEN email = '' THEN 'email' END) AS missing FROM ({d_leads('hvac')}) WHERE website = '' OR email = ''")
+def required_fields_quarantine(spark, sf_dir):
+    return web.split_required(_leads(spark, sf_dir, "hvac"), "website", "email")[1].select("id", F.concat_ws("|", "missing").alias("missing"))
+
+
+@query(f"SELECT count(*) FILTER (WHERE lead_score >= 80) AS high, count(*) FILTER (WHERE lead_score >= 50 AND lead_score < 80) AS usable, count(*) FILTER (WHERE lead_score < 50) AS low, count(*) AS delivered FROM (SELECT * FROM ({d_scored('hvac', d_leads('hvac'))}) ORDER BY lead_score DESC, id LIMIT 100)")
+def delivery_stats(spark, sf_dir):
+    return runs.delivery_stats(queue.delivery(api.score(_leads(spark, sf_dir, "hvac"), "hvac"), 500))
+
+
+@query("SELECT sha1(text) AS payload_hash, max(doc_id) AS run_id FROM documents GROUP BY 1")
+def raw_upsert(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("run_id"), F.col("text").alias("payload"))
+    return runs.raw_rows(docs).select("payload_hash", "run_id")
+
+
+@query(f"SELECT run_id, g AS canonical_entity_id, lead_score FROM ({d_flagged('hvac', d_leads('hvac'), 'run_id')}) WHERE is_unique")
+def lead_upsert(spark, sf_dir):
+    unique = api.process(_leads(spark, sf_dir, "hvac"), by=("run_id",)).unique.select("run_id", "canonical_entity_id", "lead_score")
+    return runs.lead_rows(unique)
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 30) THEN 'failed' WHEN o_orderstatus = 'O' THEN 'queued' ELSE 'processed' END AS status FROM orders")
+def stuck_runs_fail(spark, sf_dir):
+    orders = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "O", "queued").otherwise("processed").alias("status"))
+    return runs.failed_without_items(orders, _t(spark, sf_dir, "lineitem").filter("l_quantity > 30").select(F.col("l_orderkey").alias("run_id")))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')")
+def cascade_children(spark, sf_dir):
+    return runs.cascade(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), _t(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("id")), "l_orderkey")
+
+
+@query(f"SELECT id, CASE WHEN e <= p AND e <= r THEN 'queued' ELSE 'capped' END AS status FROM ({_GUARD_D})")
+def run_record_status(spark, sf_dir):
+    return runs.run_records(budget.check(_scenarios(spark, sf_dir)), dates.moment(NOW)).select("id", "status")
+
+
+@query("SELECT o_orderkey AS id, o_totalprice AS est_cost, CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice + 1 END AS actual_cost, CASE WHEN o_orderkey % 3 > 0 THEN (o_totalprice + 1) - o_totalprice ELSE 0 END AS difference FROM orders")
+def spend_log(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("est_cost"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_totalprice") + 1).alias("actual_cost"))
+    return runs.spend_log(o)
+
+
 # --- landed JSON ---
 
 

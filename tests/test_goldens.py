@@ -205,3 +205,40 @@ def test_plan_shapes(spark, data):
     assert plan.count("Exchange hashpartitioning(duplicate_group_id") == 1
     plan = queries()["payload_hash_dedupe"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_boundaries(spark, tmp_path):
+    import hashlib
+    import hmac
+
+    from leadloom.functions import web
+    from leadloom.operators import runs
+
+    good = hmac.new(b"s", b"1.body", hashlib.sha256).hexdigest()
+    df = spark.createDataFrame([(f"t=1,v1={good}", "body"), (f"t=1,v1={good}", "other"), ("", "body"), (None, None)], "h string, b string")
+    assert [r[0] for r in df.select(web.signature_valid("s", F.col("h"), F.col("b"))).collect()] == [True, False, False, False]
+    with pytest.raises(ValueError, match="h: "):
+        web.assert_shape(df, __import__("pyspark.sql.types", fromlist=["x"]).StructType().add("h", "long"))
+    (tmp_path / "u.json").write_text(json.dumps({"data": {"current": {"monthlyUsageUsd": 1.5}, "limits": {"maxMonthlyUsageUsd": 9}}}))
+    assert tuple(runs.usage_limits(spark, str(tmp_path / "u.json")).first()) == (1.5, 9.0)
+
+
+def test_score_against_plain_python(spark, data):
+    """The rule compiler against a scorer that walks one record at a time."""
+    import re
+
+    from leadloom.plans.catalogue import _leads
+
+    flags = {"hiring_intent": 15, "recent_activity": 10, "review_velocity": 8, "pricing_signal": 8, "social_proof_signal": 8, "trigger_event": 12}
+    for r in api.score(_leads(spark, data, "hvac"), "hvac").collect():
+        fit = sum(p for c, p in (("business_name", 10), ("website", 20), ("phone", 10), ("email", 10), ("city", 10), ("niche", 10)) if r[c])
+        search = " ".join(r[c] or "" for c in ("business_name", "niche", "city", "website", "context_niche", "context_city")).lower()
+        fit += sum(15 for c in ("context_niche", "context_city") if r[c] and r[c].lower() in search)
+        intent = sum(p for c, p in flags.items() if r[c])
+        intent += 12 if re.search("hiring|growth|expanding|opening|campaign|new location|request a quote", f"{r['title']} {r['description']} {r['notes']} {r['keywords']}".lower()) else 0
+        quality = 8 * sum(bool(r[c]) for c in ("business_name", "website", "phone", "email", "city", "source_url", "collected_at")) + 8 * bool(r["source_confidence"]) + 8 * bool(r["extraction_confidence"])
+        fresh = r["freshness_hours"]
+        quality += 0 if fresh is None else 12 if fresh <= 24 else 6 if fresh <= 72 else 0
+        engagement = 8 * (r["reviews_count"] >= 20) + 6 * (r["rating"] >= 4.2) + 4 * (r["employee_count"] >= 5) + 12 * bool(r["previous_response"] or r["reply_count"] or r["engagement_signal"])
+        total = math.floor(min(100, fit) * 0.45 + min(100, intent) * 0.30 + min(100, quality) * 0.15 + min(100, engagement) * 0.10 + 0.5)
+        assert (r["score_fit"], r["score_intent"], r["score_quality"], r["score_engagement"], r["lead_score"]) == (fit, intent, quality, engagement, total)
