@@ -40,8 +40,8 @@ N_CLASSES = len(CLASSES) + 3  # with a-z, white space and what remains
 class Divergence:
     """Limits of the method; the defaults are those used in production."""
 
-    max_char_distance: float = 0.30
-    max_word_distance: float = 0.27
+    max_char_distance: float = 0.33
+    max_word_distance: float = 0.275
     min_chars: int = 200
     min_words: int = 100
     min_reference_docs: int = 20
