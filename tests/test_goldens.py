@@ -242,3 +242,17 @@ def test_score_against_plain_python(spark, data):
         engagement = 8 * (r["reviews_count"] >= 20) + 6 * (r["rating"] >= 4.2) + 4 * (r["employee_count"] >= 5) + 12 * bool(r["previous_response"] or r["reply_count"] or r["engagement_signal"])
         total = math.floor(min(100, fit) * 0.45 + min(100, intent) * 0.30 + min(100, quality) * 0.15 + min(100, engagement) * 0.10 + 0.5)
         assert (r["score_fit"], r["score_intent"], r["score_quality"], r["score_engagement"], r["lead_score"]) == (fit, intent, quality, engagement, total)
+
+
+def test_leads_stream(spark, tmp_path):
+    from leadloom.streaming import leads_stream
+
+    land, out, ckpt = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    (tmp_path / "in").mkdir()
+    acme = {"name": "Acme HVAC", "city": "Austin", "phone": "512-555-0100"}
+    (tmp_path / "in" / "a.json").write_text("\n".join([json.dumps(acme), json.dumps(acme | {"email": "a@b.c"}), "not json"]))
+    leads_stream.ingest(spark, land, out, ckpt).awaitTermination()
+    (tmp_path / "in" / "b.json").write_text(json.dumps(acme | {"hiring_intent": True}))
+    leads_stream.ingest(spark, land, out, ckpt).awaitTermination()
+    rows = leads_stream.latest(spark, out).collect()
+    assert len(rows) == 1 and rows[0]["batch_id"] == 1 and rows[0]["email"] == "" and "hiring_intent" in rows[0]["score_reasons"]
