@@ -3,7 +3,8 @@
 Documents that are linked (here: equal texts; in general any table of links)
 should share a shard, while all shards stay even. Every document starts in a
 shard by hash. In each round a join tells every document how many of its
-neighbours are in which shard; those who would gain ask to move, and between
+neighbours are in which shard; those who would gain ask to move (members and hubs in turns,
+or the two ends of a link would swap for ever), and between
 each two shards only as many move each way as the quotas of both allow, those
 with most to gain first. At the end the order (shard, group) is cut into equal
 runs, so the law `rows` holds exactly: counts differ by one at most.
@@ -106,10 +107,8 @@ def assign(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     # Rows get numbers of their own, so that repeated doc_ids stay apart; they are fixed by the checkpoint.
     nodes = checkpoint(described(docs).withColumn("node", F.monotonically_increasing_id()))
     total = nodes.count()
-    links = checkpoint(equal_links(nodes))
-    linked = links.select("node", "hub")
+    linked = checkpoint(equal_links(nodes))
     members = linked.select("node").unionByName(linked.select(F.col("hub").alias("node"))).distinct()
-    # A group starts where its hub's hash puts it while there is room; the rest by their own hash.
     start = members.select("node", _hash_shard(F.col("node"), plan.shards).alias("shard"))
     labels = propagate(checkpoint(start), linked, members.count() if total else 0, plan)
     singles = nodes.select("node").join(labels, "node", "left_anti").withColumn("shard", _hash_shard(F.col("node"), plan.shards))
