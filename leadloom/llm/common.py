@@ -31,6 +31,16 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_RUN))
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """`df`, with the session's Arrow batches kept to few rows, as rows are whole texts here:
+    a batch is held by the executor, the pipe and the worker, some of it twice."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if int(conf.get(key)) > rows or int(conf.get(key)) <= 0:
+        conf.set(key, rows)
+    return df
+
+
 def _shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder. Where the session names none (tests, one machine),
     a temporary one is set."""

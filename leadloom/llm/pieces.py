@@ -37,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -247,7 +249,7 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
 
     from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-    rest = docs.drop("ids")
+    rest = small_batches(docs).drop("ids")
     return rest.mapInArrow(run, StructType([*rest.schema.fields, StructField("ids", ArrayType(IntegerType(), False))]))
 
 
@@ -262,7 +264,7 @@ def decode(rows: DataFrame, model: bytes) -> DataFrame:
 
     from pyspark.sql.types import StringType, StructField, StructType
 
-    rest = rows.drop("decoded")
+    rest = small_batches(rows).drop("decoded")
     return rest.mapInArrow(run, StructType([*rest.schema.fields, StructField("decoded", StringType())]))
 
 
@@ -287,4 +289,4 @@ def digest(docs: DataFrame, model: bytes) -> DataFrame:
                 )
                 at += n
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")

@@ -39,6 +39,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from .common import small_batches
+
 #: Titles by gender (f, m or any).
 TITLES = {"Mrs.": "f", "Mrs": "f", "Ms.": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Mme": "f", "Madame": "f", "Sra.": "f", "Señora": "f", "г-жа": "f", "κυρία": "f", "Mr.": "m", "Mr": "m", "Herr": "m", "Herrn": "m", "M.": "m", "Monsieur": "m", "Sr.": "m", "Señor": "m", "г-н": "m", "κύριος": "m", "Dr.": "any", "Prof.": "any"}
 _TITLE = "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True))
@@ -297,7 +299,7 @@ def checked(docs: DataFrame, s: Surrogates, tries: int = 8) -> Surrogates:
 def protect(docs: DataFrame, s: Surrogates = Surrogates()) -> DataFrame:
     """`docs` with its texts rewritten, and entities array<struct<start, end, kind>>
     with the places of the surrogates in the new text (in code points)."""
-    now = checked(docs, s)
+    now = checked(small_batches(docs), s)
     rest = docs.drop("entities")
     names = rest.schema.names
     span = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("kind", StringType())])
