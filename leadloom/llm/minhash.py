@@ -47,7 +47,7 @@ class NearDup:
     rounds: int = 1
     #: A shingle is rare if at most `rare` of the documents in question have it, or one in `crowd`.
     rare: int = 8
-    crowd: int = 32
+    crowd: int = 16
     seed: int = 20240229
 
 
