@@ -91,6 +91,8 @@ def d_posts() -> str:
 def d_scored(model: str, records: str) -> str:
     m = MODELS[model]
     parts = ", ".join(f"CAST({m.component(c)} AS INT) AS score_{c}" for c in m.weights)
+    derived = "".join(f", {v} AS {k}" for k, v in m.derived)
+    records = f"SELECT *{derived} FROM ({records})"
     total = f"SELECT *, {m.total()} AS {m.score} FROM (SELECT *, {parts} FROM ({records}))"
     return duck(f"SELECT *, {m.band('high', 'usable', 'low')} AS score_band, {m.band('send_first', 'keep', 'hold')} AS recommended_action, {m.reasons()} AS reasons FROM ({total})")
 

@@ -32,8 +32,8 @@ def _any_of(text: str, words: list[str]) -> str:
     return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
 
 
-_LEAD_SEARCH = "lower(concat_ws(' ', coalesce(business_name, ''), coalesce(niche, ''), coalesce(city, ''), coalesce(website, ''), coalesce(context_niche, ''), coalesce(context_city, '')))"
-_LEAD_TEXT = "lower(concat_ws(' ', coalesce(title, ''), coalesce(description, ''), coalesce(notes, ''), coalesce(keywords, '')))"
+_LEAD_DERIVED = (("_search", "lower(concat_ws(' ', coalesce(business_name, ''), coalesce(niche, ''), coalesce(city, ''), coalesce(website, ''), coalesce(context_niche, ''), coalesce(context_city, '')))"), ("_text", "lower(concat_ws(' ', coalesce(title, ''), coalesce(description, ''), coalesce(notes, ''), coalesce(keywords, '')))"))
+_LEAD_SEARCH, _LEAD_TEXT = "_search", "_text"
 _LEAD_FIELDS = ["business_name", "website", "phone", "email", "city", "source_url", "collected_at"]
 
 
@@ -56,8 +56,8 @@ def _lead_rules() -> tuple[Rule, ...]:
 
 
 _WEIGHTS = {"fit": "0.45", "intent": "0.30", "quality": "0.15", "engagement": "0.10"}
-FULL = ScoreModel("full", _WEIGHTS, _lead_rules(), nurture=60)
-HVAC = ScoreModel("hvac", _WEIGHTS, _lead_rules())
+FULL = ScoreModel("full", _WEIGHTS, _lead_rules(), derived=_LEAD_DERIVED, nurture=60)
+HVAC = ScoreModel("hvac", _WEIGHTS, _lead_rules(), derived=_LEAD_DERIVED)
 
 _SIMPLE_FIELDS = ["business_name", "website", "phone", "email", "city", "niche"]
 SIMPLE = ScoreModel(
@@ -66,8 +66,8 @@ SIMPLE = ScoreModel(
     (*[Rule("fit", _filled(c), "14") for c in _SIMPLE_FIELDS], Rule("fit", "coalesce(hiring_intent, false)", "12"), Rule("fit", "coalesce(recent_activity, false)", "8")),
 )
 
-_JOB_SEARCH = "lower(concat_ws(' ', coalesce(job_title, ''), coalesce(company_name, ''), coalesce(raw_snippet, ''), coalesce(source, ''), coalesce(keyword, '')))"
-_JOB_TEXT = "lower(concat_ws(' ', coalesce(job_title, ''), coalesce(raw_snippet, ''), coalesce(company_name, '')))"
+_JOB_DERIVED = (("_search", "lower(concat_ws(' ', coalesce(job_title, ''), coalesce(company_name, ''), coalesce(raw_snippet, ''), coalesce(source, ''), coalesce(keyword, '')))"), ("_text", "lower(concat_ws(' ', coalesce(job_title, ''), coalesce(raw_snippet, ''), coalesce(company_name, '')))"))
+_JOB_SEARCH, _JOB_TEXT = "_search", "_text"
 _JOB_FIELDS = ["company_name", "job_title", "posting_url", "location", "raw_snippet", "source"]
 JOBS = ScoreModel(
     "jobs",
@@ -91,9 +91,11 @@ JOBS = ScoreModel(
         Rule("engagement", _filled("company_url"), "10", "known_company"),
         Rule("engagement", "source = 'linkedin'", "5", "linkedin_source"),
     ),
+    derived=_JOB_DERIVED,
 )
 
-_POST_TEXT = "lower(concat_ws(' ', coalesce(job_title, ''), coalesce(raw_snippet, '')))"
+_POST_DERIVED = (("_text", "lower(concat_ws(' ', coalesce(job_title, ''), coalesce(raw_snippet, '')))"),)
+_POST_TEXT = "_text"
 _POST_FIELDS = ["job_title", "raw_snippet", "company_name", "posting_url"]
 POSTS = ScoreModel(
     "posts",
@@ -121,5 +123,6 @@ POSTS = ScoreModel(
         Rule("engagement", "coalesce(comment_count, 0) >= 10", "7", "active_discussion"),
     ),
     score="signal_score",
+    derived=_POST_DERIVED,
 )
 MODELS = {m.name: m for m in (FULL, HVAC, SIMPLE, JOBS, POSTS)}

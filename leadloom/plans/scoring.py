@@ -29,6 +29,8 @@ class ScoreModel:
     weights: dict[str, str]
     rules: tuple[Rule, ...]
     score: str = "lead_score"
+    #: Columns that several rules look at, computed once: names and SQL.
+    derived: tuple[tuple[str, str], ...] = ()
     high: int = 80
     usable: int = 50
     #: Unique records from this score on are nurtured.
@@ -54,7 +56,8 @@ class ScoreModel:
 
     def apply(self, records: DataFrame) -> DataFrame:
         """Adds score_fit and so on, the score, score_band, recommended_action, score_reasons."""
-        out = records.withColumns({f"score_{c}": F.expr(f"CAST({self.component(c)} AS INT)") for c in self.weights})
+        out = records.withColumns({k: F.expr(v) for k, v in self.derived})
+        out = out.withColumns({f"score_{c}": F.expr(f"CAST({self.component(c)} AS INT)") for c in self.weights})
         out = out.withColumn(self.score, F.expr(self.total()))
         reasons = F.expr(self.reasons())
         return out.withColumns(
@@ -63,4 +66,4 @@ class ScoreModel:
                 "recommended_action": F.expr(self.band("send_first", "keep", "hold")),
                 "score_reasons": F.when(reasons == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.split(reasons, r"\|"))),
             }
-        )
+        ).drop(*[k for k, _ in self.derived])
