@@ -48,6 +48,8 @@ class NearDup:
     #: A shingle is rare if at most `rare` of the documents in question have it, or one in `crowd`.
     rare: int = 8
     crowd: int = 16
+    #: But never more than this, so that an equi-join on rare shingles stays linear.
+    most: int = 64
     seed: int = 20240229
 
 
@@ -168,7 +170,7 @@ def _apart(here: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
     pairs in a bucket both must pass it with no rare shingle in common.
 
     A shingle is rare if at most `rare` of the documents in question have it, or, in
-    crowded buckets, one in `crowd` of the largest crowd that it occurs in."""
+    crowded buckets, one in `crowd` of the largest crowd that it occurs in, `most` at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,7 +182,7 @@ def _apart(here: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
     # A document is in no more buckets than there are bands.
     docs = checkpoint(here.join(sizes, "bucket").groupBy("doc_id").agg(F.first("n_shingles").alias("n"), F.first("component").alias("component"), F.max("size").alias("crowd"), F.sort_array(F.collect_set("bucket")).alias("buckets")))
     tokens = checkpoint(sets.join(docs.select("doc_id", "crowd"), "doc_id").select("doc_id", "crowd", "hashes").mapInArrow(run, "doc_id long, crowd long, token long"))
-    often = tokens.groupBy("token").agg(F.count("*").alias("often"), F.max("crowd").alias("most")).filter(F.col("often") <= F.greatest(F.lit(p.rare), F.floor(F.col("most") / p.crowd))).select("token", "often")
+    often = tokens.groupBy("token").agg(F.count("*").alias("often"), F.max("crowd").alias("most")).filter(F.col("often") <= F.greatest(F.lit(p.rare), F.least(F.floor(F.col("most") / p.crowd), F.lit(p.most)))).select("token", "often")
     rare = checkpoint(tokens.select("doc_id", "token").join(often, "token"))
     docs = checkpoint(docs.join(rare.groupBy("doc_id").agg(F.count("*").alias("k")), "doc_id", "left").withColumn("k", F.coalesce("k", F.lit(0))))
     lacks = lambda k, x, y: (100 + p.percent) * k <= 100 * x - p.percent * y
