@@ -239,6 +239,46 @@ def test_chains():
         assert tree.best(q)[0] == max([w for j, w in values.items() if j <= q], default=float("-inf"))
 
 
+def test_chains_brute_force():
+    """Scores against all predecessors in reach, with passages at different offsets."""
+    c, rng = chaining.Chains(), random.Random(6)
+
+    def step(x, y, i, j):
+        dx, dy = x[j] - x[i], y[j] - y[i]
+        inside = 0 < dx <= c.max_gap and 0 < dy <= c.max_gap
+        return min(c.k, dx, dy) - c.gap_cost * (max(0, dx - c.k) + max(0, dy - c.k)) if inside else -1e9
+
+    for _ in range(60):
+        x, y, at = [], [], 0
+        for _ in range(rng.randrange(1, 5)):
+            shift = rng.randrange(500)
+            for _ in range(rng.randrange(1, 20)):
+                at += rng.randrange(1, 9)
+                x.append(at)
+                y.append(at + shift)
+            at += rng.randrange(60)
+        best = []
+        for i in range(len(x)):
+            best.append(max([float(c.k)] + [best[j] + step(x, y, j, i) for j in range(i)]))
+        chain = chaining.chains(x, y, c)[0]
+        assert abs(c.k + sum(step(x, y, i, j) for i, j in zip(chain, chain[1:], strict=False)) - max(best)) < 1e-9
+
+
+def test_passages_of_one_leader(spark):
+    """Passages at different offsets, and a copy with an inserted paragraph, are found whole."""
+    rng = random.Random(8)
+    fresh = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], {}
+    for i in range(10):
+        a = fresh(600)
+        rows += [(i, a), (100 + i, fresh(30) + a[50:150] + fresh(90) + a[300:380] + fresh(20)), (200 + i, a[:200] + fresh(60) + a[200:])]
+        rows.append((300 + i, a[400:500] + fresh(70) + a[200:270] + fresh(50) + a[20:110]))
+        want |= {100 + i: 180, 200 + i: 600, 300 + i: 260}
+    got = chaining.fuzzy(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    assert all(r["n_dup_words"] >= want[r["doc_id"]] for r in got if r["doc_id"] in want)
+    assert all(r["n_passages"] == (3 if r["doc_id"] >= 300 else 2) for r in got if r["doc_id"] in want)
+
+
 def test_fuzzy_passages(spark):
     rng = random.Random(1)
     vocab = [f"w{i}" for i in range(5000)]
