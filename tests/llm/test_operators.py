@@ -279,6 +279,21 @@ def test_passages_of_one_leader(spark):
     assert all(r["n_passages"] == (3 if r["doc_id"] >= 300 else 2) for r in got if r["doc_id"] in want)
 
 
+def test_passages_that_overlap(spark):
+    """Adjacent passages of two leaders that share a chance word, both found; words count once."""
+    rng = random.Random(9)
+    fresh = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for i in range(10):
+        p, q = fresh(100), fresh(100)
+        rows += [(3 * i, fresh(40) + p + q[:1]), (3 * i + 1, q + fresh(40)), (1000 + i, fresh(20) + p + q + fresh(20))]
+    got = chaining.fuzzy(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    for r in got:
+        if r["doc_id"] >= 1000:
+            covered = {w for p in r["passages"] for w in range(p["start"], p["end"])}
+            assert r["n_passages"] == 2 and covered == set(range(20, 220)) and r["n_dup_words"] == 200
+
+
 def test_fuzzy_passages(spark):
     rng = random.Random(1)
     vocab = [f"w{i}" for i in range(5000)]
