@@ -2,9 +2,9 @@
 
 Documents fall into cells (source, language, topic). The cells' token weights
 are raked in turns to the target shares of each marginal; a document's sampling
-probability is its cell's calibrated weight over its tokens, scaled so that cells with
-up to a share of `whole` of all tokens are taken whole (probability one); the
-choice is a hash of doc_id, so it repeats.
+probability is its cell's calibrated weight over its tokens, scaled so that none is above
+one (or, with `whole` above 0, so that cells with up to this share of all tokens
+are taken whole); the choice is a hash of doc_id, so it repeats.
 
 Native. Texts are read once, for tokens and topic. Cells are pre-aggregated (so a
 hot source is one row for each of its cells) and fitted by window sums; each
@@ -43,9 +43,11 @@ class Mix:
     targets: dict[str, dict[str, float] | None] = field(default_factory=dict)
     temper: float = 0.5
     rounds: int = 8
-    #: Cells most wanted for their size are taken whole, up to this share of all tokens. At 0 no
-    #: probability is cut at one and weights are met exactly, at the price of a small sample.
-    whole: float = 0.25
+    #: Cells most wanted for their size are taken whole, up to this share of all tokens; their weights
+    #: are then cut, so targets are missed. At 0 or below no probability is cut at one and weights are
+    #: met exactly, at the price of a smaller sample: at 0 the most wanted cells get probability one,
+    #: below 0 the next step of a geometric scale does (as in the SQL twin).
+    whole: float = -1.0
     seed: str = "mix"
     topics: dict[str, str] = field(default_factory=lambda: TOPICS)
 
@@ -91,10 +93,11 @@ def calibrated(sizes: DataFrame, mix: Mix) -> DataFrame:
 
 def _scale(cells: DataFrame, whole: float) -> float:
     """The ratio that gets probability one: the largest, or the least step of a geometric
-    scale above which cells hold at most `whole` of all tokens. Steps are few, whatever the
-    number of cells, so their running sum is small."""
+    scale above which cells hold at most `whole` of all tokens (the step above all cells, if
+    `whole` is negative). Steps are few, whatever the number of cells, so their running
+    sum is small."""
     some = cells.filter("ratio > 0")
-    if whole <= 0:
+    if whole == 0:
         return float(some.agg(F.max("ratio")).first()[0] or 1.0)
     steps = some.groupBy(F.floor(F.log2("ratio") * 4).alias("step")).agg(F.sum("cell_tokens").alias("t"))
     above = F.sum("t").over(Window.orderBy(F.desc("step"))) / F.sum("t").over(Window.partitionBy())

@@ -63,6 +63,16 @@ def test_raking_meets_targets(spark):
     assert abs(got["sampled"].sum() - got["probability"].sum()) < 4 * (got["probability"] * (1 - got["probability"])).sum() ** 0.5
 
 
+def test_default_mix_meets_its_targets(docs):
+    """Shares of expected tokens under the parameters of the query: tokens to the power `temper`."""
+    got = mixing.sample(docs).toPandas().fillna({"source": "", "lang": ""})
+    got["expected"] = got["probability"] * got["tokens"]
+    for d in mixing.DIMENSIONS:
+        want = got.groupby(d)["tokens"].sum() ** mixing.Mix().temper
+        share = got.groupby(d)["expected"].sum() / got["expected"].sum()
+        assert (share - want / want.sum()).abs().max() < 1e-3, d
+
+
 def test_language_held_out(docs):
     model = langid.fit(docs)
     rows = langid.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
