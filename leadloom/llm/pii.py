@@ -9,13 +9,14 @@ keyed surrogates of the same type and format:
   equal values the same one everywhere, without a table; layout, country codes, the
   case and script of letters, and the validity of check digits stay;
 * names become made-up names of the same script, number of parts and gender (as
-  the title tells), from a keyed hash. Hashes may collide, so a first pass
-  checks all distinct names of the corpus (only their keyed hashes are
-  shuffled, pre-aggregated): if two names would get the same surrogate, or a
-  surrogate is a name of the corpus, the key of the names is changed, and checked again.
+  the title tells; the ending of the first of several parts), part by part. A part's
+  letters, as a number, go through a keyed permutation too and are written in syllables, so
+  different parts never share a surrogate. Names of the corpus that look made up
+  themselves are found in a first pass (one number is collected): all surrogates get
+  more syllables than these, so none is a name of the corpus.
 
 Equal after normalising means same person or account: case in e-mail addresses, layout of
-numbers, leading zeros in IPv4 addresses, spaces in names.
+numbers, leading zeros in IPv4 addresses, spaces and case in names.
 
 Where spans overlap, the kind that comes first in KINDS wins. No shuffle of texts;
 a task's memory is one batch.
@@ -32,7 +33,7 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -63,8 +64,8 @@ _SECRET_SIGNS = ("=", ":", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_
 @dataclass(frozen=True)
 class Surrogates:
     key: str = "change-me"
-    #: Changes with each collision of names.
-    name_round: int = 0
+    #: The fewest syllables of a made-up name; `checked` raises it above those of the corpus.
+    syllables: int = 4
     kinds: tuple[str, ...] = tuple(KINDS)
 
 
@@ -186,17 +187,45 @@ def _script(name: str) -> str:
     return ""
 
 
-def _made_up(part: str, gender: str, number: int) -> str:
+#: Letters of names by script, in two tiers: the usual ones and further ones. Names with others are numbered
+#: by their UTF-8 bytes.
+_LETTERS = {
+    "LATIN": ("abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz-'’àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœßąćęłńśźżăâîșțčďěňřšťůžğışőű"),
+    "CYRILLIC": ("абвгдежзийклмнопрстуфхцчшщъыьэюяё", ""),
+    "GREEK": ("αβγδεζηθικλμνξοπρστυφχψωςάέήίόύώ", ""),
+}
+_LOOKS_MADE_UP = re.compile("|".join(f"(?:{'|'.join(a)})+(?:{'|'.join(sorted({x for e in b.values() for x in e}))})" for a, b in SYLLABLES.values()))
+
+
+def _number(part: str, script: str) -> int:
+    """A number of its own for each lower-case string, small for short ones of usual letters."""
+    for tier, letters in enumerate(_LETTERS[script]):
+        if all(c in letters for c in part):
+            n = 0
+            for c in part:
+                n = n * len(letters) + letters.index(c) + 1
+            return 3 * n + tier
+    return 3 * int.from_bytes(b"\1" + part.encode("utf-8", "surrogatepass"), "big") + 2
+
+
+def _made_up(part: str, gender: str, key: bytes, fewest: int) -> str:
+    """The number of syllables follows from the part's number, which is permuted among those
+    with as many. Syllables and endings can be told apart, so no two parts meet."""
+    low = part.lower()
     script = _script(part)
-    if script not in SYLLABLES:
-        script = "LATIN"
+    # Surrogates of other scripts are Latin too, so they are numbered by their bytes among the Latin ones.
+    script = script if script in SYLLABLES else "LATIN"
     syllables, endings = SYLLABLES[script]
-    out = []
-    for _ in range(4):
+    number, many = _number(low, script), fewest
+    while len(syllables) ** many <= number:
+        many += 1
+    number = permuted(number, len(syllables) ** many, key, f"name|{script}|{many}")
+    ends = endings[gender]
+    end, out = ends[number % len(ends)], []
+    for _ in range(many):
         number, i = divmod(number, len(syllables))
         out.append(syllables[i])
-    ends = endings[gender]
-    word = "".join(out) + ends[number % len(ends)]
+    word = "".join(out) + end
     return word.upper() if part.isupper() and len(part) > 1 else word[0].upper() + word[1:]
 
 
@@ -210,7 +239,7 @@ def normal(kind: str, value: str) -> str:
         return re.sub("[^0-9]", "", value)
     if kind == "iban":
         return value.replace(" ", "")
-    return " ".join(value.split()) if kind == "name" else value
+    return " ".join(value.lower().split()) if kind == "name" else value
 
 
 def surrogate(kind: str, value: str, gender: str, s: Surrogates) -> str:
@@ -249,13 +278,8 @@ def surrogate(kind: str, value: str, gender: str, s: Surrogates) -> str:
         if re.fullmatch("[0-9a-f]+", value):
             return permuted_text(value, key, "hex", ["0123456789abcdef"])
         return permuted_text(value, key, "secret")
-    parts = normal(kind, value).split(" ")
-    h = int.from_bytes(hashlib.blake2b(f"{s.name_round}|{' '.join(parts)}".encode(), key=key, digest_size=32).digest(), "big")
-    out = []
-    for p in parts:
-        h, n = divmod(h, 1 << 64)
-        out.append(_made_up(p, gender if not out else "any", n))
-    return " ".join(out)
+    parts = value.split()
+    return " ".join(_made_up(p, "any" if n or len(parts) == 1 else gender, key, s.syllables) for n, p in enumerate(parts))
 
 
 def replaced(text: str, s: Surrogates, known: dict) -> tuple[str, list[dict]]:
@@ -274,26 +298,19 @@ def replaced(text: str, s: Surrogates, known: dict) -> tuple[str, list[dict]]:
     return "".join(out) + text[at:], spans
 
 
-def checked(docs: DataFrame, s: Surrogates, tries: int = 8) -> Surrogates:
-    """`s`, with the first name_round under which no two names of all documents get
-    one surrogate and no surrogate is a name of the corpus."""
-    for n in range(s.name_round, s.name_round + tries):
-        now = Surrogates(s.key, n, s.kinds)
-
-        def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            key = hashlib.blake2b(now.key.encode(), digest_size=32).digest()
-            of = lambda x: hashlib.blake2b(x.encode(), key=key, digest_size=16).hexdigest()
-            for batch in batches:
-                names = {(normal("name", v), g) for t in batch.column(0) if t.is_valid for _, _, k, v, g in find(t.as_py(), now.kinds) if k == "name"}
-                rows = [(of(v), of(surrogate("name", v, g, now))) for v, g in names]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["name", "becomes"])
-
-        found = docs.select("text").mapInArrow(run, "name string, becomes string")
-        sides = found.select(F.col("becomes").alias("x"), F.col("name").alias("of"), F.lit(False).alias("real")).unionByName(found.select(F.col("name").alias("x"), F.col("name").alias("of"), F.lit(True).alias("real")))
-        clash = sides.distinct().groupBy("x").agg(F.sum(F.when(F.col("real"), 0).otherwise(1)).alias("makers"), F.max("real").alias("real")).filter("makers > 1 or (makers > 0 and real)")
-        if "name" not in s.kinds or not clash.limit(1).count():
-            return now
-    raise ValueError(f"surrogates of names collide under {tries} keys: lengthen the made-up names")
+def checked(docs: DataFrame, s: Surrogates) -> Surrogates:
+    """`s` with so many syllables that no surrogate of a name is part of a name of the corpus."""
+    if "name" not in s.kinds:
+        return s
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = {p for t in batch.column(0) if t.is_valid for _, _, k, v, _ in find(t.as_py(), s.kinds) if k == "name" for p in v.lower().split()}
+            most = max((len(p) // 2 for p in parts if _LOOKS_MADE_UP.fullmatch(p)), default=0)
+            yield pa.RecordBatch.from_arrays([pa.array([most], pa.int32())], ["syllables"])
+
+    most = docs.select("text").mapInArrow(run, "syllables int").agg(F.max("syllables")).first()[0] or 0
+    return replace(s, syllables=max(s.syllables, most + 1))
 
 
 def protect(docs: DataFrame, s: Surrogates = Surrogates()) -> DataFrame:

@@ -176,6 +176,17 @@ def test_distinct_people_stay_distinct(spark):
     assert len({f[0] for f in found}) == len({f[1] for f in found}) == 1500
 
 
+def test_many_names_have_their_own_surrogates(spark):
+    """More one-word names than keys can be found for by trying, in texts that also hold made-up names."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"{letters[i % 26].upper()}{letters[i // 26 % 26]}{letters[i // 676 % 26]}n" for i in range(9000)]
+    names += ["Bokamelona", "Bokamelonadefilan", "Müller", "Anne-Marie", "李明", "Иван", "Ἀθηνᾶ", "Νίκος"]
+    rows = [(i, f"Mr. {n}, hello") for i, n in enumerate(names)]
+    out = pii.protect(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    new = [r["text"][e["start"] : e["end"]] for r in out for e in r["entities"]]
+    assert len(new) == len(set(new)) == len(names) and not set(new) & set(names)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, 105), (105, 101), (7, 7)]
     got = {r["node"]: r["component"] for r in linking.components(spark.createDataFrame(links, "a long, b long")).collect()}
