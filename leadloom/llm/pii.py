@@ -18,6 +18,11 @@ keyed surrogates of the same type and format:
 Equal after normalising means same person or account: case in e-mail addresses, layout of
 numbers, leading zeros in IPv4 addresses, spaces and case in names.
 
+A name is found after a title, as all capitalised words that follow it in the line. Further mentions
+in the same text, of the whole name or its last word, get the same parts. Not
+found are names without a title anywhere in their text, given names or initials alone, words after
+a lower-case particle ("van", "de"), and names in other texts that give no title.
+
 Where spans overlap, the kind that comes first in KINDS wins. No shuffle of texts;
 a task's memory is one batch.
 
@@ -34,6 +39,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,7 +51,9 @@ from .common import small_batches
 #: Titles by gender (f, m or any).
 TITLES = {"Mrs.": "f", "Mrs": "f", "Ms.": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Mme": "f", "Madame": "f", "Sra.": "f", "Señora": "f", "г-жа": "f", "κυρία": "f", "Mr.": "m", "Mr": "m", "Herr": "m", "Herrn": "m", "M.": "m", "Monsieur": "m", "Sr.": "m", "Señor": "m", "г-н": "m", "κύριος": "m", "Dr.": "any", "Prof.": "any"}
 _TITLE = "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True))
-_NAME = r"[^\W\d_a-z]\w+(?:[-'’]\w+)*"
+#: A word of a name; a possessive s isn't part of it.
+_NAME = r"[^\W\d_a-z](?:\w+(?:[-'’](?!s\b)\w+)*|(?:[-'’](?!s\b)\w+)+)"
+_WORD = re.compile(rf"(?<!\w){_NAME}")
 #: In order of precedence. Digits are ASCII only.
 KINDS = {
     "secret": re.compile(r"""(?i:\b(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd))\s*[=:]\s*["']?(?P<v>[A-Za-z0-9+/_.~-]{8,})|\b(?P<w>(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,})\b"""),
@@ -55,7 +63,7 @@ KINDS = {
     "ssn": re.compile(r"(?<![0-9-])(?P<v>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])"),
     "phone": re.compile(r"(?<![0-9+])(?P<v>\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])"),
     "card": re.compile(r"(?<![0-9+])(?P<v>[0-9](?:[ -]?[0-9]){12,18})(?![0-9])"),
-    "name": re.compile(rf"(?<!\w)(?P<t>{_TITLE})\s+(?P<v>{_NAME}(?:[ ]{_NAME}){{0,2}})"),
+    "name": re.compile(rf"(?<!\w)(?P<t>{_TITLE})\s+(?P<v>{_NAME}(?:[ ]{_NAME})*)"),
 }
 #: Texts without any of these can't hold a secret; searching for them is far cheaper than the pattern.
 _SECRET_SIGNS = ("=", ":", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-")
@@ -85,12 +93,41 @@ def find(text: str, kinds: tuple[str, ...] = tuple(KINDS)) -> list[tuple[int, in
                         value = shorter[1]
                     if not 7 <= sum(map(str.isdigit, value)) <= 15:
                         continue
+                if kind == "name":  # ends before a word that begins in lower case
+                    value = " ".join([value.split(" ")[0], *takewhile(lambda w: not w[0].islower(), value.split(" ")[1:])])
                 spans.append((m.start(group), m.start(group) + len(value), kind, value, TITLES[m["t"]] if kind == "name" else ""))
             for start, end, *_ in spans[found:]:  # hidden from the kinds that follow
                 text = text[:start] + "\0" * (end - start) + text[end:]
+            if kind == "name" and len(spans) > found:
+                spans[found:] = _mentions(text, spans[found:])
     return sorted(spans)
 
 
+def _mentions(text: str, titled: list[tuple]) -> list[tuple]:
+    """Names with titles, and further mentions of them in the text: of whole names and of their last
+    words. A name takes the gender that one of its titles tells, if they don't differ."""
+    told: dict[tuple, set[str]] = {}
+    for _, _, _, value, gender in titled:
+        told.setdefault(tuple(value.lower().split()), set()).add(gender)
+    genders = {name: (g - {"any"}).pop() if len(g - {"any"}) == 1 else "any" for name, g in told.items()}
+    out = [(start, end, kind, value, genders[tuple(value.lower().split())] if gender == "any" else gender) for start, end, kind, value, gender in titled]
+    known = {**{name[-1:]: "any" for name in genders}, **genders}
+    lengths = sorted({len(name) for name in known}, reverse=True)
+    words = [(m.start(), m.end()) for m in _WORD.finditer(text)]  # titled names are hidden
+    low = [text[start:end].lower() for start, end in words]
+    at = 0
+    while at < len(words):
+        for n in lengths:
+            name = tuple(low[at : at + n])
+            if name in known and all(text[words[i][1] : words[i + 1][0]].isspace() for i in range(at, at + len(name) - 1)):
+                start, end = words[at][0], words[at + len(name) - 1][1]
+                out.append((start, end, "name", text[start:end], known[name]))
+                at += len(name) - 1
+                break
+        at += 1
+    return out
+
+
 # --- permutations of formats ---
 
 #: Alphabets whose letters replace each other.

@@ -187,6 +187,18 @@ def test_many_names_have_their_own_surrogates(spark):
     assert len(new) == len(set(new)) == len(names) and not set(new) & set(names)
 
 
+def test_mentions_of_a_name_agree():
+    s = pii.Surrogates(key="k")
+    text = "Mr. John Smith met Dr. Smith. John Smith's house; SMITH left. Mr. Smith\nand Mrs. Anna Maria Luisa Weber Klein, then Klein, Smithson and Ms. O'Hara. Dr. John Smith. г-н Иван Петров сказал"
+    new, spans = pii.replaced(text, s, {})
+    values = [new[x["start"] : x["end"]] for x in spans]
+    john, smith = values[0].split()
+    assert values[1:5] == [smith, f"{john} {smith}", smith.upper(), smith] and values[8] == f"{john} {smith}"
+    assert f"{john} {smith}'s house" in new and "Smithson" in new and new.endswith(" сказал")
+    assert not any(x in new.replace("Smithson", "") for x in ("John", "Smith", "SMITH", "Klein", "Weber", "Hara", "Иван", "Петров"))
+    assert len(values[5].split()) == 5 and values[6] == values[5].split()[-1]
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, 105), (105, 101), (7, 7)]
     got = {r["node"]: r["component"] for r in linking.components(spark.createDataFrame(links, "a long, b long")).collect()}
