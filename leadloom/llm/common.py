@@ -33,7 +33,8 @@ def words_of(text: Column) -> Column:
 
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     """`df`, with the session's Arrow batches kept to few rows, as rows are whole texts here:
-    a batch is held by the executor, the pipe and the worker, some of it twice."""
+    a batch is held by the executor, the pipe and the worker, some of it twice. The setting stays
+    lowered in the session, as plans read it when they run."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     conf = df.sparkSession.conf
     if int(conf.get(key)) > rows or int(conf.get(key)) <= 0:
@@ -42,16 +43,20 @@ def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder. Where the session names none (tests, one machine),
-    a temporary one is set."""
+    """The session's checkpoint folder. Where the session names none, a temporary one is set on
+    one machine (tests); on a cluster that would lose data, so it is refused."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leadloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="leadloom-"))
     return sc.getCheckpointDir()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint, for tables of a few numbers a row."""
+    """Cuts the lineage with a reliable checkpoint, for tables of a few numbers a row. Spark removes its
+    files with spark.cleaner.referenceTracking.cleanCheckpoints once the table isn't used any more."""
     _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -63,6 +68,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes the files of a table that `written` gave."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def uniform(key: Column, seed: str) -> Column:
     """A number in [0, 1) that depends on the key and the seed alone: the first
     52 bits of an MD5, which other engines can compute as well."""

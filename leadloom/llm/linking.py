@@ -14,8 +14,9 @@ def components(links: DataFrame) -> DataFrame:
     links: (a, b), any order, repeats allowed. Every round each node takes the
     smallest label among its neighbours, then the label of that label, so
     chains shorten to half; it ends when no label changes. Each round is two
-    equi-joins with pre-aggregation; nothing is gathered on the driver."""
-    both = checkpoint(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    equi-joins with pre-aggregation; nothing is gathered on the driver. Links of a null are
+    left out, as are those of a node to itself; no links give no rows."""
+    both = checkpoint(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())  # nulls fail, too
     labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")))
     while True:
         heard = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))

@@ -8,17 +8,19 @@ candidates. With 64 functions (128 values) in 32 bands of 4, a pair at exactly
 0.8 is missed with probability (1 - 0.8^4)^32 < 5e-8.
 
 Candidates are confirmed on the full sets of shingles (as sorted 64-bit hashes).
-No bucket is expanded into all its pairs: equal sets are one class from the start;
-then in each round every bucket compares its smallest document with those that
-aren't yet in the same component, and drops it. A bucket ends as soon as its
-documents are connected. Of what is still apart after `rounds` rounds, all pairs are
-compared but those that sizes and rare shingles rule out, so no link between
-components is lost.
+Equal sets are one class from the start, with a number of its own; links, buckets and
+components are over classes, so any number of exact copies costs one node, and copies get
+their class's component at the end. No bucket is expanded into all its pairs: in each
+round every bucket compares its smallest class with those that aren't yet in the same
+component, and drops it. A bucket ends as soon as its classes are connected. Of what
+is still apart after `rounds` rounds, all pairs are compared but those that sizes and
+rare shingles rule out, so no link between components is lost.
 
 Defined results: no words: set empty, linked with nothing; fewer words than a
-shingle: the whole sequence is the one shingle; rows with the same doc_id
-are one node; a null doc_id is a node of its own without links; other columns are
-ignored; an empty table gives an empty result.
+shingle: the whole sequence is the one shingle; rows with the same doc_id are one
+document, so it links the classes of all its texts; a null doc_id is a document of its own
+without links; other columns are ignored; an empty table gives an empty result. keep()
+leaves one row of rows with equal doc_id and text.
 """
 
 from __future__ import annotations
@@ -50,6 +52,8 @@ class NearDup:
     crowd: int = 16
     #: But never more than this, so that an equi-join on rare shingles stays linear.
     most: int = 64
+    #: Classes of a crowded bucket that one task compares with the others of the bucket.
+    salted: int = 500
     seed: int = 20240229
 
 
@@ -63,12 +67,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Words(dict):
-    """Hashes of words; forgets them all when it holds many."""
+    """Hashes of words; forgets them all when it holds many, and keeps no long ones."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) > 200_000:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -112,8 +118,17 @@ def bands(sig: np.ndarray, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _set_key(hashes: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and a hash of the text that tells the rows of one doc_id apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+
+
 def described(docs: DataFrame, p: NearDup) -> DataFrame:
-    """doc_id, n_shingles, set_key (equal for equal sets, null for empty ones), bands."""
+    """doc_id, text_hash, n_shingles, set_key (equal for equal sets, null for empty ones), bands."""
     a, b = _constants(p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,20 +138,24 @@ def described(docs: DataFrame, p: NearDup) -> DataFrame:
             for text in batch.column(1):
                 s = shingles(text.as_py(), p.width, known)
                 sizes.append(len(s))
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                keys.append(_set_key(s))
                 found.append(bands(signature(s, a, b), p.rows) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n_shingles", "set_key", "bands"])
+
+    return _texts(small_batches(docs)).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>")
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
+def _sets(docs: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
+    """node, hashes: the full sets of `classes` (node, set_key, doc_id, text_hash of one of its rows)."""
 
-def _sets(docs: DataFrame, ids: DataFrame, p: NearDup) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), p.width, known).tobytes() for t in batch.column(1)], pa.binary())], ["doc_id", "hashes"])
+            found = [shingles(t.as_py(), p.width, known) for t in batch.column(1)]
+            right = pa.array([_set_key(s) == k.as_py() for s, k in zip(found, batch.column(2), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(right), pa.array([s.tobytes() for s in found], pa.binary()).filter(right)], ["node", "hashes"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, hashes binary").dropDuplicates(["doc_id"])
+    return _texts(docs).join(classes.select("node", "set_key", "doc_id", "text_hash"), ["doc_id", "text_hash"]).select("node", "text", "set_key").mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -155,79 +174,88 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    of = lambda k: sets.select(F.col("doc_id").alias(k), F.col("hashes").alias(f"hashes_{k}"))
+    of = lambda k: sets.select(F.col("node").alias(k), F.col("hashes").alias(f"hashes_{k}"))
     return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "hashes_a", "hashes_b").mapInArrow(run, "a long, b long")
 
 
 def _apart(here: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
-    """Pairs (a < b) of documents in a common bucket but in different components that
+    """Pairs (a < b) of classes in a common bucket but in different components that
     may still be similar enough.
 
     Most can't, and aren't made into rows. If x and y are similar enough, x has at most
     (100 |x| - percent |y|) / (100 + percent) shingles that y lacks. So of the rare shingles
     of x, y must have all but so many. Pairs with common rare shingles come from an
-    equi-join on these, with their number, and must pass that test for both; of other
-    pairs in a bucket both must pass it with no rare shingle in common.
+    equi-join on these, with their number, and must pass that test for both.
+
+    Other pairs in a bucket must pass it with no rare shingle in common. Added up, the two
+    tests say (100 + percent) (k + l) <= (100 - percent) (|x| + |y|) for their numbers of rare shingles, so
+    one of the two has few by this measure. Only such core classes are compared with the
+    others of the bucket, so a crowd of copies that all have many edits of their own makes no rows;
+    cores of a crowded bucket are split over tasks.
 
-    A shingle is rare if at most `rare` of the documents in question have it, or, in
+    A shingle is rare if at most `rare` of the classes in question have it, or, in
     crowded buckets, one in `crowd` of the largest crowd that it occurs in, `most` at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for d, c, h in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 values = np.frombuffer(h.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), d.as_py(), np.int64)), pa.array(np.full(len(values), c.as_py(), np.int64)), pa.array(values)], ["doc_id", "crowd", "token"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), d.as_py(), np.int64)), pa.array(np.full(len(values), c.as_py(), np.int64)), pa.array(values)], ["node", "crowd", "token"])
 
     sizes = here.groupBy("bucket").agg(F.count("*").alias("size"))
-    # A document is in no more buckets than there are bands.
-    docs = checkpoint(here.join(sizes, "bucket").groupBy("doc_id").agg(F.first("n_shingles").alias("n"), F.first("component").alias("component"), F.max("size").alias("crowd"), F.sort_array(F.collect_set("bucket")).alias("buckets")))
-    tokens = checkpoint(sets.join(docs.select("doc_id", "crowd"), "doc_id").select("doc_id", "crowd", "hashes").mapInArrow(run, "doc_id long, crowd long, token long"))
+    # A class is in no more buckets than there are bands.
+    nodes = checkpoint(here.join(sizes, "bucket").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("component").alias("component"), F.max("size").alias("crowd"), F.sort_array(F.collect_set("bucket")).alias("buckets")))
+    tokens = checkpoint(sets.join(nodes.select("node", "crowd"), "node").select("node", "crowd", "hashes").mapInArrow(run, "node long, crowd long, token long"))
     often = tokens.groupBy("token").agg(F.count("*").alias("often"), F.max("crowd").alias("most")).filter(F.col("often") <= F.greatest(F.lit(p.rare), F.least(F.floor(F.col("most") / p.crowd), F.lit(p.most)))).select("token", "often")
-    rare = checkpoint(tokens.select("doc_id", "token").join(often, "token"))
-    docs = checkpoint(docs.join(rare.groupBy("doc_id").agg(F.count("*").alias("k")), "doc_id", "left").withColumn("k", F.coalesce("k", F.lit(0))))
+    rare = checkpoint(tokens.select("node", "token").join(often, "token"))
+    nodes = checkpoint(nodes.join(rare.groupBy("node").agg(F.count("*").alias("k")), "node", "left").withColumn("k", F.coalesce("k", F.lit(0))))
     lacks = lambda k, x, y: (100 + p.percent) * k <= 100 * x - p.percent * y
     n, m, k, l = (F.col(c) for c in "nmkl")  # noqa: E741
 
-    known = rare.filter("often > 1").select("token", "doc_id").join(docs.select("doc_id", "n", "component", "k"), "doc_id")
-    other = known.select("token", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("k").alias("l"))
-    met = known.withColumnRenamed("doc_id", "a").join(other, "token").filter("a < b and component <> other").groupBy("a", "b", "n", "m", "k", "l").agg(F.count("*").alias("both"))
+    known = rare.filter("often > 1").select("token", "node").join(nodes.select("node", "n", "component", "k"), "node")
+    other = known.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("k").alias("l"))
+    met = known.withColumnRenamed("node", "a").join(other, "token").filter("a < b and component <> other").groupBy("a", "b", "n", "m", "k", "l").agg(F.count("*").alias("both"))
     by_token = met.filter(lacks(k - F.col("both"), n, m) & lacks(l - F.col("both"), m, n)).select("a", "b")
 
-    weak = checkpoint(docs.filter(100 * k <= (100 - p.percent) * n).withColumn("bucket", F.explode("buckets")))
-    mate = weak.select("bucket", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("k").alias("l"), F.col("buckets").alias("others"))
+    core = (100 + p.percent) * k <= (100 - p.percent) * n
+    weak = checkpoint(nodes.filter(100 * k <= (100 - p.percent) * n).withColumn("core", core).withColumn("bucket", F.explode("buckets")))
+    parts = weak.filter("core").groupBy("bucket").agg((F.floor(F.count("*") / p.salted) + 1).alias("parts"))
+    cores = weak.filter("core").join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).drop("parts", "core").withColumnRenamed("node", "a")
+    mate = weak.join(parts, "bucket").select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("k").alias("l"), F.col("buckets").alias("others"), F.col("core").alias("also"))
     first_common = F.col("bucket") == F.array_min(F.array_intersect("buckets", "others"))
-    by_bucket = weak.withColumnRenamed("doc_id", "a").join(mate, "bucket").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & lacks(k, n, m) & lacks(l, m, n) & first_common).select("a", "b")
+    once = ~F.col("also") | (F.col("a") < F.col("b"))  # two cores meet in both orders
+    by_bucket = cores.join(mate, ["bucket", "part"]).filter(once & (F.col("component") != F.col("other")) & lacks(k, n, m) & lacks(l, m, n) & first_common).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return by_token.unionByName(by_bucket)
 
 
 def links_of(docs: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
-    """classes: doc_id, n_shingles, bands of one document per set. Confirmed links (a, b) that connect the classes' documents as all links would."""
+    """classes: node, set_key, doc_id, text_hash, n_shingles, bands. Confirmed links (a, b) that connect the classes as all links would."""
     spark = docs.sparkSession
-    all_rows = classes.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
+    all_rows = classes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     shared = all_rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     rows = checkpoint(all_rows.join(shared, "bucket"))
-    sets = checkpoint(_sets(docs, rows.select("doc_id").distinct(), p))
+    sets = checkpoint(_sets(docs, classes.join(rows.select("node").distinct(), "node", "left_semi"), p))
     none = spark.createDataFrame([], "a long, b long")
     links, tested, label = none, none, None
     near_in_size = lambda x, y: 100 * F.least(x, y) >= p.percent * F.greatest(x, y)  # noqa: E731  which no similar sets miss
     for turn in range(p.rounds + 1):
         if label is None:
-            rows = rows.select("bucket", "doc_id", "n_shingles", F.col("doc_id").alias("component"))
+            rows = rows.select("bucket", "node", "n_shingles", F.col("node").alias("component"))
         else:
-            rows = rows.join(label, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
-        open_ = rows.groupBy("bucket").agg(F.min(F.struct("doc_id", "component", "n_shingles")).alias("lead"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1")
+            rows = rows.join(label, "node", "left").select("bucket", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
+        open_ = rows.groupBy("bucket").agg(F.min(F.struct("node", "component", "n_shingles")).alias("lead"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1")
         here = rows.join(open_.select("bucket", "lead"), "bucket")
         if turn:  # few rows are left
             here = checkpoint(here)
         if turn < p.rounds:
-            found = here.filter((F.col("component") != F.col("lead.component")) & near_in_size(F.col("n_shingles"), F.col("lead.n_shingles"))).select(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b"))
+            found = here.filter((F.col("component") != F.col("lead.component")) & near_in_size(F.col("n_shingles"), F.col("lead.n_shingles"))).select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
         else:
-            found = _apart(here.select("bucket", "doc_id", "n_shingles", "component"), sets, p)
+            found = _apart(here.select("bucket", "node", "n_shingles", "component"), sets, p)
         pairs = checkpoint(found.distinct().join(tested, ["a", "b"], "left_anti"))
         links = checkpoint(links.unionByName(_confirmed(pairs, sets, p.percent)))
         if turn < p.rounds:
             tested, label = tested.unionByName(pairs), components(links)
-            rows = here.filter(F.col("doc_id") != F.col("lead.doc_id")).select("bucket", "doc_id", "n_shingles")
+            rows = here.filter(F.col("node") != F.col("lead.node")).select("bucket", "node", "n_shingles")
     return links
 
 
@@ -235,15 +263,35 @@ def components_of(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row per row of `docs`."""
     found = checkpoint(described(docs, p))
     with_set = found.filter(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull())
-    classes = checkpoint(with_set.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
-    near = links_of(docs, classes.select("doc_id", "n_shingles", "bands"), p)
-    same = with_set.join(classes.select("set_key", F.col("doc_id").alias("b")), "set_key").select(F.col("doc_id").alias("a"), "b").filter("a <> b")
+    grouped = with_set.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    # Numbers are fixed by the checkpoint.
+    classes = checkpoint(grouped.select(F.monotonically_increasing_id().alias("node"), "set_key", "one.doc_id", "one.text_hash", "n_shingles", "bands"))
+    near = links_of(docs, classes, p)
+    # Documents of several rows link the classes of their texts.
+    several = with_set.groupBy("doc_id").agg(F.min("set_key").alias("first"), F.max("set_key").alias("last")).filter("first <> last")
+    of = classes.select("set_key", "node")
+    same = with_set.select("doc_id", "set_key").join(several, "doc_id").select("set_key", "first").distinct().join(of.withColumnRenamed("node", "a"), "set_key").join(of.select(F.col("set_key").alias("first"), F.col("node").alias("b")), "first").select("a", "b")
     label = components(near.unionByName(same))
-    out = found.select("doc_id", "n_shingles").join(label, F.col("doc_id") == F.col("node"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    # A component is called after its smallest doc_id, over its classes.
+    members = label.join(classes.select("node", "set_key", "doc_id"), "node")
+    names = members.groupBy("component").agg(F.min("doc_id").alias("name"))
+    linked = members.join(names, "component").select("set_key", "name")
+    # Rows of each class; documents without links get their class's name, as other copies do.
+    named = classes.select("set_key", "doc_id").join(linked, "set_key", "left").select("set_key", F.coalesce("name", "doc_id").alias("name"))
+    out = found.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    id_ = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("name", "doc_id"))
+    return out.select("doc_id", "n_shingles", id_.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
-    """One document of each component (that with the smallest doc_id), with its columns."""
-    gone = components_of(docs, p).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.alias("d").join(gone.alias("g"), F.col("d.doc_id") == F.col("g._gone"), "left_anti")
+    """One document of each component (that with the smallest doc_id), with its columns; of
+    rows with equal doc_id and text, one."""
+    found = checkpoint(components_of(docs, p))
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.alias("d").join(gone.alias("g"), F.col("d.doc_id") == F.col("g._gone"), "left_anti")
+    twice = found.filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_twice")).agg(F.count("*").alias("n")).filter("n > 1").select("_twice")
+    if not twice.limit(1).count():
+        return left
+    again = F.col("d.doc_id") == F.col("t._twice")
+    once = left.alias("d").join(twice.alias("t"), again, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.alias("d").join(twice.alias("t"), again, "left_anti").unionByName(once)

@@ -244,6 +244,59 @@ def test_near_copies_brute_force(spark, rounds):
     assert all(r["n_shingles"] == len(sets[r["doc_id"]]) for r in got)
 
 
+def test_copies_under_one_id_keep_their_links(spark):
+    """A document of two rows links what either text is near to; ids in equal sets don't merge."""
+    a, b = ([f"{c}{i}" for i in range(60)] for c in "ab")
+    rows = [(7, a), (7, b), (8, b[:-1] + ["x"]), (9, a[:-1] + ["y"]), (3, a[:20]), (3, a[:20])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = minhash.components_of(df, minhash.NearDup(width=2)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(3, 3), (3, 3), (7, 7), (7, 7), (8, 7), (9, 7)]
+    assert sorted(r["doc_id"] for r in minhash.keep(df, minhash.NearDup(width=2)).collect()) == [3, 7, 7]
+
+
+def test_repeated_ids_brute_force(spark):
+    rng = random.Random(12)
+    base = [[f"g{g}w{i}" for i in range(40)] for g in range(6)]
+    rows = []
+    for _ in range(120):
+        words = list(rng.choice(base))
+        for _ in range(rng.randrange(0, 6)):
+            words[rng.randrange(40)] = f"e{rng.randrange(300)}"
+        rows.append((rng.randrange(70), " ".join(words)))
+    each = {n: set(zip(t.split(), t.split()[1:], strict=False)) for n, (_, t) in enumerate(rows)}
+    parent = _brute_components(each)
+    root = {i: i for i, _ in rows}  # documents over rows
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for n, (i, _) in enumerate(rows):
+        x, y = find(i), find(rows[parent[n]][0])
+        root[max(x, y)] = min(x, y)
+    got = minhash.components_of(spark.createDataFrame(rows, "doc_id long, text string"), minhash.NearDup(width=2)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: find(i) for i in root} and len(got) == len(rows)
+
+
+def test_crowd_below_the_limit_makes_no_pairs(spark):
+    """Copies that all have many edits of their own: no pair of them is made, whatever their number."""
+    rng = random.Random(13)
+    base = [f"b{i}" for i in range(100)]
+    texts = []
+    for n in range(1500):
+        words = list(base)
+        for j in rng.sample(range(100), 9):
+            words[j] = f"own{n}x{j}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    p = minhash.NearDup(width=2)
+    sets = minhash.described(df, p).select(F.col("doc_id").alias("node"), "set_key", "doc_id", "text_hash", "n_shingles")
+    here = sets.select("node", "n_shingles", F.col("node").alias("component"), F.explode(F.array(F.lit(1), F.lit(2)).cast("array<long>")).alias("bucket"))
+    assert minhash._apart(here, minhash._sets(df, sets, p), p).count() == 0
+    assert all(r["kept"] for r in minhash.components_of(df, p).collect())
+
+
 def test_min_max_signatures_estimate(spark):
     p = minhash.NearDup(permutations=512)
     a, b = minhash._constants(p)
