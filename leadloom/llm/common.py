@@ -42,6 +42,11 @@ def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     return df
 
 
+def tasks_for(spark: SparkSession, total: int, size: int = 64 << 20) -> int:
+    """Tasks for a shuffle of `total` bytes: no fewer than the session's, and `size` bytes in each."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // size + 1)
+
+
 def _shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder. Where the session names none, a temporary one is set on
     one machine (tests); on a cluster that would lose data, so it is refused."""

@@ -380,6 +380,65 @@ def test_passages_that_overlap(spark):
             assert r["n_passages"] == 2 and covered == set(range(20, 220)) and r["n_dup_words"] == 200
 
 
+def test_a_passage_in_pieces_elsewhere_is_whole(spark):
+    """Earlier documents hold pieces of a passage that a later one has whole."""
+    rng = random.Random(10)
+    fresh = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for g in range(20):
+        p, at = fresh(120), 1000 * g
+        rows += [(at + n, fresh(30) + p[i : i + 34] + fresh(30)) for n, i in enumerate(range(0, 120, 17))]
+        rows += [(at + 100, fresh(50) + p + fresh(40)), (at + 101, fresh(20) + p + fresh(70))]
+    got = {r["doc_id"]: r for r in chaining.fuzzy(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()}
+    for g in range(20):
+        r = got[1000 * g + 101]
+        assert [(p["start"], p["end"], p["partner_id"]) for p in r["passages"]] == [(20, 140, 1000 * g + 100)] and r["n_dup_words"] == 120
+
+
+def _shared_words(a, b, least=50):
+    """Words of a in stretches of `least` words or more that b has word for word, by all pairs of words."""
+    out = np.zeros(len(a), bool)
+    number: dict = {}
+    x, y = (np.array([number.setdefault(w, len(number)) for w in t]) for t in (a, b))
+    same = x[:, None] == y[None]
+    if same.any():
+        for k in range(-len(x) + 1, len(y)):
+            d = np.flatnonzero(np.diff(np.diagonal(same, k).astype(np.int8), prepend=0, append=0))
+            for s, e in zip(d[::2].tolist(), d[1::2].tolist(), strict=True):
+                if e - s >= least:
+                    out[s + max(0, -k) : e + max(0, -k)] = True
+    return out
+
+
+def test_spliced_documents_against_all_pairs(spark):
+    """Documents spliced from pieces of earlier ones, pieces of pieces included: at least 95 % of the
+    words that all pairs find are found, and few others."""
+    rng = random.Random(11)
+    fresh = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    docs = []
+    for i in range(130):
+        words = []
+        while len(words) < 250:
+            if i >= 20 and rng.random() < 0.6:
+                source = docs[rng.randrange(i)]
+                n = rng.randrange(20, 130)
+                at = rng.randrange(max(1, len(source) - n))
+                words += source[at : at + n]
+            else:
+                words += fresh(rng.randrange(10, 60))
+        docs.append(words)
+    want = [np.any([_shared_words(w, docs[j]) for j in range(i)] + [np.zeros(len(w), bool)], axis=0) for i, w in enumerate(docs)]
+    got = {r["doc_id"]: r["passages"] for r in chaining.fuzzy(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")).collect()}
+    found = []
+    for i, w in enumerate(docs):
+        mask = np.zeros(len(w), bool)
+        for p in got[i]:
+            mask[p["start"] : p["end"]] = True
+        found.append(mask)
+    hits = sum(int((a & b).sum()) for a, b in zip(want, found, strict=True))
+    assert hits >= 0.95 * sum(map(np.sum, want)) and sum(map(np.sum, found)) <= 1.05 * sum(map(np.sum, want))
+
+
 def test_fuzzy_passages(spark):
     rng = random.Random(1)
     vocab = [f"w{i}" for i in range(5000)]
