@@ -11,10 +11,12 @@ built blockwise over a difference cover:
 2. Hashes are counted over chunks (each chunk sends a hash once). Those of a
    single document are done with: their windows have no equals.
 3. The distinct runs of the others go, each once for a chunk with its smallest doc_id,
-   to blocks by hash. In a block, runs with one text only are decided by their
-   doc_ids; the windows of all others are put into suffix order, one bucket of
-   suffixes at a time; long ties are resolved by ranks of the difference-cover sample,
-   computed before. Equal windows are then neighbours.
+   to blocks by hash. In a block, equal runs are one text with the smallest of their
+   doc_ids. The windows of texts that share a hash with another are put into suffix order, one bucket of
+   suffixes at a time: by PERIOD leading bytes, where suffixes that differ from all others
+   drop out 8 bytes at a time, as their place in the order is certain; long ties
+   are resolved by ranks of the difference-cover sample, computed before for the
+   texts that have such ties. Equal windows are then neighbours.
 4. Owners (the smallest doc_ids) of windows go back to the chunks, and mark the bytes.
 
 A hash with very many runs (a passage in a third of all documents, with a new
@@ -40,6 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tasks_for
 
 
 @dataclass(frozen=True)
@@ -72,6 +75,30 @@ def _shifts() -> np.ndarray:
     return out
 
 
+def _leading(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in the order of their PERIOD leading bytes, and which of them are the same there as the
+    one before: sorted by 8 bytes, then those that tie by the next 8, and so on."""
+    key = words[at].astype(np.uint64)
+    order = np.argsort(key)
+    at, key = at[order], key[order]
+    same = key[1:] == key[:-1]
+    for j in range(8, PERIOD, 8):
+        if not same.any():
+            break
+        tied = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        places = np.flatnonzero(tied)
+        group = np.cumsum(np.concatenate([[True], ~same]))[places]
+        part = at[places]
+        key = words[part + j].astype(np.uint64)
+        order = np.lexsort((key, group))
+        at[places] = part[order]
+        key = key[order]
+        again = np.zeros(len(at), bool)
+        again[places[1:]] = (group[1:] == group[:-1]) & (key[1:] == key[:-1])
+        same = again[1:]
+    return at, same
+
+
 class SuffixOrder:
     """Sorts suffixes of `text` (by `depth` bytes at least), a bucket at a time."""
 
@@ -103,12 +130,7 @@ class SuffixOrder:
 
     def sorted(self, at: np.ndarray) -> np.ndarray:
         """The positions of one bucket in suffix order."""
-        keys = self._keys(at)
-        order = np.lexsort(keys[::-1])
-        at = at[order]
-        same = np.ones(max(0, len(at) - 1), bool)
-        for k in keys:
-            same &= k[order][1:] == k[order][:-1]
+        at, same = _leading(self.words, at)
         # Ties of PERIOD bytes: groups of neighbours that are the same so far.
         first = np.flatnonzero(np.concatenate([[True], ~same]))
         size = np.diff(np.append(first, len(at)))
@@ -332,13 +354,23 @@ def _windows(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(begins - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum()), text
 
 
-def _hashes(joined: bytes, at: np.ndarray, length: int) -> np.ndarray:
-    words = np.ndarray(len(joined) - 7, "<u8", joined, strides=(1,))
-    h = np.zeros(len(at), np.uint64)
-    for j in [*range(0, length - 8, 8), length - 8]:
-        h = (h ^ words[at + j]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return h
+def _tied(texts: list[bytes], at: np.ndarray, most: int) -> np.ndarray:
+    """Which windows tie with another one in their leading bytes, a bucket at a time."""
+    joined = np.frombuffer(b"".join(texts) + bytes(PERIOD), np.uint8)
+    words = np.ndarray(len(joined) - 7, ">u8", joined.tobytes(), strides=(1,))
+    out = np.zeros(len(joined), bool)
+    lead = words[at].astype(np.uint64) >> np.uint64(48)
+    parts = [np.arange(len(at))]
+    if len(at) > most:
+        order = np.argsort(lead, kind="stable")
+        edges = np.searchsorted(np.cumsum(np.bincount((lead[order]).astype(np.int64), minlength=1 << 16)), np.arange(most, len(at), most))
+        parts = np.split(order, np.searchsorted(lead[order], (np.unique(edges) + 1).astype(np.uint64)))
+    for part in parts:
+        if len(part) > 1:
+            mine, same = _leading(words, at[part])
+            out[mine[1:][same]] = True
+            out[mine[:-1][same]] = True
+    return out[at]
 
 
 def decided(parts: list[tuple[int, bytes]], r: Repeats) -> list[tuple[int, bytes]]:
@@ -358,19 +390,14 @@ def decided(parts: list[tuple[int, bytes]], r: Repeats) -> list[tuple[int, bytes
     np.minimum.at(owner, own, np.concatenate(all_docs))
     key = np.zeros(len(texts), np.uint64)
     key[own] = np.concatenate(all_keys)
-    # Texts that share a key with others: their windows are put into suffix order, but for
-    # those whose hash no other window has, as they have no equals.
+    # Texts that share a key with others: their windows are put into suffix order, at first by leading
+    # bytes; those that tie there go on to the ranks of the sample.
     _, group, size = np.unique(key, return_inverse=True, return_counts=True)
     open_ = np.flatnonzero(size[group] > 1)
     start = count = of = np.empty(0, np.int64)
     if len(open_):
         at, text = _windows([texts[i] for i in open_], r.length)
-        h = _hashes(b"".join(texts[i] for i in open_), at, r.length)
-        order = np.argsort(h)
-        same = h[order][1:] == h[order][:-1]
-        twice = np.zeros(len(h), bool)
-        twice[order[1:]] |= same
-        twice[order[:-1]] |= same
+        twice = _tied([texts[i] for i in open_], at, 4 * r.bucket)
         if twice.any():
             some = np.unique(text[twice])
             chosen = open_[some]
@@ -408,19 +435,21 @@ def removed(docs: DataFrame, r: Repeats = Repeats()) -> DataFrame:
     chunks = total // r.chunk_bytes + 1
     # Of all windows, about 2 / (width + 1) start a run.
     blocks = int(total * 2 / (r.length - r.gram + 2)) // r.block_runs + 1
-    dealt = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks))).repartition("chunk")
+    # Rows of one doc_id are spread; they don't remove from each other wherever they are.
+    tasks = tasks_for(own.sparkSession, total)
+    dealt = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))).repartition(tasks, "chunk")
     sent = "block long, chunk long, data binary"
 
     def count(table: pa.Table) -> pa.Table:
         c, chunk, rows = Chunk(table, r), table.column("chunk")[0].as_py(), []
         keys, often, to, cuts = c.dealt(blocks)
         for a, b in zip(cuts, np.append(cuts[1:], len(keys)), strict=True):
-            rows.append((int(to[a]), chunk, _pack(keys[a:b].astype("<u8"), np.minimum(often[a:b], 255).astype("u1"))))
+            rows.append((int(to[a]), chunk, _pack(keys[a:b].astype("<u8"), often[a:b].astype("<u4"))))
         return _sent(rows, ("block", "chunk", "data"))
 
     def compare(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        parts = [(ch, *_unpack(raw, "<u8", "u1")) for ch, raw in zip(table.column("chunk").to_pylist(), table.column("data").to_pylist(), strict=True)]
+        parts = [(ch, *_unpack(raw, "<u8", "<u4")) for ch, raw in zip(table.column("chunk").to_pylist(), table.column("data").to_pylist(), strict=True)]
         keys, often = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
         order = np.argsort(keys, kind="stable")
         heads = np.flatnonzero(np.diff(keys[order], prepend=keys[order[0]] ^ np.uint64(1)))
@@ -512,9 +541,11 @@ def removed(docs: DataFrame, r: Repeats = Repeats()) -> DataFrame:
             rows.append((doc, b - a, int(g.sum()), len(spans), h.hexdigest(), [{"start": s, "end": e} for s, e in spans]))
         return pa.table({n: pa.array([x[j] for x in rows], k) for j, (n, k) in enumerate(zip(names, kinds, strict=True))})
 
-    by = lambda df, k: df.groupBy(k)
-    counted = by(dealt, "chunk").applyInArrow(count, sent)
+    def by(df: DataFrame, key: str):
+        return df.repartition(tasks, key).groupBy(key)
+
+    counted = dealt.groupBy("chunk").applyInArrow(count, sent)
     answers = by(counted, "block").applyInArrow(compare, sent)
-    entries = by(dealt, "chunk").cogroup(by(answers, "chunk")).applyInArrow(send, sent)
+    entries = dealt.groupBy("chunk").cogroup(by(answers, "chunk")).applyInArrow(send, sent)
     owners = by(entries, "block").applyInArrow(decide, sent)
-    return by(dealt, "chunk").cogroup(by(owners, "chunk")).applyInArrow(mark, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+    return dealt.groupBy("chunk").cogroup(by(owners, "chunk")).applyInArrow(mark, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
