@@ -2,21 +2,27 @@
 
 Vectors are integers, so scores are exact. An inner product becomes a distance
 once every candidate gets one more component, sqrt(M - |x|^2), where M is the
-largest squared norm: |q - x|^2 = |q|^2 + M - 2 q.x. Distances from all candidates
-and queries to the pivots are computed once; |d(q, p) - d(x, p)| over all pivots p
+largest squared norm: |q - x|^2 = |q|^2 + M - 2 q.x. The distances of all candidates to the
+pivots are computed once, and travel with their blocks; |d(q, p) - d(x, p)| over all pivots p
 gives the largest lower bound of d(q, x), hence an upper bound of the score. A
 query looks at candidates from the highest bound down and stops once its k-th
 score is above every bound that is left. Ties are kept until they are decided.
 
+Every query begins with a threshold that all blocks share: its k-th score among the rows of a
+first block (a fixed number, by hash). A block whose distances to some pivot are all
+too far from the query's is passed over; of the others only candidates whose bound reaches the
+threshold are sorted and evaluated.
+
 A query set (not a row limit: the rows that `is_query` names) runs against all
 rows in blocks. Vectors are packed into blocks of bounded size; each block of
 candidates meets each block of queries once, in a task of bounded memory; the k
 best of each meeting are merged per query by a rank over k rows for each block.
 
 Defined results: vectors that are null or hold null or non-finite components
-take no part; vectors of another length than the most common take no part
-either (an inner product needs equal lengths); repeated rows are candidates one by
-one, and a query's own id is no candidate; an empty table gives an empty result.
+take no part; a shorter vector counts as one with zeros at its end, so an empty one scores 0
+with all; components and scores beyond 64 bits become the largest or smallest long;
+repeated rows are candidates one by one; rows of one query id are one query, whose list is the
+k best of all their pairs; a query's own id is no candidate; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,35 +37,116 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
+_LONG = (-(1 << 63), (1 << 63) - 1)
+
 
 @dataclass(frozen=True)
 class Search:
     k: int = 20
     pivots: int = 16
-    #: Vectors in a block of queries, and in a block of candidates.
-    query_block: int = 512
+    #: Vectors in a block of queries, and in a block of candidates, and bytes of either at most.
+    query_block: int = 4096
     block: int = 8192
+    block_bytes: int = 16 << 20
+    #: Rows that give every query its first threshold.
+    first: int = 2048
     #: Candidates that a query evaluates at first, in bound order; then twice as many, and so on.
     step: int = 256
 
 
 def quantised(df: DataFrame, scale: float = 64.0) -> DataFrame:
-    """vec_id and v = floor(scale * x) as array<int>, without the vectors that take no part."""
-    v = F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("int"))
+    """vec_id and v = floor(scale * x) as array<long> (components beyond 64 bits become the largest or
+    smallest long), without the vectors that take no part."""
+    scaled = F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double")))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == F.lit(float("inf"))))
-    rows = df.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(~bad).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
-    length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.filter(F.size("v") == F.lit(length["n"] if length else 0))
-
-
-def _packed(rows: DataFrame, size: int) -> DataFrame:
-    """Blocks of up to `size` rows, as binary columns; no shuffle."""
+    rows = df.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(~bad)
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("v"))
+
+
+def _matrix(vectors, width: int) -> np.ndarray:
+    """Rows of longs, with zeros behind short ones."""
+    out = np.zeros((len(vectors), width), "<i8")
+    for row, v in zip(out, vectors, strict=True):
+        row[: len(v)] = v
+    return out
+
+
+class Table:
+    """Vectors and the pivots they are measured against."""
+
+    def __init__(self, pivots: np.ndarray, largest: float):
+        self.largest = largest
+        self.width = pivots.shape[1]
+        self.points = pivots.astype("f8")
+        self.lift = np.sqrt(np.maximum(0.0, largest - (self.points**2).sum(1)))
+        # Sums of products stay below `largest`, so so many bits hold them exactly.
+        self.kind = "f4" if largest < 2**24 else "f8" if largest < 2**52 else "i8" if largest < 2**62 else object
+
+    def apart(self, x: np.ndarray, lifted: bool) -> np.ndarray:
+        """Distances to the pivots, one row for each pivot."""
+        x = x.astype("f8")
+        norms = (x * x).sum(1)
+        lift = np.sqrt(np.maximum(0.0, self.largest - norms)) if lifted else np.zeros(len(x))
+        own = (self.points**2).sum(1) + self.lift**2
+        return np.sqrt(np.maximum(0.0, (norms + lift**2)[None] + own[:, None] - 2 * (self.points @ x.T + np.outer(self.lift, lift)))).astype("f4")
+
+    def scores(self, x: np.ndarray, q: np.ndarray) -> np.ndarray:
+        out = x.astype(self.kind) @ q.astype(self.kind)
+        return np.clip(out, *_LONG).astype("i8") if self.kind is object else out.astype("i8")
+
+    def best(self, query_ids, queries, least, ids, vecs, d_x, k: int, step: int):
+        """The k best of one block of candidates (sorted by id) for each query of one block, but for those
+        below the queries' thresholds `least`."""
+        d_q, norms = self.apart(queries, False), (queries.astype("f8") ** 2).sum(1)
+        x, q = vecs.astype(self.kind), queries.astype(self.kind)
+        # Of a bound, (|q|^2 + M - low^2) / 2, single precision may be off by this much.
+        slack = 0.5 + 1e-5 * self.largest
+        near, far = d_x.min(1), d_x.max(1)
+        out = []
+        low, one = np.empty(len(x), "f4"), np.empty(len(x), "f4")
+        for i in range(len(q)):
+            floor = float(least[i])
+            # A score of `floor` needs a distance within this.
+            within = np.sqrt(max(0.0, norms[i] + self.largest - 2 * (floor - slack)))
+            apart = float(np.maximum(near - d_q[:, i], d_q[:, i] - far).max())
+            if apart > within * (1 + 1e-6):
+                continue
+            low[:] = 0
+            for a, b in zip(d_x, d_q[:, i], strict=True):
+                np.subtract(a, b, out=one)
+                np.abs(one, out=one)
+                np.maximum(low, one, out=low)
+            low[ids == query_ids[i]] = np.inf
+            alive = np.flatnonzero(low <= within * (1 + 1e-6))
+            by = alive[np.argsort(low[alive], kind="stable")]
+            bound = (norms[i] + self.largest - np.square(low[by], dtype="f8")) / 2 + slack
+            scores, found = np.empty(0, "i8"), np.empty(0, "i8")
+            at, size, end = 0, step, len(by)
+            while at < end:
+                part = by[at : min(at + size, end)]
+                here = x[part] @ q[i]
+                here = np.clip(here, *_LONG).astype("i8") if self.kind is object else here.astype("i8")
+                better = here >= (max(scores[-1], least[i]) if len(scores) == k else least[i])
+                scores, found = np.concatenate([scores, here[better]]), np.concatenate([found, ids[part[better]]])
+                top = np.lexsort((found, -scores))[:k] if self.kind is not object else np.array(sorted(range(len(scores)), key=lambda n: (-int(scores[n]), int(found[n])))[:k], int)
+                scores, found = scores[top], found[top]
+                at, size = at + size, 2 * size
+                if len(scores) == k:  # no bound further on reaches the k-th score
+                    end = min(end, int(np.searchsorted(-bound, -float(scores[-1]), "right")))
+            out.append((np.full(len(scores), query_ids[i]), found, scores))
+        return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, "i8")] * 3
+
+
+def _packed(rows: DataFrame, size: int, table: Table) -> DataFrame:
+    """Blocks of up to `size` rows in the order of their ids, with their rows of the pivot table; no shuffle."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, vs = [], []
 
         def out():
-            return pd.DataFrame({"n": [len(ids)], "ids": [np.array(ids, "<i8").tobytes()], "vecs": [np.array(vs, "<i4").tobytes()]})
+            order = np.argsort(np.array(ids, "<i8"), kind="stable")
+            x = _matrix(vs, table.width)[order]
+            return pd.DataFrame({"ids": [np.array(ids, "<i8")[order].tobytes()], "vecs": [_narrow(x)], "far": [table.apart(x, True).tobytes()]})
 
         for b in batches:
             for i, v in zip(b["vec_id"], b["v"], strict=True):
@@ -71,86 +158,58 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
         if ids:
             yield out()
 
-    return rows.mapInPandas(pack, "n int, ids binary, vecs binary")
-
-
-def _best(query_ids, queries, ids, vecs, pivots, largest: float, k: int, step: int):
-    """The k best of one block of candidates for each query of one block."""
-    # Sums of products stay below `largest`, so 24 bits hold them exactly if they hold that.
-    exact = "f4" if largest < 2**24 else "f8"
-    order = np.argsort(ids, kind="stable")  # ties in bound and score then go to smaller ids
-    ids, q, x = ids[order], queries.astype("f8"), vecs[order].astype("f8")
-    lift = np.sqrt(np.maximum(0.0, largest - (x * x).sum(1)))
-    p, p_lift = pivots[:, :-1], pivots[:, -1]
-
-    def apart(a, a_lift):
-        d = (a * a).sum(1)[None] + (a_lift * a_lift)[None] + (pivots * pivots).sum(1)[:, None] - 2 * (p @ a.T + np.outer(p_lift, a_lift))
-        return np.sqrt(np.maximum(0.0, d))
-
-    d_x, d_q, norms = np.ascontiguousarray(apart(x, lift), "f4"), apart(q, np.zeros(len(q))).astype("f4"), (q * q).sum(1)
-    x, q = x.astype(exact), q.astype(exact)
-    # Of a bound, (|q|^2 + M - low^2) / 2, single precision may be off by this much.
-    slack = 0.5 + 1e-5 * largest
-    out = []
-    low, one = np.empty(len(x), "f4"), np.empty(len(x), "f4")
-    for i in range(len(q)):
-        low[:] = 0
-        for a, b in zip(d_x, d_q[:, i], strict=True):
-            np.subtract(a, b, out=one)
-            np.abs(one, out=one)
-            np.maximum(low, one, out=low)
-        low[ids == query_ids[i]] = np.inf
-        by = np.argsort(low, kind="stable")
-        bound = (norms[i] + largest - np.square(low[by], dtype="f8")) / 2 + slack
-        scores, found = np.empty(0, "i8"), np.empty(0, "i8")
-        at, size, end = 0, step, int(np.searchsorted(-bound, np.inf))
-        while at < end:
-            part = by[at : min(at + size, end)]
-            here = (x[part] @ q[i]).astype("i8")
-            if len(scores) == k:
-                better = here >= scores[-1]
-                part, here = part[better], here[better]
-            scores, found = np.concatenate([scores, here]), np.concatenate([found, ids[part]])
-            top = np.lexsort((found, -scores))[:k]
-            scores, found = scores[top], found[top]
-            at, size = at + size, 2 * size
-            if len(scores) == k:  # no bound further on reaches the k-th score
-                end = min(end, int(np.searchsorted(-bound, -scores[-1], "right")))
-        out.append((np.full(len(scores), query_ids[i]), found, scores))
-    return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, "i8")] * 3
+    return rows.mapInPandas(pack, "ids binary, vecs binary, far binary")
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Bytes of a matrix in the fewest bytes a number, which come first."""
+    kind = next(k for k in ("<i2", "<i4", "<i8") if not x.size or (x.min() >= np.iinfo(k).min and x.max() <= np.iinfo(k).max))
+    return kind[-1].encode() + x.astype(kind).tobytes()
+
+
+def _wide(raw: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<i{raw[:1].decode()}", offset=1).reshape(-1, width) if width else np.zeros((0, 0), "<i8")
 
 
 def top_k(rows: DataFrame, is_query: Column, search: Search = Search()) -> DataFrame:
     """query_id, rank, vec_id, score. `rows` as from quantised()."""
     rows = checkpoint(rows)
-    squares = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x.cast("long") * x.cast("long"))
-    most = rows.agg(F.max(squares)).first()[0]
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    most, width = rows.agg(F.max(square), F.max(F.size("v"))).first()
     if most is None:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    width, k, step = max(1, width), search.k, search.step
     # Pivots: a fixed number of rows by hash, and the one with the largest norm.
-    some = [r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(search.pivots - 1).collect()]
-    some += [r["v"] for r in rows.orderBy(squares.desc(), "vec_id").limit(1).collect()]
-    pivots = np.array(some, "f8")
-    pivots = np.hstack([pivots, np.sqrt(np.maximum(0.0, float(most) - (pivots**2).sum(1)))[:, None]])
-    width, k, step = pivots.shape[1] - 1, search.k, search.step
+    by_hash = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v")
+    some = [r["v"] for r in by_hash.limit(search.pivots - 1).collect()] + [r["v"] for r in rows.orderBy(square.desc(), "vec_id", "v").limit(1).collect()]
+    table = Table(_matrix(some, width), float(most))
+    fit = max(1, search.block_bytes // (8 * width))
+    head = by_hash.limit(min(search.first, fit)).collect()
+    first_ids, first = np.array([r["vec_id"] for r in head], "i8"), _matrix([r["v"] for r in head], width)
 
     asking = rows.filter(is_query)
-    parts = asking.count() // search.query_block + 1
+    parts = asking.count() // min(search.query_block, fit) + 1
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"qb": [pdf["qb"].iloc[0]], "q_ids": [pdf["vec_id"].to_numpy("<i8").tobytes()], "q_vecs": [np.array(pdf["v"].tolist(), "<i4").tobytes()]})
+        ids, q = pdf["vec_id"].to_numpy("<i8"), _matrix(pdf["v"].tolist(), width)
+        least = np.full(len(q), _LONG[0], "<i8")
+        for i, row in enumerate(q):
+            known = np.sort(table.scores(first, row)[first_ids != ids[i]])
+            if len(known) >= k:
+                least[i] = known[-k]
+        return pd.DataFrame({"qb": [pdf["qb"].iloc[0]], "q_ids": [ids.tobytes()], "q_vecs": [_narrow(q)], "least": [least.tobytes()]})
 
     # Every block of candidates goes to every block of queries, by an equi-join on the queries' block number.
-    queries = asking.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(parts))).groupBy("qb").applyInPandas(gather, "qb long, q_ids binary, q_vecs binary")
-    blocks = _packed(rows, search.block).select(F.col("ids").alias("c_ids"), F.col("vecs").alias("c_vecs"))
+    queries = asking.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(parts))).groupBy("qb").applyInPandas(gather, "qb long, q_ids binary, q_vecs binary, least binary")
+    blocks = _packed(rows, min(search.block, fit), table).withColumnsRenamed({"ids": "c_ids", "vecs": "c_vecs"})
     sent = blocks.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
     met = sent.join(queries, "qb")
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for c_ids, c_vecs, q_ids, q_vecs in zip(b["c_ids"], b["c_vecs"], b["q_ids"], b["q_vecs"], strict=True):
-                of = lambda raw: np.frombuffer(raw, "<i4").reshape(-1, width)
-                a, i, s = _best(np.frombuffer(q_ids, "<i8"), of(q_vecs), np.frombuffer(c_ids, "<i8"), of(c_vecs), pivots, float(most), k, step)
+            for c_ids, c_vecs, far, q_ids, q_vecs, least in zip(b["c_ids"], b["c_vecs"], b["far"], b["q_ids"], b["q_vecs"], b["least"], strict=True):
+                ids = np.frombuffer(c_ids, "<i8")
+                a, i, s = table.best(np.frombuffer(q_ids, "<i8"), _wide(q_vecs, width), np.frombuffer(least, "<i8"), ids, _wide(c_vecs, width), np.frombuffer(far, "<f4").reshape(-1, len(ids)), k, step)
                 yield pd.DataFrame({"query_id": a, "vec_id": i, "score": s})
 
     met = met.repartition(F.col("qb"), F.xxhash64("c_ids")).mapInPandas(meet, "query_id long, vec_id long, score long")

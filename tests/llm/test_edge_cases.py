@@ -56,8 +56,23 @@ def test_defined_results(spark):
 
 
 def test_topk_edges(spark):
-    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (None, [1.0, 1.0]), (7, [0.1]), (20, [-1.0, 0.0])]
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (None, [1.0, 1.0]), (20, [-1.0, 0.0])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, v string")
     got = topk.top_k(topk.quantised(df), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 4096), (0, 2, 2048), (0, 2, 2048), (0, 20, -4096), (20, 2, -2048), (20, 2, -2048), (20, 0, -4096), (20, 1, -4096)]
     assert topk.top_k(topk.quantised(df.limit(0)), F.col("vec_id") % 20 == 0).collect() == []
+
+
+def test_topk_lengths_sizes_and_repeated_queries(spark):
+    """Against plain Python: vectors of any length, components beyond 53 bits, a query id of two rows."""
+    import math
+
+    rows = [(0, [1.0, 0.5]), (0, [-1.0, 2.0, 3.0]), (1, []), (2, [1e9, 1.0]), (3, [1e17, -1e17]), (4, [1.0, 1.0, 1.0, 1.0]), (20, [1e17]), (40, [3e18, 1.0]), (41, [3e18, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    top = (1 << 63) - 1
+    v = [(i, [max(-top - 1, min(top, math.floor(64 * x))) for x in e]) for i, e in rows]
+    want = set()
+    for q in (0, 20, 40):
+        pairs = [(max(-top - 1, min(top, sum(a * b for a, b in zip(x, y, strict=False)))), j) for i, x in v if i == q for j, y in v if j != q]
+        want |= {(q, n + 1, j, s) for n, (s, j) in enumerate(sorted(pairs, key=lambda p: (-p[0], p[1]))[:20])}
+    assert {tuple(r) for r in topk.top_k(topk.quantised(df), F.col("vec_id") % 20 == 0).collect()} == want
