@@ -1,22 +1,27 @@
 """Quality rules: base counts, then divergence from language references.
 
-Two histograms of a document (character classes; common words of the
-reference languages and all others) are compared with those of whole languages
-by the Jensen-Shannon distance (base 2, 0 to 1). The references are sums over
-all documents of a language. Guards: a histogram of a text with few characters
-or words is not judged, nor is one whose language has too few documents.
+Two histograms of a document (character classes; common words of some
+languages and all others) are compared with those of whole languages
+by the Jensen-Shannon distance (base 2, 0 to 1). The references are learned for every language
+of the table, as sums over all its documents that pass the base rules. Guards: a histogram of a
+text with few characters or words is not judged, nor is one whose language has too few such
+documents, in number or as a share of all.
 
 Native: one pass of SQL functions over the texts; its small results are
-checkpointed, so that texts aren't read again once the references are known.
+checkpointed, so that texts aren't read again once the references are known. As each reference
+holds a share of the documents, there are at most 1 / min_reference_share of them; they
+are one literal of the plan.
 
 Defined results: a null text counts as empty; an empty text has zero counts and
-fails the base rules; a null or unknown language is compared with the
-nearest reference; repeated rows are judged one by one; columns of the input
-other than the ones used are ignored; an empty table gives an empty result.
+fails the base rules; a document without a language is compared with the
+nearest reference, one whose language has no reference with none; repeated rows are judged one by one;
+columns of the input other than the ones used are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -45,6 +50,7 @@ class Divergence:
     min_chars: int = 200
     min_words: int = 100
     min_reference_docs: int = 20
+    min_reference_share: float = 0.001
     common_words: dict[str, list[str]] = field(default_factory=lambda: COMMON_WORDS)
 
     @property
@@ -119,21 +125,26 @@ def _histograms(found: DataFrame) -> DataFrame:
     )
 
 
+def _base_failed() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+
 def references(found: DataFrame, rule: Divergence) -> dict[str, tuple[list[float], list[float]]]:
-    """Shares of each class and word, by language, over all documents. At most
-    one row for each language of the rule comes to the driver."""
+    """Shares of each class and word, by language, over all documents that pass the base rules. Only
+    languages with a share of min_reference_share come to the driver, so their number is bounded."""
     n = len(rule.vocabulary) + 1
     sums = [F.sum(F.get("char_hist", F.lit(i))).alias(f"c{i}") for i in range(N_CLASSES)] + [F.sum(F.get("word_hist", F.lit(i))).alias(f"w{i}") for i in range(n)]
-    rows = found.filter(F.col("lang").isin(list(rule.common_words))).groupBy("lang").agg(F.count("*").alias("docs"), *sums).collect()
+    good = found.filter(F.col("lang").isNotNull() & ~_base_failed())
+    least = max(rule.min_reference_docs, math.ceil(rule.min_reference_share * good.count()))
+    rows = good.groupBy("lang").agg(F.count("*").alias("docs"), *sums).filter(F.col("docs") >= least).collect()
     out = {}
     for r in rows:
         chars, words = [r[f"c{i}"] for i in range(N_CLASSES)], [r[f"w{i}"] for i in range(n)]
-        if r["docs"] >= rule.min_reference_docs and sum(chars) and sum(words):
-            out[r["lang"]] = [x / sum(chars) for x in chars], [x / sum(words) for x in words]
+        out[r["lang"]] = [x / sum(chars) for x in chars], [x / sum(words) for x in words]
     return out
 
 
-def distance(hist: Column, reference: list[float]) -> Column:
+def distance(hist: Column, reference: Column) -> Column:
     """Jensen-Shannon distance of an array of counts and an array of shares."""
 
     def of(shares: Column) -> Column:
@@ -142,7 +153,7 @@ def distance(hist: Column, reference: list[float]) -> Column:
             half = lambda x: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
             return (half(p) + half(q)) / 2
 
-        terms = F.zip_with(shares, F.array(*[F.lit(float(x)) for x in reference]), part)
+        terms = F.zip_with(shares, reference, part)
         return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)))
 
     total = F.aggregate(hist, F.lit(0.0), lambda a, x: a + x)
@@ -158,13 +169,12 @@ def judge(docs: DataFrame, rule: Divergence = Divergence()) -> DataFrame:
     def nearest(hist: str, which: int) -> Column:
         if not known:
             return F.lit(None).cast("double")
-        each = {k: distance(F.col(hist), v[which]) for k, v in known.items()}
-        own = None
-        for k, d in each.items():
-            own = (F if own is None else own).when(F.col("lang") == k, d)
-        return own.otherwise(F.array_min(F.array(*each.values())))
+        table = F.from_json(F.lit(json.dumps({k: v[which] for k, v in known.items()})), "map<string, array<double>>")
+        own = let(F.element_at(table, F.col("lang")), lambda r: F.when(r.isNotNull(), distance(F.col(hist), r)))
+        each = F.transform(F.map_values(table), lambda r: distance(F.col(hist), r))
+        return F.when(F.col("lang").isNull(), F.array_min(each)).otherwise(own)
 
-    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    base = _base_failed()
     out = found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base.alias("base_failed"),
