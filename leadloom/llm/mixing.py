@@ -7,8 +7,10 @@ one (or, with `whole` above 0, so that cells with up to this share of all tokens
 are taken whole); the choice is a hash of doc_id, so it repeats.
 
 Native. Texts are read once, for tokens and topic. Cells are pre-aggregated (so a
-hot source is one row for each of its cells) and fitted by window sums; each
-window is over cells only. The fitted cells are joined back to documents.
+hot source is one row for each of its cells); a turn sums the cells of a marginal's
+value (partially before the shuffle, so no task gets all cells of a topic) and joins the
+scale back. Rounds end when all marginals are within `tolerance` of their targets. The fitted cells
+are joined back to documents.
 
 Defined results: null source, language or topic is a cell value of its own; a
 null or empty text has 0 tokens and weighs nothing in the fit, and follows its
@@ -42,7 +44,9 @@ class Mix:
 
     targets: dict[str, dict[str, float] | None] = field(default_factory=dict)
     temper: float = 0.5
-    rounds: int = 8
+    #: Rounds at most; fewer if every marginal is within `tolerance` of its target, as a share of all tokens.
+    rounds: int = 12
+    tolerance: float = 1e-5
     #: Cells most wanted for their size are taken whole, up to this share of all tokens; their weights
     #: are then cut, so targets are missed. At 0 or below no probability is cut at one and weights are
     #: met exactly, at the price of a smaller sample: at 0 the most wanted cells get probability one,
@@ -80,17 +84,28 @@ def calibrated(sizes: DataFrame, mix: Mix) -> DataFrame:
         marginal = marginal.select(F.col(d).alias(f"k_{d}"), (F.col("m") / F.lit(float(total))).alias(f"target_{d}"))
         cells = cells.join(marginal, F.col(d).eqNullSafe(F.col(f"k_{d}")), "left").drop(f"k_{d}").withColumn(f"target_{d}", F.coalesce(f"target_{d}", F.lit(0.0)))
     cells = checkpoint(cells)
-    for n in range(mix.rounds):
+    for _ in range(mix.rounds):
         for d in DIMENSIONS:
-            there = F.sum("share").over(Window.partitionBy(d))
-            cells = cells.withColumn("share", F.when(there > 0, F.col("share") * F.col(f"target_{d}") / there).otherwise(F.lit(0.0)))
-        if n % 4 == 3:
-            cells = checkpoint(cells)
+            there = cells.groupBy(F.col(d).alias("_k")).agg(F.sum("share").alias("_there"))
+            scaled = F.when(F.col("_there") > 0, F.col("share") * F.col(f"target_{d}") / F.col("_there")).otherwise(F.lit(0.0))
+            cells = cells.join(there, F.col(d).eqNullSafe(F.col("_k"))).withColumn("share", scaled).drop("_k", "_there")
+        cells = checkpoint(cells)
+        if _miss(cells) <= mix.tolerance:
+            break
     cells = cells.withColumn("ratio", F.when(F.col("cell_tokens") > 0, F.col("share") / F.col("cell_tokens")).otherwise(F.lit(0.0)))
     most = _scale(cells, mix.whole)
     return cells.select(*DIMENSIONS, "cell_tokens", "share", F.least(F.lit(1.0), F.col("ratio") / F.lit(most)).alias("probability"))
 
 
+def _miss(cells: DataFrame) -> float:
+    """The largest difference of a marginal from its target."""
+    out = 0.0
+    for d in DIMENSIONS:
+        each = cells.groupBy(d).agg(F.abs(F.sum("share") - F.first(f"target_{d}")).alias("miss"))
+        out = max(out, each.agg(F.max("miss")).first()[0] or 0.0)
+    return out
+
+
 def _scale(cells: DataFrame, whole: float) -> float:
     """The ratio that gets probability one: the largest, or the least step of a geometric
     scale above which cells hold at most `whole` of all tokens (the step above all cells, if

@@ -23,7 +23,6 @@ def _op1() -> str:
     rest = "regexp_replace(t, '[a-z \\x09-\\x0D]+', '', 'g')"
     classes = ", ".join(f"{count('rest', p)}" for p in CLASSES.values())
     words = ", ".join(f"len(list_filter(w, lambda x: x = '{v}'))" for v in vocabulary)
-    langs = ", ".join(f"'{k}'" for k in rule.common_words)
     n = len(vocabulary) + 1
     return f"""
 WITH base AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, {_words('text')} AS w FROM documents),
@@ -33,11 +32,12 @@ WITH base AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '')
  repeats AS (SELECT r, sum(least(8, coalesce(nxt - i, 8))) AS n FROM twice GROUP BY r),
  counted AS (SELECT *, [{classes}] AS cc, [{words}] AS wc FROM cut),
  hist AS (SELECT *, list_concat(list_concat([length(t) - length(rest) - (length(t) - word_chars), length(t) - word_chars], cc), [length(rest) - list_sum(cc)])::DOUBLE[] AS ch, list_append(wc, len(w) - list_sum(wc))::DOUBLE[] AS wh FROM counted),
- refs AS (SELECT lang, list_transform(range(1, {N_CLASSES + 1}), lambda i: list_sum(list_transform(chs, lambda x: x[i]))) AS rc, list_transform(range(1, {n + 1}), lambda i: list_sum(list_transform(whs, lambda x: x[i]))) AS rw FROM (SELECT lang, list(ch) AS chs, list(wh) AS whs FROM hist WHERE lang IN ({langs}) GROUP BY lang HAVING count(*) >= {rule.min_reference_docs})),
+ good AS (SELECT hist.* FROM hist LEFT JOIN repeats USING (r) WHERE lang IS NOT NULL AND len(w) >= 20 AND 100 * coalesce(repeats.n, 0) <= 30 * len(w)),
+ refs AS (SELECT lang, list_transform(range(1, {N_CLASSES + 1}), lambda i: list_sum(list_transform(chs, lambda x: x[i]))) AS rc, list_transform(range(1, {n + 1}), lambda i: list_sum(list_transform(whs, lambda x: x[i]))) AS rw FROM (SELECT lang, list(ch) AS chs, list(wh) AS whs FROM good GROUP BY lang HAVING count(*) >= greatest({rule.min_reference_docs}, ceil({rule.min_reference_share} * (SELECT count(*) FROM good))))),
  shares AS (SELECT lang, list_transform(rc, lambda x: x / list_sum(rc)) AS rc, list_transform(rw, lambda x: x / list_sum(rw)) AS rw FROM refs),
  joined AS (SELECT hist.*, list_transform(ch, lambda x: x / greatest(list_sum(ch), 1)) AS pc, list_transform(wh, lambda x: x / greatest(list_sum(wh), 1)) AS pw, rc, rw, coalesce(repeats.n, 0) AS n_repeat FROM hist LEFT JOIN shares USING (lang) LEFT JOIN repeats USING (r)),
  near AS (SELECT r, min({_distance('pc', 's.rc')}) AS nc, min({_distance('pw', 's.rw')}) AS nw FROM joined CROSS JOIN shares s GROUP BY r),
- far AS (SELECT joined.*, CASE WHEN rc IS NULL THEN nc ELSE {_distance('pc', 'rc')} END AS dc, CASE WHEN rc IS NULL THEN nw ELSE {_distance('pw', 'rw')} END AS dw FROM joined LEFT JOIN near USING (r)),
+ far AS (SELECT joined.*, CASE WHEN lang IS NULL THEN nc WHEN rc IS NOT NULL THEN {_distance('pc', 'rc')} END AS dc, CASE WHEN lang IS NULL THEN nw WHEN rw IS NOT NULL THEN {_distance('pw', 'rw')} END AS dw FROM joined LEFT JOIN near USING (r)),
  told AS (SELECT doc_id, len(w)::BIGINT AS n_words, word_chars::BIGINT AS word_chars, {count('t', CLASSES['symbol'])}::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_repeat::BIGINT AS n_repeat_words,
   len(w) < 20 OR 100 * n_repeat > 30 * len(w) AS base_failed, CASE WHEN length(t) >= {rule.min_chars} THEN round(dc, 6) END AS char_distance, CASE WHEN len(w) >= {rule.min_words} THEN round(dw, 6) END AS word_distance FROM far)
 SELECT *, NOT base_failed AND coalesce(char_distance, 0) <= {rule.max_char_distance} AND coalesce(word_distance, 0) <= {rule.max_word_distance} AS kept FROM told"""
@@ -58,13 +58,16 @@ def _op2() -> str:
         ctes.append(f"t_{d} AS (SELECT {d}, m / (SELECT sum(m) FROM m_{d}) AS target FROM m_{d})")
     targets = ", ".join(f"coalesce(t_{d}.target, 0) AS target_{d}" for d in DIMENSIONS)
     joins = " ".join(f"LEFT JOIN t_{d} ON cells.{d} IS NOT DISTINCT FROM t_{d}.{d}" for d in DIMENSIONS)
-    ctes.append(f"s0 AS (SELECT cells.*, {targets}, cell_tokens::DOUBLE AS share FROM cells {joins})")
-    step = 0
-    for _ in range(mix.rounds):
+    ctes.append(f"s0 AS MATERIALIZED (SELECT cells.*, {targets}, cell_tokens::DOUBLE AS share FROM cells {joins})")
+    step, before = 0, "false"
+    for n in range(mix.rounds):
         for d in DIMENSIONS:
             there = f"sum(share) OVER (PARTITION BY {d})"
-            ctes.append(f"s{step + 1} AS (SELECT * REPLACE (CASE WHEN {there} > 0 THEN share * target_{d} / {there} ELSE 0 END AS share) FROM s{step})")
+            ctes.append(f"s{step + 1} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN {before} THEN share WHEN {there} > 0 THEN share * target_{d} / {there} ELSE 0 END AS share) FROM s{step})")
             step += 1
+        misses = " UNION ALL ".join(f"SELECT abs(sum(share) - first(target_{d})) AS miss FROM s{step} GROUP BY {d}" for d in DIMENSIONS)
+        ctes.append(f"done{n} AS MATERIALIZED (SELECT {before} OR coalesce(max(miss), 0) <= {mix.tolerance} AS done FROM ({misses}))")
+        before = f"(SELECT done FROM done{n})"
     ctes.append(f"fit AS (SELECT *, CASE WHEN cell_tokens > 0 THEN share / cell_tokens ELSE 0 END AS ratio FROM s{step})")
     ctes.append("steps AS (SELECT floor(log2(ratio) * 4) AS step, sum(cell_tokens) AS t FROM fit WHERE ratio > 0 GROUP BY 1)")
     ctes.append("above AS (SELECT step, sum(t) OVER (ORDER BY step DESC) / (SELECT sum(t) FROM steps) AS share FROM steps)")

@@ -49,6 +49,21 @@ def test_divergence_tells_junk(spark):
     assert all(got[i]["kept"] for i in range(60)) and not any(got[i]["kept"] for i in (60, 61, 62, 100))
 
 
+def test_references_of_every_language(spark):
+    """A language without a list of common words has its own reference; a rare one isn't judged, and
+    texts without a language go by the nearest."""
+    rng = random.Random(4)
+    kana = [chr(0x3041 + rng.randrange(80)) + chr(0x3041 + rng.randrange(80)) for _ in range(40)]
+    latin = ["the", "of", "and", "to", "house", "river", "stone", "green", "walk", "paper"]
+    text = lambda words, n=150: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, text(kana), "ja") for i in range(40)] + [(100 + i, text(latin), "en") for i in range(40)]
+    junk = ["".join(rng.choice("#%$@&12") for _ in range(4)) for _ in range(60)]
+    rows += [(200, text(kana), None), (201, text(junk), None), (202, text(junk), "xx"), (203, text(junk), "ja")]
+    got = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i]["kept"] for i in [*range(40), *range(100, 140), 200, 202]) and not got[201]["kept"] and not got[203]["kept"]
+    assert got[202]["char_distance"] is None and got[0]["char_distance"] < 0.1
+
+
 def test_raking_meets_targets(spark):
     rng = random.Random(1)
     rows = [(i, "w " * rng.randrange(1, 60), rng.choice(["en", "en", "de"]), rng.choice("abbbb")) for i in range(2000)]
