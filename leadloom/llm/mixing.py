@@ -21,11 +21,12 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, uniform, words_of
+from .common import checkpoint, discard, uniform, words_of, written
 
 #: Topic rules, first match wins: a name and a pattern that the text has to contain.
 TOPICS = {
@@ -45,8 +46,8 @@ class Mix:
     targets: dict[str, dict[str, float] | None] = field(default_factory=dict)
     temper: float = 0.5
     #: Rounds at most; fewer if every marginal is within `tolerance` of its target, as a share of all tokens.
-    rounds: int = 12
-    tolerance: float = 1e-5
+    rounds: int = 24
+    tolerance: float = 1e-4
     #: Cells most wanted for their size are taken whole, up to this share of all tokens; their weights
     #: are then cut, so targets are missed. At 0 or below no probability is cut at one and weights are
     #: met exactly, at the price of a smaller sample: at 0 the most wanted cells get probability one,
@@ -83,13 +84,16 @@ def calibrated(sizes: DataFrame, mix: Mix) -> DataFrame:
         total = marginal.agg(F.sum("m")).first()[0] or 1.0
         marginal = marginal.select(F.col(d).alias(f"k_{d}"), (F.col("m") / F.lit(float(total))).alias(f"target_{d}"))
         cells = cells.join(marginal, F.col(d).eqNullSafe(F.col(f"k_{d}")), "left").drop(f"k_{d}").withColumn(f"target_{d}", F.coalesce(f"target_{d}", F.lit(0.0)))
-    cells = checkpoint(cells)
+    # Written rather than checkpointed: a checkpoint keeps what is known of its columns, which grows with every turn.
+    cells = written(cells)
     for _ in range(mix.rounds):
+        before = cells
         for d in DIMENSIONS:
             there = cells.groupBy(F.col(d).alias("_k")).agg(F.sum("share").alias("_there"))
             scaled = F.when(F.col("_there") > 0, F.col("share") * F.col(f"target_{d}") / F.col("_there")).otherwise(F.lit(0.0))
             cells = cells.join(there, F.col(d).eqNullSafe(F.col("_k"))).withColumn("share", scaled).drop("_k", "_there")
-        cells = checkpoint(cells)
+        cells = written(cells)
+        discard(before)
         if _miss(cells) <= mix.tolerance:
             break
     cells = cells.withColumn("ratio", F.when(F.col("cell_tokens") > 0, F.col("share") / F.col("cell_tokens")).otherwise(F.lit(0.0)))
@@ -99,11 +103,8 @@ def calibrated(sizes: DataFrame, mix: Mix) -> DataFrame:
 
 def _miss(cells: DataFrame) -> float:
     """The largest difference of a marginal from its target."""
-    out = 0.0
-    for d in DIMENSIONS:
-        each = cells.groupBy(d).agg(F.abs(F.sum("share") - F.first(f"target_{d}")).alias("miss"))
-        out = max(out, each.agg(F.max("miss")).first()[0] or 0.0)
-    return out
+    each = [cells.groupBy(d).agg(F.abs(F.sum("share") - F.first(f"target_{d}")).alias("miss")).select("miss") for d in DIMENSIONS]
+    return reduce(DataFrame.unionByName, each).agg(F.max("miss")).first()[0] or 0.0
 
 
 def _scale(cells: DataFrame, whole: float) -> float:
