@@ -9,8 +9,10 @@ each two shards only as many move each way as the quotas of both allow, those
 with most to gain first. At the end the order (shard, group) is cut into equal
 runs, so the law `rows` holds exactly: counts differ by one at most.
 
-Groups of equal texts form stars around their smallest doc_id, never cliques, and
-a group that is larger than a shard's capacity is spread by the quotas.
+Groups of equal texts form trees of two levels, never cliques: members hang on the
+smallest node of their salt, these on the smallest of the group; with as many salts as the root of
+the number of rows, no node of a group of any size has more links than that by far. A group
+that is larger than a shard's capacity is spread by the quotas.
 
 Native: SQL functions, joins and aggregates only. After one pass over the texts
 all tables are a few numbers per document. Ranks over all rows come from counts
@@ -23,6 +25,7 @@ an empty result.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -51,10 +54,13 @@ def described(docs: DataFrame) -> DataFrame:
     )
 
 
-def equal_links(nodes: DataFrame) -> DataFrame:
-    """A star per group of equal texts: (node, hub), with hub = smallest node."""
-    hubs = nodes.groupBy("text_key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    return nodes.join(hubs, "text_key").filter("node <> hub").select("node", "hub")
+def equal_links(nodes: DataFrame, salts: int = 64) -> DataFrame:
+    """A tree per group of equal texts: (node, hub), where a hub is the smallest node of a salt or of the group."""
+    salted = nodes.select("text_key", "node", F.pmod(F.xxhash64("node"), F.lit(salts)).alias("salt"))
+    heads = checkpoint(salted.groupBy("text_key", "salt").agg(F.min("node").alias("hub"), F.count("*").alias("n")))
+    members = salted.join(heads.filter("n > 1"), ["text_key", "salt"]).select("node", "hub")
+    tops = heads.groupBy("text_key").agg(F.min("hub").alias("top"), F.count("*").alias("n")).filter("n > 1")
+    return members.unionByName(heads.join(tops.select("text_key", "top"), "text_key").select(F.col("hub").alias("node"), F.col("top").alias("hub"))).filter("node <> hub")
 
 
 def _hash_shard(node: Column, shards: int) -> Column:
@@ -107,7 +113,7 @@ def assign(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     # Rows get numbers of their own, so that repeated doc_ids stay apart; they are fixed by the checkpoint.
     nodes = checkpoint(described(docs).withColumn("node", F.monotonically_increasing_id()))
     total = nodes.count()
-    linked = checkpoint(equal_links(nodes))
+    linked = checkpoint(equal_links(nodes, math.isqrt(total) + 1))
     members = linked.select("node").unionByName(linked.select(F.col("hub").alias("node"))).distinct()
     start = members.select("node", _hash_shard(F.col("node"), plan.shards).alias("shard"))
     labels = propagate(checkpoint(start), linked, members.count() if total else 0, plan)
