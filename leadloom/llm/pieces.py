@@ -8,8 +8,8 @@ forward states of the prefix that a word shares with the one before are kept,
 only the rest is computed.
 
 Forward states follow the model's own kind. Unigram models: the best sum of scores
-of each prefix (Viterbi). BPE models (such as the 32k vocabulary): of each prefix
-the one last piece of its encoding. That is enough, as the merges never cross
+of each prefix (Viterbi). BPE models (such as the 32k vocabulary, the only model file at hand, so the one of
+the registered query): of each prefix the one last piece of its encoding. That is enough, as the merges never cross
 the pieces of a result: a prefix that ends between two pieces is encoded by the
 pieces before; and a piece may follow another if the pair, encoded together,
 gives just that pair. So the same walk gives exactly the library's ids, which
@@ -208,8 +208,10 @@ class Model:
         if len(known) > room:
             known.clear()
         new = sorted({w for ws in cut if ws for w in ws}.difference(known))
-        known.update(self.encode_sorted(new))
-        return [None if ws is None else b"".join(map(known.__getitem__, ws)) for ws in cut]
+        found = dict(self.encode_sorted(new))
+        # Long words (sentences of scripts without spaces) aren't kept, so the cache has a size.
+        known.update((w, b) for w, b in found.items() if len(w) <= 32)
+        return [None if ws is None else b"".join([known[w] if w in known else found[w] for w in ws]) for ws in cut]
 
     def decode(self, ids: np.ndarray) -> str:
         raw = b"".join(map(self.plain.__getitem__, ids.tolist()))

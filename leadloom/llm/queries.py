@@ -34,6 +34,7 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model is of the BPE kind, so the forward state of a prefix is the last piece of its encoding."""
     return pieces.digest(table(spark, sf_dir, "documents"), pieces.read_model())
 
 
