@@ -10,10 +10,11 @@ keyed surrogates of the same type and format:
   case and script of letters, and the validity of check digits stay;
 * names become made-up names of the same script, number of parts and gender (as
   the title tells; the ending of the first of several parts), part by part. A part's
-  letters, as a number, go through a keyed permutation too and are written in syllables, so
-  different parts never share a surrogate. Names of the corpus that look made up
-  themselves are found in a first pass (one number is collected): all surrogates get
-  more syllables than these, so none is a name of the corpus.
+  letters, as a number, go through a keyed permutation too and are written in syllables
+  (Latin, Cyrillic and Greek) or letters of the script, so different parts never share a
+  surrogate. Names of the corpus that look made up themselves, and names in the other
+  scripts, are found in a first pass (one number is collected): all surrogates
+  get more syllables or letters than these, so none is a name of the corpus.
 
 Equal after normalising means same person or account: case in e-mail addresses, layout of
 numbers, leading zeros in IPv4 addresses, spaces and case in names.
@@ -27,9 +28,12 @@ Where spans overlap, the kind that comes first in KINDS wins. No shuffle of text
 a task's memory is one batch.
 
 Defined results: a null text stays null, with no entities; an empty one stays empty;
-repeated rows are treated alike; other columns are kept, but for one named entities, which is
-replaced; an empty table gives an
-empty result.
+repeated rows are treated alike; other columns are kept, but for one that has the name of the spans'
+column (entities), which is replaced if spans are asked for; an empty table gives an empty result.
+
+The key is the parameter Surrogates.key, or the session's spark.leadloom.surrogate.key if that is set; the
+default is for tests. Surrogate e-mail addresses keep their top-level domain, so some might exist:
+`reserved` appends a domain that can't.
 """
 
 from __future__ import annotations
@@ -72,8 +76,10 @@ _SECRET_SIGNS = ("=", ":", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_
 @dataclass(frozen=True)
 class Surrogates:
     key: str = "change-me"
-    #: The fewest syllables of a made-up name; `checked` raises it above those of the corpus.
+    #: The fewest syllables (or letters, in scripts without) of a made-up name; `checked` raises it above those of the corpus.
     syllables: int = 4
+    #: Appended to addresses, such as ".example".
+    reserved: str = ""
     kinds: tuple[str, ...] = tuple(KINDS)
 
 
@@ -96,13 +102,21 @@ def find(text: str, kinds: tuple[str, ...] = tuple(KINDS)) -> list[tuple[int, in
                 if kind == "name":  # ends before a word that begins in lower case
                     value = " ".join([value.split(" ")[0], *takewhile(lambda w: not w[0].islower(), value.split(" ")[1:])])
                 spans.append((m.start(group), m.start(group) + len(value), kind, value, TITLES[m["t"]] if kind == "name" else ""))
-            for start, end, *_ in spans[found:]:  # hidden from the kinds that follow
-                text = text[:start] + "\0" * (end - start) + text[end:]
+            text = _hidden(text, spans[found:])  # from the kinds that follow
             if kind == "name" and len(spans) > found:
                 spans[found:] = _mentions(text, spans[found:])
     return sorted(spans)
 
 
+def _hidden(text: str, spans: list[tuple]) -> str:
+    """The text with zeros in these spans, which are in order."""
+    out, at = [], 0
+    for start, end, *_ in spans:
+        out += [text[at:start], "\0" * (end - start)]
+        at = end
+    return "".join(out) + text[at:] if spans else text
+
+
 def _mentions(text: str, titled: list[tuple]) -> list[tuple]:
     """Names with titles, and further mentions of them in the text: of whole names and of their last
     words. A name takes the gender that one of its titles tells, if they don't differ."""
@@ -231,12 +245,24 @@ _LETTERS = {
     "CYRILLIC": ("абвгдежзийклмнопрстуфхцчшщъыьэюяё", ""),
     "GREEK": ("αβγδεζηθικλμνξοπρστυφχψωςάέήίόύώ", ""),
 }
+#: Scripts whose names are made up of letters, with ranges of their usual ones.
+_RANGES = {
+    "CJK": (0x4E00, 0x9FA5), "HIRAGANA": (0x3042, 0x3093), "KATAKANA": (0x30A2, 0x30F3), "HANGUL": (0xAC00, 0xD7A3), "ARABIC": (0x628, 0x63A), "HEBREW": (0x5D0, 0x5EA),
+    "DEVANAGARI": (0x905, 0x939), "BENGALI": (0x995, 0x9A8), "THAI": (0xE01, 0xE2E), "ARMENIAN": (0x561, 0x586), "GEORGIAN": (0x10D0, 0x10F0),
+}
 _LOOKS_MADE_UP = re.compile("|".join(f"(?:{'|'.join(a)})+(?:{'|'.join(sorted({x for e in b.values() for x in e}))})" for a, b in SYLLABLES.values()))
 
 
 def _number(part: str, script: str) -> int:
     """A number of its own for each lower-case string, small for short ones of usual letters."""
-    for tier, letters in enumerate(_LETTERS[script]):
+    if script in _RANGES:
+        first, last = _RANGES[script]
+        if all(first <= ord(c) <= last for c in part):
+            n = 0
+            for c in part:
+                n = n * (last - first + 1) + ord(c) - first + 1
+            return 3 * n
+    for tier, letters in enumerate(_LETTERS.get(script, ())):
         if all(c in letters for c in part):
             n = 0
             for c in part:
@@ -250,15 +276,14 @@ def _made_up(part: str, gender: str, key: bytes, fewest: int) -> str:
     with as many. Syllables and endings can be told apart, so no two parts meet."""
     low = part.lower()
     script = _script(part)
-    # Surrogates of other scripts are Latin too, so they are numbered by their bytes among the Latin ones.
-    script = script if script in SYLLABLES else "LATIN"
-    syllables, endings = SYLLABLES[script]
+    # Surrogates in scripts that aren't known are Latin too, so they are numbered by their bytes among the Latin ones.
+    script = script if script in SYLLABLES or script in _RANGES else "LATIN"
+    syllables, endings = SYLLABLES[script] if script in SYLLABLES else ([chr(c) for c in range(_RANGES[script][0], _RANGES[script][1] + 1)], None)
     number, many = _number(low, script), fewest
     while len(syllables) ** many <= number:
         many += 1
     number = permuted(number, len(syllables) ** many, key, f"name|{script}|{many}")
-    ends = endings[gender]
-    end, out = ends[number % len(ends)], []
+    end, out = endings[gender][number % len(endings[gender])] if endings else "", []
     for _ in range(many):
         number, i = divmod(number, len(syllables))
         out.append(syllables[i])
@@ -283,7 +308,7 @@ def surrogate(kind: str, value: str, gender: str, s: Surrogates) -> str:
     key = hashlib.blake2b(s.key.encode(), digest_size=32).digest()
     if kind == "email":
         head, _, top = value.lower().rpartition(".")
-        return permuted_text(head, key, f"email|{top}") + f".{top}.example"
+        return permuted_text(head, key, f"email|{top}") + f".{top}{s.reserved}"
     if kind == "ip":
         n = 0
         for x in value.split("."):
@@ -340,24 +365,29 @@ def checked(docs: DataFrame, s: Surrogates) -> Surrogates:
     if "name" not in s.kinds:
         return s
 
+    def size(part: str) -> int:
+        return len(part) if _script(part) in _RANGES else len(part) // 2 if _LOOKS_MADE_UP.fullmatch(part) else 0
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = {p for t in batch.column(0) if t.is_valid for _, _, k, v, _ in find(t.as_py(), s.kinds) if k == "name" for p in v.lower().split()}
-            most = max((len(p) // 2 for p in parts if _LOOKS_MADE_UP.fullmatch(p)), default=0)
+            texts = (t for t in batch.column(0).to_pylist() if t and any(x in t for x in TITLES))
+            most = max((size(p) for t in texts for _, _, k, v, _ in find(t, s.kinds) if k == "name" for p in v.lower().split()), default=0)
             yield pa.RecordBatch.from_arrays([pa.array([most], pa.int32())], ["syllables"])
 
     most = docs.select("text").mapInArrow(run, "syllables int").agg(F.max("syllables")).first()[0] or 0
     return replace(s, syllables=max(s.syllables, most + 1))
 
 
-def protect(docs: DataFrame, s: Surrogates = Surrogates()) -> DataFrame:
-    """`docs` with its texts rewritten, and entities array<struct<start, end, kind>>
+def protect(docs: DataFrame, s: Surrogates | None = None, spans: str | None = "entities") -> DataFrame:
+    """`docs` with its texts rewritten, and (unless `spans` is None) a column array<struct<start, end, kind>>
     with the places of the surrogates in the new text (in code points)."""
+    if s is None:
+        s = Surrogates(key=docs.sparkSession.conf.get("spark.leadloom.surrogate.key", Surrogates.key))
     now = checked(small_batches(docs), s)
-    rest = docs.drop("entities")
+    rest = docs.drop(spans) if spans else docs
     names = rest.schema.names
     span = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("kind", StringType())])
-    schema = StructType([*rest.schema.fields, StructField("entities", ArrayType(span))])
+    schema = StructType([*rest.schema.fields, *([StructField(spans, ArrayType(span))] if spans else [])])
     arrow = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,6 +399,6 @@ def protect(docs: DataFrame, s: Surrogates = Surrogates()) -> DataFrame:
                 done = [(None, []) if t is None else replaced(t, now, known) for t in part.column(k).to_pylist()]
                 columns = list(part.columns)
                 columns[k] = pa.array([t for t, _ in done], pa.string())
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([e for _, e in done], arrow)], [*names, "entities"])
+                yield pa.RecordBatch.from_arrays([*columns, *([pa.array([e for _, e in done], arrow)] if spans else [])], schema.names)
 
     return rest.mapInArrow(run, schema)

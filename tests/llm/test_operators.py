@@ -175,9 +175,9 @@ def test_surrogates(spark):
     kinds = [x["kind"] for x in spans]
     values = [new[x["start"] : x["end"]] for x in spans]
     assert kinds == ["name", "name", "email", "email", "phone", "ip", "card", "card", "secret"]
-    assert values[0].isascii() and values[0].endswith("a") is False or values[0].split()[0][-1] == "a"  # a woman's first name
+    assert values[0].isascii() and values[0].split()[0][-1] == "a"  # a woman's first name
     assert all("Ѐ" <= c <= "ӿ" for c in values[1].replace(" ", "")) and len(values[1].split()) == 2
-    assert values[2] == values[3] and values[2].endswith(".com.example")  # coreference, across case
+    assert values[2] == values[3] and values[2].endswith(".com") and values[2].count("@") == 1  # coreference, across case
     assert values[4].startswith("+1 (") and len(values[4]) == len("+1 (826) 555-4081")
     assert values[6].replace(" ", "") == values[7].replace("-", "") and pii._luhn(values[6].replace(" ", "")[:-1]) == int(values[6][-1])
     assert not any(v in new for v in ("Anna Schmidt", "Петров", "555-4081", "4111 1111", "0123456789abcdef0123", "1.2.3.4"))
@@ -202,6 +202,38 @@ def test_many_names_have_their_own_surrogates(spark):
     assert len(new) == len(set(new)) == len(names) and not set(new) & set(names)
 
 
+def test_names_keep_their_script(spark):
+    names = {"CJK": ["山田", "太郎", "李明", "山田太郎次"], "HIRAGANA": ["たなか", "さくら"], "KATAKANA": ["ジョン", "アンナ"], "HANGUL": ["김철수", "박영희"], "ARABIC": ["محمد"], "HEBREW": ["דוד"], "CYRILLIC": ["Петров"], "GREEK": ["Νίκος"]}
+    rows = [(i, f"Mr. {n} hat {n} gesehen") for i, n in enumerate(n for ns in names.values() for n in ns)]
+    out = pii.protect(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    found = [[r["text"][e["start"] : e["end"]] for e in r["entities"]] for r in out]
+    assert [pii._script(f[0]) for f in found] == [s for s, ns in names.items() for _ in ns]
+    assert all(len(f) == 2 and f[0] == f[1] for f in found)
+    assert len({f[0] for f in found}) == len(rows) and not {f[0] for f in found} & {n for ns in names.values() for n in ns}
+
+
+def test_a_hundred_thousand_names(spark):
+    """Distinct names have distinct surrogates, none of them a name of the corpus, by comparing all."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"{letters[i % 26].upper()}{letters[i // 26 % 26]}{letters[i // 676 % 26]}{letters[i // 17576]}o" for i in range(100_000)]
+    rows = spark.createDataFrame([(i, " ".join(f"Mr. {n}." for n in names[i : i + 100])) for i in range(0, 100_000, 100)], "doc_id long, text string")
+    new = [r["text"][e["start"] : e["end"]] for r in pii.protect(rows).collect() for e in r["entities"]]
+    assert len(new) == len(set(new)) == 100_000 and not set(new) & set(names)
+
+
+def test_many_spans_in_one_text():
+    text = " ".join(f"{i:03d}-{i % 90 + 10}-{i:04d}" for i in range(1000)) * 20
+    assert len(pii.find(text)) >= 19_000
+
+
+def test_hot_groups_hang_on_many_hubs(spark):
+    nodes = spark.range(10_000).select(F.col("id").alias("node"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("text_key"))
+    links = sharding.equal_links(nodes, 100)
+    assert links.groupBy("hub").count().agg(F.max("count")).first()[0] < 250
+    got = linking.components(links.select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    assert got.count() == 3334 and got.select("component").distinct().count() == 1
+
+
 def test_mentions_of_a_name_agree():
     s = pii.Surrogates(key="k")
     text = "Mr. John Smith met Dr. Smith. John Smith's house; SMITH left. Mr. Smith\nand Mrs. Anna Maria Luisa Weber Klein, then Klein, Smithson and Ms. O'Hara. Dr. John Smith. г-н Иван Петров сказал"
