@@ -32,7 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, small_batches
@@ -184,8 +184,10 @@ def _apart(here: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
 
     Most can't, and aren't made into rows. If x and y are similar enough, x has at most
     (100 |x| - percent |y|) / (100 + percent) shingles that y lacks. So of the rare shingles
-    of x, y must have all but so many. Pairs with common rare shingles come from an
-    equi-join on these, with their number, and must pass that test for both.
+    of x, y must have all but so many, t at most for any y; and in one order of all shingles, the
+    rarest first, the first one in common is among the first t + 1 of either. So pairs with
+    common rare shingles come from an equi-join on these alone. A class with more than t
+    shingles of its own meets none.
 
     Other pairs in a bucket must pass it with no rare shingle in common. Added up, the two
     tests say (100 + percent) (k + l) <= (100 - percent) (|x| + |y|) for their numbers of rare shingles, so
@@ -212,10 +214,13 @@ def _apart(here: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
     lacks = lambda k, x, y: (100 + p.percent) * k <= 100 * x - p.percent * y
     n, m, k, l = (F.col(c) for c in "nmkl")  # noqa: E741
 
-    known = rare.filter("often > 1").select("token", "node").join(nodes.select("node", "n", "component", "k"), "node")
-    other = known.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("k").alias("l"))
-    met = known.withColumnRenamed("node", "a").join(other, "token").filter("a < b and component <> other").groupBy("a", "b", "n", "m", "k", "l").agg(F.count("*").alias("both"))
-    by_token = met.filter(lacks(k - F.col("both"), n, m) & lacks(l - F.col("both"), m, n)).select("a", "b")
+    # The smallest y that may be similar has percent of the shingles of x.
+    most = F.floor((100 * n - F.lit(p.percent) * F.ceil(p.percent * n / 100)) / (100 + p.percent))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("often", "token"))
+    known = rare.withColumn("place", place).join(nodes.select("node", "n", "component"), "node").filter((F.col("place") <= most + 1) & (F.col("often") > 1)).select("token", "node", "n", "component")
+    other = known.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
+    in_size = 100 * F.least(n, m) >= p.percent * F.greatest(n, m)
+    by_token = known.withColumnRenamed("node", "a").join(other, "token").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & in_size).select("a", "b")
 
     core = (100 + p.percent) * k <= (100 - p.percent) * n
     weak = checkpoint(nodes.filter(100 * k <= (100 - p.percent) * n).withColumn("core", core).withColumn("bucket", F.explode("buckets")))
@@ -231,7 +236,8 @@ def _apart(here: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
 def links_of(docs: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
     """classes: node, set_key, doc_id, text_hash, n_shingles, bands. Confirmed links (a, b) that connect the classes as all links would."""
     spark = docs.sparkSession
-    all_rows = classes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
+    # A bucket's first class is that of the smallest doc_id: often the text that others were made from.
+    all_rows = classes.select("node", "doc_id", "n_shingles", F.explode("bands").alias("bucket"))
     shared = all_rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     rows = checkpoint(all_rows.join(shared, "bucket"))
     sets = checkpoint(_sets(docs, classes.join(rows.select("node").distinct(), "node", "left_semi"), p))
@@ -240,22 +246,22 @@ def links_of(docs: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
     near_in_size = lambda x, y: 100 * F.least(x, y) >= p.percent * F.greatest(x, y)  # noqa: E731  which no similar sets miss
     for turn in range(p.rounds + 1):
         if label is None:
-            rows = rows.select("bucket", "node", "n_shingles", F.col("node").alias("component"))
+            rows = rows.select("bucket", "node", "doc_id", "n_shingles", F.col("node").alias("component"))
         else:
-            rows = rows.join(label, "node", "left").select("bucket", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
-        open_ = rows.groupBy("bucket").agg(F.min(F.struct("node", "component", "n_shingles")).alias("lead"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1")
+            rows = rows.join(label, "node", "left").select("bucket", "node", "doc_id", "n_shingles", F.coalesce("component", "node").alias("component"))
+        open_ = rows.groupBy("bucket").agg(F.min(F.struct("doc_id", "node", "component", "n_shingles")).alias("lead"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1")
         here = rows.join(open_.select("bucket", "lead"), "bucket")
         if turn:  # few rows are left
             here = checkpoint(here)
         if turn < p.rounds:
-            found = here.filter((F.col("component") != F.col("lead.component")) & near_in_size(F.col("n_shingles"), F.col("lead.n_shingles"))).select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
+            found = here.filter((F.col("component") != F.col("lead.component")) & near_in_size(F.col("n_shingles"), F.col("lead.n_shingles"))).select(F.least("lead.node", "node").alias("a"), F.greatest("lead.node", "node").alias("b"))
         else:
             found = _apart(here.select("bucket", "node", "n_shingles", "component"), sets, p)
         pairs = checkpoint(found.distinct().join(tested, ["a", "b"], "left_anti"))
         links = checkpoint(links.unionByName(_confirmed(pairs, sets, p.percent)))
         if turn < p.rounds:
             tested, label = tested.unionByName(pairs), components(links)
-            rows = here.filter(F.col("node") != F.col("lead.node")).select("bucket", "node", "n_shingles")
+            rows = here.filter(F.col("node") != F.col("lead.node")).select("bucket", "node", "doc_id", "n_shingles")
     return links
 
 
