@@ -29,9 +29,10 @@ def with_groups(records: DataFrame, model: str) -> DataFrame:
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
     if model == "simple":
         parts = ["business_name", "website", "phone", "email", "city"]
-        group = hash32(F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in parts]))
+        # Grouped by the fields themselves, as a 32-bit hash would merge businesses; group_hash is that hash.
+        group = F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in parts])
         canonical = hash32(F.concat_ws("|", F.coalesce("business_name", F.lit("")), first_filled("website", "phone", "email"), F.coalesce("city", F.lit(""))))
-        return records.withColumns({"duplicate_group_id": group, "canonical_entity_id": canonical})
+        return records.withColumns({"duplicate_group_id": group, "group_hash": hash32(group), "canonical_entity_id": canonical})
     if model == "jobs":
         group = stable_group_id(low("company_name"), low("job_title"), "source")
     elif model == "posts":
@@ -64,16 +65,19 @@ def process(records: DataFrame, model: str = "hvac", by: tuple[str, ...] = (), o
     """Scores, resolves duplicates, counts and routes records; `by` (such as a run's id) keeps
     batches apart, so that all runs are one plan instead of a loop."""
     m = MODELS[model]
-    flagged = dedupe.flag_best(with_groups(score(records, model), model), [*by, "duplicate_group_id"], m.score, order)
+    scored = with_groups(score(records, model), model)
+    flagged = dedupe.flag_best(scored, [*by, "duplicate_group_id"], m.score, order)
     unique = flagged.filter("is_unique")
     signals = "signal_count" if model == "posts" else None
-    return Batch(flagged, unique, dedupe.ranked(unique, m.score, 10), summary.counts(flagged, m.score, by, signals), summary.routing(flagged, m.score, m.high, m.nurture, by))
+    # Counts and routing need no window: one row per group is enough.
+    grouped = summary.groups(scored, m.score, by, signals)
+    return Batch(flagged, unique, dedupe.ranked(unique, m.score, 10), summary.counts_of_groups(grouped, by), summary.routing_of_groups(grouped, m.high, m.nurture, by))
 
 
-def due_messages(waiting: DataFrame, optouts: DataFrame, now: Column, limit: int = 50) -> tuple[DataFrame, DataFrame]:
+def due_messages(waiting: DataFrame, optouts: DataFrame, now: Column, limit: int = 50, steps: dict[int, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(messages to send with their template, rows to delete)."""
     send, drop = queue.split_opted_out(queue.due(waiting, now, limit), optouts)
-    return queue.with_copy(send), drop
+    return queue.with_copy(send, steps), drop
 
 
 def delivery(runs: DataFrame, leads: DataFrame, run_id: int | None = None, limit: int | None = 50) -> DataFrame:
@@ -81,11 +85,11 @@ def delivery(runs: DataFrame, leads: DataFrame, run_id: int | None = None, limit
     return queue.delivery(leads.join(F.broadcast(run), "run_id"), limit)  # one run
 
 
-def ingest_finance(candidates: DataFrame, seen: DataFrame | None, window_open: bool, account: str) -> tuple[DataFrame, DataFrame]:
+def ingest_finance(candidates: DataFrame, seen: DataFrame | None, window_open: bool, account: str, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(new signals, receipt)."""
     rows = finance.keyed(candidates, account)
     new = finance.new_signals(rows, seen)
-    return (new if window_open else new.limit(0)), finance.receipt(rows, new, window_open)
+    return (new if window_open else new.limit(0)), finance.receipt(rows, new, window_open, now)
 
 
 def intake(requests: DataFrame, existing: DataFrame | None = None) -> DataFrame:

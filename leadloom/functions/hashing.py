@@ -52,4 +52,19 @@ def register(spark) -> None:
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION normalize_text(x STRING) RETURNS STRING RETURN btrim(regexp_replace(regexp_replace(coalesce(x, ''), '[\\\\x00-\\\\x1f\\\\x7f]', ' '), '(?U)\\\\s+', ' '))")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION round_half_up(x DOUBLE) RETURNS BIGINT RETURN floor(x + 0.5D)")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION stable_group_id(x STRING) RETURNS STRING RETURN left(sha1(x), 16)")
+    phone = "regexp_replace(coalesce(x, ''), '[^0-9+]', '')"
+    digits = "regexp_replace(coalesce(x, ''), '[^0-9]', '')"
+    for head, body in {
+        "normalize_email(x STRING) RETURNS STRING": "lower(normalize_text(x))",
+        "normalize_phone(x STRING) RETURNS STRING": f"CASE WHEN startswith({phone}, '+') THEN {phone} WHEN length({digits}) = 11 AND startswith({digits}, '1') THEN concat('+', {digits}) WHEN length({digits}) = 10 THEN concat('+1', {digits}) WHEN length({digits}) BETWEEN 8 AND 15 THEN concat('+', {digits}) ELSE {digits} END",
+        "normalize_domain(x STRING) RETURNS STRING": "regexp_replace(split_part(split_part(regexp_replace(lower(normalize_text(x)), '^https?://', ''), '/', 1), ':', 1), '^www[.]', '')",
+        "slugify(x STRING) RETURNS STRING": "regexp_replace(regexp_replace(regexp_replace(btrim(regexp_replace(lower(coalesce(x, '')), '[^a-z0-9 .-]', '')), ' +', '-'), '-+', '-'), '^-|-$', '')",
+        "html_escape(x STRING) RETURNS STRING": "replace(replace(replace(replace(coalesce(x, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')",
+        "first_filled(x STRING, y STRING) RETURNS STRING": "coalesce(nullif(x, ''), nullif(y, ''), '')",
+        "event_key(account STRING, event_type STRING, day STRING) RETURNS STRING": "concat_ws(':', 'finance_event', account, event_type, day)",
+        "signal_key(entity STRING, signal_type STRING) RETURNS STRING": "concat_ws(':', 'finance_signal', entity, signal_type)",
+        "clamp(x DOUBLE) RETURNS DOUBLE": "greatest(0D, least(100D, x))",
+        "ratio(part BIGINT, total BIGINT) RETURNS DOUBLE": "CASE WHEN total = 0 THEN 0D ELSE CAST(floor((part * 2000 + total) / (total * 2)) AS DOUBLE) / 1000 END",
+    }.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION is_email(x STRING) RETURNS BOOLEAN RETURN coalesce(x, '') RLIKE '^[^\\\\s@]+@[^\\\\s@]+\\\\.[^\\\\s@]+$'")

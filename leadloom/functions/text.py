@@ -82,8 +82,10 @@ def visible_text(html: ColumnOrName) -> Column:
 def matched_keywords(text: ColumnOrName, keywords: list[str], fold: bool = False) -> Column:
     """Keywords that the lower-cased text contains, in the list's order. Unless `fold`,
     keywords are not lower-cased, so those with capitals never match."""
-    low = F.lower(_text(text))
-    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(k.lower() if fold else k)), F.lit(k)) for k in keywords]))
+    words = F.array(*map(F.lit, keywords))
+    found = lambda low: F.filter(words, lambda k: F.contains(low, F.lower(k) if fold else k))
+    # The text is lower-cased once, as the only element of an array.
+    return F.element_at(F.transform(F.array(F.lower(_text(text))), found), 1)
 
 
 def filled_count(*xs: ColumnOrName) -> Column:

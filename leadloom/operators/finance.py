@@ -47,10 +47,19 @@ def stored(signals: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("signal_key").agg(first, F.max("updated_at").alias("updated_at")).select("signal_key", "updated_at", *[F.col(f"f.{c}").alias(c) for c in columns])
 
 
-def receipt(candidates: DataFrame, new: DataFrame, window_open: bool = True) -> DataFrame:
-    """candidate_count, dedupe_count, mode, pagination_exhausted, and the counts by source."""
+#: Names of the sources in receipts. The balance is one object, however many currencies it has.
+RECEIPT_SOURCES = {"balance": "balance", "charge": "charges", "subscription": "subscriptions", "balance_transaction": "balance_transactions"}
+
+
+def receipt(candidates: DataFrame, new: DataFrame, window_open: bool = True, now: Column | None = None) -> DataFrame:
+    """run_timestamp_utc, window_open, candidate_count, dedupe_count, pagination_exhausted, mode, and
+    sources: a map of how many entries each source gave."""
+    stamp = F.date_format(F.current_timestamp() if now is None else now, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("run_timestamp_utc")
     if not window_open:
-        return candidates.sparkSession.createDataFrame([(0, 0, False, "outside_window_noop")], "candidate_count long, dedupe_count long, pagination_exhausted boolean, mode string")
-    total, fresh = candidates.agg(F.count("*").alias("candidate_count")), new.agg(F.count("*").alias("_new"))
+        nothing = candidates.sparkSession.range(1)
+        return nothing.select(stamp, F.lit(False).alias("window_open"), F.lit(0).cast("long").alias("candidate_count"), F.lit(0).cast("long").alias("dedupe_count"), F.lit(False).alias("pagination_exhausted"), F.lit("outside_window_noop").alias("mode"), F.create_map().cast("map<string,long>").alias("sources"))
+    of = lambda s: F.count_if(F.col("source") == s) if s != "balance" else F.max((F.col("source") == s).cast("long"))
+    sources = F.create_map(*[x for s, name in RECEIPT_SOURCES.items() for x in (F.lit(name), F.coalesce(of(s), F.lit(0)).cast("long"))])
+    total, fresh = candidates.agg(F.count("*").alias("candidate_count"), sources.alias("sources")), new.agg(F.count("*").alias("_new"))
     # Two aggregates of one row each.
-    return total.crossJoin(fresh).select("candidate_count", (F.col("candidate_count") - F.col("_new")).alias("dedupe_count"), F.lit(True).alias("pagination_exhausted"), F.lit("ingested").alias("mode"))
+    return total.crossJoin(fresh).select(stamp, F.lit(True).alias("window_open"), "candidate_count", (F.col("candidate_count") - F.col("_new")).alias("dedupe_count"), F.lit(True).alias("pagination_exhausted"), F.lit("read_only_ingestion").alias("mode"), "sources")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Subject and lead of each step's message.
 STEPS = {0: "welcome", 1: "reminder", 2: "proof", 3: "last_call"}
+#: The steps of the follow-ups of local businesses, which have no last call.
+FOLLOWUP_STEPS = {0: "welcome", 1: "reminder", 2: "proof"}
 
 
 def queued(runs: DataFrame, limit: int = 25) -> DataFrame:
@@ -58,7 +60,7 @@ def delivery(leads: DataFrame, limit: int | None = 50, score: str = "lead_score"
 
 
 def update_runs(runs: DataFrame, summaries: DataFrame, key: str = "id") -> DataFrame:
-    """New values where a summary has some, old ones elsewhere; runs without items fail."""
+    """New values where a summary has some, old ones elsewhere (runs.failed_without_items marks runs that no items came for)."""
     new = [c for c in summaries.columns if c != key]
     joined = runs.join(summaries.select(key, *[F.col(c).alias(f"_{c}") for c in new]), key, "left")
     return joined.withColumns({c: F.coalesce(f"_{c}", *([c] if c in runs.columns else [])) for c in new}).drop(*[f"_{c}" for c in new])

@@ -19,6 +19,42 @@ def counts(flagged: DataFrame, score: str = "lead_score", by: tuple[str, ...] =
     return out.withColumns({"duplicate_rate": ratio(F.col("total") - F.col("unique_count"), F.col("total"), 3), "average_score": ratio(F.col("_sum"), F.col("total"), 1)}).drop("_sum")
 
 
+def groups(scored: DataFrame, score: str = "lead_score", by: tuple[str, ...] = (), signals: str | None = None) -> DataFrame:
+    """One row per duplicate group, partially aggregated before the shuffle, so a hot group is a row a task:
+    what counts and routing need of it. Its best record has its highest score."""
+    band = lambda b: F.count_if(F.col("score_band") == b)
+    aggs = [F.count("*").alias("_n"), F.sum(score).alias("_sum"), F.max(score).alias("_best"), band("high").alias("_high"), band("usable").alias("_usable"), band("low").alias("_low")]
+    return scored.groupBy(*by, "duplicate_group_id").agg(*aggs, *([F.sum(signals).alias("_signals")] if signals else []))
+
+
+def counts_of_groups(grouped: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """As counts(), from groups()."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    aggs = [total("_n").alias("total"), F.count("*").alias("unique_count"), *[total(f"_{b}").alias(b) for b in ("high", "usable", "low")], total("_sum").alias("_all")]
+    if "_signals" in grouped.columns:
+        aggs.append(total("_signals").alias("total_signals"))
+    out = grouped.groupBy(*by).agg(*aggs)
+    return out.withColumns({"duplicate_rate": ratio(F.col("total") - F.col("unique_count"), F.col("total"), 3), "average_score": ratio(F.col("_all"), F.col("total"), 1)}).drop("_all")
+
+
+def routing_of_groups(grouped: DataFrame, high: int = 80, nurture: int = 50, by: tuple[str, ...] = ()) -> DataFrame:
+    """As routing(), from groups()."""
+    s = F.col("_best")
+    return grouped.groupBy(*by).agg(F.count_if(s >= high).alias("instant_alert"), F.count_if((s >= nurture) & (s < high)).alias("nurture"), F.count_if(s < nurture).alias("hold"))
+
+
+def batch_summary(flagged: DataFrame, score: str = "lead_score", by: tuple[str, ...] = ()) -> DataFrame:
+    """total, unique_count, and score and action of the best unique record (null if there is none)."""
+    best = F.max(F.when(F.col("is_unique"), F.struct(score, "recommended_action")))
+    return flagged.groupBy(*by).agg(F.count("*").alias("total"), F.count_if("is_unique").alias("unique_count"), best.alias("_b")).select(*by, "total", "unique_count", F.col(f"_b.{score}").alias("top_score"), F.col("_b.recommended_action").alias("top_action"))
+
+
+def across_runs(counts: DataFrame) -> DataFrame:
+    """Totals over the counts of several runs: runs, total_fetched and what they hold."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return counts.agg(F.count("*").alias("runs"), total("total").alias("total_fetched"), total("unique_count").alias("unique_count"), total("high").alias("high"))
+
+
 def routing(flagged: DataFrame, score: str = "lead_score", high: int = 80, nurture: int = 50, by: tuple[str, ...] = ()) -> DataFrame:
     """instant_alert, nurture and hold over unique records."""
     u, s = F.col("is_unique"), F.col(score)

@@ -7,23 +7,26 @@ from pyspark.sql import functions as F
 
 
 def latest_wins(existing: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One row per key: of the new rows, and then the existing ones, that with the highest `order`.
-    Rows with a null in the key never meet, as nulls are distinct in a unique index."""
+    """One row per key: of the new rows, and then the existing ones, that with the highest `order`, of
+    equals that with the highest values. Rows with a null in the key never meet, as nulls are
+    distinct in a unique index. Rows are aggregated before the shuffle."""
     both = existing.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
     whole = F.lit(True)
     for k in keys:
         whole = whole & F.col(k).isNotNull()
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_new"), F.desc(order)))
-    kept = both.filter(whole).withColumn("_rn", rank).filter("_rn = 1").drop("_rn")
+    rest = [c for c in both.columns if c not in (*keys, "_new")]
+    last = F.max(F.struct("_new", F.col(order).alias("_order"), *rest)).alias("_last")
+    kept = both.filter(whole).groupBy(*keys).agg(last).select(*keys, *[F.col(f"_last.{c}").alias(c) for c in (*rest, "_new")])
     return kept.unionByName(both.filter(~whole)).drop("_new")
 
 
 def insert_or_bump(requests: DataFrame, key: str, order: str = "ord", sla: str = "INTERVAL 1 DAY", at: str = "received_at", existing: DataFrame | None = None) -> DataFrame:
     """One row per key: the first request's columns, sla_due_at, and how often it came again.
     existing: rows of earlier calls, whose receipts stay and whose counts go on."""
-    w = Window.partitionBy(key)
-    first = requests.withColumns({"_rn": F.row_number().over(w.orderBy(order)), "_n": F.count("*").over(w)}).filter("_rn = 1")
-    fresh = first.withColumns({"duplicate_count": F.col("_n") - 1, "sla_due_at": F.col(at) + F.expr(sla), "status": F.lit("queued")}).drop("_rn")
+    rest = [c for c in requests.columns if c != key]
+    first = F.min(F.struct(F.col(order).alias("_order"), *rest)).alias("_first")
+    one = requests.groupBy(key).agg(first, F.count("*").alias("_n")).select(key, *[F.col(f"_first.{c}").alias(c) for c in rest], "_n")
+    fresh = one.withColumns({"duplicate_count": F.col("_n") - 1, "sla_due_at": F.col(at) + F.expr(sla), "status": F.lit("queued")})
     if existing is None:
         return fresh.drop("_n")
     bumped = existing.join(fresh.select(key, F.col("_n").alias("_more")), key, "left").withColumn("duplicate_count", F.col("duplicate_count") + F.coalesce("_more", F.lit(0))).drop("_more")

@@ -12,6 +12,7 @@ from ..functions import dates, hashing, text, web
 from ..operators import budget, dedupe, finance, queue, registry, runs, summary, upsert
 from ..sources import landing, sweeps
 from .models import MODELS, SIGNALS
+from .twins import scored as d_scored
 from .views import JOBS as JOB_VIEW
 from .views import LEADS, NOW, duck, view
 from .views import POSTS as POST_VIEW
@@ -84,19 +85,11 @@ def d_leads(model: str) -> str:
 
 
 def d_posts() -> str:
-    signals = "list_filter([" + ", ".join(f"'{s}'" for s in SIGNALS) + "], lambda k: contains(lower(concat_ws(' ', job_title, raw_snippet)), k))"
+    # Signals are looked for in a post's first 5,000 characters, as the feature has it.
+    signals = "list_filter([" + ", ".join(f"'{s}'" for s in SIGNALS) + "], lambda k: contains(lower(concat_ws(' ', job_title, left(body, 5000))), k))"
     return f"SELECT *, len({signals})::INT AS signal_count, array_to_string({signals}, '|') AS signals FROM ({duck(POST_VIEW)})"
 
 
-def d_scored(model: str, records: str) -> str:
-    m = MODELS[model]
-    parts = ", ".join(f"CAST({m.component(c)} AS INT) AS score_{c}" for c in m.weights)
-    derived = "".join(f", {v} AS {k}" for k, v in m.derived)
-    records = f"SELECT *{derived} FROM ({records})"
-    total = f"SELECT *, {m.total()} AS {m.score} FROM (SELECT *, {parts} FROM ({records}))"
-    return duck(f"SELECT *, {m.band('high', 'usable', 'low')} AS score_band, {m.band('send_first', 'keep', 'hold')} AS recommended_action, {m.reasons()} AS reasons FROM ({total})")
-
-
 _GROUPS = {
     "full": d_group("business_name", "coalesce(nullif(website, ''), nullif(phone, ''), email)", "coalesce(nullif(city, ''), context_city)"),
     "hvac": d_group("business_name", "coalesce(nullif(website, ''), nullif(phone, ''), email)", "coalesce(nullif(city, ''), context_city)"),
@@ -118,7 +111,7 @@ def _leads(spark: SparkSession, sf_dir: str, model: str) -> DataFrame:
 
 
 def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = view(spark, sf_dir, POST_VIEW, "documents").withColumn("matched_signals", text.matched_keywords(F.concat_ws(" ", "job_title", "raw_snippet"), SIGNALS))
+    posts = view(spark, sf_dir, POST_VIEW, "documents").withColumn("matched_signals", text.matched_keywords(F.concat_ws(" ", "job_title", F.left("body", F.lit(5000))), SIGNALS))
     return posts.withColumn("signal_count", F.size("matched_signals"))
 
 
@@ -295,8 +288,24 @@ def run_summary_top3(spark, sf_dir):
 @query(f"SELECT count(*) AS total, count(*) FILTER (WHERE is_unique) AS unique_count, max(lead_score) FILTER (WHERE is_unique) AS top_score, arg_max(recommended_action, lead_score) FILTER (WHERE is_unique) AS top_action FROM ({_FLAGGED})")
 def batch_summary(spark, sf_dir):
     items = api.process(_leads(spark, sf_dir, "hvac")).items
-    best = F.max(F.when(F.col("is_unique"), F.struct("lead_score", "recommended_action")))
-    return items.agg(F.count("*").alias("total"), F.count_if("is_unique").alias("unique_count"), best.alias("b")).select("total", "unique_count", F.col("b.lead_score").alias("top_score"), F.col("b.recommended_action").alias("top_action"))
+    return summary.batch_summary(items)
+
+
+@query(f"SELECT 25 AS runs, count(*) AS total_fetched, count(*) FILTER (WHERE is_unique) AS unique_count, count(*) FILTER (WHERE score_band = 'high') AS high FROM ({d_flagged('hvac', d_leads('hvac'), 'run_id')})".replace("25 AS runs", "count(DISTINCT run_id) AS runs"))
+def totals_across_runs(spark, sf_dir):
+    return summary.across_runs(api.process(_leads(spark, sf_dir, "hvac"), by=("run_id",)).counts)
+
+
+@query(f"SELECT id, lead_score, row_number() OVER (ORDER BY lead_score DESC, id)::INT AS row_index, CASE WHEN lead_score >= 80 THEN 'high' WHEN lead_score >= 50 THEN 'usable' ELSE 'low' END AS label FROM (SELECT * FROM ({d_scored('hvac', d_leads('hvac'))}) WHERE run_id = 7 ORDER BY lead_score DESC, id LIMIT 100)")
+def delivery_of_a_run(spark, sf_dir):
+    """The whole entry point: the run is looked up, its leads joined to it."""
+    runs_ = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.when(F.col("n_nationkey") == 7, "processed").otherwise("queued").alias("status"), F.lit(None).cast("timestamp").alias("processed_at"))
+    return api.delivery(runs_, api.score(_leads(spark, sf_dir, "hvac"), "hvac"), 7, 500).select("id", "lead_score", "row_index", "label")
+
+
+@query(f"SELECT id, {d_hash32('x')} AS group_hash, {d_hash32('y')} AS canonical_entity_id FROM (SELECT id, concat_ws('|', business_name, website, phone, email, city) AS x, concat_ws('|', business_name, CASE WHEN website <> '' THEN website WHEN phone <> '' THEN phone ELSE email END, city) AS y FROM ({d_leads('simple')}))")
+def simple_ids(spark, sf_dir):
+    return api.with_groups(_leads(spark, sf_dir, "simple"), "simple").select("id", "group_hash", "canonical_entity_id")
 
 
 # --- runs, queues, deliveries ---
@@ -366,7 +375,7 @@ def queue_settled(spark, sf_dir):
 _CAND_D = (
     "SELECT 'balance.available.' || n AS entity_id, 'balance.available.' || n AS event_type, 'stripe_balance' AS signal_type, DATE '2024-01-31' AS event_date, 'balance' AS source FROM (SELECT DISTINCT lower(n_name) AS n FROM nation WHERE n_nationkey < 3) "
     "UNION ALL SELECT 'balance.pending.' || n, 'balance.pending.' || n, 'stripe_balance', DATE '2024-01-31', 'balance' FROM (SELECT DISTINCT lower(n_name) AS n FROM nation WHERE n_nationkey < 3) "
-    "UNION ALL SELECT x, 'charge.' || x, 'stripe_charge', ts::DATE, 'charge' FROM (SELECT user_id || '_' || event_type AS x, ts FROM events WHERE event_id % 2 = 0) "
+    "UNION ALL SELECT x, 'charge.' || x, 'stripe_charge', ts::DATE, 'charge' FROM (SELECT user_id || '_' || event_type AS x, ts FROM events WHERE event_id % 50 > 0) "
     "UNION ALL SELECT x, 'subscription.' || x, 'stripe_subscription', d::DATE, 'subscription' FROM (SELECT CAST(o_custkey AS VARCHAR) AS x, o_orderdate AS d FROM orders)"
 )
 _KEYED_D = f"SELECT *, 'finance_event:acct:' || event_type || ':' || CAST(event_date AS VARCHAR) AS dedupe_key, 'finance_signal:' || entity_id || ':' || signal_type AS signal_key FROM ({_CAND_D})"
@@ -376,7 +385,7 @@ def _candidates(spark, sf_dir):
     day = F.lit("2024-01-31").cast("date")
     money = F.collect_list(F.struct(F.lower("n_name").alias("currency")))
     balances = _t(spark, sf_dir, "nation").filter("n_nationkey < 3").agg(money.alias("available"), money.alias("pending"))
-    charges = _t(spark, sf_dir, "events").filter("event_id % 2 = 0").select(F.concat_ws("_", F.col("user_id").cast("string"), "event_type").alias("id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("created"))
+    charges = _t(spark, sf_dir, "events").select(F.when(F.col("event_id") % 100 == 0, "").when(F.col("event_id") % 50 > 0, F.concat_ws("_", F.col("user_id").cast("string"), "event_type")).alias("id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("created"))
     subs = _t(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("id"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("created"))
     return finance.union_all([finance.balance_candidates(balances, day), finance.list_candidates(charges, "charge", "stripe_charge", day), finance.list_candidates(subs, "subscription", "stripe_subscription", day)])
 
@@ -393,9 +402,14 @@ def finance_new_signals(spark, sf_dir):
     return finance.new_signals(rows, seen).select("dedupe_key", "signal_key", "source", F.col("event_date").cast("string").alias("event_date"))
 
 
-@query(f"SELECT count(*) AS candidate_count, count(*) - count(DISTINCT dedupe_key) AS dedupe_count, true AS pagination_exhausted, 'ingested' AS mode FROM ({_KEYED_D})")
+@query(
+    f"SELECT '2024-01-31T00:00:00.000Z' AS run_timestamp_utc, true AS window_open, count(*) AS candidate_count, count(*) - count(DISTINCT dedupe_key) AS dedupe_count, true AS pagination_exhausted, 'read_only_ingestion' AS mode, "
+    f"'balance:1|balance_transactions:0|charges:' || count(*) FILTER (WHERE source = 'charge') || '|subscriptions:' || count(*) FILTER (WHERE source = 'subscription') AS sources FROM ({_KEYED_D})"
+)
 def finance_receipt(spark, sf_dir):
-    return api.ingest_finance(_candidates(spark, sf_dir).withColumn("ord", F.col("entity_id")), None, True, "acct")[1]
+    out = api.ingest_finance(_candidates(spark, sf_dir).withColumn("ord", F.col("entity_id")), None, True, "acct", dates.moment(NOW))[1]
+    entries = F.sort_array(F.transform(F.map_entries("sources"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))))
+    return out.withColumn("sources", F.array_join(entries, "|"))
 
 
 @query(f"SELECT source, count(*) AS candidates FROM ({_CAND_D}) GROUP BY source")
@@ -437,12 +451,10 @@ def upsert_latest_wins(spark, sf_dir):
     return upsert.latest_wins(e.filter(F.col("event_id") < cut), e.filter(F.col("event_id") >= cut), ["user_id", "event_type"], "event_id")
 
 
-@query("SELECT arg_min(event_id, event_id) AS first_id, user_id, event_type, count(*) - 1 AS duplicate_count, min(ts) + INTERVAL 1 DAY AS sla_due_at FROM (SELECT *, ts AS t FROM events) GROUP BY user_id, event_type HAVING arg_min(ts, event_id) = min(ts)")
+@query("SELECT min(event_id) AS first_id, user_id, event_type, count(*) - 1 AS duplicate_count, arg_min(ts, event_id) + INTERVAL 1 DAY AS sla_due_at FROM events GROUP BY user_id, event_type")
 def intake_insert_or_bump(spark, sf_dir):
     e = _t(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts", F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("k"))
-    out = upsert.insert_or_bump(e, "k", "event_id", at="ts")
-    least = e.groupBy("k").agg(F.min("ts").alias("least"))
-    return out.join(least, "k").filter("ts = least").select(F.col("event_id").alias("first_id"), "user_id", "event_type", "duplicate_count", "sla_due_at")
+    return upsert.insert_or_bump(e, "k", "event_id", at="ts").select(F.col("event_id").alias("first_id"), "user_id", "event_type", "duplicate_count", "sla_due_at")
 
 
 @query("SELECT 'sha256:' || sha256('[\"' || lower(c_name) || '\",\"' || lower(c_mktsegment) || '\"]') AS dedupe_key, c_custkey FROM customer")
@@ -481,14 +493,19 @@ _SCEN_D = "SELECT o_orderkey AS id, CAST(o_orderkey % 40 AS DOUBLE) / 4 AS budge
 _GUARD_D = "SELECT *, least(greatest(0.0::DOUBLE, CASE WHEN plan_limit > 0 THEN plan_limit ELSE budget_cap END - monthly_usage), budget_cap) AS r, budget_cap * (1.0::DOUBLE - overhead_pct) AS p, est_run_cost * (1.0::DOUBLE + overhead_pct) AS e FROM (" + _SCEN_D + ")"
 
 
+def _money(x: str) -> str:
+    """Four decimal places, halves up."""
+    return f"printf('%.4f', floor({x} * 10000 + 0.5) / 10000)"
+
+
 def _scenarios(spark, sf_dir):
     k = F.col("o_orderkey")
     return _t(spark, sf_dir, "orders").select(k.alias("id"), ((k % 40).cast("double") / 4).alias("budget_cap"), ((k % 90).cast("double") / 16).alias("est_run_cost"), F.lit(0.25).alias("overhead_pct"), ((k % 30).cast("double") / 2).alias("monthly_usage"), ((k % 3).cast("double") * 8).alias("plan_limit"))
 
 
-@query(f"SELECT id, e <= p AND e <= r AS allowed, CASE WHEN e > p THEN 'capped' WHEN e > r THEN 'over_budget' ELSE 'within_budget' END AS state, CASE WHEN e > p OR e > r THEN r ELSE r - e END AS remaining, CASE WHEN e > p THEN 'run_cost_exceeds_safe_budget' WHEN e > r THEN 'insufficient_remaining' ELSE '' END AS why FROM ({_GUARD_D})")
+@query(f"SELECT id, e <= p AND e <= r AS allowed, CASE WHEN e > p THEN 'capped' WHEN e > r THEN 'over_budget' ELSE 'within_budget' END AS state, CASE WHEN e > p OR e > r THEN r ELSE r - e END AS remaining, CASE WHEN e > p THEN 'run_cost_exceeds_safe_budget:' || {_money('e')} || '>' || {_money('p')} WHEN e > r THEN 'insufficient_remaining:' || {_money('e')} || '>' || {_money('r')} ELSE '' END AS reason FROM ({_GUARD_D})")
 def budget_guard_scenarios(spark, sf_dir):
-    return budget.check(_scenarios(spark, sf_dir)).select("id", "allowed", "state", "remaining", F.split_part("reason", F.lit(":"), F.lit(1)).alias("why"))
+    return budget.check(_scenarios(spark, sf_dir)).select("id", "allowed", "state", "remaining", "reason")
 
 
 @query(f"SELECT id, state, r FROM (SELECT id, CASE WHEN e > p THEN 'capped' WHEN e > r THEN 'over_budget' ELSE 'within_budget' END AS state, p - monthly_usage - e AS r FROM ({_GUARD_D}))")
@@ -500,9 +517,17 @@ _WORDS_D = "['instructional design', 'LMS', 'e-learning', 'training content', 'c
 _SWEEP_D = f"SELECT ((k - 1) * 2 + s)::INT AS ord, {_WORDS_D}[k] AS keyword, CASE s WHEN 0 THEN 'indeed' ELSE 'linkedin' END AS source, CASE s WHEN 0 THEN 0.59::DOUBLE ELSE 1.50::DOUBLE END AS est_cost FROM range(1, 8) a(k), range(0, 2) b(s)"
 
 
-@query(_SWEEP_D)
+@query(f"""SELECT *, CASE source WHEN 'indeed' THEN '{{"search":"' || keyword || '","maxResults":150}}' ELSE '{{"query":"' || keyword || '","maxItems":100}}' END AS actor_input FROM ({_SWEEP_D})""")
 def sweep_configs(spark, sf_dir):
-    return sweeps.job_sweep(spark).drop("actor_input")
+    return sweeps.job_sweep(spark)
+
+
+@query("""SELECT id, search_string, '{"searchString":"' || search_string || '","maxCrawledPlaces":50,"proxyConfig":{"useApifyProxy":true},"onlyWithWebsite":false,"includeReviews":true,"includeReviewsImages":false,"sortBy":"relevance"}' AS actor_input
+ FROM (SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN 'Roofing' ELSE 'HVAC' END || ' in ' || CASE WHEN n_nationkey % 3 = 0 THEN n_name ELSE 'Austin' END || ', TX' AS search_string FROM nation)""")
+def place_search_inputs(spark, sf_dir):
+    k = F.col("n_nationkey")
+    places = _t(spark, sf_dir, "nation").select(k.alias("id"), F.when(k % 2 == 0, "Roofing").alias("niche"), F.when(k % 3 == 0, F.col("n_name")).alias("city"), F.lit(None).cast("string").alias("state"))
+    return sweeps.place_search(places).select("id", "search_string", "actor_input")
 
 
 @query(f"SELECT count(*) AS runs, round(sum(est_cost), 2) AS total_cost FROM ({_SWEEP_D})")
@@ -510,7 +535,7 @@ def sweep_cost(spark, sf_dir):
     return sweeps.cost(sweeps.job_sweep(spark))
 
 
-@query("SELECT 0::INT AS ord, 'instructionaldesign' AS subreddit, 'r/instructionaldesign' AS label, 0.5::DOUBLE AS est_cost UNION ALL SELECT 1, 'elearning', 'r/elearning', 0.5")
+@query("""SELECT *, '{"subreddits":["' || subreddit || '"],"sort":"new","maxItems":100,"maxPostCount":100}' AS actor_input FROM (SELECT 0::INT AS ord, 'instructionaldesign' AS subreddit, 'r/instructionaldesign' AS label, 0.5::DOUBLE AS est_cost UNION ALL SELECT 1, 'elearning', 'r/elearning', 0.5)""")
 def forum_sweep(spark, sf_dir):
     return sweeps.forum_sweep(spark)
 
@@ -581,9 +606,66 @@ def spend_log(spark, sf_dir):
     return runs.spend_log(o)
 
 
+@query("SELECT DISTINCT 'user' || (c_custkey % 700) || '@example.com' AS email, 'page' AS source FROM customer")
+def optouts_upsert(spark, sf_dir):
+    rows = _t(spark, sf_dir, "customer").select(F.concat(F.lit(" User"), (F.col("c_custkey") % 700).cast("string"), F.lit("@Example.com ")).alias("email"), F.lit("page").alias("source"), F.col("c_custkey").alias("ord"))
+    old = rows.filter("ord % 3 = 0").withColumn("email", F.lower(F.btrim("email"))).dropDuplicates(["email"])
+    return api.upsert_optouts(old, rows).select("email", "source")
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN n IS NULL THEN o_orderstatus ELSE 'processed' END AS status, coalesce(n, 0) AS lead_count FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_quantity > 45 GROUP BY 1) ON l_orderkey = o_orderkey")
+def run_summary_update(spark, sf_dir):
+    runs_ = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    done = _t(spark, sf_dir, "lineitem").filter("l_quantity > 45").groupBy(F.col("l_orderkey").alias("id")).agg(F.lit("processed").alias("status"), F.count("*").alias("lead_count"))
+    return queue.update_runs(runs_, done).withColumn("lead_count", F.coalesce("lead_count", F.lit(0)))
+
+
+@query("SELECT run_id, context_niche, context_city, count(*) AS n FROM (SELECT c_nationkey AS run_id, CASE WHEN n_nationkey % 2 = 0 THEN 'Roofing' ELSE 'HVAC' END AS context_niche, CASE WHEN n_nationkey % 3 = 0 THEN n_name ELSE 'Austin' END AS context_city FROM customer JOIN nation ON c_nationkey = n_nationkey) GROUP BY ALL")
+def run_context(spark, sf_dir):
+    k = F.col("n_nationkey")
+    runs_ = _t(spark, sf_dir, "nation").select(k.alias("id"), F.when(k % 2 == 0, "Roofing").alias("niche"), F.when(k % 3 == 0, F.col("n_name")).alias("city"), F.lit("").alias("source"), F.lit(None).cast("string").alias("requested_at"))
+    items = _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("run_id"))
+    return landing.with_run(items, runs_).groupBy("run_id", "context_niche", "context_city").agg(F.count("*").alias("n"))
+
+
 # --- landed JSON ---
 
 
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'p' || conv_id ELSE '' END AS entry FROM conversations")
+def landed_pages(spark, sf_dir):
+    entry = F.struct(F.when(F.col("turn") % 2 == 0, F.concat(F.lit("p"), F.col("conv_id").cast("string"))).otherwise("").alias("id"), "turn")
+    landed = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(entry)).alias("data")).withColumn("has_more", F.lit(False))
+    return landing.pages(landed, has_more="has_more").select("conv_id", "entry.turn", F.col("entry.id").alias("entry"))
+
+
+@query(f"SELECT id, business_name, CASE WHEN id % 2 = 0 THEN 'Roofing' ELSE 'HVAC' END AS niche, CASE WHEN id % 5 = 0 THEN 'Waco' ELSE 'Austin' END AS city, 'TX' AS state, phone, CASE WHEN id % 3 = 0 THEN 'residential' ELSE 'both' END AS hvac_type, id % 4 = 0 AS emergency_service, CASE WHEN id % 7 > 0 THEN CAST(id % 7 AS DOUBLE) WHEN id % 2 = 0 THEN 0 END AS rating FROM ({d_leads('hvac')})")
+def landed_places(spark, sf_dir):
+    i = F.col("id")
+    rating = F.when(i % 7 > 0, F.concat(F.lit(', "rating": "'), (i % 7).cast("string"), F.lit('"'))).when(i % 2 == 0, ', "rating": null').otherwise("")
+    raw = F.to_json(F.struct(F.col("raw_name").alias("company_name"), F.col("raw_phone").alias("telephone"), F.when(i % 2 == 0, "Roofing").otherwise("").alias("category"), F.when(i % 5 == 0, "Waco").alias("location"), F.when(i % 3 == 0, "residential").alias("hvac_type"), F.when(i % 4 == 0, "yes").otherwise("").alias("emergency_service")))
+    item = F.concat(F.lit('{"raw": '), F.regexp_replace(raw, r"\}$", ""), rating, F.lit("}}"))
+    items = view(spark, sf_dir, LEADS, "customer", "nation").select("id", F.parse_json(item).alias("item"))
+    return landing.place_records(items).select("id", "business_name", "niche", "city", "state", "phone", "hvac_type", "emergency_service", "rating")
+
+
+@query("SELECT doc_id, 'Job ' || doc_id AS job_title, CASE WHEN doc_id % 2 = 0 THEN 'B' || doc_id ELSE 'A' END AS company_name, 'https://x.org/' || doc_id AS posting_url, left(trim(text), 2000) AS raw_snippet FROM documents WHERE trim(text, ' ') = text AND length(text) > 0")
+def landed_job_posts(spark, sf_dir):
+    i = F.col("doc_id").cast("string")
+    item = F.struct(F.concat(F.lit(" Job "), i).alias("title"), F.lit("A").alias("company"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("B"), i)).otherwise("").alias("companyName"), F.concat(F.lit("https://x.org/"), i).alias("link"), F.col("text").alias("summary"))
+    docs = _t(spark, sf_dir, "documents").filter("trim(text) = text AND length(text) > 0").select("doc_id", F.parse_json(F.to_json(item)).alias("item"))
+    return landing.job_records(docs, "indeed").select("doc_id", "job_title", "company_name", "posting_url", "raw_snippet")
+
+
+@query("SELECT doc_id, 'forum' || (doc_id % 3) AS subreddit, CASE WHEN doc_id % 4 = 0 THEN 'https://y.org/' || doc_id ELSE 'https://www.reddit.com/r/forum' || (doc_id % 3) || '/comments/t' || doc_id || '/' END AS posting_url, CASE WHEN doc_id % 5 = 0 THEN '2024-01-01T00:00:00Z' WHEN doc_id % 5 = 1 THEN 'soon' ELSE strftime(TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 SECOND * doc_id, '%Y-%m-%dT%H:%M:%S.000Z') END AS posting_date, (doc_id % 23)::DOUBLE AS upvotes, (doc_id % 13)::DOUBLE AS comment_count FROM documents")
+def landed_forum_posts(spark, sf_dir):
+    d = F.col("doc_id")
+    i = d.cast("string")
+    created = F.when(d % 5 == 0, "2024-01-01T00:00:00Z").when(d % 5 == 1, "soon").otherwise((F.lit(1704067200) + d).cast("string"))
+    item = F.struct(F.concat(F.lit("r/forum"), (d % 3).cast("string")).alias("communityName"), F.concat(F.lit("t"), i).alias("id"), F.when(d % 4 == 0, F.concat(F.lit("https://y.org/"), i)).alias("url"), created.alias("created_utc"), (d % 23).alias("ups"), (d % 13).alias("num_comments"), F.left("text", F.lit(100)).alias("selftext"))
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.parse_json(F.to_json(item)).alias("item"))
+    return landing.post_records(docs).select("doc_id", "subreddit", "posting_url", "posting_date", "upvotes", "comment_count")
+
+
 @query()
 def variant_ingest(spark, sf_dir):
     """Events' props as dynamic records: canonical hash, and a number with its null-or-absent rule."""

@@ -18,6 +18,8 @@ SEARCH_KEYWORDS = ["instructional design", "LMS", "e-learning", "training conten
 JOB_SOURCES = {"indeed": 0.59, "linkedin": 1.50}
 SUBREDDITS = ["instructionaldesign", "elearning"]
 SUBREDDIT_COST = 0.50
+#: Most results of a run, by source.
+MOST_ITEMS = {"indeed": 150, "linkedin": 100, "forum": 100, "places": 50}
 
 
 def _filled(column: str) -> str:
@@ -28,11 +30,23 @@ def _count(columns: list[str]) -> str:
     return " + ".join(f"CASE WHEN {_filled(c)} THEN 1 ELSE 0 END" for c in columns)
 
 
+def _matches(text: str, pattern: str) -> str:
+    """A pattern of alternatives: those that are plain words are looked for as such, the others only
+    where all their words occur."""
+    tests = []
+    for one in pattern.split("|"):
+        words = [w for part in one.split(".*") for w in part.split(".") if w]
+        plain = " AND ".join(f"contains({text}, '{w}')" for w in words)
+        tests.append(plain if len(words) == 1 else f"({plain} AND regexp_like({text}, '{one}'))")
+    return "(" + " OR ".join(tests) + ")"
+
+
 def _any_of(text: str, words: list[str]) -> str:
     return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
 
 
-_LEAD_DERIVED = (("_search", "lower(concat_ws(' ', coalesce(business_name, ''), coalesce(niche, ''), coalesce(city, ''), coalesce(website, ''), coalesce(context_niche, ''), coalesce(context_city, '')))"), ("_text", "lower(concat_ws(' ', coalesce(title, ''), coalesce(description, ''), coalesce(notes, ''), coalesce(keywords, '')))"))
+_LEAD_SEEN = (("_search", "lower(concat_ws(' ', coalesce(business_name, ''), coalesce(niche, ''), coalesce(city, ''), coalesce(website, ''), coalesce(context_niche, ''), coalesce(context_city, '')))"),)
+_LEAD_TOLD = "lower(concat_ws(' ', coalesce(title, ''), coalesce(description, ''), coalesce(notes, '')"
 _LEAD_SEARCH, _LEAD_TEXT = "_search", "_text"
 _LEAD_FIELDS = ["business_name", "website", "phone", "email", "city", "source_url", "collected_at"]
 
@@ -42,7 +56,7 @@ def _lead_rules() -> tuple[Rule, ...]:
     fit += [Rule("fit", f"{_filled(f'context_{c}')} AND contains({_LEAD_SEARCH}, lower(context_{c}))", "15", f"matches_{c}") for c in ("niche", "city")]
     flags = {"hiring_intent": "15", "recent_activity": "10", "review_velocity": "8", "pricing_signal": "8", "social_proof_signal": "8", "trigger_event": "12"}
     intent = [Rule("intent", f"coalesce({c}, false)", p, c) for c, p in flags.items()]
-    intent.append(Rule("intent", f"regexp_like({_LEAD_TEXT}, 'hiring|growth|expanding|opening|campaign|new location|request a quote')", "12", "intent_keywords"))
+    intent.append(Rule("intent", _matches(_LEAD_TEXT, "hiring|growth|expanding|opening|campaign|new location|request a quote"), "12", "intent_keywords"))
     quality = [Rule("quality", _filled(c), "8") for c in _LEAD_FIELDS]
     quality += [Rule("quality", f"coalesce({c}, 0) <> 0", "8", c) for c in ("source_confidence", "extraction_confidence")]
     quality += [Rule("quality", "freshness_hours <= 24", "12", "fresh_24h"), Rule("quality", "freshness_hours > 24 AND freshness_hours <= 72", "6", "fresh_72h")]
@@ -56,8 +70,9 @@ def _lead_rules() -> tuple[Rule, ...]:
 
 
 _WEIGHTS = {"fit": "0.45", "intent": "0.30", "quality": "0.15", "engagement": "0.10"}
-FULL = ScoreModel("full", _WEIGHTS, _lead_rules(), derived=_LEAD_DERIVED, nurture=60)
-HVAC = ScoreModel("hvac", _WEIGHTS, _lead_rules(), derived=_LEAD_DERIVED)
+#: The full model looks for intent in keywords, too.
+FULL = ScoreModel("full", _WEIGHTS, _lead_rules(), derived=(*_LEAD_SEEN, ("_text", f"{_LEAD_TOLD}, coalesce(keywords, '')))")), nurture=60)
+HVAC = ScoreModel("hvac", _WEIGHTS, _lead_rules(), derived=(*_LEAD_SEEN, ("_text", f"{_LEAD_TOLD}))")))
 
 _SIMPLE_FIELDS = ["business_name", "website", "phone", "email", "city", "niche"]
 SIMPLE = ScoreModel(
@@ -78,11 +93,11 @@ JOBS = ScoreModel(
         Rule("fit", _filled("location"), "8", "has_location"),
         Rule("fit", f"{_filled('keyword')} AND contains({_JOB_SEARCH}, lower(keyword))", "15", "keyword_match"),
         Rule("fit", _any_of(_JOB_SEARCH, NICHE_TERMS), "10", "niche_relevant"),
-        Rule("fit", f"regexp_like({_JOB_SEARCH}, 'remote|hybrid|work from home|wfh|telecommute|virtual|distributed')", "5", "remote_friendly"),
-        Rule("intent", f"regexp_like({_JOB_TEXT}, 'urgent|immediate|now hiring|join our team|growing|expansion|new position')", "12", "active_hiring"),
-        Rule("intent", f"regexp_like({_JOB_TEXT}, 'senior|lead|principal|manager|director|head of|leadership|cxo|chief')", "8", "senior_role"),
-        Rule("intent", f"regexp_like({_JOB_TEXT}, 'lms|learning platform|e-learning platform|corporate training|instructional design')", "10", "edtech_signal"),
-        Rule("intent", f"regexp_like({_JOB_TEXT}, 'full.time|permanent|regular')", "5", "full_time"),
+        Rule("fit", _matches(_JOB_SEARCH, "remote|hybrid|work from home|wfh|telecommute|virtual|distributed"), "5", "remote_friendly"),
+        Rule("intent", _matches(_JOB_TEXT, "urgent|immediate|now hiring|join our team|growing|expansion|new position"), "12", "active_hiring"),
+        Rule("intent", _matches(_JOB_TEXT, "senior|lead|principal|manager|director|head of|leadership|cxo|chief"), "8", "senior_role"),
+        Rule("intent", _matches(_JOB_TEXT, "lms|learning platform|e-learning platform|corporate training|instructional design"), "10", "edtech_signal"),
+        Rule("intent", _matches(_JOB_TEXT, "full.time|permanent|regular"), "5", "full_time"),
         *[Rule("quality", _filled(c), "8") for c in _JOB_FIELDS],
         Rule("quality", f"({_count(_JOB_FIELDS)}) >= 5", "0", "rich_record"),
         Rule("quality", "age_hours <= 48", "10", "fresh_48h"),
@@ -105,11 +120,11 @@ POSTS = ScoreModel(
         Rule("fit", _filled("raw_snippet"), "8", "has_body"),
         Rule("fit", _filled("company_name"), "5", "has_author"),
         Rule("fit", "signal_count > 0", "least(signal_count * 5, 15)", reason_sql="concat('signals:', CAST(signal_count AS STRING))"),
-        Rule("intent", f"regexp_like({_POST_TEXT}, 'looking for|recommend.*lms|best.*lms|alternative|switching|replace|considering')", "15", "buyer_intent"),
-        Rule("intent", f"regexp_like({_POST_TEXT}, 'hiring|we.*hire|job.*opening|position.*available|looking.*hire|recruiting')", "12", "hiring_signal"),
-        Rule("intent", f"regexp_like({_POST_TEXT}, 'too expensive|frustrated|struggling|difficult|waste|broken|terrible|bad.*experience')", "10", "pain_signal"),
-        Rule("intent", f"regexp_like({_POST_TEXT}, 'budget|vendor|quote|pricing|cost|spend|invest|contract')", "8", "budget_signal"),
-        Rule("intent", f"regexp_like({_POST_TEXT}, 'create.*course|course.*creation|authoring|content.*development|curriculum')", "8", "content_signal"),
+        Rule("intent", _matches(_POST_TEXT, "looking for|recommend.*lms|best.*lms|alternative|switching|replace|considering"), "15", "buyer_intent"),
+        Rule("intent", _matches(_POST_TEXT, "hiring|we.*hire|job.*opening|position.*available|looking.*hire|recruiting"), "12", "hiring_signal"),
+        Rule("intent", _matches(_POST_TEXT, "too expensive|frustrated|struggling|difficult|waste|broken|terrible|bad.*experience"), "10", "pain_signal"),
+        Rule("intent", _matches(_POST_TEXT, "budget|vendor|quote|pricing|cost|spend|invest|contract"), "8", "budget_signal"),
+        Rule("intent", _matches(_POST_TEXT, "create.*course|course.*creation|authoring|content.*development|curriculum"), "8", "content_signal"),
         *[Rule("quality", _filled(c), "8") for c in _POST_FIELDS],
         Rule("quality", f"({_count(_POST_FIELDS)}) >= 3", "0", "rich_post"),
         Rule("quality", "age_hours <= 24", "12", "fresh_24h"),

@@ -1,7 +1,6 @@
 """Declarative scoring: rules, weights and cut points, compiled to one projection.
 
-Conditions are SQL texts over a record's columns, in the part of SQL that Spark and
-other engines share, so a model can be checked against another engine as it stands."""
+Conditions are SQL texts over a record's columns. Each is evaluated once a record."""
 
 from __future__ import annotations
 
@@ -37,12 +36,12 @@ class ScoreModel:
     nurture: int = 50
 
     def component(self, name: str) -> str:
-        terms = [f"CASE WHEN {r.when} THEN {r.points} ELSE 0 END" for r in self.rules if r.component == name and r.points != "0"]
+        terms = [f"CASE WHEN _rule{n} THEN {r.points} ELSE 0 END" for n, r in enumerate(self.rules) if r.component == name and r.points != "0"]
         return f"least(100, {' + '.join(terms)})"
 
     def reasons(self) -> str:
         """Reasons in order, separated by |."""
-        tags = [(r.when, r.reason_sql or f"'{r.reason}'") for c in COMPONENTS for r in self.rules if r.component == c and (r.reason or r.reason_sql)]
+        tags = [(f"_rule{n}", r.reason_sql or f"'{r.reason}'") for c in COMPONENTS for n, r in enumerate(self.rules) if r.component == c and (r.reason or r.reason_sql)]
         if not tags:
             return "''"
         return "concat_ws('|', " + ", ".join(f"CASE WHEN {w} THEN {t} END" for w, t in tags) + ")"
@@ -57,6 +56,8 @@ class ScoreModel:
     def apply(self, records: DataFrame) -> DataFrame:
         """Adds score_fit and so on, the score, score_band, recommended_action, score_reasons."""
         out = records.withColumns({k: F.expr(v) for k, v in self.derived})
+        # Each condition is a column of its own, as points and reasons both look at it.
+        out = out.withColumns({f"_rule{n}": F.expr(f"coalesce({r.when}, false)") for n, r in enumerate(self.rules)})
         out = out.withColumns({f"score_{c}": F.expr(f"CAST({self.component(c)} AS INT)") for c in self.weights})
         out = out.withColumn(self.score, F.expr(self.total()))
         reasons = F.expr(self.reasons())
@@ -66,4 +67,4 @@ class ScoreModel:
                 "recommended_action": F.expr(self.band("send_first", "keep", "hold")),
                 "score_reasons": F.when(reasons == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.split(reasons, r"\|"))),
             }
-        ).drop(*[k for k, _ in self.derived])
+        ).drop(*[k for k, _ in self.derived], *[f"_rule{n}" for n in range(len(self.rules))])

@@ -18,7 +18,7 @@ SELECT c.c_custkey AS ord, c.c_custkey AS id, n.n_nationkey AS run_id,
   n.n_name AS city, c.c_mktsegment AS niche,
   CASE WHEN c.c_custkey % 7 = 0 THEN '' ELSE concat('https://list.example.org/', CAST(c.c_custkey AS STRING)) END AS source_url,
   '2024-01-30T00:00:00Z' AS collected_at, '' AS title,
-  CASE WHEN c.c_custkey % 13 = 0 THEN 'Now HIRING and opening a new location' ELSE 'family business' END AS description, '' AS keywords, '' AS notes,
+  CASE WHEN c.c_custkey % 13 = 0 THEN 'Now HIRING and opening a new location' ELSE 'family business' END AS description, CASE WHEN c.c_custkey % 19 = 0 THEN 'growth, campaign' ELSE '' END AS keywords, CASE WHEN c.c_custkey % 29 = 0 THEN 'may request a quote' ELSE '' END AS notes,
   CASE WHEN c.c_custkey % 2 = 0 THEN CAST(0.9 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS source_confidence,
   CASE WHEN c.c_custkey % 3 = 1 THEN CAST(0.8 AS DOUBLE) END AS extraction_confidence,
   CASE WHEN c.c_custkey % 6 = 0 THEN NULL ELSE CAST((c.c_custkey % 6) * 20 AS DOUBLE) END AS freshness_hours,
@@ -41,6 +41,7 @@ FROM {documents}
 
 POSTS = """
 SELECT doc_id AS ord, substr(text, 1, 30) AS job_title, CASE WHEN doc_id % 7 = 0 THEN concat(substr(text, 1, 1500), ' looking for a vendor, pricing is terrible; hiring') ELSE substr(text, 1, 2000) END AS raw_snippet,
+  CASE WHEN doc_id % 7 = 0 THEN concat(text, ' looking for a vendor, pricing is terrible; hiring') ELSE text END AS body,
   concat('user', CAST(doc_id % 60 AS STRING)) AS company_name, CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat('https://forum.example.com/', CAST(doc_id % 500 AS STRING)) END AS posting_url,
   CASE WHEN doc_id % 2 = 0 THEN 'instructionaldesign' ELSE 'elearning' END AS subreddit, CASE WHEN doc_id % 4 = 0 THEN '' ELSE CAST(doc_id % 500 AS STRING) END AS post_id,
   doc_id % 23 AS upvotes, doc_id % 13 AS comment_count, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE CAST(doc_id % 10 AS DOUBLE) / CAST(10 AS DOUBLE) END AS upvote_ratio,

@@ -28,11 +28,32 @@ def embedded_or_landed(runs: DataFrame, landed: DataFrame) -> DataFrame:
     return own.unionByName(rest)
 
 
-def pages(df: DataFrame, data: str = "data") -> DataFrame:
-    """The entries of landed list pages, in order of page and place."""
+def pages(df: DataFrame, data: str = "data", has_more: str | None = None) -> DataFrame:
+    """The entries of landed list pages, in order of page and place. With `has_more`, a page that others
+    follow must end with an entry that has an id (the cursor), or the query fails."""
+    if has_more:
+        last = F.try_element_at(data, F.lit(-1))["id"]
+        lost = F.coalesce(has_more, F.lit(False)) & (F.coalesce(last, F.lit("")) == "")
+        df = df.withColumn(data, F.when(lost, F.raise_error(F.lit("pagination cursor missing"))).otherwise(F.col(data)))
     return df.select("*", F.posexplode(data).alias("place", "entry")).drop(data)
 
 
+def single_object(spark: SparkSession, path: str) -> DataFrame:
+    """item: the one document of a file; no text gives an empty object, text that isn't JSON fails the query."""
+    text = F.coalesce(F.nullif(F.btrim("value"), F.lit("")), F.lit("{}"))
+    return spark.read.text(path, wholetext=True).select(F.parse_json(text).alias("item"))
+
+
+def with_run(items: DataFrame, runs: DataFrame) -> DataFrame:
+    """Items with the attributes of their run (run_id), with defaults: context_niche, context_city, source
+    and collected_at for records without their own."""
+    own = runs.select(
+        F.col("id").alias("run_id"), first_filled("niche", F.lit("HVAC")).alias("context_niche"), first_filled("city", F.lit("Austin")).alias("context_city"),
+        first_filled("source", F.lit("apify")).alias("context_source"), F.col("requested_at").cast("string").alias("context_collected_at"),
+    )
+    return items.join(own, "run_id")
+
+
 def unwrapped(item: Column) -> Column:
     """The record inside `raw`, where there is one."""
     return F.coalesce(F.try_variant_get(item, "$.raw", "variant"), item)
@@ -86,8 +107,9 @@ LEAD_FLAGS = {
 }
 
 
-def lead_records(items: DataFrame, context_niche: str = "", context_city: str = "", collected_at: str = "") -> DataFrame:
+def lead_records(items: DataFrame, context_niche: str = "", context_city: str = "", collected_at: str = "", context_source: str = "apify") -> DataFrame:
     """Normalised business leads from `item` VARIANTs; other columns are kept."""
+    from ..functions.hashing import stable_group_id
     from ..functions.text import normalize_domain, normalize_phone
 
     item = unwrapped(F.col("item"))
@@ -101,10 +123,50 @@ def lead_records(items: DataFrame, context_niche: str = "", context_city: str =
     fields |= {k: number_field(item, k) for k in ("source_confidence", "extraction_confidence", "freshness_hours", "rating", "employee_count")}
     fields["reviews_count"] = F.coalesce(F.nullif(number_field(item, "reviews_count"), F.lit(0.0)), number_field(item, "review_count"))
     fields["reply_count"] = F.coalesce(number_field(item, "reply_count"), number_field(item, "replyCount"), F.lit(0.0))
+    fields["source"] = first_filled(fields["source"], F.lit(context_source))
+    fields["source_type"] = first_filled(text_field(item, "source_type", "sourceType"), fields["source"])
+    fields["revenue_band"] = F.try_variant_get(item, "$.revenue_band", "string")
+    fields["fingerprint"] = stable_group_id(*[fields[k] for k in ("business_name", "website", "phone", "email", "city")])
     fields |= {"context_niche": F.lit(context_niche), "context_city": F.lit(context_city), "raw_item_hash": F.sha1(F.to_json("item").cast("binary"))}
     return items.withColumns(fields)
 
 
+#: Aliases of a local business's fields, in order of precedence.
+PLACE_ALIASES = {
+    "business_name": ["business_name", "company_name", "name", "title"], "niche": ["niche", "category"], "city": ["city", "location"], "state": ["state", "region"],
+    "phone": ["phone", "telephone", "contact_phone"], "email": ["email", "contact_email"], "source_url": ["source_url", "url", "link"], "collected_at": ["collected_at", "timestamp"],
+    "title": ["title"], "description": ["description", "summary"], "licensing_info": ["licensing_info"], "hvac_type": ["hvac_type"],
+}
+PLACE_WEBSITE = ["website", "domain", "url", "source_url"]
+PLACE_DEFAULTS = {"niche": "HVAC", "city": "Austin", "state": "TX", "hvac_type": "both"}
+PLACE_FLAGS = ["hiring_intent", "recent_activity", "review_velocity", "pricing_signal", "social_proof_signal", "trigger_event", "previous_response", "engagement_signal", "emergency_service", "insurance_verified"]
+PLACE_NUMBERS = ["rating", "employee_count", "source_confidence", "extraction_confidence", "freshness_hours", "years_in_business"]
+
+
+def place_records(items: DataFrame, collected_at: str = "") -> DataFrame:
+    """Normalised local businesses. The context comes from columns context_niche, context_city and
+    context_collected_at where there are some (as with_run gives), else from the defaults."""
+    from ..functions.text import normalize_domain, normalize_phone
+
+    item = unwrapped(F.col("item"))
+    context = lambda name, default: first_filled(*([f"context_{name}"] if f"context_{name}" in items.columns else []), F.lit(default))
+    defaults = {k: context(k, v) for k, v in PLACE_DEFAULTS.items()} | {"collected_at": context("collected_at", collected_at)}
+    any_of = lambda names: first_filled(*[raw_text(item, n) for n in names])
+    # The default comes before the normalisation: a blank field is one that is filled.
+    fields = {k: normalize_text(first_filled(any_of(names), defaults[k])) if k in defaults else normalize_text(any_of(names)) for k, names in PLACE_ALIASES.items()}
+    fields["website"] = normalize_domain(any_of(PLACE_WEBSITE))
+    fields["phone"] = normalize_phone(any_of(PLACE_ALIASES["phone"]))
+    fields["email"] = normalize_email(any_of(PLACE_ALIASES["email"]))
+    fields |= {k: flag_field(item, k) for k in PLACE_FLAGS} | {k: number_field(item, k) for k in PLACE_NUMBERS}
+    other = F.nullif(number_field(item, "reviews_count"), F.lit(0.0))
+    fields["reviews_count"] = F.coalesce(other, number_field(item, "reviewCount"))
+    fields["reply_count"] = F.coalesce(number_field(item, "reply_count"), F.lit(0.0))
+    fields |= {k: F.coalesce(F.try_variant_get(item, f"$.{k}", "array<string>"), F.array().cast("array<string>")) for k in ("services", "serving_zips")}
+    fields |= {"source": F.lit("apify"), "notes": F.lit(""), "keywords": F.lit(""), "raw_item_hash": F.sha1(F.to_json("item").cast("binary"))}
+    fields |= {f"context_{k}": defaults[k] for k in ("niche", "city")}
+    return items.withColumns(fields)
+
+
 #: Aliases of a job post's fields by source; the LAST that isn't null wins.
 JOB_ALIASES = {
     "indeed": {"job_title": ["title"], "company_name": ["company", "companyName"], "location": ["location"], "salary": ["salary"], "raw_snippet": ["summary", "description"], "posting_date": ["postedDate", "date"], "posting_url": ["url", "link", "jobUrl", "sourceUrl"], "company_url": [], "workplace_type": [], "job_level": []},
@@ -133,6 +195,7 @@ def post_records(items: DataFrame, subreddit: str = "", signals: list[str] | Non
     from ..plans.models import SIGNALS
 
     item = unwrapped(F.col("item"))
+    # The aliases below, in order of precedence.
     any_of = lambda *names: first_filled(*[raw_text(item, n) for n in names])
     count = lambda *names: F.coalesce(*[number_field(item, n) for n in names], F.lit(0.0))
     body = F.left(F.btrim(any_of("selfText", "selftext", "text", "description")), F.lit(5000))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.models import JOB_SOURCES, SEARCH_KEYWORDS, SUBREDDIT_COST, SUBREDDITS
+from ..plans.models import JOB_SOURCES, MOST_ITEMS, SEARCH_KEYWORDS, SUBREDDIT_COST, SUBREDDITS
 
 
 def job_sweep(spark: SparkSession, keywords: list[str] = SEARCH_KEYWORDS, sources: dict[str, float] = JOB_SOURCES) -> DataFrame:
@@ -13,12 +13,24 @@ def job_sweep(spark: SparkSession, keywords: list[str] = SEARCH_KEYWORDS, source
     words = spark.createDataFrame(list(enumerate(keywords)), "k int, keyword string")
     places = F.posexplode(F.array(*[F.struct(F.lit(s).alias("source"), F.lit(c).alias("est_cost")) for s, c in sources.items()])).alias("s", "x")
     out = words.select("k", "keyword", places).select((F.col("k") * len(sources) + F.col("s")).cast("int").alias("ord"), "keyword", "x.source", "x.est_cost")
-    actor_input = F.when(F.col("source") == "indeed", F.to_json(F.struct(F.col("keyword").alias("search"), F.lit(150).alias("maxResults")))).otherwise(F.to_json(F.struct(F.col("keyword").alias("keywords"), F.lit(100).alias("count"))))
+    search = F.to_json(F.struct(F.col("keyword").alias("search"), F.lit(MOST_ITEMS["indeed"]).alias("maxResults")))
+    actor_input = F.when(F.col("source") == "indeed", search).otherwise(F.to_json(F.struct(F.col("keyword").alias("query"), F.lit(MOST_ITEMS["linkedin"]).alias("maxItems"))))
     return out.withColumn("actor_input", actor_input)
 
 
 def forum_sweep(spark: SparkSession, subreddits: list[str] = SUBREDDITS) -> DataFrame:
-    return spark.createDataFrame([(i, s, f"r/{s}", SUBREDDIT_COST) for i, s in enumerate(subreddits)], "ord int, subreddit string, label string, est_cost double")
+    out = spark.createDataFrame([(i, s, f"r/{s}", SUBREDDIT_COST) for i, s in enumerate(subreddits)], "ord int, subreddit string, label string, est_cost double")
+    most = MOST_ITEMS["forum"]
+    return out.withColumn("actor_input", F.to_json(F.struct(F.array("subreddit").alias("subreddits"), F.lit("new").alias("sort"), F.lit(most).alias("maxItems"), F.lit(min(most, 100)).alias("maxPostCount"))))
+
+
+def place_search(places: DataFrame, most: int = MOST_ITEMS["places"]) -> DataFrame:
+    """places: niche, city, state (null for the defaults). Adds search_string and actor_input."""
+    part = lambda c, d: F.coalesce(c, F.lit(d))
+    out = places.withColumn("search_string", F.concat(part("niche", "HVAC"), F.lit(" in "), part("city", "Austin"), F.lit(", "), part("state", "TX")))
+    proxy = F.struct(F.lit(True).alias("useApifyProxy")).alias("proxyConfig")
+    flags = [F.lit(False).alias("onlyWithWebsite"), F.lit(True).alias("includeReviews"), F.lit(False).alias("includeReviewsImages"), F.lit("relevance").alias("sortBy")]
+    return out.withColumn("actor_input", F.to_json(F.struct(F.col("search_string").alias("searchString"), F.lit(most).alias("maxCrawledPlaces"), proxy, *flags)))
 
 
 def cost(sweep: DataFrame) -> DataFrame:

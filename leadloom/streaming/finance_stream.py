@@ -2,18 +2,28 @@
 
 Each batch takes the keys that are new to the table, and writes signals under the batch's own
 folder; a batch that is run again overwrites its folder. Keys are read from the signals, so
-there is no second table to get out of step."""
+there is no second table to get out of step. Outside the window of a run nothing is read: the run
+leaves a receipt that says so, and the next one takes over. Each batch leaves a receipt, too, if asked to."""
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.finance import keyed, list_candidates, new_signals
+from ..functions.dates import moment
+from ..operators.finance import keyed, list_candidates, new_signals, receipt
 
 
-def ingest(spark: SparkSession, landing: str, out: str, checkpoint: str, account: str, source: str = "charge", signal_type: str = "stripe_charge") -> StreamingQuery:
+def ingest(spark: SparkSession, landing: str, out: str, checkpoint: str, account: str, source: str = "charge", signal_type: str = "stripe_charge", receipts: str | None = None, now: str | None = None) -> StreamingQuery | None:
+    """`now`: the time of the run, in UTC; if it is given and not between 0 and 6 o'clock, there is no query."""
+    if now is not None and datetime.fromisoformat(now).hour > 5:
+        if receipts:
+            empty = spark.createDataFrame([], "source string")
+            receipt(empty, empty, False, moment(now)).write.mode("overwrite").parquet(f"{receipts}/run={datetime.fromisoformat(now):%Y%m%dT%H%M%S}")
+        return None
     entries = spark.readStream.schema("id string, created bigint").json(landing)
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -21,6 +31,9 @@ def ingest(spark: SparkSession, landing: str, out: str, checkpoint: str, account
         found = keyed(list_candidates(batch, source, signal_type, F.lit(None).cast("date")), account).withColumn("ord", F.col("entity_id"))
         seen = session.read.schema("dedupe_key string, batch_id bigint").parquet(out).filter(F.col("batch_id") != batch_id).select("dedupe_key") if exists(session, out) else None
         new_signals(found, seen).drop("ord").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        if receipts:
+            stored = session.read.parquet(f"{out}/batch_id={batch_id}")
+            receipt(found, stored, True, None if now is None else moment(now)).write.mode("overwrite").parquet(f"{receipts}/run=batch_{batch_id}")
 
     return entries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -34,7 +34,7 @@ def test_lane_golden(spark):
 def test_simple_golden(spark):
     raw = spark.createDataFrame([(0, "Acme HVAC", "", "512-555-0100", "", "Austin", "", False, False)], "ord long, raw_name string, raw_website string, raw_phone string, raw_email string, city string, niche string, hiring_intent boolean, recent_activity boolean")
     got = api.process(api.normalized_leads(raw, "simple"), "simple").items.first()
-    assert (got["lead_score"], got["duplicate_group_id"], got["canonical_entity_id"]) == (42, "h3f06ff60", "h77ae7700")
+    assert (got["lead_score"], got["group_hash"], got["canonical_entity_id"]) == (42, "h3f06ff60", "h77ae7700")
 
 
 def test_job_golden(spark):
@@ -143,13 +143,15 @@ def test_maxima():
 
 
 def test_finance_selection(spark):
-    cand = spark.createDataFrame([(0, "ch_first"), (1, "ch_first"), (2, "ch_second")], "ord long, dedupe_key string")
+    cand = spark.createDataFrame([(0, "ch_first", "charge"), (1, "ch_first", "charge"), (2, "ch_second", "balance"), (3, "ch_third", "balance")], "ord long, dedupe_key string, source string")
     seen = spark.createDataFrame([("ch_first",)], "dedupe_key string")
     new = finance.new_signals(cand, seen)
-    assert [r["dedupe_key"] for r in new.collect()] == ["ch_second"]
-    r = finance.receipt(cand, new).first()
-    assert (r["candidate_count"], r["dedupe_count"]) == (3, 2)
-    assert finance.receipt(cand, new, window_open=False).first()["mode"] == "outside_window_noop"
+    assert sorted(r["dedupe_key"] for r in new.collect()) == ["ch_second", "ch_third"]
+    now = dates.moment("2026-07-19 01:02:03")
+    r = finance.receipt(cand, new, now=now).first()
+    assert r.asDict() == {"run_timestamp_utc": "2026-07-19T01:02:03.000Z", "window_open": True, "candidate_count": 4, "dedupe_count": 2, "pagination_exhausted": True, "mode": "read_only_ingestion", "sources": {"balance": 1, "charges": 2, "subscriptions": 0, "balance_transactions": 0}}
+    r = finance.receipt(cand, new, window_open=False, now=now).first()
+    assert (r["mode"], r["window_open"], r["candidate_count"], r["sources"]) == ("outside_window_noop", False, 0, {})
 
 
 def test_finance_stream_is_idempotent(spark, tmp_path):
@@ -195,6 +197,8 @@ def test_queue_settles(spark):
 def test_sql_functions(spark):
     hashing.register(spark)
     assert spark.sql("SELECT normalize_text('  a\tb ') AS x, round_half_up(2.5D) AS y, is_email('a@b.c') AS z").first() == ("a b", 3, True)
+    assert spark.sql("SELECT normalize_phone('(512) 555-0100'), normalize_email(' A@B.C '), normalize_domain('HTTPS://www.Example.com/a'), slugify('Big  Tent #1'), html_escape('<a>&')").first() == ("+15125550100", "a@b.c", "example.com", "big-tent-1", "&lt;a&gt;&amp;")
+    assert spark.sql("SELECT clamp(120D), first_filled('', 'x'), event_key('a', 'b', 'c'), signal_key('a', 'b'), ratio(1L, 3L)").first() == (100.0, "x", "finance_event:a:b:c", "finance_signal:a:b", 0.333)
 
 
 def test_plan_shapes(spark, data):
@@ -235,7 +239,7 @@ def test_score_against_plain_python(spark, data):
         search = " ".join(r[c] or "" for c in ("business_name", "niche", "city", "website", "context_niche", "context_city")).lower()
         fit += sum(15 for c in ("context_niche", "context_city") if r[c] and r[c].lower() in search)
         intent = sum(p for c, p in flags.items() if r[c])
-        intent += 12 if re.search("hiring|growth|expanding|opening|campaign|new location|request a quote", f"{r['title']} {r['description']} {r['notes']} {r['keywords']}".lower()) else 0
+        intent += 12 if re.search("hiring|growth|expanding|opening|campaign|new location|request a quote", f"{r['title']} {r['description']} {r['notes']}".lower()) else 0
         quality = 8 * sum(bool(r[c]) for c in ("business_name", "website", "phone", "email", "city", "source_url", "collected_at")) + 8 * bool(r["source_confidence"]) + 8 * bool(r["extraction_confidence"])
         fresh = r["freshness_hours"]
         quality += 0 if fresh is None else 12 if fresh <= 24 else 6 if fresh <= 72 else 0
@@ -244,6 +248,56 @@ def test_score_against_plain_python(spark, data):
         assert (r["score_fit"], r["score_intent"], r["score_quality"], r["score_engagement"], r["lead_score"]) == (fit, intent, quality, engagement, total)
 
 
+def test_place_golden(spark):
+    item = {"raw": {"name": "Acme HVAC", "phone": "512-555-0100", "reviewCount": "25", "services": ["repair", "ducts"], "emergency_service": "no", "freshness_hours": None, "region": " TX "}}
+    got = landing.place_records(landing.inline_items(spark, [json.dumps(item)]), "2024-01-01").first()
+    assert (got["business_name"], got["niche"], got["city"], got["state"], got["hvac_type"], got["phone"]) == ("Acme HVAC", "HVAC", "Austin", "TX", "both", "+15125550100")
+    assert (got["reviews_count"], got["services"], got["serving_zips"], got["emergency_service"], got["freshness_hours"], got["rating"]) == (25.0, ["repair", "ducts"], [], True, 0.0, None)
+
+
+def test_run_attributes_reach_items(spark):
+    runs = spark.createDataFrame([(1, "Roofing", "", None, "2024-01-02"), (2, None, "Dallas", "csv", None)], "id long, niche string, city string, source string, requested_at string")
+    items = landing.inline_items(spark, ['{"name": "A"}', '{"name": "B", "city": "Waco"}']).withColumn("run_id", F.col("ord") + 1)
+    got = landing.place_records(landing.with_run(items, runs)).orderBy("ord").collect()
+    assert [(r["niche"], r["city"], r["collected_at"], r["context_source"]) for r in got] == [("Roofing", "Austin", "2024-01-02", "apify"), ("HVAC", "Waco", "", "csv")]
+
+
+def test_lead_fields(spark):
+    got = leads(spark, [{"name": "Acme", "website": "acme.com", "revenue_band": "1-5m"}, {"name": "B", "sourceType": "maps"}])
+    a, b = got.orderBy("ord").collect()
+    assert (a["source"], a["source_type"], a["revenue_band"], b["source"], b["source_type"]) == ("apify", "apify", "1-5m", "maps", "maps")
+    assert a["fingerprint"] == one(spark, hashing.stable_group_id(F.lit("Acme"), F.lit("acme.com")))
+
+
+def test_pages_need_a_cursor(spark, tmp_path):
+    page = "data array<struct<id: string>>, has_more boolean"
+    good = spark.createDataFrame([([("a",), ("b",)], True), ([("c",)], False), ([], False)], page)
+    assert [r["entry"]["id"] for r in landing.pages(good, has_more="has_more").collect()] == ["a", "b", "c"]
+    for bad in ([("a",), (None,)], []):
+        with pytest.raises(Exception, match="cursor missing"):
+            landing.pages(spark.createDataFrame([(bad, True)], page), has_more="has_more").collect()
+    (tmp_path / "good.json").write_text('{"a": 1}')
+    (tmp_path / "bad.json").write_text('{"a": ')
+    assert landing.single_object(spark, str(tmp_path / "good.json")).select(F.variant_get("item", "$.a", "int")).first()[0] == 1
+    with pytest.raises(Exception, match="MALFORMED|malformed|parse"):
+        landing.single_object(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_stream_outside_the_window(spark, tmp_path):
+    land, out, ckpt, receipts = (str(tmp_path / x) for x in ("in", "out", "ck", "r"))
+    spark.createDataFrame([("ch_1", 1784422800)], "id string, created bigint").coalesce(1).write.json(land)
+    assert ingest(spark, land, out, ckpt, "acct", receipts=receipts, now="2026-07-19 12:00:00") is None
+    ingest(spark, land, out, ckpt, "acct", receipts=receipts, now="2026-07-20 01:00:00").awaitTermination()
+    got = spark.read.parquet(receipts).orderBy("run_timestamp_utc").collect()
+    assert [(r["mode"], r["candidate_count"], r["dedupe_count"]) for r in got] == [("outside_window_noop", 0, 0), ("read_only_ingestion", 1, 0)]
+
+
+def test_embedded_items_win(spark):
+    runs = spark.createDataFrame([(1, ["x"]), (2, []), (3, None)], "run_id long, sample_items array<string>")
+    landed = spark.createDataFrame([(1, 0, "l1"), (2, 0, "l2"), (3, 0, "l3")], "run_id long, ord int, line string")
+    assert sorted((r["run_id"], r["line"]) for r in landing.embedded_or_landed(runs, landed).collect()) == [(1, "x"), (2, "l2"), (3, "l3")]
+
+
 def test_leads_stream(spark, tmp_path):
     from leadloom.streaming import leads_stream
 
