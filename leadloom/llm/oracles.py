@@ -24,6 +24,7 @@ def _op1() -> str:
     classes = ", ".join(f"{count('rest', p)}" for p in CLASSES.values())
     words = ", ".join(f"len(list_filter(w, lambda x: x = '{v}'))" for v in vocabulary)
     n = len(vocabulary) + 1
+    blend = lambda a, b: f"list_transform(list_zip({a}, {b}), lambda z: (z[1] + z[2]) / 2)"
     return f"""
 WITH base AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, {_words('text')} AS w FROM documents),
  cut AS (SELECT *, {rest} AS rest, length(array_to_string(w, '')) AS word_chars, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^ \\x09-\\x0D]')) AS lines FROM base),
@@ -36,8 +37,9 @@ WITH base AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '')
  refs AS (SELECT lang, list_transform(range(1, {N_CLASSES + 1}), lambda i: list_sum(list_transform(chs, lambda x: x[i]))) AS rc, list_transform(range(1, {n + 1}), lambda i: list_sum(list_transform(whs, lambda x: x[i]))) AS rw FROM (SELECT lang, list(ch) AS chs, list(wh) AS whs FROM good GROUP BY lang HAVING count(*) >= greatest({rule.min_reference_docs}, ceil({rule.min_reference_share} * (SELECT count(*) FROM good))))),
  shares AS (SELECT lang, list_transform(rc, lambda x: x / list_sum(rc)) AS rc, list_transform(rw, lambda x: x / list_sum(rw)) AS rw FROM refs),
  joined AS (SELECT hist.*, list_transform(ch, lambda x: x / greatest(list_sum(ch), 1)) AS pc, list_transform(wh, lambda x: x / greatest(list_sum(wh), 1)) AS pw, rc, rw, coalesce(repeats.n, 0) AS n_repeat FROM hist LEFT JOIN shares USING (lang) LEFT JOIN repeats USING (r)),
- near AS (SELECT r, min({_distance('pc', 's.rc')}) AS nc, min({_distance('pw', 's.rw')}) AS nw FROM joined CROSS JOIN shares s GROUP BY r),
- far AS (SELECT joined.*, CASE WHEN lang IS NULL THEN nc WHEN rc IS NOT NULL THEN {_distance('pc', 'rc')} END AS dc, CASE WHEN lang IS NULL THEN nw WHEN rw IS NOT NULL THEN {_distance('pw', 'rw')} END AS dw FROM joined LEFT JOIN near USING (r)),
+ own AS (SELECT *, CASE WHEN rc IS NOT NULL THEN {_distance('pc', 'rc')} END AS oc, CASE WHEN rw IS NOT NULL THEN {_distance('pw', 'rw')} END AS ow FROM joined),
+ near AS (SELECT r, min({_distance('pc', 's.rc')}) AS nc, min({_distance('pw', 's.rw')}) AS nw, min({_distance('pc', blend('joined.rc', 's.rc'))}) AS bc, min({_distance('pw', blend('joined.rw', 's.rw'))}) AS bw FROM joined CROSS JOIN shares s GROUP BY r),
+ far AS (SELECT own.*, CASE WHEN lang IS NULL THEN nc WHEN oc <= {rule.max_char_distance} THEN oc WHEN oc IS NOT NULL THEN least(oc, bc) END AS dc, CASE WHEN lang IS NULL THEN nw WHEN ow <= {rule.max_word_distance} THEN ow WHEN ow IS NOT NULL THEN least(ow, bw) END AS dw FROM own LEFT JOIN near USING (r)),
  told AS (SELECT doc_id, len(w)::BIGINT AS n_words, word_chars::BIGINT AS word_chars, {count('t', CLASSES['symbol'])}::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_repeat::BIGINT AS n_repeat_words,
   len(w) < 20 OR 100 * n_repeat > 30 * len(w) AS base_failed, CASE WHEN length(t) >= {rule.min_chars} THEN round(dc, 6) END AS char_distance, CASE WHEN len(w) >= {rule.min_words} THEN round(dw, 6) END AS word_distance FROM far)
 SELECT *, NOT base_failed AND coalesce(char_distance, 0) <= {rule.max_char_distance} AND coalesce(word_distance, 0) <= {rule.max_word_distance} AS kept FROM told"""

@@ -3,7 +3,9 @@
 Two histograms of a document (character classes; common words of some
 languages and all others) are compared with those of whole languages
 by the Jensen-Shannon distance (base 2, 0 to 1). The references are learned for every language
-of the table, as sums over all its documents that pass the base rules. Guards: a histogram of a
+of the table, as sums over all its documents that pass the base rules. A document beyond a limit may be
+written in two languages, so it is compared with the blends, in equal parts, of its language's
+reference and each other one, too; the smallest distance counts. Guards: a histogram of a
 text with few characters or words is not judged, nor is one whose language has too few such
 documents, in number or as a share of all.
 
@@ -166,20 +168,22 @@ def judge(docs: DataFrame, rule: Divergence = Divergence()) -> DataFrame:
     found = _histograms(checkpoint(features(docs, rule)))
     known = references(found, rule)
 
-    def nearest(hist: str, which: int) -> Column:
+    def nearest(hist: str, which: int, limit: float) -> Column:
         if not known:
             return F.lit(None).cast("double")
         table = F.from_json(F.lit(json.dumps({k: v[which] for k, v in known.items()})), "map<string, array<double>>")
-        own = let(F.element_at(table, F.col("lang")), lambda r: F.when(r.isNotNull(), distance(F.col(hist), r)))
-        each = F.transform(F.map_values(table), lambda r: distance(F.col(hist), r))
-        return F.when(F.col("lang").isNull(), F.array_min(each)).otherwise(own)
+        to_each = lambda of: F.array_min(F.transform(F.map_values(table), lambda r: distance(F.col(hist), of(r))))
+        blends = lambda own: to_each(lambda r: F.zip_with(own, r, lambda a, b: (a + b) / 2))
+        # Blends are looked at only beyond the limit.
+        told = lambda own: let(distance(F.col(hist), own), lambda d: F.when(d <= limit, d).otherwise(F.least(d, blends(own))))
+        return F.when(F.col("lang").isNull(), to_each(lambda r: r)).otherwise(let(F.element_at(table, F.col("lang")), lambda r: F.when(r.isNotNull(), told(r))))
 
     base = _base_failed()
     out = found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base.alias("base_failed"),
-        F.when(F.col("n_chars") >= rule.min_chars, F.round(nearest("char_hist", 0), 6)).alias("char_distance"),
-        F.when(F.col("n_words") >= rule.min_words, F.round(nearest("word_hist", 1), 6)).alias("word_distance"),
+        F.when(F.col("n_chars") >= rule.min_chars, F.round(nearest("char_hist", 0, rule.max_char_distance), 6)).alias("char_distance"),
+        F.when(F.col("n_words") >= rule.min_words, F.round(nearest("word_hist", 1, rule.max_word_distance), 6)).alias("word_distance"),
     )
     near = (F.coalesce(F.col("char_distance"), F.lit(0.0)) <= rule.max_char_distance) & (F.coalesce(F.col("word_distance"), F.lit(0.0)) <= rule.max_word_distance)
     return out.withColumn("kept", ~F.col("base_failed") & near)

@@ -49,6 +49,37 @@ def test_divergence_tells_junk(spark):
     assert all(got[i]["kept"] for i in range(60)) and not any(got[i]["kept"] for i in (60, 61, 62, 100))
 
 
+def test_documents_in_two_languages_are_kept(spark):
+    """A text that is half English, half German is far from either, but near their blend; one without
+    common words is far from all. Distances against plain Python."""
+    import math
+
+    rng = random.Random(5)
+    common = {"en": ["the", "of", "and", "to", "a"], "de": ["der", "die", "und", "den", "von"]}
+    other = ["house", "river", "stone", "green", "walk", "paper", "night", "boat"]
+    text = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, text(common[lang] * 2 + other, 150), lang) for i, lang in enumerate(["en", "de"] * 30)]
+    mixed = text(common["en"] * 2 + other, 75) + " " + text(common["de"] * 2 + other, 75)
+    rows += [(100, mixed, "en"), (101, text(other, 150), "en")]
+    got = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    vocabulary = quality_rules.Divergence().vocabulary
+
+    def hist(texts):
+        words = [w for t in texts for w in t.split()]
+        counts = [words.count(v) for v in vocabulary]
+        return [c / len(words) for c in (*counts, len(words) - sum(counts))]
+
+    def apart(p, q):
+        half = lambda a, b: sum(x * math.log2(2 * x / (x + y)) for x, y in zip(a, b, strict=True) if x) / 2
+        return math.sqrt(half(p, q) + half(q, p))
+
+    # The learned references hold these two documents, too.
+    en, de = (hist([t for _, t, g in rows if g == lang]) for lang in ("en", "de"))
+    own, blend = apart(hist([mixed]), en), apart(hist([mixed]), [(a + b) / 2 for a, b in zip(en, de, strict=True)])
+    assert own > quality_rules.Divergence().max_word_distance and abs(got[100]["word_distance"] - blend) < 1e-6
+    assert got[100]["kept"] and not got[101]["kept"] and all(got[i]["kept"] for i in range(60))
+
+
 def test_references_of_every_language(spark):
     """A language without a list of common words has its own reference; a rare one isn't judged, and
     texts without a language go by the nearest."""

@@ -1,9 +1,12 @@
 """The pipeline against plain Python over what each stage was given."""
 
+import pytest
+
 import corpus_pipeline
 from leadloom.llm import mixing, pieces, pii, quality_rules
 from leadloom.llm.common import written
 
+from .test_edge_cases import ROWS, table
 from .test_operators import _brute_components
 
 
@@ -47,3 +50,25 @@ def test_stages(spark, data):
 def test_run(spark, data):
     rows = corpus_pipeline.run(spark, data).collect()
     assert rows and all(r["round_trip"] for r in rows)
+
+
+#: Documents that the rules keep: thirty different ones, the first of them twice.
+_LINE = "The old river runs past the town and {0} people walk along its bank in the evening, while the lamps of number {1} streets are lit and the boats come home to rest by the harbour wall. Nobody there asks why the water is brown or where it goes after the bridge."
+CLEAN = [(100 + i, _LINE.format(i, i * 3), "en", "a") for i in range(30)]
+
+
+@pytest.mark.parametrize("rows", [ROWS + CLEAN + CLEAN[:1], []], ids=["odd", "empty"])
+def test_odd_tables(spark, tmp_path, rows):
+    """Nulls in any column, empty and long texts, repeated rows, clashing names, an empty table."""
+    table(spark, rows or ROWS).limit(len(rows)).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns, ids = docs.columns, []
+    for _, stage in corpus_pipeline.STAGES[:-2]:
+        docs = written(stage(spark, docs, str(tmp_path)))
+        ids.append(sorted(r["doc_id"] for r in docs.collect()))
+        assert docs.columns == columns
+    kept = {i for i, *_ in CLEAN} if rows else set()
+    assert kept <= set(ids[0]) and kept <= set(ids[1]) and ids[1] == ids[2] and len(ids[1]) == len(set(ids[1]))
+    assert not {0, 1, 2} & set(ids[0])
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in out} <= set(ids[2]) and all(r["round_trip"] for r in out)
