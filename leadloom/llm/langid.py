@@ -4,8 +4,10 @@ A text is the set of its byte n-grams of several orders (lower-cased, UTF-8; onl
 presence counts). The kernel of two texts is the mean over orders of
 |A n B| / sqrt(|A| |B|). A Nystroem map over landmark texts and ridge regression,
 one language against the rest, are fitted on a bounded sample: at most `sample`
-documents of each language, `landmarks` of them landmarks, those with the
-smallest hashes, so the sample doesn't depend on the order of rows.
+rows of each language, `landmarks` of them landmarks, those whose ids have the
+smallest hashes, so the sample doesn't depend on the order of rows. Executors reduce its texts: the driver
+gets the n-gram sets of the landmarks (at most 256^3 codes, whatever a text's length) and
+one row of kernel values for each text of the sample.
 
 Every whole text is then scored in batches: presence matrix times landmark matrix,
 times weights. The model is a few MB whatever the input's size; scoring has no
@@ -13,7 +15,8 @@ shuffle.
 
 Defined results: `und` with score 0 for a null text, a text without letters, or
 where nothing could be learned; ties go to the smaller language name; rows
-with a null doc_id are never learned from and count as not held out; an empty table
+with a null doc_id are never learned from and count as not held out; equal rows (doc_id, lang and text) are learned
+from once; an empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import discard, small_batches, written
 
 
 @dataclass(frozen=True)
@@ -53,31 +56,39 @@ def grams(text: str, order: int) -> np.ndarray:
 
 
 class Model:
-    """The fitted regressions, as arrays."""
+    """Landmarks, given as their n-gram sets by order; after `solve` also the fitted regressions."""
 
-    def __init__(self, texts: list[str], langs: list[str], k: Kernel):
+    def __init__(self, marks: list[list[np.ndarray]], langs: list[str], k: Kernel):
         self.k, self.langs = k, sorted(set(langs))
-        if not self.langs:
-            return
-        y = np.array([self.langs.index(x) for x in langs])
-        marks = [i for c in range(len(self.langs)) for i in np.flatnonzero(y == c)[: k.landmarks]]
         self.vocab, self.there = [], []
-        for order in k.orders:
-            sets = [grams(texts[i], order) for i in marks]
+        for n in range(len(k.orders) if marks else 0):
+            sets = [m[n] for m in marks]
             vocab = np.unique(np.concatenate(sets))
             there = np.zeros((len(vocab), len(marks)), np.float32)
             for j, s in enumerate(sets):
                 there[np.searchsorted(vocab, s), j] = 1 / np.sqrt(max(1, len(s)))
             self.vocab.append(vocab)
             self.there.append(there)
-        near = np.vstack([self.kernel(texts[i : i + k.batch]) for i in range(0, len(texts), k.batch)]).astype("f8")
+
+    def solve(self, near: np.ndarray, langs: list[str], marks: list[int]) -> Model:
+        """near: kernel values of the sample with the landmarks, a row a text; marks: the landmarks' rows."""
         value, vector = np.linalg.eigh((near[marks] + near[marks].T) / 2)
         keep = value > 1e-8 * value.max()
         root = vector[:, keep] / np.sqrt(value[keep])
-        phi = np.hstack([near @ root, np.ones((len(texts), 1))])
-        target = np.where(y[:, None] == np.arange(len(self.langs)), 1.0, -1.0)
-        solved = np.linalg.solve(phi.T @ phi + k.ridge * np.eye(phi.shape[1]), phi.T @ target)
+        phi = np.hstack([near @ root, np.ones((len(near), 1))])
+        target = np.where(np.array(langs)[:, None] == np.array(self.langs), 1.0, -1.0)
+        solved = np.linalg.solve(phi.T @ phi + self.k.ridge * np.eye(phi.shape[1]), phi.T @ target)
         self.weights, self.bias = (root @ solved[:-1]).astype("f4"), solved[-1].astype("f4")
+        return self
+
+    def row(self, text: str) -> np.ndarray:
+        """Kernel values of one text with the landmarks, summed in double precision, so that they don't
+        depend on what else is in a batch."""
+        out = 0
+        for order, vocab, there in zip(self.k.orders, self.vocab, self.there, strict=True):
+            g = grams(text, order)
+            out = out + there[np.isin(vocab, g, assume_unique=True)].sum(0, dtype="f8") / np.sqrt(max(1, len(g)))
+        return out / len(self.k.orders)
 
     def kernel(self, texts: list[str]) -> np.ndarray:
         """Kernel values of the texts with the landmarks: one matrix product per order."""
@@ -105,13 +116,34 @@ def held_out() -> Column:
 
 def fit(docs: DataFrame, k: Kernel = Kernel()) -> Model:
     """Learns from the text and lang of documents that aren't held out."""
-    chosen = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id"))
-    ids = chosen.select("doc_id", "lang").withColumn("place", place).filter(F.col("place") <= k.sample)
-    # At most `sample` ids of each language.
-    rows = docs.select("doc_id", "lang", "text").filter(F.col("text").isNotNull()).join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).collect()
-    rows = sorted((r for r in rows if has_letter(r["text"])), key=lambda r: (r["lang"], r["doc_id"], r["text"]))
-    return Model([r["text"] for r in rows], [r["lang"] for r in rows], k)
+    usable = F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out()
+    keyed = docs.filter(usable).select("doc_id", "lang", "text", F.xxhash64("text").alias("key"))
+    key = ["doc_id", "lang", "key"]
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "key"))
+    # At most `sample` keys of each language: a rank filter before the shuffle keeps no more of each task.
+    chosen = keyed.select(*key).withColumn("place", place).filter(F.col("place") <= k.sample).groupBy(*key).agg(F.min("place").alias("place"))
+    rows = small_batches(written(keyed.join(F.broadcast(chosen), key).dropDuplicates(key).select("lang", "place", "text")))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes = [[grams(t, order).tobytes() for order in k.orders] for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("place"), pa.array(codes, pa.list_(pa.binary()))], ["lang", "place", "grams"])
+
+    by_place = lambda r: (r["lang"], r["place"])
+    marks = sorted(rows.filter(F.col("place") <= k.landmarks).mapInArrow(sets, "lang string, place int, grams array<binary>").collect(), key=by_place)
+    model = Model([[np.frombuffer(g, np.uint32) for g in r["grams"]] for r in marks], [r["lang"] for r in marks], k)
+    if marks:
+
+        def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                near = [model.row(t) for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("place"), pa.array(near, pa.list_(pa.float64()))], ["lang", "place", "near"])
+
+        sample = sorted(rows.mapInArrow(values, "lang string, place int, near array<double>").collect(), key=by_place)
+        at = {by_place(r): i for i, r in enumerate(sample)}
+        model.solve(np.array([r["near"] for r in sample]), [r["lang"] for r in sample], [at[by_place(r)] for r in marks])
+    discard(rows)
+    return model
 
 
 def has_letter(text: str | None) -> bool:

@@ -127,14 +127,28 @@ def test_language_held_out(docs):
 
 
 def test_kernel_brute_force():
-    texts, langs = ["the house of the rising", "das haus der sonne", "la casa del sol", "the sun of a house"], ["en", "de", "es", "en"]
-    model = langid.Model(texts, langs, langid.Kernel(landmarks=2))
-    sets = lambda t: [{t.encode()[i : i + n] for i in range(len(t.encode()) - n + 1)} for n in (1, 2, 3)]
-    marks = [texts[1], texts[0], texts[3], texts[2]]  # de, en, en, es
-    got = model.kernel(["the red house"])[0]
-    for j, m in enumerate(marks):
-        want = np.mean([len(a & b) / np.sqrt(len(a) * len(b)) for a, b in zip(sets("the red house"), sets(m), strict=True)])
-        assert abs(got[j] - want) < 1e-5
+    marks = ["das haus der sonne", "the house of the rising", "the sun of a house", "la casa del sol"]
+    orders = langid.Kernel().orders
+    model = langid.Model([[langid.grams(t, n) for n in orders] for t in marks], ["de", "en", "en", "es"], langid.Kernel())
+    sets = lambda t: [{t.encode()[i : i + n] for i in range(len(t.encode()) - n + 1)} for n in orders]
+    for got in (model.kernel(["the red house"])[0], model.row("the red house")):
+        for j, m in enumerate(marks):
+            want = np.mean([len(a & b) / np.sqrt(len(a) * len(b)) for a, b in zip(sets("the red house"), sets(m), strict=True)])
+            assert abs(got[j] - want) < 1e-5
+
+
+def test_language_sample_holds_repeated_rows_once(spark):
+    """One document is a third of all rows; equal ones are learned from once, in any order of rows."""
+    words = {"en": "the house of the rising sun is near the river".split(), "de": "das haus der sonne ist nahe bei dem fluss".split()}
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(30)), lang) for i, lang in enumerate(["en", "de"] * 150)]
+    rows += [rows[2]] * 150
+    schema, k = "doc_id long, text string, lang string", langid.Kernel(sample=1000)
+    one = langid.fit(spark.createDataFrame(rows, schema), k)
+    other = langid.fit(spark.createDataFrame(sorted(set(rows), reverse=True), schema).repartition(5), k)
+    assert sum(v.shape[1] for v in one.there[:1]) <= 2 * k.landmarks
+    texts = [t for _, t, _ in rows[:40]]
+    assert [one.langs[i] for i in one.predict(texts)[0]] == [g for _, _, g in rows[:40]] == [other.langs[i] for i in other.predict(texts)[0]]
 
 
 def test_shards_are_even_and_groups_whole(spark):
