@@ -109,5 +109,45 @@ WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 SELECT n.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(head || substr(h, 2 * last + 1), h))) AS kept_sha256 FROM n LEFT JOIN cut USING (doc_id)"""
 
 
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOW}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+ u AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+ kept AS (SELECT lang, term, count(*) AS n FROM u GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+ v AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS n FROM kept GROUP BY lang),
+ g AS (SELECT DISTINCT lang, source FROM d),
+ c AS (SELECT lang, source, term, count(*) AS n FROM u JOIN kept USING (lang, term) GROUP BY ALL),
+ t AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM c GROUP BY ALL),
+ grid AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0)::HUGEINT AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (coalesce(t.total, 0) + v.v) AS p, 1 + 1000000000::HUGEINT * (kept.n + 1) // (v.n + v.v) AS q
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term) LEFT JOIN t ON g.lang = t.lang AND g.source = t.source),
+ sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM grid a JOIN grid b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+ pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source),
+ terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM grid WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM pairs UNION ALL FROM terms)) WHERE part = 'pair' OR rank <= 200"""
+
+# The CRC32 of n bytes is linear over bits: bit b of the byte that k others follow adds u(8k + 8 - b) by exclusive
+# or, where u(0) = 1 and each u follows from the one before; the register's 32 first bits add to that.
+_OP13 = f"""
+WITH RECURSIVE all_texts AS (SELECT 'd' AS part, row_number() OVER () AS r, {_LOW} AS t FROM documents UNION ALL SELECT 'b', row_number() OVER (), {_LOW} FROM benchmark),
+ d AS (SELECT part, r, regexp_extract_all(t, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM all_texts),
+ f AS (SELECT part, r, unnest(w) AS x FROM d UNION ALL SELECT part, r, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM d
+  UNION ALL SELECT part, r, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM d),
+ once AS (SELECT x, hex(encode(x)) AS h, strlen(x) AS n FROM (SELECT DISTINCT x FROM f)),
+ u(j, v) AS (SELECT 0, 1::BIGINT UNION ALL SELECT j + 1, xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END::BIGINT) FROM u WHERE j < 8 * (SELECT max(n) FROM once)),
+ bytes AS (SELECT x, n - 1 - i AS k, ('0x' || substr(h, 2 * i + 1, 2))::BIGINT AS c FROM (SELECT x, h, n, unnest(range(n)) AS i FROM once)),
+ used AS (SELECT k, c, bit_xor(v) AS v FROM (SELECT k, c, unnest(range(8)) AS b FROM (SELECT DISTINCT k, c FROM bytes WHERE c > 0)) JOIN u ON j = 8 * k + 8 - b AND (c >> b) & 1 = 1 GROUP BY ALL),
+ seeds AS (SELECT n, bit_xor(coalesce(v, 1::BIGINT << (b - 8 * n)::INT)) AS v FROM (SELECT n, unnest(range(32)) AS b FROM (SELECT DISTINCT n FROM once)) LEFT JOIN u ON j = 8 * n - b GROUP BY n),
+ crcs AS (SELECT x, n, bit_xor(v) AS v FROM bytes JOIN used USING (k, c) JOIN once USING (x) GROUP BY ALL),
+ buckets AS (SELECT x, xor(xor(crcs.v, seeds.v), 4294967295::BIGINT) % 10000 AS bucket FROM crcs JOIN seeds USING (n)),
+ counts AS (SELECT bucket, count(*) FILTER (part = 'd') AS s, count(*) FILTER (part = 'b') AS t FROM f JOIN buckets USING (x) GROUP BY bucket),
+ gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM counts) + 10000) / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM counts) + 10000))))::BIGINT AS gain FROM counts),
+ weights AS (SELECT r, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM f JOIN buckets USING (x) JOIN gains USING (bucket) WHERE part = 'd' GROUP BY r),
+ noise AS (SELECT row_number() OVER () AS r, doc_id, floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS g FROM documents),
+ told AS (SELECT doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, coalesce(weight, 0)::BIGINT + g AS score, len(w) >= 20 AS fit FROM noise JOIN d ON part = 'd' AND d.r = noise.r LEFT JOIN weights ON weights.r = noise.r),
+ places AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS place FROM told)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= 5 * (SELECT count(*) FROM told WHERE fit) // 100 THEN place END AS rank FROM places"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _op1(), "op2_mixing": _op2(), "op5_topk": _OP5, "op8_minhash": _OP8, "op10_suffixes": _OP10}
+    return {"op1_quality_rules": _op1(), "op2_mixing": _op2(), "op5_topk": _OP5, "op8_minhash": _OP8, "op10_suffixes": _OP10, "op12_divergence": _OP12, "op13_resampling": _OP13}
