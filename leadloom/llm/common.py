@@ -80,6 +80,22 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str, own: str, hot: int = 1000) -> DataFrame:
+    """`rows` with the columns of `table` (key: binary, copies, ...), null where the key has none.
+
+    `copies` tells how many rows have a key. Those with more than one in `hot` of all copies would be
+    one task's; there are fewer than `hot` of them, so they are broadcast. Their rows, and rows with a null key, are
+    spread by the column `own` in the join of the others, where they look for nothing."""
+    total = table.agg(F.sum("copies")).first()[0] or 0
+    values = [c for c in table.columns if c not in (key, "copies")]
+    side = lambda df, x: df.select(F.col(key).alias(f"_{x}_key"), *[F.col(v).alias(f"_{x}_{v}") for v in values])
+    out = rows.join(F.broadcast(side(table.filter(F.col("copies") * hot > total), "hot")), F.col(key) == F.col("_hot_key"), "left")
+    idle = F.col("_hot_key").isNotNull() | F.col(key).isNull()
+    out = out.withColumn("_key", F.when(idle, F.coalesce(F.col(own).cast("string"), F.lit("")).cast("binary")).otherwise(F.col(key)))
+    out = out.join(side(table, "own"), (F.col("_key") == F.col("_own_key")) & ~idle, "left")
+    return out.select(*rows.columns, *[F.coalesce(f"_hot_{v}", f"_own_{v}").alias(v) for v in values])
+
+
 def uniform(key: Column, seed: str) -> Column:
     """A number in [0, 1) that depends on the key and the seed alone: the first
     52 bits of an MD5, which other engines can compute as well."""

@@ -46,7 +46,7 @@ class Audit:
     #: Terms reported for each group.
     terms: int = 200
     #: Entries that a task gathers before it sends them on.
-    gathered: int = 200_000
+    gathered: int = 400_000
 
 
 #: A-Z become a-z; bytes that belong to no term become spaces (all of a character beyond ASCII are from 0x80 on).
@@ -55,25 +55,28 @@ _SCHEMA = "lang string, source string, term string, n long, docs long"
 
 
 def counted(docs: DataFrame, p: Audit) -> DataFrame:
-    """lang, source, term, n (occurrences), docs (documents with the term)."""
+    """lang, source, term, n (occurrences), docs (documents with the term; each time a task sends its counts
+    it counts `min_docs` of them at most, as no more are asked for)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: dict = {}
         size = 0
 
         def sent() -> pa.RecordBatch:
-            rows = [(lang, source, t.decode("utf-8", "replace"), n, seen[t]) for (lang, source), (often, seen) in groups.items() for t, n in often.items()]
+            rows = [(lang, source, t.decode("utf-8", "replace"), n, seen[t]) for (lang, source), (often, seen, _) in groups.items() for t, n in often.items()]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = [pa.string()] * 3 + [pa.int64()] * 2
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang", "source", "term", "n", "docs"])
 
         for batch in batches:
             for lang, source, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                often, seen = groups.setdefault((lang, source), (Counter(), Counter()))
+                often, seen, enough = groups.setdefault((lang, source), (Counter(), Counter(), set()))
                 before = len(often)
-                found = Counter(text.encode("utf-8", "surrogatepass").translate(_LOWER).split())
-                often.update(found)
-                seen.update(found.keys())
+                terms = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
+                often.update(terms)
+                fresh = set(terms) - enough
+                seen.update(fresh)
+                enough.update(t for t in fresh if seen[t] >= p.min_docs)
                 size += len(often) - before
                 if size > p.gathered:
                     yield sent()

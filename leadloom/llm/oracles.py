@@ -86,16 +86,22 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUB
  s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""
 
-_OP8 = f"""
+def _near(sets: str, percent: int, kept: str = "") -> str:
+    """Components of documents whose sets of shingles (an expression over the words w) are similar enough."""
+    return f"""
 WITH RECURSIVE d AS (SELECT doc_id, {_words("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
- sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM d),
+ sets AS (SELECT doc_id, {sets} AS s FROM d),
  one AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
  pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS n, b.n AS m, count(*) AS k FROM one a JOIN one b USING (x) WHERE a.doc_id < b.doc_id GROUP BY ALL),
- links AS (SELECT a, b FROM pairs WHERE 100 * k >= 80 * (n + m - k)),
+ links AS (SELECT a, b FROM pairs WHERE 100 * k >= {percent} * (n + m - k)),
  sides AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
  reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, sides.b FROM reach JOIN sides ON reach.b = sides.a),
  least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
-SELECT sets.doc_id, len(s)::BIGINT AS n_shingles, component_id, sets.doc_id = component_id AS kept FROM sets JOIN least USING (doc_id)"""
+SELECT sets.doc_id, len(s)::BIGINT AS n_shingles, component_id{kept} FROM sets JOIN least USING (doc_id)"""
+
+
+_OP8 = _near("CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END", 80, ", sets.doc_id = component_id AS kept")
+_OP11 = _near("CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END", 90)
 
 _OP10 = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
@@ -150,4 +156,4 @@ SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= 5 * (SELECT
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _op1(), "op2_mixing": _op2(), "op5_topk": _OP5, "op8_minhash": _OP8, "op10_suffixes": _OP10, "op12_divergence": _OP12, "op13_resampling": _OP13}
+    return {"op1_quality_rules": _op1(), "op2_mixing": _op2(), "op5_topk": _OP5, "op8_minhash": _OP8, "op10_suffixes": _OP10, "op11_jaccard_join": _OP11, "op12_divergence": _OP12, "op13_resampling": _OP13}

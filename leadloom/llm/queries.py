@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chaining, divergence, langid, minhash, mixing, pieces, pii, quality_rules, resampling, sharding, suffixes, topk
+from . import chaining, divergence, langid, metricjoin, minhash, mixing, pieces, pii, quality_rules, resampling, sharding, suffixes, topk
 from .common import table
 
 
@@ -56,6 +56,10 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.removed(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metricjoin.components_of(table(spark, sf_dir, "documents"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -65,4 +69,4 @@ def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_langid, op4_sharding, op5_topk, op6_pieces, op7_pii, op8_minhash, op9_chaining, op10_suffixes, op12_divergence, op13_resampling)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_langid, op4_sharding, op5_topk, op6_pieces, op7_pii, op8_minhash, op9_chaining, op10_suffixes, op11_jaccard_join, op12_divergence, op13_resampling)}

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, discard, small_batches, tasks_for, written
+from .common import checkpoint, discard, looked_up, small_batches, tasks_for, written
 
 
 @dataclass(frozen=True)
@@ -122,16 +122,7 @@ def scored(docs: DataFrame, target: DataFrame, p: Resampling = Resampling()) ->
         told = checkpoint(weights(texts, gain, p))
     finally:
         discard(texts)
-    total = told.agg(F.sum("copies")).first()[0] or 0
-    often = told.filter(F.col("copies") * p.hot > total)  # fewer than `hot` rows
-    values = ["n_words", "n_features", "weight"]
-    side = lambda df, x: df.select(F.col("digest").alias(f"{x}_key"), *[F.col(v).alias(f"{x}_{v}") for v in values])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest("text"))
-    rows = rows.join(F.broadcast(side(often, "hot")), F.col("digest") == F.col("hot_key"), "left")
-    # Rows that have their weight are spread by doc_id, as they look for nothing.
-    key = F.when(F.col("hot_key").isNull(), F.col("digest")).otherwise(F.coalesce(F.col("doc_id"), F.lit(0)).cast("string").cast("binary"))
-    rows = rows.withColumn("key", key).join(side(told, "own"), F.col("key") == F.col("own_key"), "left")
-    rows = rows.select("doc_id", *[F.coalesce(f"hot_{v}", f"own_{v}").alias(v) for v in values])
+    rows = looked_up(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest("text")), told, "digest", "doc_id", p.hot).drop("digest")
     h = F.conv(F.left(F.sha2(F.concat(F.lit(f"{p.seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"), 256), F.lit(8)), 16, 10).cast("double")
     noise = F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0)))
     return rows.withColumn("score", F.col("weight") + noise)
