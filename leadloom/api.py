@@ -67,9 +67,10 @@ def process(records: DataFrame, model: str = "hvac", by: tuple[str, ...] = (), o
     m = MODELS[model]
     scored = with_groups(score(records, model), model)
     flagged = dedupe.flag_best(scored, [*by, "duplicate_group_id"], m.score, order)
-    unique = flagged.filter("is_unique")
+    # The best records need no join back: one aggregate gives them.
+    unique = dedupe.best(scored, [*by, "duplicate_group_id"], m.score, order).withColumn("is_unique", F.lit(True))
     signals = "signal_count" if model == "posts" else None
-    # Counts and routing need no window: one row per group is enough.
+    # Counts and routing need one row per group.
     grouped = summary.groups(scored, m.score, by, signals)
     return Batch(flagged, unique, dedupe.ranked(unique, m.score, 10), summary.counts_of_groups(grouped, by), summary.routing_of_groups(grouped, m.high, m.nurture, by))
 

@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
+
+from .store import Store, Table
+
+
+def _orderable(df: DataFrame, columns: list[str]) -> Column:
+    """A hash over the columns that breaks ties; of VARIANT and MAP columns, which have no order, over their JSON."""
+    plain = lambda c: F.to_json(F.col(c)) if isinstance(df.schema[c].dataType, (MapType, VariantType)) else F.col(c)
+    return F.xxhash64(*[plain(c) for c in columns]) if columns else F.lit(0)
 
 
 def latest_wins(existing: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row per key: of the new rows, and then the existing ones, that with the highest `order`, of
-    equals that with the highest values. Rows with a null in the key never meet, as nulls are
+    equals that with the highest hash. Rows with a null in the key never meet, as nulls are
     distinct in a unique index. Rows are aggregated before the shuffle."""
     both = existing.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
     whole = F.lit(True)
     for k in keys:
         whole = whole & F.col(k).isNotNull()
     rest = [c for c in both.columns if c not in (*keys, "_new")]
-    last = F.max(F.struct("_new", F.col(order).alias("_order"), *rest)).alias("_last")
+    last = F.max_by(F.struct("_new", *rest), F.struct("_new", F.col(order).alias("_order"), _orderable(both, rest).alias("_tie"))).alias("_last")
     kept = both.filter(whole).groupBy(*keys).agg(last).select(*keys, *[F.col(f"_last.{c}").alias(c) for c in (*rest, "_new")])
     return kept.unionByName(both.filter(~whole)).drop("_new")
 
@@ -24,7 +33,7 @@ def insert_or_bump(requests: DataFrame, key: str, order: str = "ord", sla: str =
     """One row per key: the first request's columns, sla_due_at, and how often it came again.
     existing: rows of earlier calls, whose receipts stay and whose counts go on."""
     rest = [c for c in requests.columns if c != key]
-    first = F.min(F.struct(F.col(order).alias("_order"), *rest)).alias("_first")
+    first = F.min_by(F.struct(*rest), F.struct(F.col(order).alias("_order"), _orderable(requests, rest).alias("_tie"))).alias("_first")
     one = requests.groupBy(key).agg(first, F.count("*").alias("_n")).select(key, *[F.col(f"_first.{c}").alias(c) for c in rest], "_n")
     fresh = one.withColumns({"duplicate_count": F.col("_n") - 1, "sla_due_at": F.col(at) + F.expr(sla), "status": F.lit("queued")})
     if existing is None:
@@ -33,6 +42,17 @@ def insert_or_bump(requests: DataFrame, key: str, order: str = "ord", sla: str =
     return bumped.unionByName(fresh.join(existing.select(key), key, "left_anti").drop("_n"), allowMissingColumns=True)
 
 
+def upsert_into(store: Store, table: Table, rows: DataFrame, order: str, batch: tuple[str, int] | None = None) -> None:
+    """latest_wins, as a commit that reads and writes only the buckets of the keys of `rows`."""
+    keys = list(table.keys)
+    store.merge(table, rows, lambda there, new: latest_wins(new.limit(0) if there is None else there, new, keys, order), batch)
+
+
+def bump_into(store: Store, table: Table, requests: DataFrame, order: str = "ord", sla: str = "INTERVAL 1 DAY", at: str = "received_at", batch: tuple[str, int] | None = None) -> None:
+    """insert_or_bump, as a commit that reads and writes only the buckets of the requests' keys."""
+    store.merge(table, requests, lambda there, new: insert_or_bump(new, table.keys[0], order, sla, at, there), batch)
+
+
 def without(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     """Deletes by id."""
     return table.join(ids.select(key).distinct(), key, "left_anti")
@@ -73,6 +93,8 @@ def subscriber_states(events: DataFrame, customers: DataFrame) -> DataFrame:
 
 
 def tag_by_email(leads: DataFrame, subscribers: DataFrame) -> DataFrame:
-    """Leads with the subscription of their address, where there is one."""
-    own = subscribers.select(F.col("email").alias("_e"), F.col("status").alias("_s")).dropDuplicates(["_e"])
+    """Leads with the subscription of their address, where there is one; of several that with the highest time (`ts`, where
+    subscribers have one), of equals the highest status."""
+    newest = F.struct(*([F.col("ts")] if "ts" in subscribers.columns else []), F.col("status"))
+    own = subscribers.groupBy(F.col("email").alias("_e")).agg(F.max(newest)["status"].alias("_s"))
     return leads.join(own, F.lower("email") == F.col("_e"), "left").withColumn("subscription_status", F.coalesce(F.col("_s"), F.lit("none"))).drop("_e", "_s")

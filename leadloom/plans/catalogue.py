@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import api
 from ..functions import dates, hashing, text, web
-from ..operators import budget, dedupe, finance, queue, registry, runs, summary, upsert
+from ..operators import budget, dedupe, finance, queue, registry, run_state, runs, summary, upsert
+from ..operators.store import Store, Table
 from ..sources import landing, sweeps
+from ..sources.folders import shared_folder
 from .models import MODELS, SIGNALS
 from .twins import scored as d_scored
 from .views import JOBS as JOB_VIEW
@@ -280,8 +282,8 @@ def dedupe_ranked(spark, sf_dir):
 
 @query(f"SELECT run_id, string_agg(ord || ':' || lead_score, '|' ORDER BY lead_score DESC, first_seen) AS top_items FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY lead_score DESC, first_seen) AS rk FROM ({d_flagged('hvac', d_leads('hvac'), 'run_id')}) WHERE is_unique) WHERE rk <= 3 GROUP BY run_id")
 def run_summary_top3(spark, sf_dir):
-    items = api.process(_leads(spark, sf_dir, "hvac"), by=("run_id",)).items
-    best = summary.top(items, ["run_id"], 3, "lead_score", ["ord", "lead_score"])
+    unique = api.process(_leads(spark, sf_dir, "hvac"), by=("run_id",)).unique
+    best = summary.top(unique, ["run_id"], 3, "lead_score", ["ord", "lead_score"])
     return best.select("run_id", F.array_join(F.transform("top_items", lambda x: F.concat_ws(":", x["ord"].cast("string"), x["lead_score"].cast("string"))), "|").alias("top_items"))
 
 
@@ -487,6 +489,62 @@ def patch_and_delete(spark, sf_dir):
     return upsert.without(upsert.patch(runs, runs.filter("id % 7 = 0"), {"status": "sample_delivered"}), runs.filter("id % 5 = 0"))
 
 
+# --- keyed tables and commits ---
+
+
+def _store(spark: SparkSession) -> Store:
+    return Store(spark, shared_folder(spark, "store"))
+
+
+def _in_thirds(df: DataFrame, number: str) -> tuple[DataFrame, Column]:
+    """The rows, and which of three batches (0 to 2) each is in, by the order of `number`."""
+    return df, F.floor(F.col(number) * 3 / (df.agg(F.max(number)).first()[0] + 1))
+
+
+@query("SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")
+def upsert_keyed_table(spark, sf_dir):
+    """Events in three batches, in order, each merged into the buckets of its own keys; the last batch comes twice."""
+    store, table = _store(spark), Table("events", ("user_id", "event_type"), 16)
+    e, third = _in_thirds(_t(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value"), "event_id")
+    for n in (0, 1, 2, 2):
+        upsert.upsert_into(store, table, e.filter(third == n), "event_id", ("events", n))
+    return store.read("events")
+
+
+@query("SELECT min(event_id) AS first_id, user_id, event_type, count(*) - 1 AS duplicate_count, arg_min(ts, event_id) + INTERVAL 1 DAY AS sla_due_at FROM events GROUP BY user_id, event_type")
+def intake_keyed_table(spark, sf_dir):
+    """Requests in three batches, in order: the first of a key stays, later ones are counted."""
+    store, table = _store(spark), Table("requests", ("k",), 16)
+    e, third = _in_thirds(_t(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts", F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("k")), "event_id")
+    for n in range(3):
+        upsert.bump_into(store, table, e.filter(third == n), "event_id", at="ts", batch=("requests", n))
+    return store.read("requests").select(F.col("event_id").alias("first_id"), "user_id", "event_type", "duplicate_count", "sla_due_at")
+
+
+@query(f"SELECT 'claim' AS kind, dedupe_key AS k, CAST(min(event_date) AS VARCHAR) AS first_date FROM ({_KEYED_D}) GROUP BY dedupe_key UNION ALL SELECT 'signal', signal_key, CAST(min(event_date) AS VARCHAR) FROM ({_KEYED_D}) GROUP BY signal_key")
+def finance_atomic_claims(spark, sf_dir):
+    """Candidates in two runs, by date, each one commit of claims, signals and receipt."""
+    store, rows = _store(spark), _candidates(spark, sf_dir).withColumn("ord", F.col("entity_id"))
+    early = F.col("event_date") < "1997-01-01"
+    for n, part in enumerate((rows.filter(early), rows.filter(~early))):
+        finance.persist(store, part, "acct", dates.moment(f"2024-01-3{n} 01:00:00"), batch=("finance", n))
+    pick = lambda table, kind, key: store.read(table).select(F.lit(kind).alias("kind"), F.col(key).alias("k"), F.col("event_date").cast("string").alias("first_date"))
+    return pick("finance_event_dedupe", "claim", "dedupe_key").unionByName(pick("finance_signals", "signal", "signal_key"))
+
+
+@query(f"""SELECT run_id, count(*) AS total, count(*) FILTER (WHERE is_unique) AS unique_count, count(*) FILTER (WHERE score_band = 'high') AS high, count(*) FILTER (WHERE score_band = 'usable') AS usable, count(*) FILTER (WHERE score_band = 'low') AS low,
+ {d_ratio('(count(*) - count(*) FILTER (WHERE is_unique))', 'count(*)', 3)} AS duplicate_rate, {d_ratio('sum(lead_score)', 'count(*)', 1)} AS average_score, count(*) FILTER (WHERE is_unique AND lead_score >= 80) AS instant_alert, count(*) FILTER (WHERE is_unique AND lead_score >= 50 AND lead_score < 80) AS nurture, count(*) FILTER (WHERE is_unique AND lead_score < 50) AS hold,
+ string_agg(ord || ':' || lead_score, '|' ORDER BY lead_score DESC, first_seen) FILTER (WHERE is_unique AND rk <= 3) AS top_items FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY CASE WHEN is_unique THEN lead_score ELSE -1 END DESC, first_seen) AS rk FROM ({d_flagged('hvac', d_leads('hvac'), 'run_id')})) GROUP BY run_id""")
+def run_summary_incremental(spark, sf_dir):
+    """Leads in three batches; each adds to the summaries of its runs."""
+    store, state = _store(spark), run_state.RunState(buckets=8)
+    scored = api.with_groups(api.score(_leads(spark, sf_dir, "hvac"), "hvac"), "hvac")
+    for n in range(3):
+        run_state.add(store, scored.filter(F.pmod(F.xxhash64("ord"), F.lit(3)) == n), state, ("leads", n))
+    items = F.array_join(F.transform("top_items", lambda x: F.concat_ws(":", x["ord"].cast("string"), x["lead_score"].cast("string"))), "|")
+    return run_state.summaries(store, state).drop("total_signals").withColumn("top_items", items)
+
+
 # --- budgets, sweeps, registry ---
 
 _SCEN_D = "SELECT o_orderkey AS id, CAST(o_orderkey % 40 AS DOUBLE) / 4 AS budget_cap, CAST(o_orderkey % 90 AS DOUBLE) / 16 AS est_run_cost, 0.25::DOUBLE AS overhead_pct, CAST(o_orderkey % 30 AS DOUBLE) / 2 AS monthly_usage, CAST(o_orderkey % 3 AS DOUBLE) * 8 AS plan_limit FROM orders"
