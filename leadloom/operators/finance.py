@@ -66,15 +66,16 @@ def error_receipt(spark: SparkSession, now: Column | None = None) -> DataFrame:
     return _empty_receipt(spark, "error", now)
 
 
-def receipt(candidates: DataFrame, new: DataFrame, window_open: bool = True, now: Column | None = None) -> DataFrame:
+def receipt(candidates: DataFrame, new: DataFrame, window_open: bool = True, now: Column | None = None, entries: str | None = None) -> DataFrame:
     """run_timestamp_utc, window_open, candidate_count, dedupe_count, pagination_exhausted, mode, and
-    sources: a map of how many entries each source gave."""
+    sources: a map of how many entries each source gave. entries: a column that tells how many candidates a row stands for."""
     stamp = _stamp(now)
     if not window_open:
         return _empty_receipt(candidates.sparkSession, "outside_window_noop", now)
-    of = lambda s: F.count_if(F.col("source") == s) if s != "balance" else F.max((F.col("source") == s).cast("long"))
+    n = F.lit(1) if entries is None else F.col(entries)
+    of = lambda s: F.sum(F.when(F.col("source") == s, n)) if s != "balance" else F.max((F.col("source") == s).cast("long"))
     sources = F.create_map(*[x for s, name in RECEIPT_SOURCES.items() for x in (F.lit(name), F.coalesce(of(s), F.lit(0)).cast("long"))])
-    total, fresh = candidates.agg(F.count("*").alias("candidate_count"), sources.alias("sources")), new.agg(F.count("*").alias("_new"))
+    total, fresh = candidates.agg(F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("candidate_count"), sources.alias("sources")), new.agg(F.count("*").alias("_new"))
     # Two aggregates of one row each.
     return total.crossJoin(fresh).select(stamp, F.lit(True).alias("window_open"), "candidate_count", (F.col("candidate_count") - F.col("_new")).alias("dedupe_count"), F.lit(True).alias("pagination_exhausted"), F.lit("read_only_ingestion").alias("mode"), "sources")
 

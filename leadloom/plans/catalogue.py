@@ -11,8 +11,9 @@ from .. import api
 from ..functions import dates, hashing, text, web
 from ..operators import budget, dedupe, finance, queue, registry, run_state, runs, summary, upsert
 from ..operators.store import Store, Table
-from ..sources import landing, sweeps
+from ..sources import landing, paged, sweeps
 from ..sources.folders import shared_folder
+from ..streaming import finance_stream
 from .models import MODELS, SIGNALS
 from .twins import scored as d_scored
 from .views import JOBS as JOB_VIEW
@@ -696,6 +697,40 @@ def landed_pages(spark, sf_dir):
     return landing.pages(landed, has_more="has_more").select("conv_id", "entry.turn", F.col("entry.id").alias("entry"))
 
 
+def _land_pages(spark, sf_dir) -> str:
+    """Conversations as list pages of 400 entries at most, one file each; a page starts after the last entry of the one before."""
+    per, folder = 400, shared_folder(spark, "pages")
+    turns = _t(spark, sf_dir, "conversations")
+    rows = turns.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
+    entry = F.struct("conv_id", F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("id"), "turns", "chars")
+    pages = rows.withColumn("page", F.floor(F.col("conv_id") / per)).groupBy("page").agg(F.sort_array(F.collect_list(entry)).alias("data"))
+    last = F.element_at("data", -1)["id"]
+    ends = pages.select((F.col("page") + 1).alias("page"), last.alias("starting_after"))
+    follow = pages.select((F.col("page") - 1).alias("page"), F.lit(True).alias("has_more"))
+    value = F.to_json(F.struct("data", F.coalesce("has_more", F.lit(False)).alias("has_more"), "starting_after"))
+    landed = pages.join(ends, "page", "left").join(follow, "page", "left").select(F.lpad(F.col("page").cast("string"), 9, "0").alias("page"), value.alias("value"))
+    landed.write.partitionBy("page").text(folder)
+    return folder
+
+
+@query("SELECT (conv_id // 400)::BIGINT AS page, (row_number() OVER (PARTITION BY conv_id // 400 ORDER BY conv_id) - 1)::BIGINT AS place, 'c' || conv_id AS id, count(*)::BIGINT AS turns, coalesce(sum(length(text)), 0)::BIGINT AS chars FROM conversations GROUP BY conv_id")
+def paged_list_source(spark, sf_dir):
+    paged.register(spark)
+    rows = spark.read.format(paged.NAME).load(_land_pages(spark, sf_dir))
+    item = F.parse_json("entry")
+    return rows.select("page", "place", "id", F.variant_get(item, "$.turns", "long").alias("turns"), F.variant_get(item, "$.chars", "long").alias("chars"))
+
+
+@query("SELECT user_id || '_' || event_type AS id, CAST(ts::DATE AS VARCHAR) AS day, count(*) - 1 AS repeats FROM events GROUP BY ALL")
+def finance_stream_repeats(spark, sf_dir):
+    """Events landed as files, read as a stream with a value per key: each new key once, and how often it came again."""
+    folder = shared_folder(spark, "finance")
+    charge = F.concat_ws("_", F.col("user_id").cast("string"), "event_type").alias("id")
+    _t(spark, sf_dir, "events").select(charge, F.unix_seconds(F.col("ts").cast("timestamp")).alias("created")).repartition(2).write.json(f"{folder}/in")
+    finance_stream.ingest(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", "acct", repeats=f"{folder}/repeats").awaitTermination()
+    return finance_stream.counted(spark, f"{folder}/out", f"{folder}/repeats").select(F.col("entity_id").alias("id"), F.col("event_date").cast("string").alias("day"), "repeats")
+
+
 @query(f"SELECT id, business_name, CASE WHEN id % 2 = 0 THEN 'Roofing' ELSE 'HVAC' END AS niche, CASE WHEN id % 5 = 0 THEN 'Waco' ELSE 'Austin' END AS city, 'TX' AS state, phone, CASE WHEN id % 3 = 0 THEN 'residential' ELSE 'both' END AS hvac_type, id % 4 = 0 AS emergency_service, CASE WHEN id % 7 > 0 THEN CAST(id % 7 AS DOUBLE) WHEN id % 2 = 0 THEN 0 END AS rating FROM ({d_leads('hvac')})")
 def landed_places(spark, sf_dir):
     i = F.col("id")

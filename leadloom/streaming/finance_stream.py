@@ -1,8 +1,8 @@
 """Micro-batch ingestion of landed payment events, idempotent on replay.
 
-Each batch takes the keys that are new to the table, and writes signals under the batch's own
-folder; a batch that is run again overwrites its folder. Keys are read from the signals, so
-there is no second table to get out of step. Outside the window of a run nothing is read: the run
+Which dedupe keys are new is kept as keyed state of the query, so a batch looks up its own keys and reads no stored
+signal. New signals go to the batch's own folder; a batch that is run again finds the state as it
+was before it, and overwrites its folder. Outside the window of a run nothing is read: the run
 leaves a receipt that says so, and the next one takes over. Each batch leaves a receipt, too, if asked to."""
 
 from __future__ import annotations
@@ -14,31 +14,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.dates import moment
-from ..operators.finance import keyed, list_candidates, new_signals, receipt
+from ..operators.finance import keyed, list_candidates, receipt
+from .first_seen import first_and_repeats, keyed_state
 
 
-def ingest(spark: SparkSession, landing: str, out: str, checkpoint: str, account: str, source: str = "charge", signal_type: str = "stripe_charge", receipts: str | None = None, now: str | None = None) -> StreamingQuery | None:
-    """`now`: the time of the run, in UTC; if it is given and not between 0 and 6 o'clock, there is no query."""
+def ingest(spark: SparkSession, landing: str, out: str, checkpoint: str, account: str, source: str = "charge", signal_type: str = "stripe_charge", receipts: str | None = None, repeats: str | None = None, now: str | None = None) -> StreamingQuery | None:
+    """`now`: the time of the run, in UTC; if it is given and not between 0 and 6 o'clock, there is no query.
+    repeats: a folder for how often each key of a batch has come again so far."""
     if now is not None and datetime.fromisoformat(now).hour > 5:
         if receipts:
             empty = spark.createDataFrame([], "source string")
             receipt(empty, empty, False, moment(now)).write.mode("overwrite").parquet(f"{receipts}/run={datetime.fromisoformat(now):%Y%m%dT%H%M%S}")
         return None
     entries = spark.readStream.schema("id string, created bigint").json(landing)
+    found = keyed(list_candidates(entries, source, signal_type, F.lit(None).cast("date")), account)
+    states = first_and_repeats(found, "dedupe_key", "entity_id")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        found = keyed(list_candidates(batch, source, signal_type, F.lit(None).cast("date")), account).withColumn("ord", F.col("entity_id"))
-        seen = session.read.schema("dedupe_key string, batch_id bigint").parquet(out).filter(F.col("batch_id") != batch_id).select("dedupe_key") if exists(session, out) else None
-        new_signals(found, seen).drop("ord").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        told = batch.persist()  # one row per key of the batch
+        told.filter("is_new").drop("first_order", "batch_rows", "repeats", "is_new").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        if repeats:
+            told.select("dedupe_key", "repeats").write.mode("overwrite").parquet(f"{repeats}/batch_id={batch_id}")
         if receipts:
-            stored = session.read.parquet(f"{out}/batch_id={batch_id}")
-            receipt(found, stored, True, None if now is None else moment(now)).write.mode("overwrite").parquet(f"{receipts}/run=batch_{batch_id}")
+            receipt(told, told.filter("is_new"), True, None if now is None else moment(now), "batch_rows").write.mode("overwrite").parquet(f"{receipts}/run=batch_{batch_id}")
+        told.unpersist()
 
-    return entries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with keyed_state(spark):
+        return states.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def counted(spark: SparkSession, out: str, repeats: str) -> DataFrame:
+    """The stored signals with their repeats over all batches."""
+    most = spark.read.parquet(repeats).groupBy("dedupe_key").agg(F.max("repeats").alias("repeats"))
+    return spark.read.parquet(out).join(most, "dedupe_key")
