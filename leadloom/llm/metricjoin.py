@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, discard, looked_up, small_batches, tasks_for, written
+from .common import checkpoint, discard, looked_up, shuffles_dropped, small_batches, tasks_for, written
 from .linking import components
 from .minhash import _confirmed, _set_key, _sets, _Words, shingles
 
@@ -113,8 +113,8 @@ def described(docs: DataFrame, p: MetricJoin) -> DataFrame:
 
 
 def _near(small: DataFrame, rows: int) -> DataFrame:
-    """A table for the small side of a join: broadcast if it was counted to have no more than a million rows."""
-    return F.broadcast(small) if rows <= 1_000_000 else small
+    """A table for the small side of a join: broadcast if it was counted to have no more than 300,000 rows."""
+    return F.broadcast(small) if rows <= 300_000 else small
 
 
 def keyed(lows: DataFrame, p: MetricJoin) -> DataFrame:
@@ -318,7 +318,8 @@ def links_of(docs: DataFrame, classes: DataFrame, lows: DataFrame, p: MetricJoin
     pairs = checkpoint(candidates(small.withColumn("label", F.col("node")), p, False, tasks))
     crowds = small.filter(F.col("size") > p.few)
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowds.select("node")).distinct()
-    sets = written(_sets(docs, classes.join(nodes, "node", "left_semi"), p))
+    needed = checkpoint(classes.join(nodes, "node", "left_semi"))
+    sets = written(_sets(docs, _near(needed, needed.count()), p))
     links = checkpoint(_confirmed(pairs, sets, p.percent))
     if crowds.limit(1).count():
         label = components(links)
@@ -333,6 +334,15 @@ def links_of(docs: DataFrame, classes: DataFrame, lows: DataFrame, p: MetricJoin
 
 def components_of(docs: DataFrame, p: MetricJoin = MetricJoin()) -> DataFrame:
     """doc_id, n_shingles, component_id; one row per row of `docs`."""
+    with shuffles_dropped(docs.sparkSession):
+        found, named = _named(docs, p)
+    out = looked_up(found.select("row", "doc_id", "n_shingles", "set_key"), named, "set_key", "row")
+    component: Column = F.when(F.col("doc_id").isNotNull(), F.coalesce("name", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"))
+
+
+def _named(docs: DataFrame, p: MetricJoin) -> tuple[DataFrame, DataFrame]:
+    """The rows with their set_key; and set_key, copies, name of its component."""
     wide = written(described(docs, p))
     found = checkpoint(wide.drop("low", "sketch"))
     with_set = found.filter(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull())
@@ -352,7 +362,4 @@ def components_of(docs: DataFrame, p: MetricJoin = MetricJoin()) -> DataFrame:
     members = label.join(classes.select("node", "set_key", "doc_id"), "node")
     names = members.groupBy("component").agg(F.min("doc_id").alias("name"))
     linked = members.join(names, "component").select("set_key", "name")
-    named = checkpoint(classes.select("set_key", "doc_id", "copies").join(linked, "set_key", "left").select("set_key", "copies", F.coalesce("name", "doc_id").alias("name")))
-    out = looked_up(found.select("row", "doc_id", "n_shingles", "set_key"), named, "set_key", "row")
-    component: Column = F.when(F.col("doc_id").isNotNull(), F.coalesce("name", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"))
+    return found, checkpoint(classes.select("set_key", "doc_id", "copies").join(linked, "set_key", "left").select("set_key", "copies", F.coalesce("name", "doc_id").alias("name")))
