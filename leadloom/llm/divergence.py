@@ -51,22 +51,29 @@ class Audit:
 
 #: A-Z become a-z; bytes that belong to no term become spaces (all of a character beyond ASCII are from 0x80 on).
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_SCHEMA = "lang string, source string, term string, n long, docs long"
 
 
 def counted(docs: DataFrame, p: Audit) -> DataFrame:
-    """lang, source, term, n (occurrences), docs (documents with the term; each time a task sends its counts
-    it counts `min_docs` of them at most, as no more are asked for)."""
+    """lang, term, docs, sources, counts: the index in parts, a row per language and term of each part, with the sources that have the
+    term and how often. docs: documents with the term; a part counts `min_docs` of a source at most, as no more are asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: dict = {}
         size = 0
 
         def sent() -> pa.RecordBatch:
-            rows = [(lang, source, t.decode("utf-8", "replace"), n, seen[t]) for (lang, source), (often, seen, _) in groups.items() for t, n in often.items()]
+            index: dict = {}
+            for (lang, source), (often, seen, _) in groups.items():
+                terms = index.setdefault(lang, {})
+                for t, n in often.items():
+                    row = terms.setdefault(t, ([], [], []))
+                    row[0].append(source)
+                    row[1].append(n)
+                    row[2].append(seen[t])
+            rows = [(lang, t.decode("utf-8", "replace"), sum(d), s, n) for lang, terms in index.items() for t, (s, n, d) in terms.items()]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [pa.string()] * 3 + [pa.int64()] * 2
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang", "source", "term", "n", "docs"])
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang", "term", "docs", "sources", "counts"])
 
         for batch in batches:
             for lang, source, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -85,7 +92,7 @@ def counted(docs: DataFrame, p: Audit) -> DataFrame:
             yield sent()
 
     named = small_batches(docs).select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    return named.mapInArrow(run, _SCHEMA).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return named.mapInArrow(run, "lang string, term string, docs long, sources array<string>, counts array<long>")
 
 
 def _share(n: str, total: str, kept: str, p: Audit) -> Column:
@@ -102,17 +109,20 @@ def _f(p: str, q: str) -> str:
 def index(docs: DataFrame, p: Audit = Audit()) -> tuple[DataFrame, DataFrame]:
     """(postings, groups). postings: lang, source, term, n, p, q for the terms that each group has (q: the
     language's share). groups: lang, source, kept (V of the language), p0 (share of a zero count)."""
-    counts = checkpoint(counted(docs, p))
-    kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("all_n"), F.sum("docs").alias("docs")).filter(F.col("docs") >= p.min_docs).drop("docs")
-    held = checkpoint(counts.drop("docs").join(kept, ["lang", "term"]))
-    # A language's kept terms and occurrences, from one row a term; a group's occurrences.
-    langs = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("all_n").alias("lang_total"))
+    # One shuffle, by term, serves the counts of documents, the join and the sums of the parts.
+    parts = counted(docs, p).repartition("lang", "term")
+    in_all = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
+    kept = parts.groupBy("lang", "term").agg(F.sum(in_all).alias("all_n"), F.sum("docs").alias("docs")).filter(F.col("docs") >= p.min_docs).drop("docs")
+    posted = parts.join(kept, ["lang", "term"]).select("lang", "term", "all_n", F.explode(F.arrays_zip("sources", "counts")).alias("x"))
+    held = checkpoint(posted.groupBy("lang", "term", F.col("x.sources").alias("source")).agg(F.first("all_n").alias("all_n"), F.sum("x.counts").alias("n")))
+    # A language's kept terms and occurrences; a group's occurrences.
+    langs = held.groupBy("lang", "term").agg(F.first("all_n").alias("all_n")).groupBy("lang").agg(F.count("*").alias("kept"), F.sum("all_n").alias("lang_total"))
     totals = held.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     there = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     groups = there.join(totals, ["lang", "source"], "left").join(langs, "lang", "left").select("lang", "source", zero("total"), zero("kept"), zero("lang_total"))
     groups = checkpoint(groups.withColumn("p0", _share("0L", "total", "kept", p)))
-    postings = held.join(groups, ["lang", "source"]).withColumns({"p": _share("n", "total", "kept", p), "q": _share("all_n", "lang_total", "kept", p)})
+    postings = held.select("lang", "source", "term", "n", "all_n").join(groups, ["lang", "source"]).withColumns({"p": _share("n", "total", "kept", p), "q": _share("all_n", "lang_total", "kept", p)})
     return checkpoint(postings.select("lang", "source", "term", "n", "p", "q", "p0")), groups.select("lang", "source", "kept", "p0")
 
 
