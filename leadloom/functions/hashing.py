@@ -51,14 +51,17 @@ def register(spark) -> None:
     """The scalar helpers as SQL functions, which the optimiser inlines."""
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION normalize_text(x STRING) RETURNS STRING RETURN btrim(regexp_replace(regexp_replace(coalesce(x, ''), '[\\\\x00-\\\\x1f\\\\x7f]', ' '), '(?U)\\\\s+', ' '))")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION round_half_up(x DOUBLE) RETURNS BIGINT RETURN floor(x + 0.5D)")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION stable_group_id(x STRING) RETURNS STRING RETURN left(sha1(x), 16)")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION stable_group_id(parts ARRAY<STRING>) RETURNS STRING RETURN left(sha1(array_join(filter(parts, p -> p <> ''), '|')), 16)")
     phone = "regexp_replace(coalesce(x, ''), '[^0-9+]', '')"
     digits = "regexp_replace(coalesce(x, ''), '[^0-9]', '')"
+    raw = "lower(normalize_text(x))"
+    url = f"CASE WHEN startswith({raw}, 'http://') OR startswith({raw}, 'https://') THEN {raw} ELSE concat('https://', {raw}) END"
+    bare = f"regexp_replace(regexp_replace({raw}, '^https?://', ''), '^www[.]', '')"
     for head, body in {
         "normalize_email(x STRING) RETURNS STRING": "lower(normalize_text(x))",
         "normalize_phone(x STRING) RETURNS STRING": f"CASE WHEN startswith({phone}, '+') THEN {phone} WHEN length({digits}) = 11 AND startswith({digits}, '1') THEN concat('+', {digits}) WHEN length({digits}) = 10 THEN concat('+1', {digits}) WHEN length({digits}) BETWEEN 8 AND 15 THEN concat('+', {digits}) ELSE {digits} END",
-        "normalize_domain(x STRING) RETURNS STRING": "regexp_replace(split_part(split_part(regexp_replace(lower(normalize_text(x)), '^https?://', ''), '/', 1), ':', 1), '^www[.]', '')",
-        "slugify(x STRING) RETURNS STRING": "regexp_replace(regexp_replace(regexp_replace(btrim(regexp_replace(lower(coalesce(x, '')), '[^a-z0-9 .-]', '')), ' +', '-'), '-+', '-'), '^-|-$', '')",
+        "normalize_domain(x STRING) RETURNS STRING": f"CASE WHEN {raw} = '' THEN '' ELSE coalesce(regexp_replace(try_parse_url({url}, 'HOST'), '^www[.]', ''), split_part(split_part({bare}, '/', 1), ':', 1)) END",
+        "slugify(x STRING) RETURNS STRING": "regexp_replace(regexp_replace(regexp_replace(btrim(regexp_replace(lower(coalesce(x, '')), '[^a-z0-9\\\\s.-]', '')), '\\\\s+', '-'), '-+', '-'), '^-|-$', '')",
         "html_escape(x STRING) RETURNS STRING": "replace(replace(replace(replace(coalesce(x, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')",
         "first_filled(x STRING, y STRING) RETURNS STRING": "coalesce(nullif(x, ''), nullif(y, ''), '')",
         "event_key(account STRING, event_type STRING, day STRING) RETURNS STRING": "concat_ws(':', 'finance_event', account, event_type, day)",

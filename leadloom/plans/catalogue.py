@@ -11,7 +11,7 @@ from .. import api
 from ..functions import dates, hashing, text, web
 from ..operators import budget, dedupe, finance, queue, registry, run_state, runs, summary, upsert
 from ..operators.store import Store, Table
-from ..sources import landing, paged, sweeps
+from ..sources import landing, paged, sweeps, table_functions
 from ..sources.folders import shared_folder
 from ..streaming import finance_stream
 from .models import MODELS, SIGNALS
@@ -136,6 +136,21 @@ def normalize_domain_pages(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", text.normalize_domain("url").alias("domain"))
 
 
+_URL_D = "CASE page_id % 6 WHEN 0 THEN url || '?next=https://other.test/' WHEN 1 THEN replace(url, '://', '://user:pw@') WHEN 2 THEN 'WWW.' || split_part(url, '://', 2) || '#a@b' WHEN 3 THEN regexp_replace(url, '^([a-z]+://[^/?#]+).*$', '\\1:8080') WHEN 4 THEN regexp_replace(url, '^([a-z]+://[^/?#]+).*$', '\\1?q=a/b') ELSE '  ' || upper(url) || chr(9) END"
+_HOST_D = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim({x}, ' ' || chr(9))), '^https?://', ''), '[/?#].*$', ''), '^.*@', ''), ':[0-9]*$', '')"
+
+
+@query(f"SELECT page_id, regexp_replace({_HOST_D.format(x='raw')}, '^www[.]', '') AS domain, regexp_replace({_HOST_D.format(x='raw')}, '^www[.]', '') AS sql_domain FROM (SELECT page_id, {_URL_D} AS raw FROM pages)")
+def normalize_domain_odd_urls(spark, sf_dir):
+    """Query strings, user parts, fragments, ports, capitals; by the column function and by the SQL function."""
+    hashing.register(spark)
+    k, url, root = F.col("page_id") % 6, F.col("url"), F.regexp_replace("url", "^([a-z]+://[^/?#]+).*$", "$1")
+    raw = F.when(k == 0, F.concat(url, F.lit("?next=https://other.test/"))).when(k == 1, F.replace(url, F.lit("://"), F.lit("://user:pw@"))).when(k == 2, F.concat(F.lit("WWW."), F.split_part(url, F.lit("://"), F.lit(2)), F.lit("#a@b")))
+    raw = raw.when(k == 3, F.concat(root, F.lit(":8080"))).when(k == 4, F.concat(root, F.lit("?q=a/b"))).otherwise(F.concat(F.lit("  "), F.upper(url), F.lit("\t")))
+    pages = _t(spark, sf_dir, "pages").withColumn("raw", raw)
+    return pages.select("page_id", text.normalize_domain("raw").alias("domain"), F.expr("normalize_domain(raw)").alias("sql_domain"))
+
+
 @query(f"SELECT id, {d_phone('raw_phone')} AS phone, lower({d_text('raw_email')}) AS email FROM ({duck(LEADS)})")
 def normalize_phone_customers(spark, sf_dir):
     return view(spark, sf_dir, LEADS, "customer", "nation").select("id", text.normalize_phone("raw_phone").alias("phone"), text.normalize_email("raw_email").alias("email"))
@@ -572,13 +587,17 @@ def budget_simulation(spark, sf_dir):
     return budget.simulate(_scenarios(spark, sf_dir)).select("id", "state", F.col("remaining").alias("r"))
 
 
-_WORDS_D = "['instructional design', 'LMS', 'e-learning', 'training content', 'course creation', 'training coordinator', 'learning & development']"
-_SWEEP_D = f"SELECT ((k - 1) * 2 + s)::INT AS ord, {_WORDS_D}[k] AS keyword, CASE s WHEN 0 THEN 'indeed' ELSE 'linkedin' END AS source, CASE s WHEN 0 THEN 0.59::DOUBLE ELSE 1.50::DOUBLE END AS est_cost FROM range(1, 8) a(k), range(0, 2) b(s)"
+_SWEEP_D = "SELECT ((p_partkey - 1) * 2 + s)::INT AS ord, p_name AS keyword, CASE s WHEN 0 THEN 'indeed' ELSE 'linkedin' END AS source, CASE s WHEN 0 THEN 0.59::DOUBLE ELSE 1.50::DOUBLE END AS est_cost FROM part, range(0, 2) b(s)"
+
+
+def _keywords(spark, sf_dir):
+    """Names of parts as search terms."""
+    return _t(spark, sf_dir, "part").select((F.col("p_partkey") - 1).alias("k"), F.col("p_name").alias("keyword"))
 
 
 @query(f"""SELECT *, CASE source WHEN 'indeed' THEN '{{"search":"' || keyword || '","maxResults":150}}' ELSE '{{"query":"' || keyword || '","maxItems":100}}' END AS actor_input FROM ({_SWEEP_D})""")
 def sweep_configs(spark, sf_dir):
-    return sweeps.job_sweep(spark)
+    return sweeps.job_sweep(spark, _keywords(spark, sf_dir))
 
 
 @query("""SELECT id, search_string, '{"searchString":"' || search_string || '","maxCrawledPlaces":50,"proxyConfig":{"useApifyProxy":true},"onlyWithWebsite":false,"includeReviews":true,"includeReviewsImages":false,"sortBy":"relevance"}' AS actor_input
@@ -591,12 +610,13 @@ def place_search_inputs(spark, sf_dir):
 
 @query(f"SELECT count(*) AS runs, round(sum(est_cost), 2) AS total_cost FROM ({_SWEEP_D})")
 def sweep_cost(spark, sf_dir):
-    return sweeps.cost(sweeps.job_sweep(spark))
+    return sweeps.cost(sweeps.job_sweep(spark, _keywords(spark, sf_dir)))
 
 
-@query("""SELECT *, '{"subreddits":["' || subreddit || '"],"sort":"new","maxItems":100,"maxPostCount":100}' AS actor_input FROM (SELECT 0::INT AS ord, 'instructionaldesign' AS subreddit, 'r/instructionaldesign' AS label, 0.5::DOUBLE AS est_cost UNION ALL SELECT 1, 'elearning', 'r/elearning', 0.5)""")
+@query("""SELECT *, '{"subreddits":["' || subreddit || '"],"sort":"new","maxItems":100,"maxPostCount":100}' AS actor_input FROM (SELECT s_suppkey::INT AS ord, lower(regexp_replace(s_name, '[^A-Za-z0-9]', '', 'g')) AS subreddit, 'r/' || lower(regexp_replace(s_name, '[^A-Za-z0-9]', '', 'g')) AS label, 0.5::DOUBLE AS est_cost FROM supplier)""")
 def forum_sweep(spark, sf_dir):
-    return sweeps.forum_sweep(spark)
+    names = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("ord"), F.lower(F.regexp_replace("s_name", "[^A-Za-z0-9]", "")).alias("subreddit"))
+    return sweeps.forum_sweep(spark, names)
 
 
 @query("SELECT source, count(*) AS total, count(*) FILTER (WHERE doc_id % 4 > 0) AS succeeded, count(*) FILTER (WHERE doc_id % 4 = 0) AS failed FROM documents GROUP BY source")
@@ -611,9 +631,52 @@ def registry_merge(spark, sf_dir):
     return registry.merged(rows).select("registry_key", "merged_count", F.concat_ws(",", "source_lanes").alias("lanes"), "score")
 
 
+_FACTS_D = "SELECT CASE WHEN event_id % 3 = 0 THEN 'key:k' || (user_id % 40) END AS k1, CASE WHEN event_id % 4 < 2 THEN 'url:http://x/' || (user_id % 60) END AS k2, CASE WHEN event_id % 5 > 0 THEN 'esg:' || left(sha1('shop' || (user_id % 500 + event_id % 2 * 500) || '||'), 16) END AS k3, 'lane' || (event_id % 3) AS lane, ts, value FROM events WHERE user_id % 2 = 0 OR event_id % 4 > 0"
+
+
+@query(
+    f"WITH RECURSIVE f AS (SELECT row_number() OVER () AS r, list_filter([k1, k2, k3], lambda x: x IS NOT NULL) AS ks, lane, ts, value FROM ({_FACTS_D})), e AS (SELECT DISTINCT list_sort(ks)[1] AS a, unnest(ks) AS b FROM f WHERE len(ks) > 0), "
+    "s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT a, a AS b FROM s UNION SELECT reach.a, s.b FROM reach JOIN s ON reach.b = s.a), label AS (SELECT a AS k, min(b) AS registry_key FROM reach GROUP BY a) "
+    "SELECT registry_key, count(*) AS merged_count, string_agg(DISTINCT lane, ',' ORDER BY lane) AS lanes, max(value) AS score, min(ts) AS first_seen_at, max(ts) AS last_seen_at, coalesce(max(value) >= 50, false) AS file_worthy FROM f JOIN label ON label.k = ks[1] GROUP BY registry_key"
+)
+def registry_identity(spark, sf_dir):
+    """Rows that share a canonical key, a URL or an entity, directly or through others."""
+    e, u = F.col("event_id"), F.col("user_id")
+    rows = _t(spark, sf_dir, "events").filter("user_id % 2 = 0 OR event_id % 4 > 0").select(
+        F.when(e % 3 == 0, F.concat(F.lit("k"), (u % 40).cast("string"))).alias("canonical_key"), F.when(e % 4 < 2, F.concat(F.lit("http://X/"), (u % 60).cast("string"))).alias("url"),
+        F.when(e % 5 > 0, F.concat(F.lit("Shop"), (u % 500 + e % 2 * 500).cast("string"))).alias("entity"), F.lit("").alias("geo"), F.lit(None).cast("string").alias("signal"), F.col("ts").alias("seen_at"), F.concat(F.lit("lane"), (e % 3).cast("string")).alias("lane"), F.col("value").alias("score"),
+    )
+    out = registry.resolved(rows)
+    return out.select("registry_key", "merged_count", F.concat_ws(",", "source_lanes").alias("lanes"), "score", "first_seen_at", "last_seen_at", "file_worthy")
+
+
 # --- boundaries and storage ---
 
 
+_PADS_D = ["".join(f"\\x{k ^ b:02X}" for k in b"secret".ljust(64, b"\0")) for b in (0x36, 0x5C)]
+
+
+@query(f"SELECT event_id, signature, event_id % 3 > 0 AS valid FROM (SELECT event_id, sha256('{_PADS_D[1]}'::BLOB || unhex(sha256('{_PADS_D[0]}'::BLOB || encode(event_id || '.' || props)))) AS signature FROM events)")
+def signed_events(spark, sf_dir):
+    """The HMAC of each event, and whether a header with it (or with another event's) is valid."""
+    e = _t(spark, sf_dir, "events").withColumn("t", F.col("event_id").cast("string"))
+    e = e.withColumn("signature", web.hmac_sha256("secret", F.concat("t", F.lit("."), "props")))
+    given = F.when(F.col("event_id") % 3 > 0, F.col("signature")).otherwise(F.reverse("signature"))
+    header = F.concat(F.lit("v0=x,t="), "t", F.lit(",v1="), given)
+    return e.withColumn("h", header).select("event_id", "signature", web.signature_valid("secret", F.col("h"), F.col("props")).alias("valid"))
+
+
+@query("SELECT user_id, 'k' || event_type AS dedupe_key, min(event_id)::VARCHAR AS entity_id, count(*) AS input_rows FROM events WHERE event_type <> 'view' GROUP BY user_id, event_type")
+def finance_table_function(spark, sf_dir):
+    """The SQL table function over each user's events as one request; keys of views are claimed."""
+    spark.createDataFrame([("kview",)], "dedupe_key string").createOrReplaceTempView("finance_event_dedupe")
+    spark.createDataFrame([], "dedupe_key string, receipt_id string, status string, sla_due_at timestamp").createOrReplaceTempView("sample_intake_requests")
+    table_functions.register(spark)
+    signal = F.struct("event_id", F.concat(F.lit("k"), "event_type").alias("dedupe_key"), F.col("event_id").cast("string").alias("entity_id"))
+    given = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.to_json(F.sort_array(F.collect_list(signal))).alias("signal_rows"))
+    return spark.sql("SELECT user_id, f.dedupe_key, f.entity_id, f.input_rows FROM {given} AS g, LATERAL new_finance_signals(g.signal_rows) AS f", given=given)
+
+
 @query("SELECT page_id, url LIKE '%example%' AS allowed FROM (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'https://www.shop.example.com/x' WHEN page_id % 4 = 1 THEN '' ELSE 'https://other.test/example' END AS url FROM pages) WHERE url LIKE 'https://www%' UNION ALL SELECT page_id, page_id % 4 = 1 FROM pages WHERE page_id % 4 > 0")
 def origin_allow_list(spark, sf_dir):
     k = F.col("page_id") % 4
@@ -679,12 +742,13 @@ def run_summary_update(spark, sf_dir):
     return queue.update_runs(runs_, done).withColumn("lead_count", F.coalesce("lead_count", F.lit(0)))
 
 
-@query("SELECT run_id, context_niche, context_city, count(*) AS n FROM (SELECT c_nationkey AS run_id, CASE WHEN n_nationkey % 2 = 0 THEN 'Roofing' ELSE 'HVAC' END AS context_niche, CASE WHEN n_nationkey % 3 = 0 THEN n_name ELSE 'Austin' END AS context_city FROM customer JOIN nation ON c_nationkey = n_nationkey) GROUP BY ALL")
+@query("SELECT c_custkey AS id, CASE WHEN known AND run_id % 2 = 0 THEN 'Roofing' ELSE 'HVAC' END AS context_niche, CASE WHEN known AND run_id % 3 = 0 THEN n_name ELSE 'Austin' END AS context_city, CASE WHEN known AND run_id % 5 = 0 THEN 'csv' ELSE 'apify' END AS context_source, CASE WHEN known THEN '2024-01-' || (10 + run_id % 20) END AS context_collected_at FROM (SELECT *, coalesce(run_id % 4 > 0, false) AS known FROM (SELECT c_custkey, CASE WHEN c_custkey % 7 > 0 THEN c_nationkey END AS run_id FROM customer) LEFT JOIN nation ON run_id = n_nationkey)")
 def run_context(spark, sf_dir):
+    """Every item, whether its run is known, unknown or null."""
     k = F.col("n_nationkey")
-    runs_ = _t(spark, sf_dir, "nation").select(k.alias("id"), F.when(k % 2 == 0, "Roofing").alias("niche"), F.when(k % 3 == 0, F.col("n_name")).alias("city"), F.lit("").alias("source"), F.lit(None).cast("string").alias("requested_at"))
-    items = _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("run_id"))
-    return landing.with_run(items, runs_).groupBy("run_id", "context_niche", "context_city").agg(F.count("*").alias("n"))
+    runs_ = _t(spark, sf_dir, "nation").filter(k % 4 > 0).select(k.alias("id"), F.when(k % 2 == 0, "Roofing").alias("niche"), F.when(k % 3 == 0, F.col("n_name")).alias("city"), F.when(k % 5 == 0, "csv").otherwise("").alias("source"), F.concat(F.lit("2024-01-"), (10 + k % 20).cast("string")).alias("requested_at"))
+    items = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 7 > 0, F.col("c_nationkey")).alias("run_id"))
+    return landing.with_run(items, runs_).drop("run_id")
 
 
 # --- landed JSON ---
@@ -741,11 +805,11 @@ def landed_places(spark, sf_dir):
     return landing.place_records(items).select("id", "business_name", "niche", "city", "state", "phone", "hvac_type", "emergency_service", "rating")
 
 
-@query("SELECT doc_id, 'Job ' || doc_id AS job_title, CASE WHEN doc_id % 2 = 0 THEN 'B' || doc_id ELSE 'A' END AS company_name, 'https://x.org/' || doc_id AS posting_url, left(trim(text), 2000) AS raw_snippet FROM documents WHERE trim(text, ' ') = text AND length(text) > 0")
+@query("SELECT doc_id, 'Job ' || doc_id AS job_title, CASE WHEN doc_id % 2 = 0 THEN 'B' || doc_id ELSE 'A' END AS company_name, 'https://x.org/' || doc_id AS posting_url, left(trim(coalesce(text, ''), ' '), 2000) AS raw_snippet FROM documents")
 def landed_job_posts(spark, sf_dir):
     i = F.col("doc_id").cast("string")
     item = F.struct(F.concat(F.lit(" Job "), i).alias("title"), F.lit("A").alias("company"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("B"), i)).otherwise("").alias("companyName"), F.concat(F.lit("https://x.org/"), i).alias("link"), F.col("text").alias("summary"))
-    docs = _t(spark, sf_dir, "documents").filter("trim(text) = text AND length(text) > 0").select("doc_id", F.parse_json(F.to_json(item)).alias("item"))
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.parse_json(F.to_json(item)).alias("item"))
     return landing.job_records(docs, "indeed").select("doc_id", "job_title", "company_name", "posting_url", "raw_snippet")
 
 
@@ -759,11 +823,21 @@ def landed_forum_posts(spark, sf_dir):
     return landing.post_records(docs).select("doc_id", "subreddit", "posting_url", "posting_date", "upvotes", "comment_count")
 
 
-@query()
+@query(f"SELECT id, trim(regexp_replace(c, ' +', ' ', 'g')) AS keywords, {d_text('raw_name')} AS business_name, CASE WHEN contains(c, 'new location') THEN 12 ELSE 0 END AS intent FROM (SELECT *, CASE WHEN id % 3 = 0 THEN 'new location ' || niche WHEN id % 3 = 1 THEN niche || '  plain' ELSE '' END AS c FROM ({duck(LEADS)}))")
+def landed_lead_keywords(spark, sf_dir):
+    """Keywords as an array (with a null), as a text, and absent; the array's words are found together."""
+    i = F.col("id")
+    words = F.when(i % 3 == 0, F.concat(F.lit('["new", "location", null, "'), "niche", F.lit('"]'))).when(i % 3 == 1, F.concat(F.lit('"'), "niche", F.lit('  plain"')))
+    item = F.concat(F.lit('{"name": "'), "raw_name", F.lit('"'), F.coalesce(F.concat(F.lit(', "keywords": '), words), F.lit("")), F.lit("}"))
+    leads = landing.lead_records(view(spark, sf_dir, LEADS, "customer", "nation").select("id", F.parse_json(item).alias("item")))
+    return api.score(leads, "full").select("id", "keywords", "business_name", F.col("score_intent").cast("int").alias("intent"))
+
+
+@query("SELECT event_id, sha1('{\"k\":' || (props->>'$.k') || '}') AS raw_item_hash, NULL::DOUBLE AS missing, '{\"k\":' || (props->>'$.k') || '}' AS canonical, (props->>'$.k')::DOUBLE AS k FROM events")
 def variant_ingest(spark, sf_dir):
     """Events' props as dynamic records: canonical hash, and a number with its null-or-absent rule."""
     items = _t(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("item"))
-    return items.select("event_id", F.sha1(F.to_json("item").cast("binary")).alias("raw_item_hash"), landing.number_field(F.col("item"), "missing").alias("missing"), F.to_json("item").alias("canonical"))
+    return items.select("event_id", F.sha1(F.to_json("item").cast("binary")).alias("raw_item_hash"), landing.number_field(F.col("item"), "missing").alias("missing"), F.to_json("item").alias("canonical"), landing.number_field(F.col("item"), "k").alias("k"))
 
 
 @query()

@@ -44,14 +44,16 @@ def single_object(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.parse_json(text).alias("item"))
 
 
+#: What a run that doesn't say has.
+RUN_DEFAULTS = {"niche": "HVAC", "city": "Austin", "source": "apify"}
+
+
 def with_run(items: DataFrame, runs: DataFrame) -> DataFrame:
-    """Items with the attributes of their run (run_id), with defaults: context_niche, context_city, source
-    and collected_at for records without their own."""
-    own = runs.select(
-        F.col("id").alias("run_id"), first_filled("niche", F.lit("HVAC")).alias("context_niche"), first_filled("city", F.lit("Austin")).alias("context_city"),
-        first_filled("source", F.lit("apify")).alias("context_source"), F.col("requested_at").cast("string").alias("context_collected_at"),
-    )
-    return items.join(own, "run_id")
+    """Items with the attributes of their run (run_id), with defaults: context_niche, context_city, context_source
+    and context_collected_at for records without their own. Items of unknown runs, or of none, have the defaults."""
+    own = runs.select(F.col("id").alias("_run"), *[F.col(c).alias(f"_{c}") for c in RUN_DEFAULTS], F.col("requested_at").cast("string").alias("context_collected_at"))
+    joined = items.join(own, F.col("run_id") == F.col("_run"), "left")
+    return joined.select(*items.columns, *[first_filled(f"_{c}", F.lit(d)).alias(f"context_{c}") for c, d in RUN_DEFAULTS.items()], "context_collected_at")
 
 
 def unwrapped(item: Column) -> Column:
@@ -71,6 +73,19 @@ def text_field(item: Column, *names: str) -> Column:
     return normalize_text(first_filled(*[raw_text(item, n) for n in names]))
 
 
+def joined_text(item: Column, name: str) -> Column:
+    """As text_field, but the elements of an array are joined by spaces (nulls as empty texts)."""
+    value = F.try_variant_get(item, f"$.{name}", "variant")
+    array = F.array_join(F.try_variant_get(item, f"$.{name}", "array<string>"), " ", "")
+    return normalize_text(F.when(F.schema_of_variant(value).startswith("ARRAY"), array).otherwise(first_filled(raw_text(item, name))))
+
+
+def number_only(item: Column, name: str) -> Column:
+    """The field if it is a number; texts, flags and nulls count as absent."""
+    kind = F.schema_of_variant(F.try_variant_get(item, f"$.{name}", "variant"))
+    return F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(item, f"$.{name}", "double"))
+
+
 def number_field(item: Column, name: str) -> Column:
     value = F.try_variant_get(item, f"$.{name}", "variant")
     text = F.btrim(F.try_variant_get(item, f"$.{name}", "string"))
@@ -119,6 +134,7 @@ def lead_records(items: DataFrame, context_niche: str = "", context_city: str =
     fields["email"] = normalize_email(fields["email"])
     for name, default in (("niche", context_niche), ("city", context_city), ("collected_at", collected_at)):
         fields[name] = first_filled(fields[name], F.lit(default))
+    fields["keywords"] = joined_text(item, "keywords")
     fields |= {k: flag_field(item, *names) for k, names in LEAD_FLAGS.items()}
     fields |= {k: number_field(item, k) for k in ("source_confidence", "extraction_confidence", "freshness_hours", "rating", "employee_count")}
     fields["reviews_count"] = F.coalesce(F.nullif(number_field(item, "reviews_count"), F.lit(0.0)), number_field(item, "review_count"))
@@ -209,7 +225,7 @@ def post_records(items: DataFrame, subreddit: str = "", signals: list[str] | Non
             "job_title": title, "company_name": F.btrim(any_of("username", "author", "name")), "subreddit": place, "post_id": post_id,
             "posting_url": F.when(url != "", url).otherwise(built), "posting_date": posting_date(F.nullif(any_of("createdAt", "created_utc", "created"), F.lit(""))),
             "raw_snippet": F.left(body, F.lit(2000)), "upvotes": count("upVotes", "score", "ups"), "comment_count": count("numberOfComments", "num_comments", "commentCount", "comments"),
-            "upvote_ratio": F.coalesce(number_field(item, "upVoteRatio"), number_field(item, "upvoteRatio")), "matched_signals": matched,
+            "upvote_ratio": F.coalesce(number_only(item, "upVoteRatio"), number_only(item, "upvoteRatio")), "matched_signals": matched,
         }
     )
     return out.withColumn("signal_count", F.size("matched_signals"))
