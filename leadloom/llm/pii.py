@@ -11,15 +11,19 @@ keyed surrogates of the same type and format:
 * names become made-up names of the same script, number of parts and gender (as
   the title tells; the ending of the first of several parts), part by part. A part's
   letters, as a number, go through a keyed permutation too and are written in syllables
-  (Latin, Cyrillic and Greek) or letters of the script, so different parts never share a
-  surrogate. Names of the corpus that look made up themselves, and names in the other
-  scripts, are found in a first pass (one number is collected): all surrogates
-  get more syllables or letters than these, so none is a name of the corpus.
+  (Latin, Cyrillic and Greek) or letters of the script, followed by keyed check syllables or letters. So a
+  surrogate follows from the key, the part and the gender alone, different parts never share one, and a name
+  of the corpus that looks made up is one with a chance below a thousandth at most.
+* That chance is checked for: a first pass joins hashes of all parts of names with those of all their
+  surrogates. A part whose surrogate is another's real name takes a surrogate from a second domain, which is written in two
+  halves. There are hardly ever any; more than `most_moved` are an error.
 
 Equal after normalising means same person or account: case in e-mail addresses, layout of
 numbers, leading zeros in IPv4 addresses, spaces and case in names.
 
-A name is found after a title, as all capitalised words that follow it in the line. Further mentions
+A name is found after a title, as all capitalised words that follow it in the line. In scripts without
+spaces it ends with the script's run of letters, and after no more than names usually have (RUNS), so the sentence that follows
+stays, at the price of names that are cut short or end in a particle. Further mentions
 in the same text, of the whole name or its last word, get the same parts. Not
 found are names without a title anywhere in their text, given names or initials alone, words after
 a lower-case particle ("van", "de"), and names in other texts that give no title.
@@ -61,7 +65,7 @@ _WORD = re.compile(rf"(?<!\w){_NAME}")
 #: In order of precedence. Digits are ASCII only.
 KINDS = {
     "secret": re.compile(r"""(?i:\b(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd))\s*[=:]\s*["']?(?P<v>[A-Za-z0-9+/_.~-]{8,})|\b(?P<w>(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,})\b"""),
-    "email": re.compile(r"(?P<v>[\w.+%-]+@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,})"),
+    "email": re.compile(r"(?<![\w.+%-])(?P<v>[\w.+%-]+@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,})"),
     "iban": re.compile(r"\b(?P<v>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)\b", re.ASCII),
     "ip": re.compile(r"(?<![0-9.])(?P<v>(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9]))(?![0-9]|\.[0-9])"),
     "ssn": re.compile(r"(?<![0-9-])(?P<v>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])"),
@@ -76,11 +80,34 @@ _SECRET_SIGNS = ("=", ":", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_
 @dataclass(frozen=True)
 class Surrogates:
     key: str = "change-me"
-    #: The fewest syllables (or letters, in scripts without) of a made-up name; `checked` raises it above those of the corpus.
-    syllables: int = 4
+    #: The fewest syllables (or letters, in scripts without) of a made-up name, but for those that check it.
+    syllables: int = 2
     #: Appended to addresses, such as ".example".
     reserved: str = ""
     kinds: tuple[str, ...] = tuple(KINDS)
+    #: Hashes of parts of names that take the second domain, as `checked` finds them.
+    moved: frozenset[int] = frozenset()
+    most_moved: int = 10_000
+
+
+#: Scripts without spaces: a run of so many letters is a name as a whole; of a longer run the name has so many.
+RUNS = {"CJK": (4, 3), "HIRAGANA": (4, 4), "KATAKANA": (12, 12), "HANGUL": (3, 3), "THAI": (12, 12)}
+
+
+def _bounded(value: str, after: str) -> str:
+    """A name up to the end of what may be one in a script without spaces. after: the character that follows."""
+    words = value.split(" ")
+    for n, word in enumerate(words):
+        script = _script(word[0])
+        if script not in RUNS:
+            continue
+        run = next((i for i, c in enumerate(word) if _script(c) != script and c not in "ー・"), len(word))
+        whole, cut = RUNS[script]
+        ends = run == len(word) and (n + 1 < len(words) or not after.isalpha())
+        size = run if run <= whole + (script == "CJK" and ends) else cut
+        if size < len(word):
+            return " ".join([*words[:n], word[:size]])
+    return value
 
 
 def find(text: str, kinds: tuple[str, ...] = tuple(KINDS)) -> list[tuple[int, int, str, str, str]]:
@@ -101,6 +128,7 @@ def find(text: str, kinds: tuple[str, ...] = tuple(KINDS)) -> list[tuple[int, in
                         continue
                 if kind == "name":  # ends before a word that begins in lower case
                     value = " ".join([value.split(" ")[0], *takewhile(lambda w: not w[0].islower(), value.split(" ")[1:])])
+                    value = _bounded(value, text[m.start(group) + len(value) : m.start(group) + len(value) + 1])
                 spans.append((m.start(group), m.start(group) + len(value), kind, value, TITLES[m["t"]] if kind == "name" else ""))
             text = _hidden(text, spans[found:])  # from the kinds that follow
             if kind == "name" and len(spans) > found:
@@ -139,6 +167,17 @@ def _mentions(text: str, titled: list[tuple]) -> list[tuple]:
                 at += len(name) - 1
                 break
         at += 1
+    # Names in scripts without spaces also stand inside of runs of letters.
+    inside = {name[0]: g for name, g in genders.items() if len(name) == 1 and len(name[0]) > 1 and _script(name[0]) in RUNS}
+    if inside:
+        text = _hidden(text, sorted(out[len(titled) :]))
+        sizes = sorted({len(n) for n in inside}, reverse=True)
+        at = 0
+        while at < len(text):
+            size = next((n for n in sizes if text[at : at + n] in inside), 0)
+            if size:
+                out.append((at, at + size, "name", text[at : at + size], inside[text[at : at + size]]))
+            at += size or 1
     return out
 
 
@@ -222,11 +261,16 @@ def _into(layout: str, digits: str) -> str:
 
 # --- names ---
 
-#: Syllables and endings of made-up names, by script.
+def _syllables(consonants: str, vowels: str) -> list[str]:
+    return [c + v for c in consonants for v in vowels]
+
+
+#: Syllables, and fixed values: endings of made-up names, by script. No consonant of an ending that is one letter (or begins
+#: one of more) makes a word that could also be read otherwise.
 SYLLABLES = {
-    "LATIN": ("ba be bi bo da de di do fa fe fi ga ka ke ki ko la le li lo lu ma me mi mo na".split(), {"f": ["na", "la", "ra", "lia"], "m": ["n", "r", "s", "tor"], "any": ["n", "l", "ri", "m"]}),
-    "CYRILLIC": ("ба бе би бо да де ди до ва ве ви га ка ки ко ла ле ли ло лу ма ме ми мо на".split(), {"f": ["на", "ла", "ра", "лия"], "m": ["н", "р", "с", "тор"], "any": ["н", "л", "ри", "м"]}),
-    "GREEK": ("βα βε βι βο δα δε δι δο φα φε φι γα κα κε κι κο λα λε λι λο μα με μι μο να".split(), {"f": ["να", "λα", "ρα", "λια"], "m": ["νος", "ρος", "σος", "τος"], "any": ["ν", "λ", "ρι", "μ"]}),
+    "LATIN": (_syllables("bdfghklmnpvz", "aeiou"), {"f": ["na", "la", "ra", "lia"], "m": ["n", "r", "s", "tor"], "any": ["n", "l", "ri", "m"]}),
+    "CYRILLIC": (_syllables("бвгджзклмнпф", "аеиоу"), {"f": ["на", "ла", "ра", "лия"], "m": ["н", "р", "с", "тор"], "any": ["н", "л", "ри", "м"]}),
+    "GREEK": (_syllables("βγδζθκλμνπφχ", "αειου"), {"f": ["να", "λα", "ρα", "λια"], "m": ["νος", "ρος", "σος", "τος"], "any": ["ν", "λ", "ρι", "μ"]}),
 }
 
 
@@ -250,7 +294,6 @@ _RANGES = {
     "CJK": (0x4E00, 0x9FA5), "HIRAGANA": (0x3042, 0x3093), "KATAKANA": (0x30A2, 0x30F3), "HANGUL": (0xAC00, 0xD7A3), "ARABIC": (0x628, 0x63A), "HEBREW": (0x5D0, 0x5EA),
     "DEVANAGARI": (0x905, 0x939), "BENGALI": (0x995, 0x9A8), "THAI": (0xE01, 0xE2E), "ARMENIAN": (0x561, 0x586), "GEORGIAN": (0x10D0, 0x10F0),
 }
-_LOOKS_MADE_UP = re.compile("|".join(f"(?:{'|'.join(a)})+(?:{'|'.join(sorted({x for e in b.values() for x in e}))})" for a, b in SYLLABLES.values()))
 
 
 def _number(part: str, script: str) -> int:
@@ -271,9 +314,13 @@ def _number(part: str, script: str) -> int:
     return 3 * int.from_bytes(b"\1" + part.encode("utf-8", "surrogatepass"), "big") + 2
 
 
-def _made_up(part: str, gender: str, key: bytes, fewest: int) -> str:
-    """The number of syllables follows from the part's number, which is permuted among those
-    with as many. Syllables and endings can be told apart, so no two parts meet."""
+def part_hash(part: str) -> int:
+    return int.from_bytes(hashlib.blake2b(part.lower().encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def _made_up(part: str, gender: str, key: bytes, fewest: int, moved: frozenset[int] = frozenset()) -> str:
+    """The number of syllables follows from the part's number, which is permuted among those with as many; check
+    syllables follow from these. Syllables and endings can be told apart, so no two parts meet."""
     low = part.lower()
     script = _script(part)
     # Surrogates in scripts that aren't known are Latin too, so they are numbered by their bytes among the Latin ones.
@@ -282,12 +329,20 @@ def _made_up(part: str, gender: str, key: bytes, fewest: int) -> str:
     number, many = _number(low, script), fewest
     while len(syllables) ** many <= number:
         many += 1
-    number = permuted(number, len(syllables) ** many, key, f"name|{script}|{many}")
-    end, out = endings[gender][number % len(endings[gender])] if endings else "", []
+    second = part_hash(part) in moved
+    number = permuted(number, len(syllables) ** many, key, f"name|{script}|{many}{'|second' * second}")
+    end, rest, out = endings[gender][number % len(endings[gender])] if endings else "", number, []
     for _ in range(many):
-        number, i = divmod(number, len(syllables))
+        rest, i = divmod(rest, len(syllables))
+        out.append(syllables[i])
+    checks = next(n for n in range(1, 9) if len(syllables) ** n >= 1000)
+    check = _round(key, f"check|{script}|{many}", 0, number)
+    for _ in range(checks):
+        check, i = divmod(check, len(syllables))
         out.append(syllables[i])
     word = "".join(out) + end
+    if second:  # nothing else has such a mark after its first syllable
+        word = out[0] + ("-" if endings else "·") + word[len(out[0]) :]
     return word.upper() if part.isupper() and len(part) > 1 else word[0].upper() + word[1:]
 
 
@@ -341,7 +396,7 @@ def surrogate(kind: str, value: str, gender: str, s: Surrogates) -> str:
             return permuted_text(value, key, "hex", ["0123456789abcdef"])
         return permuted_text(value, key, "secret")
     parts = value.split()
-    return " ".join(_made_up(p, "any" if n or len(parts) == 1 else gender, key, s.syllables) for n, p in enumerate(parts))
+    return " ".join(_made_up(p, "any" if n or len(parts) == 1 else gender, key, s.syllables, s.moved) for n, p in enumerate(parts))
 
 
 def replaced(text: str, s: Surrogates, known: dict) -> tuple[str, list[dict]]:
@@ -360,22 +415,37 @@ def replaced(text: str, s: Surrogates, known: dict) -> tuple[str, list[dict]]:
     return "".join(out) + text[at:], spans
 
 
-def checked(docs: DataFrame, s: Surrogates) -> Surrogates:
-    """`s` with so many syllables that no surrogate of a name is part of a name of the corpus."""
+def checked(docs: DataFrame, s: Surrogates, gathered: int = 100_000) -> Surrogates:
+    """`s`, and the parts of names in `docs` whose surrogate is the real name of another: hashes of all parts of names are joined with
+    those of all their surrogates, each task sending what is distinct in it. Only what collides comes to the driver."""
     if "name" not in s.kinds:
         return s
 
-    def size(part: str) -> int:
-        return len(part) if _script(part) in _RANGES else len(part) // 2 if _LOOKS_MADE_UP.fullmatch(part) else 0
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = (t for t in batch.column(0).to_pylist() if t and any(x in t for x in TITLES))
-            most = max((size(p) for t in texts for _, _, k, v, _ in find(t, s.kinds) if k == "name" for p in v.lower().split()), default=0)
-            yield pa.RecordBatch.from_arrays([pa.array([most], pa.int32())], ["syllables"])
+        key = hashlib.blake2b(s.key.encode(), digest_size=32).digest()
+        seen: set[tuple[str, str]] = set()
+
+        def sent() -> pa.RecordBatch:
+            rows = {(part_hash(part), None) for part, _ in seen} | {(part_hash(_made_up(part, g, key, s.syllables)), part_hash(part)) for part, g in seen}
+            return pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.int64()), pa.array([p for _, p in rows], pa.int64())], ["h", "part"])
 
-    most = docs.select("text").mapInArrow(run, "syllables int").agg(F.max("syllables")).first()[0] or 0
-    return replace(s, syllables=max(s.syllables, most + 1))
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if text and any(x in text for x in TITLES):
+                    for _, _, kind, value, gender in find(text, s.kinds):
+                        if kind == "name":
+                            parts = value.lower().split()
+                            seen.update((p, "any" if n or len(parts) == 1 else gender) for n, p in enumerate(parts))
+                    if len(seen) > gathered:
+                        yield sent()
+                        seen = set()
+        yield sent()
+
+    rows = docs.select("text").mapInArrow(run, "h long, part long").groupBy("h").agg(F.max(F.col("part").isNull()).alias("real"), F.max("part").alias("part"), F.min("part").alias("other"))
+    found = rows.filter("real AND part IS NOT NULL").select(F.explode(F.array("part", "other")).alias("part")).distinct().limit(s.most_moved + 1).collect()
+    if len(found) > s.most_moved:
+        raise ValueError(f"more than {s.most_moved} surrogates are names of the corpus: take another key")
+    return replace(s, moved=s.moved | {r.part for r in found})
 
 
 def protect(docs: DataFrame, s: Surrogates | None = None, spans: str | None = "entities") -> DataFrame:
