@@ -1,16 +1,15 @@
 """N-gram Jaccard join: an exact self-join of documents in a metric space.
 
 Documents are points: sets of shingles, classes of equal sets being one point. Linked are points with a
-Jaccard similarity of `percent` % or more, which is to say that their symmetric difference
-H has at most (100 - percent) / (100 + percent) of the sum of their sizes. H is a metric, and parity
-sketches (bit i is the parity of the shingles whose hash is i) under the Hamming distance D are one that never
-exceeds it. So D decides exactly what can't be linked, in a tenth of the bytes of the sets, and what
-it leaves is confirmed on the full sets.
+Jaccard similarity of `percent` % or more, which is to say that their symmetric difference, a metric, is below a
+share of the sum of their sizes. Cells of points are split and compared by sketches that give lower bounds of it (cells.py);
+what they leave is confirmed on the full sets.
 
 1. Pivots. Random documents are no pivots for a corpus: nearly all other documents are at the same
    distance from them, so windows would send each to every region. A document that has a link shares one of
    its first k = n - ceil(percent n / 100) + 1 shingles, in order of hashes, with it. These shingles are its anchors,
-   and the smallest document at an anchor is the pivot of all that have it. Documents of one pivot are its region.
+   and the smallest document at an anchor is the pivot of all that have it and whose size is near enough that of another
+   there. Documents of one pivot are its region.
 2. Crowded anchors (more than `crowd` documents: common lines, passages) are passed over: documents
    go on to the next shingles, up to 3 k of them, till they have k others. Two documents miss each other by
    this only if both have few other anchors, as texts that are mostly made of common parts; these, with
@@ -23,9 +22,9 @@ it leaves is confirmed on the full sets.
 4. A small cell is joined by one task: points are sorted by the distance to the cell's pivot, each meets those in its window
    (the triangle inequality again), and pairs that D and the sizes allow are confirmed.
 
-Crowds of near-copies make no pairs of all with all: larger cells first link every point to one centre near it;
-only points that the confirmed links leave in different components are compared afterwards. So components are
-those of all links, but not every link is made.
+Crowds of near-copies make no pairs of all with all: larger cells first link every point to one centre near it; points that
+the confirmed links leave in different components are then held against the nearest of each other component, and last
+against all. So components are those of all links, but not every link is made.
 
 Defined results: null or blank texts have the empty set and no links; texts with fewer words than a shingle
 have their whole sequence as the one shingle; rows with the same doc_id are one document, so it links the
@@ -35,17 +34,18 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cells import Cells, banded, bounded, candidates, sketch
 from .common import checkpoint, discard, looked_up, shuffles_dropped, small_batches, tasks_for, written
 from .linking import components
-from .minhash import _confirmed, _set_key, _sets, _Words, shingles
+from .minhash import _set_key, _texts, _Words, shingles
 
 
 @dataclass(frozen=True)
@@ -55,15 +55,11 @@ class MetricJoin:
     percent: int = 90
     #: Documents that may share an anchor for it to be used by all.
     crowd: int = 64
-    #: Points of a cell that one task joins.
-    cap: int = 2000
-    #: Pivots that a larger cell is split by, and how often.
-    pivots: int = 16
-    depth: int = 6
-    #: Cells of no more points than this are compared at once, larger ones by centres first.
-    few: int = 16
-    #: Rounds in which crowded anchors are looked for; what is found later only makes larger regions.
-    rounds: int = 3
+    cells: Cells = field(default_factory=lambda: Cells(90))
+
+    def __post_init__(self) -> None:
+        if self.cells.percent != self.percent:
+            raise ValueError("cells are of another similarity")
 
 
 def reach(n, percent: int):
@@ -71,27 +67,6 @@ def reach(n, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """Parities over 2^j cells, 64 at least and as many as shingles."""
-    m = max(64, 1 << (len(hashes) - 1).bit_length())
-    return np.packbits(np.bincount((hashes & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).tobytes()
-
-
-def folded(sketches: list[bytes]) -> np.ndarray:
-    """Sketches as rows of 64-bit words, all folded to the length of the shortest."""
-    least = min(map(len, sketches))
-    out = np.empty((len(sketches), least // 8), np.uint64)
-    for i, s in enumerate(sketches):
-        bits = np.frombuffer(s, np.uint64)
-        out[i] = bits if len(s) == least else np.bitwise_xor.reduce(bits.reshape(-1, least // 8), 0)
-    return out
-
-
-def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Hamming distances of the rows of x to those of y (or to one)."""
-    return np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
-
-
 def described(docs: DataFrame, p: MetricJoin) -> DataFrame:
     """row (a number of its own), doc_id, text_hash, n_shingles, set_key, low (the first 3 k hashes), sketch."""
 
@@ -133,19 +108,18 @@ def keyed(lows: DataFrame, p: MetricJoin) -> DataFrame:
     # Shingles of one set alone can't be crowded.
     shared = checkpoint(first.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1"))
     crowded = checkpoint(shared.filter(F.col("c") > p.crowd).select("s"))
-    hit, before = checkpoint(first.join(_near(crowded, crowded.count()), "s").select("node").distinct()), 0
-    more = lambda nodes, size: lows.join(_near(nodes, size), "node").select("node", F.explode(F.slice("low", k.cast("int") + 1, F.size("low"))).alias("s"))
-    for _ in range(p.rounds):
-        size = hit.count()
-        if size == before:
-            break
-        before = size
-        counts = shared.unionByName(more(hit, size).groupBy("s").agg(F.count("*").alias("c"))).groupBy("s").agg(F.sum("c").alias("c"))
-        crowded = checkpoint(counts.filter(F.col("c") > p.crowd).select("s"))
-        hit = checkpoint(first.join(_near(crowded, crowded.count()), "s").select("node").distinct())
-    size = hit.count()
-    held = lows.join(_near(hit, size), "node").select("node", F.explode("low").alias("s")).join(_near(crowded, crowded.count()), "s").groupBy("node").agg(F.collect_list("s").alias("held"))
-    told = lows.join(held, "node", "left").withColumn("held", F.coalesce("held", F.array().cast("array<long>")))
+    hit = checkpoint(first.join(_near(crowded, crowded.count()), "s").select("node").distinct())
+    # Once more, with the shingles that those documents go on to. Any set of crowded shingles gives right results, so one that
+    # is crowded by the last documents alone may pass; it only makes a larger region.
+    more = lows.join(_near(hit, hit.count()), "node").select("node", F.explode(F.slice("low", k.cast("int") + 1, F.size("low"))).alias("s"))
+    counts = shared.unionByName(more.groupBy("s").agg(F.count("*").alias("c"))).groupBy("s").agg(F.sum("c").alias("c"))
+    crowded = checkpoint(counts.filter(F.col("c") > p.crowd).select("s"))
+    at_hand = _near(crowded, crowded.count())
+    hit = checkpoint(first.join(at_hand, "s").select("node").distinct())
+    touched = _near(hit, hit.count())
+    held = lows.join(touched, "node").select("node", F.explode("low").alias("s")).join(at_hand, "s").groupBy("node").agg(F.collect_list("s").alias("held"))
+    none = F.array().cast("array<long>")
+    told = lows.join(touched, "node", "left_anti").withColumn("held", none).unionByName(lows.join(touched, "node", "left_semi").join(held, "node").withColumn("held", F.coalesce("held", none)))
     free = F.when(F.size("held") == 0, F.slice("low", F.lit(1), k.cast("int"))).otherwise(F.slice(F.array_except("low", "held"), F.lit(1), k.cast("int")))
     least = ceil(n)
     window = (2 * (least - ceil(least) + 1) + 1).cast("int")
@@ -154,180 +128,73 @@ def keyed(lows: DataFrame, p: MetricJoin) -> DataFrame:
     return told.select("node", "n", free.alias("anchors"), common.alias("common"))
 
 
-def cells(lows: DataFrame, p: MetricJoin) -> DataFrame:
-    """cell, size, node, n, home, sketch: regions of pivots, by bands of size. A linked pair meets in a cell where one is at home."""
+def regions(lows: DataFrame, p: MetricJoin) -> DataFrame:
+    """pivot, node, n: documents that share an anchor are in the region of the smallest one that has it, unless
+    none there is near enough to them in size."""
     found = checkpoint(keyed(lows, p))
-    at = Window.partitionBy("s")
-    free = found.select("node", "n", F.explode("anchors").alias("s")).select("node", "n", F.min("node").over(at).alias("pivot"), F.count("*").over(at).alias("c"))
+    at, by_size = Window.partitionBy("s"), Window.partitionBy("s").orderBy("n")
+    fits = lambda small, large: F.coalesce(100 * small >= p.percent * large, F.lit(False))
+    near = fits(F.lag("n").over(by_size), F.col("n")) | fits(F.col("n"), F.lead("n").over(by_size))
+    free = found.select("node", "n", F.explode("anchors").alias("s")).select("node", "n", F.min("node").over(at).alias("pivot"), near.alias("near"))
     common = found.filter(F.size("common") > 0).select("node", "n", F.explode("common").alias("s"))
-    leads = common.groupBy("s").agg(F.min("node").alias("pivot"), F.count("*").alias("c"))
-    regions = free.filter("c > 1").select("pivot", "node", "n").unionByName(common.join(leads, "s").filter("c > 1").select("pivot", "node", "n")).distinct()
-    # Bands are a hundredth wider than sizes of linked points can differ.
-    band = F.floor(F.log(F.col("n")) / F.log(F.lit(101.0 / p.percent)))
-    both = F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home")))).alias("x")
-    rows = checkpoint(regions.select("pivot", "node", "n", both).select(F.xxhash64("pivot", "x.band").alias("cell"), "node", "n", "x.home"))
-    return _sized(rows).join(lows.select("node", "sketch"), "node").select("cell", "size", "node", "n", "home", "sketch")
+    leads = common.groupBy("s").agg(F.min("node").alias("pivot"), F.count("*").alias("c")).filter("c > 1")
+    return free.filter("near").select("pivot", "node", "n").unionByName(common.join(leads, "s").select("pivot", "node", "n")).distinct()
 
 
-def _sized(rows: DataFrame) -> DataFrame:
-    """Rows with the size of their cell, but those of cells that can't hold a pair to compare."""
-    sizes = rows.groupBy("cell").agg(F.count("*").alias("size"), F.count_if("home").alias("at_home")).filter("size > 1 and at_home > 0").drop("at_home")
-    return rows.join(sizes, "cell")
+def confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, p: MetricJoin) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough. Each a is sent to the tasks of its pairs, once, and each b to that
+    of a pair; a's pairs are dealt into parts of 500, and a task holds one set at a time beside the one it reads."""
 
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
+        for batch in batches:
+            found = [shingles(t.as_py(), p.width, known) for t in batch.column(3)]
+            right = pa.array([_set_key(s) == k.as_py() for s, k in zip(found, batch.column(4), strict=True)], pa.bool_())
+            columns = [*batch.columns[:3], pa.array([s.tobytes() for s in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([c.filter(right) for c in columns], ["a", "part", "b", "hashes"])
 
-def _by_group(df: DataFrame, keys: list[str], order: list[str], body: Callable[[dict], Iterator[list]], schema: str, tasks: int) -> DataFrame:
-    """Applies `body` to the columns (as lists) of each group, one at a time as a sorted partition streams by; groups are
-    bounded by the caller. It yields lists of columns of `schema`."""
-    kinds = pa.schema([(name, _ARROW[kind]) for name, kind in (f.split() for f in schema.split(", "))])
-    names, columns = kinds.names, df.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, current = {c: [] for c in columns}, None
-        done: list[list] = [[] for _ in names]
-
-        def close() -> None:
-            for out in body(held):
-                for a, b in zip(done, out, strict=True):
-                    a.extend(b)
-
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own = None, np.empty(0, np.uint64)
         for batch in batches:
-            rows = {c: batch.column(i).to_pylist() for i, c in enumerate(columns)}
-            ids = list(zip(*[rows[k] for k in keys], strict=True))
-            start = 0
-            for i in range(len(ids) + 1):
-                if i < len(ids) and ids[i] == current:
-                    continue
-                for c in columns:
-                    held[c] += rows[c][start:i]
-                if i < len(ids):
-                    if current is not None:
-                        close()
-                    held, current, start = {c: [] for c in columns}, ids[i], i
-            if len(done[0]) > 20_000:
-                yield pa.RecordBatch.from_pydict(dict(zip(names, done, strict=True)), schema=kinds)
-                done = [[] for _ in names]
-        if current is not None:
-            close()
-        yield pa.RecordBatch.from_pydict(dict(zip(names, done, strict=True)), schema=kinds)
-
-    return df.repartition(tasks, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
-
-
-_ARROW = {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
-
-
-def _most(n: np.ndarray, m: np.ndarray | int, percent: int) -> np.ndarray:
-    """The largest H of linked sets of these sizes."""
-    return (100 - percent) * (n + m) // (100 + percent)
-
-
-def split(large: DataFrame, turn: int, p: MetricJoin) -> DataFrame:
-    """Cells of more than `cap` points, by the Voronoi regions of `pivots` of them, with windows."""
-
-    def body(rows: dict) -> Iterator[list]:
-        of = folded(rows["sketch"])
-        n = np.array(rows["n"])
-        here = [i for i, k in enumerate(rows["is_pivot"]) if k]
-        points = [i for i, k in enumerate(rows["is_pivot"]) if not k]
-        if not points:
-            return
-        d = np.stack([apart(of[points], of[i]) for i in here], 1)
-        near = d.argmin(1)
-        # Partners have at most 100 / percent as many shingles.
-        reaches = _most(n[points], 100 * n[points] // p.percent, p.percent)
-        inside = d <= d[np.arange(len(points)), near][:, None] + 2 * reaches[:, None]
-        for j, i in enumerate(here):
-            take = np.flatnonzero(inside[:, j])
-            chosen = [points[t] for t in take]
-            yield [[rows["cell"][c] for c in chosen], [rows["size"][c] for c in chosen], [rows["node"][i]] * len(chosen), [rows["node"][c] for c in chosen], n[chosen].tolist(), [bool(rows["home"][c] and near[t] == j) for c, t in zip(chosen, take, strict=True)], [rows["sketch"][c] for c in chosen]]
-
-    parts = F.floor(F.col("size") / p.cap) + 1
-    place = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("node", F.lit(turn)), "node"))
-    # A rank filter, so no cell is gathered.
-    chosen = large.withColumn("place", place).filter(F.col("place") <= p.pivots).drop("place")
-    pivots = chosen.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).withColumn("is_pivot", F.lit(True))
-    points = large.withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), parts)).withColumn("is_pivot", F.lit(False))
-    tasks = tasks_for(large.sparkSession, 0)
-    out = _by_group(pivots.unionByName(points), ["cell", "part"], [], body, "parent long, before long, pivot long, node long, n long, home boolean, sketch binary", tasks)
-    return out.withColumn("cell", F.xxhash64("parent", "pivot", F.lit(turn))).drop("parent", "pivot")
-
-
-def in_blocks(stuck: DataFrame, p: MetricJoin) -> DataFrame:
-    """Cells that no pivots split, as cells of two blocks each."""
-    parts = F.floor(2 * F.col("size") / p.cap) + 1
-    rows = stuck.withColumns({"parts": parts, "part": F.pmod(F.xxhash64("node", F.lit("block")), parts)})
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    return rows.select(F.xxhash64("cell", F.least("part", "other"), F.greatest("part", "other")).alias("cell"), F.lit(p.cap).cast("long").alias("size"), "node", "n", "home", "sketch")
-
-
-def small_cells(lows: DataFrame, p: MetricJoin) -> DataFrame:
-    """cell, size, node, n, home, sketch: cells of bounded size."""
-    now = written(cells(lows, p))
-    columns = ["cell", "size", "node", "n", "home", "sketch"]
-    done, large = now.filter(F.col("size") <= p.cap), now.filter(F.col("size") > p.cap)
-    for turn in range(p.depth):
-        if not large.limit(1).count():
-            return done
-        parted = checkpoint(_sized(split(large, turn, p)))
-        stuck = (F.col("size") > p.cap) & (F.col("size") * 4 > F.col("before") * 3)
-        done = done.unionByName(parted.filter(F.col("size") <= p.cap).select(*columns)).unionByName(in_blocks(parted.filter(stuck).select(*columns), p))
-        large = parted.filter((F.col("size") > p.cap) & ~stuck).select(*columns)
-    return done.unionByName(in_blocks(large, p))
-
-
-def candidates(small: DataFrame, p: MetricJoin, whole: bool, tasks: int) -> DataFrame:
-    """Pairs (a < b) that sketches and sizes allow: all of a cell that are at home in it and have different labels
-    if `whole`, else one centre of each point."""
-
-    def body(rows: dict) -> Iterator[list]:
-        of, n, node = folded(rows["sketch"]), np.array(rows["n"]), np.array(rows["node"])
-        home, label = np.array(rows["home"]), np.array(rows["label"])
-        a: list[int] = []
-        b: list[int] = []
-
-        def meet(i: int, others: np.ndarray) -> np.ndarray:
-            fits = others[(100 * np.minimum(n[others], n[i]) >= p.percent * np.maximum(n[others], n[i])) & (home[others] | home[i]) & (label[others] != label[i])]
-            fits = fits[apart(of[fits], of[i]) <= _most(n[fits], n[i], p.percent)] if len(fits) else fits
-            a.extend(np.minimum(node[fits], node[i]).tolist())
-            b.extend(np.maximum(node[fits], node[i]).tolist())
-            return fits
-
-        if whole or len(n) <= p.few:
-            d = apart(of, of[0])
-            order = np.argsort(d, kind="stable")
-            # Whoever is linked with a point is no farther from or nearer to the pivot than the threshold.
-            ends = np.searchsorted(d[order], d[order] + _most(n[order], int(n.max()), p.percent), "right")
-            for at, (i, end) in enumerate(zip(order.tolist(), ends.tolist(), strict=True)):
-                if end > at + 1:
-                    meet(i, order[at + 1 : end])
-        else:
-            left = np.arange(len(n))
-            while len(left) > 1:
-                met = meet(int(left[0]), left[1:])
-                left = left[1:][~np.isin(left[1:], met)]
-        yield [a, b]
-
-    return _by_group(small, ["cell"], ["node"], body, "a long, b long", tasks).distinct()
+            keep: list[tuple[int, int]] = []
+            for a, part, b, h in zip(*[c.to_pylist() for c in batch.columns[:3]], batch.column(3), strict=True):
+                other = np.frombuffer(h.as_buffer(), np.uint64)
+                if b == a:
+                    key, own = (a, part), other.copy()
+                elif key == (a, part):
+                    both = len(np.intersect1d(own, other, assume_unique=True))
+                    if 100 * both >= p.percent * (len(own) + len(other) - both):
+                        keep.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in keep], pa.int64()), pa.array([y for _, y in keep], pa.int64())], ["a", "b"])
+
+    parts = pairs.groupBy("a").agg((F.floor(F.count("*") / 500) + 1).alias("parts"))
+    dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
+    ends = dealt.unionByName(dealt.select("a", "part", F.col("a").alias("b")).distinct())
+    wanted = checkpoint(ends.join(classes.select(F.col("node").alias("b"), "set_key", "doc_id", "text_hash"), "b"))
+    n = wanted.count()
+    sets = _texts(small_batches(docs)).join(_near(wanted, n), ["doc_id", "text_hash"]).select("a", "part", "b", "text", "set_key").mapInArrow(hashed, "a long, part long, b long, hashes binary")
+    # Of a and its partners a comes first, as they are larger.
+    dealt_out = sets.repartition(tasks_for(docs.sparkSession, n * 5000), "a", "part").sortWithinPartitions("a", "part", "b")
+    return checkpoint(dealt_out.mapInArrow(compared, "a long, b long").distinct())
 
 
 def links_of(docs: DataFrame, classes: DataFrame, lows: DataFrame, p: MetricJoin) -> DataFrame:
     """Confirmed links (a, b) that connect the classes as all links would."""
     spark = docs.sparkSession
-    small = written(small_cells(lows, p))
+    rows = banded(regions(lows, p), F.col("pivot"), p.cells)
+    small = written(bounded(written(rows.join(lows.select("node", "sketch"), "node")), p.cells))
     tasks = tasks_for(spark, small.count() * 300)
-    pairs = checkpoint(candidates(small.withColumn("label", F.col("node")), p, False, tasks))
-    crowds = small.filter(F.col("size") > p.few)
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowds.select("node")).distinct()
-    needed = checkpoint(classes.join(nodes, "node", "left_semi"))
-    sets = written(_sets(docs, _near(needed, needed.count()), p))
-    links = checkpoint(_confirmed(pairs, sets, p.percent))
-    if crowds.limit(1).count():
+    tested = checkpoint(candidates(small.withColumn("label", F.col("node")), p.cells, "centres", tasks))
+    links = confirmed(docs, tested, classes, p)
+    crowds = small.filter(F.col("size") > p.cells.few)
+    for mode in ("nearest", "whole"):
         label = components(links)
-        rows = crowds.join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-        open_ = rows.groupBy("cell").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("cell")
-        rest = candidates(rows.join(open_, "cell"), p, True, tasks).join(pairs, ["a", "b"], "left_anti")
-        links = checkpoint(links.unionByName(_confirmed(checkpoint(rest), sets, p.percent)))
-    discard(sets)
+        apart = crowds.join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        open_ = apart.groupBy("cell").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("cell")
+        found = checkpoint(candidates(apart.join(open_, "cell"), p.cells, mode, tasks).join(tested, ["a", "b"], "left_anti"))
+        if not found.limit(1).count():
+            break
+        links, tested = checkpoint(links.unionByName(confirmed(docs, found, classes, p))), checkpoint(tested.unionByName(found))
     discard(small)
     return links
 

@@ -10,8 +10,9 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from leadloom.llm import divergence, metricjoin, resampling
+from leadloom.llm import cells, divergence, metricjoin, resampling
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 
@@ -72,7 +73,10 @@ def near_copies(seed=5):
 
 @pytest.mark.parametrize(
     "p",
-    [metricjoin.MetricJoin(), metricjoin.MetricJoin(crowd=4, few=3), metricjoin.MetricJoin(crowd=4, cap=20, few=2, pivots=4, depth=2), metricjoin.MetricJoin(crowd=1, cap=8, few=2, pivots=3, rounds=1)],
+    [
+        metricjoin.MetricJoin(), metricjoin.MetricJoin(crowd=4, cells=cells.Cells(90, few=3)), metricjoin.MetricJoin(crowd=4, cells=cells.Cells(90, cap=20, few=2, pivots=4, depth=2)),
+        metricjoin.MetricJoin(crowd=1, cells=cells.Cells(90, cap=8, few=2, pivots=3)),
+    ],
     ids=["default", "crowded", "recursion", "all crowded"],
 )
 def test_jaccard_join_against_brute_force(spark, p):
@@ -100,8 +104,8 @@ def test_sketches_never_exceed_the_sets_distance():
     for _ in range(300):
         x = rng.integers(0, 2**63, rng.integers(1, 300), np.uint64)
         y = np.concatenate([x[: rng.integers(1, len(x) + 1)], rng.integers(0, 2**63, rng.integers(0, 200), np.uint64)])
-        a, b = metricjoin.folded([metricjoin.sketch(np.unique(x)), metricjoin.sketch(np.unique(y))])
-        assert metricjoin.apart(a[None], b[None])[0] <= len(np.setxor1d(x, y))
+        a, b = cells.folded([cells.sketch(np.unique(x)), cells.sketch(np.unique(y), 4)])
+        assert cells.apart(a[None], b[None])[0] <= len(np.setxor1d(x, y))
 
 
 def test_crowds_make_few_pairs(spark):
@@ -118,9 +122,11 @@ def test_crowds_make_few_pairs(spark):
         p = metricjoin.MetricJoin()
         wide = metricjoin.described(frame(spark, rows), p)
         lows = wide.selectExpr("row as node", "n_shingles as n", "low", "sketch").cache()
-        small = metricjoin.small_cells(lows, p)
-        made[size] = metricjoin.candidates(small.withColumn("label", small.node), p, False, 4).count()
-    assert made[1200] < 2.5 * made[600] < 2.5 * 4 * 600
+        rows = cells.banded(metricjoin.regions(lows, p), F.col("pivot"), p.cells).join(lows.select("node", "sketch"), "node")
+        small = cells.bounded(rows, p.cells)
+        made[size] = cells.candidates(small.withColumn("label", small.node), p.cells, "centres", 4).count()
+    # A point is in as many cells as it has pivots, 20 at most here.
+    assert all(n < 4 * size for size, n in made.items())
 
 
 # --- op12 ---------------------------------------------------------------------------------
