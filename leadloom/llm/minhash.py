@@ -12,9 +12,11 @@ Equal sets are one class from the start, with a number of its own; links, bucket
 components are over classes, so any number of exact copies costs one node, and copies get
 their class's component at the end. No bucket is expanded into all its pairs: in each
 round every bucket compares its smallest class with those that aren't yet in the same
-component, and drops it. A bucket ends as soon as its classes are connected. Of what
-is still apart after `rounds` rounds, all pairs are compared but those that sizes and
-rare shingles rule out, so no link between components is lost.
+component, and drops it. A bucket ends as soon as its classes are connected. What
+is still apart after `rounds` rounds is compared within its buckets as cells (cells.py): by sketches that
+rule pairs out exactly, in tasks of bounded size, first each class with the nearest of every other component, then with
+all. Only pairs that sketches can't rule out become rows, so no link between components is lost, and crowds of texts that
+share most of their words without being linked make none.
 
 Defined results: no words: set empty, linked with nothing; fewer words than a
 shingle: the whole sequence is the one shingle; rows with the same doc_id are one
@@ -32,10 +34,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small_batches
+from .cells import Cells, banded, bounded, candidates, sketch
+from .common import checkpoint, discard, looked_up, small_batches, tasks_for, written
 from .linking import components
 
 
@@ -47,13 +50,6 @@ class NearDup:
     permutations: int = 64
     rows: int = 4
     rounds: int = 1
-    #: A shingle is rare if at most `rare` of the documents in question have it, or one in `crowd`.
-    rare: int = 8
-    crowd: int = 16
-    #: But never more than this, so that an equi-join on rare shingles stays linear.
-    most: int = 64
-    #: Classes of a crowded bucket that one task compares with the others of the bucket.
-    salted: int = 500
     seed: int = 20240229
 
 
@@ -178,59 +174,28 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "hashes_a", "hashes_b").mapInArrow(run, "a long, b long")
 
 
-def _apart(here: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
-    """Pairs (a < b) of classes in a common bucket but in different components that
-    may still be similar enough.
-
-    Most can't, and aren't made into rows. If x and y are similar enough, x has at most
-    (100 |x| - percent |y|) / (100 + percent) shingles that y lacks. So of the rare shingles
-    of x, y must have all but so many, t at most for any y; and in one order of all shingles, the
-    rarest first, the first one in common is among the first t + 1 of either. So pairs with
-    common rare shingles come from an equi-join on these alone. A class with more than t
-    shingles of its own meets none.
+def _cells(p: NearDup) -> Cells:
+    """Four bits a shingle tell sets apart that have half of their shingles in common."""
+    return Cells(p.percent, bits=4)
 
-    Other pairs in a bucket must pass it with no rare shingle in common. Added up, the two
-    tests say (100 + percent) (k + l) <= (100 - percent) (|x| + |y|) for their numbers of rare shingles, so
-    one of the two has few by this measure. Only such core classes are compared with the
-    others of the bucket, so a crowd of copies that all have many edits of their own makes no rows;
-    cores of a crowded bucket are split over tasks.
 
-    A shingle is rare if at most `rare` of the classes in question have it, or, in
-    crowded buckets, one in `crowd` of the largest crowd that it occurs in, `most` at most."""
+def _in_cells(here: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
+    """Cells of bounded size from the buckets of `here` (bucket, node, n_shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for d, c, h in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                values = np.frombuffer(h.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), d.as_py(), np.int64)), pa.array(np.full(len(values), c.as_py(), np.int64)), pa.array(values)], ["node", "crowd", "token"])
-
-    sizes = here.groupBy("bucket").agg(F.count("*").alias("size"))
-    # A class is in no more buckets than there are bands.
-    nodes = checkpoint(here.join(sizes, "bucket").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("component").alias("component"), F.max("size").alias("crowd"), F.sort_array(F.collect_set("bucket")).alias("buckets")))
-    tokens = checkpoint(sets.join(nodes.select("node", "crowd"), "node").select("node", "crowd", "hashes").mapInArrow(run, "node long, crowd long, token long"))
-    often = tokens.groupBy("token").agg(F.count("*").alias("often"), F.max("crowd").alias("most")).filter(F.col("often") <= F.greatest(F.lit(p.rare), F.least(F.floor(F.col("most") / p.crowd), F.lit(p.most)))).select("token", "often")
-    rare = checkpoint(tokens.select("node", "token").join(often, "token"))
-    nodes = checkpoint(nodes.join(rare.groupBy("node").agg(F.count("*").alias("k")), "node", "left").withColumn("k", F.coalesce("k", F.lit(0))))
-    lacks = lambda k, x, y: (100 + p.percent) * k <= 100 * x - p.percent * y
-    n, m, k, l = (F.col(c) for c in "nmkl")  # noqa: E741
-
-    # The smallest y that may be similar has percent of the shingles of x.
-    most = F.floor((100 * n - F.lit(p.percent) * F.ceil(p.percent * n / 100)) / (100 + p.percent))
-    place = F.row_number().over(Window.partitionBy("node").orderBy("often", "token"))
-    known = rare.withColumn("place", place).join(nodes.select("node", "n", "component"), "node").filter((F.col("place") <= most + 1) & (F.col("often") > 1)).select("token", "node", "n", "component")
-    other = known.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    in_size = 100 * F.least(n, m) >= p.percent * F.greatest(n, m)
-    by_token = known.withColumnRenamed("node", "a").join(other, "token").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & in_size).select("a", "b")
-
-    core = (100 + p.percent) * k <= (100 - p.percent) * n
-    weak = checkpoint(nodes.filter(100 * k <= (100 - p.percent) * n).withColumn("core", core).withColumn("bucket", F.explode("buckets")))
-    parts = weak.filter("core").groupBy("bucket").agg((F.floor(F.count("*") / p.salted) + 1).alias("parts"))
-    cores = weak.filter("core").join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).drop("parts", "core").withColumnRenamed("node", "a")
-    mate = weak.join(parts, "bucket").select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("k").alias("l"), F.col("buckets").alias("others"), F.col("core").alias("also"))
-    first_common = F.col("bucket") == F.array_min(F.array_intersect("buckets", "others"))
-    once = ~F.col("also") | (F.col("a") < F.col("b"))  # two cores meet in both orders
-    by_bucket = cores.join(mate, ["bucket", "part"]).filter(once & (F.col("component") != F.col("other")) & lacks(k, n, m) & lacks(l, m, n) & first_common).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return by_token.unionByName(by_bucket)
+            made = [sketch(np.frombuffer(h.as_buffer(), np.uint64), 4) for h in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["node", "sketch"])
+
+    rows = banded(here.select("bucket", "node", F.col("n_shingles").alias("n")), F.col("bucket"), _cells(p))
+    sketches = sets.join(rows.select("node").distinct(), "node", "left_semi").select("node", "hashes").mapInArrow(run, "node long, sketch binary")
+    return bounded(written(rows.join(sketches, "node")), _cells(p))
+
+
+def _apart(here: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
+    """Pairs (a < b) of classes in a common bucket but in different components that may still be similar enough."""
+    labels = here.select("node", F.col("component").alias("label")).distinct()
+    return candidates(_in_cells(here, sets, p).join(labels, "node"), _cells(p), "whole", tasks_for(here.sparkSession, 0))
 
 
 def links_of(docs: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
@@ -253,15 +218,26 @@ def links_of(docs: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
         here = rows.join(open_.select("bucket", "lead"), "bucket")
         if turn:  # few rows are left
             here = checkpoint(here)
-        if turn < p.rounds:
-            found = here.filter((F.col("component") != F.col("lead.component")) & near_in_size(F.col("n_shingles"), F.col("lead.n_shingles"))).select(F.least("lead.node", "node").alias("a"), F.greatest("lead.node", "node").alias("b"))
-        else:
-            found = _apart(here.select("bucket", "node", "n_shingles", "component"), sets, p)
+        if turn == p.rounds:
+            break
+        found = here.filter((F.col("component") != F.col("lead.component")) & near_in_size(F.col("n_shingles"), F.col("lead.n_shingles"))).select(F.least("lead.node", "node").alias("a"), F.greatest("lead.node", "node").alias("b"))
         pairs = checkpoint(found.distinct().join(tested, ["a", "b"], "left_anti"))
-        links = checkpoint(links.unionByName(_confirmed(pairs, sets, p.percent)))
-        if turn < p.rounds:
-            tested, label = tested.unionByName(pairs), components(links)
-            rows = here.filter(F.col("node") != F.col("lead.node")).select("bucket", "node", "doc_id", "n_shingles")
+        links, tested = checkpoint(links.unionByName(_confirmed(pairs, sets, p.percent))), tested.unionByName(pairs)
+        label = components(links)
+        rows = here.filter(F.col("node") != F.col("lead.node")).select("bucket", "node", "doc_id", "n_shingles")
+    if not here.limit(1).count():
+        return links
+    small = written(_in_cells(here, sets, p))
+    tasks = tasks_for(spark, small.count() * 500)
+    for mode in ("nearest", "whole"):
+        label = components(links)
+        apart = small.join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        open_ = apart.groupBy("cell").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("cell")
+        pairs = checkpoint(candidates(apart.join(open_, "cell"), _cells(p), mode, tasks).join(tested, ["a", "b"], "left_anti"))
+        if not pairs.limit(1).count():
+            break
+        links, tested = checkpoint(links.unionByName(_confirmed(pairs, sets, p.percent))), tested.unionByName(pairs)
+    discard(small)
     return links
 
 
@@ -269,9 +245,9 @@ def components_of(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row per row of `docs`."""
     found = checkpoint(described(docs, p))
     with_set = found.filter(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull())
-    grouped = with_set.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    grouped = with_set.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
     # Numbers are fixed by the checkpoint.
-    classes = checkpoint(grouped.select(F.monotonically_increasing_id().alias("node"), "set_key", "one.doc_id", "one.text_hash", "n_shingles", "bands"))
+    classes = checkpoint(grouped.select(F.monotonically_increasing_id().alias("node"), "set_key", "one.doc_id", "one.text_hash", "n_shingles", "bands", "copies"))
     near = links_of(docs, classes, p)
     # Documents of several rows link the classes of their texts.
     several = with_set.groupBy("doc_id").agg(F.min("set_key").alias("first"), F.max("set_key").alias("last")).filter("first <> last")
@@ -283,8 +259,8 @@ def components_of(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     names = members.groupBy("component").agg(F.min("doc_id").alias("name"))
     linked = members.join(names, "component").select("set_key", "name")
     # Rows of each class; documents without links get their class's name, as other copies do.
-    named = classes.select("set_key", "doc_id").join(linked, "set_key", "left").select("set_key", F.coalesce("name", "doc_id").alias("name"))
-    out = found.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    named = checkpoint(classes.select("set_key", "doc_id", "copies").join(linked, "set_key", "left").select("set_key", "copies", F.coalesce("name", "doc_id").alias("name")))
+    out = looked_up(found.select("doc_id", "n_shingles", "set_key"), named, "set_key", "doc_id")
     id_ = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("name", "doc_id"))
     return out.select("doc_id", "n_shingles", id_.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
