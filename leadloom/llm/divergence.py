@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small_batches
+from .common import checkpoint, discard, shuffles_dropped, small_batches, written
 
 
 @dataclass(frozen=True)
@@ -54,26 +54,18 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else
 
 
 def counted(docs: DataFrame, p: Audit) -> DataFrame:
-    """lang, term, docs, sources, counts: the index in parts, a row per language and term of each part, with the sources that have the
-    term and how often. docs: documents with the term; a part counts `min_docs` of a source at most, as no more are asked for."""
+    """lang, source, term, n (occurrences), docs (documents with the term; each time a task sends its counts
+    it counts `min_docs` of them at most, as no more are asked for); a row for each time that a task sends the term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: dict = {}
         size = 0
 
         def sent() -> pa.RecordBatch:
-            index: dict = {}
-            for (lang, source), (often, seen, _) in groups.items():
-                terms = index.setdefault(lang, {})
-                for t, n in often.items():
-                    row = terms.setdefault(t, ([], [], []))
-                    row[0].append(source)
-                    row[1].append(n)
-                    row[2].append(seen[t])
-            rows = [(lang, t.decode("utf-8", "replace"), sum(d), s, n) for lang, terms in index.items() for t, (s, n, d) in terms.items()]
+            rows = [(lang, source, t.decode("utf-8", "replace"), n, seen[t]) for (lang, source), (often, seen, _) in groups.items() for t, n in often.items()]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang", "term", "docs", "sources", "counts"])
+            kinds = [pa.string()] * 3 + [pa.int64()] * 2
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang", "source", "term", "n", "docs"])
 
         for batch in batches:
             for lang, source, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -92,14 +84,14 @@ def counted(docs: DataFrame, p: Audit) -> DataFrame:
             yield sent()
 
     named = small_batches(docs).select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    return named.mapInArrow(run, "lang string, term string, docs long, sources array<string>, counts array<long>")
+    return named.mapInArrow(run, "lang string, source string, term string, n long, docs long")
 
 
 def _share(n: str, total: str, kept: str, p: Audit) -> Column:
-    """1 + floor(scale * (n + smoothing) / (total + smoothing * kept)), null for no kept terms."""
-    above = f"cast(({n}) + {p.smoothing} as decimal(20,0)) * {p.scale}BD"
-    below = f"cast(({total}) + {p.smoothing} * ({kept}) as decimal(20,0))"
-    return F.expr(f"1 + ({above}) div nullif({below}, 0BD)")
+    """1 + floor(scale * (n + smoothing) / (total + smoothing * kept)), null for no kept terms; by decimals where 64 bits don't do."""
+    above, below = f"(({n}) + {p.smoothing})", f"nullif(({total}) + {p.smoothing} * ({kept}), 0)"
+    wide = f"cast({above} as decimal(20,0)) * {p.scale}BD div cast({below} as decimal(20,0))"
+    return F.expr(f"1 + CASE WHEN {above} <= {2**63 // p.scale - 1}L THEN {above} * {p.scale}L div {below} ELSE {wide} END")
 
 
 def _f(p: str, q: str) -> str:
@@ -109,21 +101,22 @@ def _f(p: str, q: str) -> str:
 def index(docs: DataFrame, p: Audit = Audit()) -> tuple[DataFrame, DataFrame]:
     """(postings, groups). postings: lang, source, term, n, p, q for the terms that each group has (q: the
     language's share). groups: lang, source, kept (V of the language), p0 (share of a zero count)."""
-    # One shuffle, by term, serves the counts of documents, the join and the sums of the parts.
-    parts = counted(docs, p).repartition("lang", "term")
-    in_all = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
-    kept = parts.groupBy("lang", "term").agg(F.sum(in_all).alias("all_n"), F.sum("docs").alias("docs")).filter(F.col("docs") >= p.min_docs).drop("docs")
-    posted = parts.join(kept, ["lang", "term"]).select("lang", "term", "all_n", F.explode(F.arrays_zip("sources", "counts")).alias("x"))
-    held = checkpoint(posted.groupBy("lang", "term", F.col("x.sources").alias("source")).agg(F.first("all_n").alias("all_n"), F.sum("x.counts").alias("n")))
+    # One shuffle, by language and term, serves the sums of parts, the counts of documents and the choice of terms.
+    parts = counted(docs, p).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    of_term = Window.partitionBy("lang", "term")
+    known = parts.withColumns({"all_n": F.sum("n").over(of_term), "all_docs": F.sum("docs").over(of_term), "first": F.row_number().over(of_term.orderBy("source")) == 1})
+    held = written(known.filter(F.col("all_docs") >= p.min_docs).select("lang", "term", "source", "n", "all_n", "first"))
     # A language's kept terms and occurrences; a group's occurrences.
-    langs = held.groupBy("lang", "term").agg(F.first("all_n").alias("all_n")).groupBy("lang").agg(F.count("*").alias("kept"), F.sum("all_n").alias("lang_total"))
+    langs = held.filter("first").groupBy("lang").agg(F.count("*").alias("kept"), F.sum("all_n").alias("lang_total"))
     totals = held.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     there = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     groups = there.join(totals, ["lang", "source"], "left").join(langs, "lang", "left").select("lang", "source", zero("total"), zero("kept"), zero("lang_total"))
     groups = checkpoint(groups.withColumn("p0", _share("0L", "total", "kept", p)))
-    postings = held.select("lang", "source", "term", "n", "all_n").join(groups, ["lang", "source"]).withColumns({"p": _share("n", "total", "kept", p), "q": _share("all_n", "lang_total", "kept", p)})
-    return checkpoint(postings.select("lang", "source", "term", "n", "p", "q", "p0")), groups.select("lang", "source", "kept", "p0")
+    shares = {"p": _share("n", "total", "kept", p), "q": _share("all_n", "lang_total", "kept", p)}
+    postings = written(held.join(groups, ["lang", "source"]).withColumns(shares).select("lang", "source", "term", "n", "p", "q", "p0"))
+    discard(held)
+    return postings, groups.select("lang", "source", "kept", "p0")
 
 
 def pair_sums(postings: DataFrame, groups: DataFrame, salts: int = 16) -> DataFrame:
@@ -155,7 +148,8 @@ def pair_sums(postings: DataFrame, groups: DataFrame, salts: int = 16) -> DataFr
 
 def audit(docs: DataFrame, p: Audit = Audit()) -> DataFrame:
     """lang, source, part (pair or term), item, value, rank."""
-    postings, groups = index(docs, p)
+    with shuffles_dropped(docs.sparkSession):
+        postings, groups = index(docs, p)
     place = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")).alias("rank")
     pairs = pair_sums(postings, groups).select("lang", "source", F.lit("pair").alias("part"), "item", "value", place)
     told = postings.filter("p > q").select("lang", "source", F.col("term").alias("item"), F.expr(_f("p", "q")).alias("value"))
