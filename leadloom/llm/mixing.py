@@ -9,17 +9,20 @@ are taken whole); the choice is a hash of doc_id, so it repeats.
 Native. Texts are read once, for tokens and topic. Cells are pre-aggregated (so a
 hot source is one row for each of its cells); a turn sums the cells of a marginal's
 value (partially before the shuffle, so no task gets all cells of a topic) and joins the
-scale back. Rounds end when all marginals are within `tolerance` of their targets. The fitted cells
+scale back. Rounds end when all marginals are within `tolerance` of their targets, or after `rounds`. Targets that can't all be
+met (a value whose only documents are of a language that is wanted less, say) are never met by more rounds: how far the worst
+marginal is off is a column of the result, `miss`, and a warning if it is above the tolerance. The fitted cells
 are joined back to documents.
 
 Defined results: null source, language or topic is a cell value of its own; a
 null or empty text has 0 tokens and weighs nothing in the fit, and follows its
 cell's probability (0 if the cell has no tokens); equal doc_ids share one fate;
-an empty table gives an empty result.
+other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -47,7 +50,7 @@ class Mix:
     temper: float = 0.5
     #: Rounds at most; fewer if every marginal is within `tolerance` of its target, as a share of all tokens.
     rounds: int = 24
-    tolerance: float = 5e-4
+    tolerance: float = 1e-4
     #: Cells most wanted for their size are taken whole, up to this share of all tokens; their weights
     #: are then cut, so targets are missed. At 0 or below no probability is cut at one and weights are
     #: met exactly, at the price of a smaller sample: at 0 the most wanted cells get probability one,
@@ -70,7 +73,7 @@ def _sizes(docs: DataFrame, mix: Mix) -> DataFrame:
 
 
 def calibrated(sizes: DataFrame, mix: Mix) -> DataFrame:
-    """One row per cell: its tokens, its calibrated share and the probability."""
+    """One row per cell: its tokens, its calibrated share, the probability, and the miss of the whole fit."""
     cells = checkpoint(sizes.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("cell_tokens")))
     cells = cells.withColumn("share", F.col("cell_tokens").cast("double"))
     for d in DIMENSIONS:
@@ -88,6 +91,7 @@ def calibrated(sizes: DataFrame, mix: Mix) -> DataFrame:
     # squares. Cells are few, so they go into few files.
     files = cells.count() // 200_000 + 1
     cells = written(cells.coalesce(files))
+    miss = 0.0
     for _ in range(mix.rounds):
         before = cells
         for d in DIMENSIONS:
@@ -96,11 +100,14 @@ def calibrated(sizes: DataFrame, mix: Mix) -> DataFrame:
             cells = cells.join(there, F.col(d).eqNullSafe(F.col("_k"))).withColumn("share", scaled).drop("_k", "_there")
         cells = written(cells.coalesce(files))
         discard(before)
-        if _miss(cells) <= mix.tolerance:
+        miss = _miss(cells)
+        if miss <= mix.tolerance:
             break
+    else:
+        warnings.warn(f"after {mix.rounds} rounds a marginal is off by {miss:.6f} of all tokens, more than {mix.tolerance}: the targets can't all be met, or not so soon", stacklevel=2)
     cells = cells.withColumn("ratio", F.when(F.col("cell_tokens") > 0, F.col("share") / F.col("cell_tokens")).otherwise(F.lit(0.0)))
     most = _scale(cells, mix.whole)
-    return cells.select(*DIMENSIONS, "cell_tokens", "share", F.least(F.lit(1.0), F.col("ratio") / F.lit(most)).alias("probability"))
+    return cells.select(*DIMENSIONS, "cell_tokens", "share", F.least(F.lit(1.0), F.col("ratio") / F.lit(most)).alias("probability"), F.lit(float(miss)).alias("miss"))
 
 
 def _miss(cells: DataFrame) -> float:
@@ -128,9 +135,9 @@ def _scale(cells: DataFrame, whole: float) -> float:
 
 def sample(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """doc_id, source, lang, topic, tokens, weight (the cell's calibrated share),
-    probability and sampled, for each row of `docs`."""
+    probability, miss (the same in all rows: how far the worst marginal is off) and sampled, for each row of `docs`."""
     sizes = checkpoint(_sizes(docs, mix))
-    cells = calibrated(sizes, mix).select(*[F.col(d).alias(f"c_{d}") for d in DIMENSIONS], F.round("share", 9).alias("weight"), F.round("probability", 9).alias("probability"))
+    cells = calibrated(sizes, mix).select(*[F.col(d).alias(f"c_{d}") for d in DIMENSIONS], F.round("share", 9).alias("weight"), F.round("probability", 9).alias("probability"), F.round("miss", 9).alias("miss"))
     same = [F.col(d).eqNullSafe(F.col(f"c_{d}")) for d in DIMENSIONS]
     out = sizes.join(cells, same, "left").drop(*[f"c_{d}" for d in DIMENSIONS])
     return out.withColumn("sampled", F.coalesce(uniform(F.col("doc_id"), mix.seed) < F.col("probability"), F.lit(False)))

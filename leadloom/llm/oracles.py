@@ -61,7 +61,7 @@ def _op2() -> str:
     targets = ", ".join(f"coalesce(t_{d}.target, 0) AS target_{d}" for d in DIMENSIONS)
     joins = " ".join(f"LEFT JOIN t_{d} ON cells.{d} IS NOT DISTINCT FROM t_{d}.{d}" for d in DIMENSIONS)
     ctes.append(f"s0 AS MATERIALIZED (SELECT cells.*, {targets}, cell_tokens::DOUBLE AS share FROM cells {joins})")
-    step, before = 0, "false"
+    step, before, misses = 0, "false", ""
     for n in range(mix.rounds):
         for d in DIMENSIONS:
             there = f"sum(share) OVER (PARTITION BY {d})"
@@ -74,10 +74,10 @@ def _op2() -> str:
     ctes.append("steps AS (SELECT floor(log2(ratio) * 4) AS step, sum(cell_tokens) AS t FROM fit WHERE ratio > 0 GROUP BY 1)")
     ctes.append("above AS (SELECT step, sum(t) OVER (ORDER BY step DESC) / (SELECT sum(t) FROM steps) AS share FROM steps)")
     ctes.append(f"scale AS (SELECT coalesce(pow(2.0, min(step) FILTER (WHERE share <= {mix.whole}) / 4), pow(2.0, (max(step) + 1) / 4)) AS most FROM above)")
-    ctes.append("told AS (SELECT source, lang, topic, round(share, 9) AS weight, round(least(1.0, ratio / (SELECT most FROM scale)), 9) AS probability FROM fit)")
+    ctes.append(f"told AS (SELECT source, lang, topic, round(share, 9) AS weight, round(least(1.0, ratio / (SELECT most FROM scale)), 9) AS probability, round((SELECT coalesce(max(miss), 0) FROM ({misses})), 9) AS miss FROM fit)")
     same = " AND ".join(f"sizes.{d} IS NOT DISTINCT FROM told.{d}" for d in DIMENSIONS)
     draw = f"('0x' || substr(md5('{mix.seed}' || doc_id), 1, 13))::BIGINT::DOUBLE / {16**13}.0"
-    return f"WITH {', '.join(ctes)} SELECT sizes.*, weight, probability, coalesce({draw} < probability, false) AS sampled FROM sizes LEFT JOIN told ON {same}"
+    return f"WITH {', '.join(ctes)} SELECT sizes.*, weight, probability, miss, coalesce({draw} < probability, false) AS sampled FROM sizes LEFT JOIN told ON {same}"
 
 
 _OP5 = """
