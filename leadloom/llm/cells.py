@@ -146,7 +146,7 @@ def split(large: DataFrame, turn: int, p: Cells) -> DataFrame:
     points = large.withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), parts)).withColumn("is_pivot", F.lit(False))
     tasks = tasks_for(large.sparkSession, 0)
     out = _by_group(pivots.unionByName(points), ["cell", "part"], [], body, "parent long, before long, pivot long, node long, n long, home boolean, sketch binary", tasks)
-    return out.withColumn("cell", F.xxhash64("parent", "pivot", F.lit(turn))).drop("parent", "pivot")
+    return out.withColumn("cell", F.xxhash64("parent", "pivot", F.lit(turn))).drop("pivot")
 
 
 def in_blocks(stuck: DataFrame, p: Cells) -> DataFrame:
@@ -158,12 +158,16 @@ def in_blocks(stuck: DataFrame, p: Cells) -> DataFrame:
 
 
 def bounded(now: DataFrame, p: Cells) -> DataFrame:
-    """The same points in cells of bounded size. now: a written table of rows."""
+    """The same points in cells of bounded size. now: a written table of rows. A cell that windows would more than double, or
+    that a split hardly shrinks, has all its points about as far from each other: it is joined in blocks as it is."""
     done, large = now.filter(F.col("size") <= p.cap), now.filter(F.col("size") > p.cap)
     for turn in range(p.depth):
         if not large.limit(1).count():
             return done
-        parted = checkpoint(sized(split(large, turn, p)))
+        parted = checkpoint(split(large, turn, p))
+        blown = parted.groupBy("parent").agg(F.count("*").alias("rows"), F.first("before").alias("before")).filter("rows > 2 * before").select(F.col("parent").alias("cell"))
+        done = done.unionByName(in_blocks(large.join(blown, "cell", "left_semi").select(*COLUMNS), p))
+        parted = checkpoint(sized(parted.join(blown.withColumnRenamed("cell", "parent"), "parent", "left_anti")))
         stuck = (F.col("size") > p.cap) & (F.col("size") * 4 > F.col("before") * 3)
         done = done.unionByName(parted.filter(F.col("size") <= p.cap).select(*COLUMNS)).unionByName(in_blocks(parted.filter(stuck).select(*COLUMNS), p))
         large = parted.filter((F.col("size") > p.cap) & ~stuck).select(*COLUMNS)
