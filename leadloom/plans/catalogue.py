@@ -813,14 +813,17 @@ def landed_job_posts(spark, sf_dir):
     return landing.job_records(docs, "indeed").select("doc_id", "job_title", "company_name", "posting_url", "raw_snippet")
 
 
-@query("SELECT doc_id, 'forum' || (doc_id % 3) AS subreddit, CASE WHEN doc_id % 4 = 0 THEN 'https://y.org/' || doc_id ELSE 'https://www.reddit.com/r/forum' || (doc_id % 3) || '/comments/t' || doc_id || '/' END AS posting_url, CASE WHEN doc_id % 5 = 0 THEN '2024-01-01T00:00:00Z' WHEN doc_id % 5 = 1 THEN 'soon' ELSE strftime(TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 SECOND * doc_id, '%Y-%m-%dT%H:%M:%S.000Z') END AS posting_date, (doc_id % 23)::DOUBLE AS upvotes, (doc_id % 13)::DOUBLE AS comment_count FROM documents")
+_SIGNALS_D = "list_filter([" + ", ".join(f"'{s}'" for s in SIGNALS) + "], lambda k: contains(lower('Post ' || doc_id || ' ' || body), k))"
+
+
+@query(f"SELECT doc_id, 'forum' || (doc_id % 3) AS subreddit, CASE WHEN doc_id % 4 = 0 THEN 'https://y.org/' || doc_id ELSE 'https://www.reddit.com/r/forum' || (doc_id % 3) || '/comments/t' || doc_id || '/' END AS posting_url, CASE WHEN doc_id % 5 = 0 THEN '2024-01-01T00:00:00Z' WHEN doc_id % 5 = 1 THEN 'soon' ELSE strftime(TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 SECOND * doc_id, '%Y-%m-%dT%H:%M:%S.000Z') END AS posting_date, (doc_id % 23)::DOUBLE AS upvotes, (doc_id % 13)::DOUBLE AS comment_count, 'user' || (doc_id % 60) AS company_name, 'Post ' || doc_id AS job_title, left(body, 2000) AS raw_snippet, len({_SIGNALS_D})::INT AS signal_count, array_to_string({_SIGNALS_D}, '|') AS signals FROM (SELECT *, left(trim(coalesce(text, ''), ' '), 5000) AS body FROM documents)")
 def landed_forum_posts(spark, sf_dir):
     d = F.col("doc_id")
     i = d.cast("string")
     created = F.when(d % 5 == 0, "2024-01-01T00:00:00Z").when(d % 5 == 1, "soon").otherwise((F.lit(1704067200) + d).cast("string"))
-    item = F.struct(F.concat(F.lit("r/forum"), (d % 3).cast("string")).alias("communityName"), F.concat(F.lit("t"), i).alias("id"), F.when(d % 4 == 0, F.concat(F.lit("https://y.org/"), i)).alias("url"), created.alias("created_utc"), (d % 23).alias("ups"), (d % 13).alias("num_comments"), F.left("text", F.lit(100)).alias("selftext"))
+    item = F.struct(F.concat(F.lit("r/forum"), (d % 3).cast("string")).alias("communityName"), F.concat(F.lit("t"), i).alias("id"), F.when(d % 4 == 0, F.concat(F.lit("https://y.org/"), i)).alias("url"), created.alias("created_utc"), (d % 23).alias("ups"), (d % 13).alias("num_comments"), F.col("text").alias("selftext"), F.concat(F.lit("user"), (d % 60).cast("string")).alias("username"), F.concat(F.lit(" Post "), i).alias("title"))
     docs = _t(spark, sf_dir, "documents").select("doc_id", F.parse_json(F.to_json(item)).alias("item"))
-    return landing.post_records(docs).select("doc_id", "subreddit", "posting_url", "posting_date", "upvotes", "comment_count")
+    return landing.post_records(docs).select("doc_id", "subreddit", "posting_url", "posting_date", "upvotes", "comment_count", "company_name", "job_title", "raw_snippet", "signal_count", F.concat_ws("|", "matched_signals").alias("signals"))
 
 
 @query(f"SELECT id, trim(regexp_replace(c, ' +', ' ', 'g')) AS keywords, {d_text('raw_name')} AS business_name, CASE WHEN contains(c, 'new location') THEN 12 ELSE 0 END AS intent FROM (SELECT *, CASE WHEN id % 3 = 0 THEN 'new location ' || niche WHEN id % 3 = 1 THEN niche || '  plain' ELSE '' END AS c FROM ({duck(LEADS)}))")
