@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import api
 from ..functions import dates, hashing, text, web
-from ..operators import budget, dedupe, finance, queue, registry, run_state, runs, summary, upsert
+from ..operators import budget, dedupe, finance, queue, registry, run_machine, run_state, runs, summary, upsert
 from ..operators.store import Store, Table
 from ..sources import landing, paged, sweeps, table_functions
 from ..sources.folders import shared_folder
@@ -561,6 +561,20 @@ def run_summary_incremental(spark, sf_dir):
     return run_state.summaries(store, state).drop("total_signals").withColumn("top_items", items)
 
 
+_MACHINE = run_machine.TRANSITIONS
+_STEPS_D = {"view": "queued", "error": "failed", "click": "processing", "purchase": "processed", "signup": "sample_delivered"}
+_STEP_D = "CASE event_type " + " ".join(f"WHEN '{e}' THEN {list(_MACHINE).index(to)}" for e, to in _STEPS_D.items()) + " ELSE -1 END"
+_MAY_D = "(" + " OR ".join(f"(s % 100 = {a} AND x = {list(_MACHINE).index(b)})" for a, (_, bs) in enumerate(_MACHINE.items()) for b in bs) + ")"
+
+
+@query(f"SELECT run_id, ['', {', '.join(repr(m) for m in list(_MACHINE)[1:])}][(r % 100 + 1)::INT] AS state, (r // 100)::BIGINT AS accepted, n - r // 100 AS refused FROM (SELECT user_id AS run_id, count(*) AS n, list_reduce(list({_STEP_D}::BIGINT ORDER BY ts, event_id), lambda s, x: CASE WHEN {_MAY_D} THEN s - s % 100 + x + 100 ELSE s END, 0::BIGINT) AS r FROM events GROUP BY user_id)")
+def run_states(spark, sf_dir):
+    """Events as steps of a run per user, in order; steps that a run's state doesn't allow are refused."""
+    status = F.element_at(F.create_map(*[F.lit(x) for kv in _STEPS_D.items() for x in kv]), F.col("event_type"))
+    steps = _t(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), "ts", F.col("event_id").alias("id"), status.alias("status"))
+    return run_machine.last_states(run_machine.fold(steps, block=64))
+
+
 # --- budgets, sweeps, registry ---
 
 _SCEN_D = "SELECT o_orderkey AS id, CAST(o_orderkey % 40 AS DOUBLE) / 4 AS budget_cap, CAST(o_orderkey % 90 AS DOUBLE) / 16 AS est_run_cost, 0.25::DOUBLE AS overhead_pct, CAST(o_orderkey % 30 AS DOUBLE) / 2 AS monthly_usage, CAST(o_orderkey % 3 AS DOUBLE) * 8 AS plan_limit FROM orders"
