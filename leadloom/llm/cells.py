@@ -43,9 +43,9 @@ def sketch(hashes: np.ndarray, bits: int = 1) -> bytes:
     return np.packbits(np.bincount((hashes & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).tobytes()
 
 
-def folded(sketches: list[bytes]) -> np.ndarray:
-    """Sketches as rows of 64-bit words, all folded to the length of the shortest."""
-    least = min(map(len, sketches))
+def folded(sketches: list[bytes], least: int | None = None) -> np.ndarray:
+    """Sketches as rows of 64-bit words, all folded to the length of the shortest, or to `least` bytes."""
+    least = least or min(map(len, sketches))
     out = np.empty((len(sketches), least // 8), np.uint64)
     for i, s in enumerate(sketches):
         bits = np.frombuffer(s, np.uint64)
@@ -122,7 +122,7 @@ def split(large: DataFrame, turn: int, p: Cells) -> DataFrame:
     """Cells of more than `cap` points, by the Voronoi regions of `pivots` of them, with windows."""
 
     def body(rows: dict) -> Iterator[list]:
-        of = folded(rows["sketch"])
+        of = folded(rows["sketch"], rows["least"][0])
         n = np.array(rows["n"])
         here = [i for i, k in enumerate(rows["is_pivot"]) if k]
         points = [i for i, k in enumerate(rows["is_pivot"]) if not k]
@@ -138,6 +138,8 @@ def split(large: DataFrame, turn: int, p: Cells) -> DataFrame:
             chosen = [points[t] for t in take]
             yield [[rows["cell"][c] for c in chosen], [rows["size"][c] for c in chosen], [rows["node"][i]] * len(chosen), [rows["node"][c] for c in chosen], n[chosen].tolist(), [bool(rows["home"][c] and near[t] == j) for c, t in zip(chosen, take, strict=True)], [rows["sketch"][c] for c in chosen]]
 
+    # All parts of a cell measure by the same folds, as windows compare distances of one part with those of another.
+    large = large.join(large.groupBy("cell").agg(F.min(F.length("sketch")).alias("least")), "cell")
     parts = F.floor(F.col("size") / p.cap) + 1
     place = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("node", F.lit(turn)), "node"))
     # A rank filter, so no cell is gathered.

@@ -193,7 +193,7 @@ def links_of(docs: DataFrame, classes: DataFrame, lows: DataFrame, p: MetricJoin
         open_ = apart.groupBy("cell").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("cell")
         found = checkpoint(candidates(apart.join(open_, "cell"), p.cells, mode, tasks).join(tested, ["a", "b"], "left_anti"))
         if not found.limit(1).count():
-            break
+            continue  # all nearest ones may have been tested in other cells; the next mode holds all others
         links, tested = checkpoint(links.unionByName(confirmed(docs, found, classes, p))), checkpoint(tested.unionByName(found))
     discard(small)
     return links
