@@ -804,7 +804,8 @@ def finance_stream_repeats(spark, sf_dir):
     """Events landed as files, read as a stream with a value per key: each new key once, and how often it came again."""
     folder = shared_folder(spark, "finance")
     charge = F.concat_ws("_", F.col("user_id").cast("string"), "event_type").alias("id")
-    _t(spark, sf_dir, "events").select(charge, F.unix_seconds(F.col("ts").cast("timestamp")).alias("created")).repartition(2).write.json(f"{folder}/in")
+    events = _t(spark, sf_dir, "events").select(charge, F.unix_seconds(F.col("ts").cast("timestamp")).alias("created"))
+    events.repartition(events.count() // 500_000 + 2).write.json(f"{folder}/in")  # short rows: files of so many
     finance_stream.ingest(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", "acct", repeats=f"{folder}/repeats").awaitTermination()
     return finance_stream.counted(spark, f"{folder}/out", f"{folder}/repeats").select(F.col("entity_id").alias("id"), F.col("event_date").cast("string").alias("day"), "repeats")
 

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.dates import moment
 from ..operators.finance import keyed, list_candidates, receipt
-from .first_seen import first_and_repeats, keyed_state
+from .first_seen import counted_keys, keyed_state
 
 
 def ingest(spark: SparkSession, landing: str, out: str, checkpoint: str, account: str, source: str = "charge", signal_type: str = "stripe_charge", receipts: str | None = None, repeats: str | None = None, now: str | None = None) -> StreamingQuery | None:
@@ -27,16 +27,18 @@ def ingest(spark: SparkSession, landing: str, out: str, checkpoint: str, account
             receipt(empty, empty, False, moment(now)).write.mode("overwrite").parquet(f"{receipts}/run={datetime.fromisoformat(now):%Y%m%dT%H%M%S}")
         return None
     entries = spark.readStream.schema("id string, created bigint").json(landing)
-    found = keyed(list_candidates(entries, source, signal_type, F.lit(None).cast("date")), account)
-    states = first_and_repeats(found, "dedupe_key", "entity_id")
+    signals = lambda rows: keyed(list_candidates(rows, source, signal_type, F.col("event_date")), account)
+    found = keyed(list_candidates(entries, source, signal_type, F.lit(None).cast("date")), account).select("dedupe_key", "entity_id", "event_date", "source")
+    states = counted_keys(found, "dedupe_key", "entity_id", "source" if receipts else None)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        told = batch.persist()  # one row per key of the batch
-        told.filter("is_new").drop("first_order", "batch_rows", "repeats", "is_new").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        told = batch.persist()  # one row per key of the batch, and one per source
+        # The rest of a signal follows from its id and date.
+        signals(told.filter("is_new").select(F.col("entity_id").alias("id"), F.lit(None).cast("long").alias("created"), "event_date")).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
         if repeats:
-            told.select("dedupe_key", "repeats").write.mode("overwrite").parquet(f"{repeats}/batch_id={batch_id}")
+            told.filter("of_key").select("dedupe_key", "repeats").write.mode("overwrite").parquet(f"{repeats}/batch_id={batch_id}")
         if receipts:
-            receipt(told, told.filter("is_new"), True, None if now is None else moment(now), "batch_rows").write.mode("overwrite").parquet(f"{receipts}/run=batch_{batch_id}")
+            receipt(told.filter("not of_key"), told.filter("is_new"), True, None if now is None else moment(now), "batch_rows").write.mode("overwrite").parquet(f"{receipts}/run=batch_{batch_id}")
         told.unpersist()
 
     with keyed_state(spark):

@@ -1,7 +1,9 @@
 """Keyed state of streams: the first record of each key, and how often the key came again.
 
 The state store holds one value per key (RocksDB, in the query's checkpoint), so a micro-batch
-looks up its own keys only, however many were seen before, and a restart goes on where the last one ended."""
+looks up its own keys only, however many were seen before, and a restart goes on where the last one ended.
+`counted_keys` is a streaming aggregate; `first_and_repeats` tells a batch's rows of each key, and forgets keys, at the
+price of several calls between Python and the store for each key."""
 
 from __future__ import annotations
 
@@ -9,6 +11,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
@@ -62,3 +65,27 @@ def first_and_repeats(stream: DataFrame, key: str, order: str, ttl_ms: int | Non
     schema = ", ".join([*kinds, "first_order string", "batch_rows long", "repeats long", "is_new boolean"])
     processor = _FirstSeen(key, order, [f.name for f in columns], ttl_ms)
     return stream.groupBy(key).transformWithState(processor, outputStructType=schema, outputMode="Update", timeMode="None" if ttl_ms is None else "ProcessingTime")
+
+
+def counted_keys(stream: DataFrame, key: str, order: str, per: str | None = None) -> DataFrame:
+    """One row for each key of a micro-batch: the batch's first record of it (the least `order`, a text), repeats (over all
+    batches), is_new. Start the query in `keyed_state` and with output mode `update`. The state keeps a record for each key, so
+    leave out what can be derived.
+
+    per: a column; each value of it gives one more row a batch (of_key is false, the key null) with batch_rows, the number of the batch's
+    records. A batch is known by its time, which a restart keeps."""
+    rest = [c for c in stream.columns if c not in (key, order)]
+    rows = stream.withColumns({"_batch": F.lit(None).cast("timestamp"), "_at": F.current_timestamp()})
+    if per:
+        own = F.struct(F.col(key).alias("k"), F.col("_batch").alias("b"))
+        told = F.struct(F.lit(None).cast(stream.schema[key].dataType).alias("k"), F.col("_at").alias("b"))
+        rows = rows.withColumn("_as", F.explode(F.array(own, told))).withColumns({key: F.col("_as.k"), "_batch": F.col("_as.b")})
+    of_key = F.col("_batch").isNull()
+    kind = F.when(~of_key, F.col(per).cast("string")) if per else F.lit(None).cast("string")
+    # Of the newest batch the least.
+    first = F.min(F.struct((-F.unix_micros("_at")).alias("late"), F.col(order).alias("o"), *rest)).alias("_first")
+    one = rows.groupBy(key, "_batch", kind.alias("_per")).agg(first, F.count("*").alias("_n"), F.min("_at").alias("_since"), F.max("_at").alias("_last"))
+    return one.select(
+        key, F.col("_first.o").alias(order), *[F.col(f"_first.{c}").alias(c) for c in rest], F.when(~of_key, F.col("_n")).alias("batch_rows"),
+        F.when(of_key, F.col("_n") - 1).alias("repeats"), (of_key & (F.col("_since") == F.col("_last"))).alias("is_new"), of_key.alias("of_key"),
+    )
