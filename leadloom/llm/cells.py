@@ -185,6 +185,8 @@ def candidates(small: DataFrame, p: Cells, mode: str, tasks: int) -> DataFrame:
     that the links so far give: then all links of two crowds are never made."""
 
     def body(rows: dict) -> Iterator[list]:
+        if rows["label"].count(rows["label"][0]) == len(rows["label"]):
+            return
         of, n, node = folded(rows["sketch"]), np.array(rows["n"]), np.array(rows["node"])
         home, label = np.array(rows["home"]), np.array(rows["label"])
         away = np.zeros(len(n), np.int64)

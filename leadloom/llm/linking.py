@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, near
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,17 +13,27 @@ def components(links: DataFrame) -> DataFrame:
 
     links: (a, b), any order, repeats allowed. Every round each node takes the
     smallest label among its neighbours, then the label of that label, so
-    chains shorten to half; it ends when no label changes. Each round is two
-    equi-joins with pre-aggregation; nothing is gathered on the driver. Links of a null are
-    left out, as are those of a node to itself; no links give no rows."""
-    both = checkpoint(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())  # nulls fail, too
-    labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")))
+    chains shorten to half; it ends when no label changes. Each node is its own neighbour, so a round is
+    one aggregate between two look-ups of labels, which are broadcast if they were counted to be few. Nothing is
+    gathered on the driver. Links of a null are left out, as are those of a node to itself; no links give no rows."""
+    real = links.filter("a <> b")  # nulls fail, too
+    ends = F.explode(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ("ab", "ba", "aa", "bb")])).alias("x")
+    both = checkpoint(real.select(ends).select("x.*"))
+    # A node's first label is its smallest neighbour.
+    labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")))
+    nodes = labels.count()
+    few = near(labels, nodes)
     while True:
-        heard = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))
-        lower = labels.join(heard, "node").select("node", "component", F.least("component", "heard").alias("new"))
-        jump = labels.select(F.col("node").alias("new"), F.col("component").alias("root"))
-        after = checkpoint(lower.join(jump, "new", "left").select("node", F.least("new", F.coalesce("root", "new")).alias("component"), F.col("component").alias("before")))
+        new = both.join(few.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("new"), F.min(F.when(F.col("a") == F.col("b"), F.col("component"))).alias("before"))
+        jump = few.select(F.col("node").alias("new"), F.col("component").alias("root"))
+        after = checkpoint(new.join(jump, "new").select("node", F.least("new", "root").alias("component"), "before"))
         changed = after.filter("component <> before").limit(1).count()
         labels = after.select("node", "component")
+        few = near(labels, nodes)
         if not changed:
             return labels
+
+
+def stars(label: DataFrame) -> DataFrame:
+    """Links (a, b) of each node with the smallest of its component, for `components` of these and more links."""
+    return label.select(F.col("node").alias("a"), F.col("component").alias("b"))

@@ -43,8 +43,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cells import Cells, banded, bounded, candidates, sketch
-from .common import checkpoint, discard, looked_up, shuffles_dropped, small_batches, tasks_for, written
-from .linking import components
+from .common import checkpoint, discard, looked_up, near, shuffles_dropped, small_batches, tasks_for, written
+from .linking import components, stars
 from .minhash import _set_key, _texts, _Words, shingles
 
 
@@ -87,11 +87,6 @@ def described(docs: DataFrame, p: MetricJoin) -> DataFrame:
     return rows.mapInArrow(run, "row long, doc_id long, text_hash long, n_shingles long, set_key binary, low array<long>, sketch binary")
 
 
-def _near(small: DataFrame, rows: int) -> DataFrame:
-    """A table for the small side of a join: broadcast if it was counted to have no more than 300,000 rows."""
-    return F.broadcast(small) if rows <= 300_000 else small
-
-
 def keyed(lows: DataFrame, p: MetricJoin) -> DataFrame:
     """node, n, anchors, common: the first k anchors that aren't crowded, and the crowded ones among the first k where
     these are needed, too.
@@ -108,15 +103,15 @@ def keyed(lows: DataFrame, p: MetricJoin) -> DataFrame:
     # Shingles of one set alone can't be crowded.
     shared = checkpoint(first.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1"))
     crowded = checkpoint(shared.filter(F.col("c") > p.crowd).select("s"))
-    hit = checkpoint(first.join(_near(crowded, crowded.count()), "s").select("node").distinct())
+    hit = checkpoint(first.join(near(crowded, crowded.count()), "s").select("node").distinct())
     # Once more, with the shingles that those documents go on to. Any set of crowded shingles gives right results, so one that
     # is crowded by the last documents alone may pass; it only makes a larger region.
-    more = lows.join(_near(hit, hit.count()), "node").select("node", F.explode(F.slice("low", k.cast("int") + 1, F.size("low"))).alias("s"))
+    more = lows.join(near(hit, hit.count()), "node").select("node", F.explode(F.slice("low", k.cast("int") + 1, F.size("low"))).alias("s"))
     counts = shared.unionByName(more.groupBy("s").agg(F.count("*").alias("c"))).groupBy("s").agg(F.sum("c").alias("c"))
     crowded = checkpoint(counts.filter(F.col("c") > p.crowd).select("s"))
-    at_hand = _near(crowded, crowded.count())
+    at_hand = near(crowded, crowded.count())
     hit = checkpoint(first.join(at_hand, "s").select("node").distinct())
-    touched = _near(hit, hit.count())
+    touched = near(hit, hit.count())
     held = lows.join(touched, "node").select("node", F.explode("low").alias("s")).join(at_hand, "s").groupBy("node").agg(F.collect_list("s").alias("held"))
     none = F.array().cast("array<long>")
     told = lows.join(touched, "node", "left_anti").withColumn("held", none).unionByName(lows.join(touched, "node", "left_semi").join(held, "node").withColumn("held", F.coalesce("held", none)))
@@ -172,31 +167,34 @@ def confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, p: MetricJo
     ends = dealt.unionByName(dealt.select("a", "part", F.col("a").alias("b")).distinct())
     wanted = checkpoint(ends.join(classes.select(F.col("node").alias("b"), "set_key", "doc_id", "text_hash"), "b"))
     n = wanted.count()
-    sets = _texts(small_batches(docs)).join(_near(wanted, n), ["doc_id", "text_hash"]).select("a", "part", "b", "text", "set_key").mapInArrow(hashed, "a long, part long, b long, hashes binary")
+    sets = _texts(small_batches(docs)).join(near(wanted, n), ["doc_id", "text_hash"]).select("a", "part", "b", "text", "set_key").mapInArrow(hashed, "a long, part long, b long, hashes binary")
     # Of a and its partners a comes first, as they are larger.
     dealt_out = sets.repartition(tasks_for(docs.sparkSession, n * 5000), "a", "part").sortWithinPartitions("a", "part", "b")
-    return checkpoint(dealt_out.mapInArrow(compared, "a long, b long").distinct())
+    return checkpoint(dealt_out.mapInArrow(compared, "a long, b long"))
 
 
 def links_of(docs: DataFrame, classes: DataFrame, lows: DataFrame, p: MetricJoin) -> DataFrame:
-    """Confirmed links (a, b) that connect the classes as all links would."""
+    """(node, component) of the classes that have confirmed links, as all links would connect them."""
     spark = docs.sparkSession
     rows = banded(regions(lows, p), F.col("pivot"), p.cells)
     small = written(bounded(written(rows.join(lows.select("node", "sketch"), "node")), p.cells))
     tasks = tasks_for(spark, small.count() * 300)
     tested = checkpoint(candidates(small.withColumn("label", F.col("node")), p.cells, "centres", tasks))
-    links = confirmed(docs, tested, classes, p)
+    label = components(confirmed(docs, tested, classes, p))
     crowds = small.filter(F.col("size") > p.cells.few)
     for mode in ("nearest", "whole"):
-        label = components(links)
-        apart = crowds.join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-        open_ = apart.groupBy("cell").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("cell")
-        found = checkpoint(candidates(apart.join(open_, "cell"), p.cells, mode, tasks).join(tested, ["a", "b"], "left_anti"))
+        # Cells of one label make no pairs.
+        apart = crowds.join(near(label, label.count()), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        found = checkpoint(candidates(apart, p.cells, mode, tasks).join(tested, ["a", "b"], "left_anti"))
         if not found.limit(1).count():
             continue  # all nearest ones may have been tested in other cells; the next mode holds all others
-        links, tested = checkpoint(links.unionByName(confirmed(docs, found, classes, p))), checkpoint(tested.unionByName(found))
+        # A component is a star: its nodes and the smallest.
+        more = confirmed(docs, found, classes, p)
+        if more.limit(1).count():
+            label = components(stars(label).unionByName(more))
+        tested = tested.unionByName(found)
     discard(small)
-    return links
+    return label
 
 
 def components_of(docs: DataFrame, p: MetricJoin = MetricJoin()) -> DataFrame:
@@ -216,15 +214,17 @@ def _named(docs: DataFrame, p: MetricJoin) -> tuple[DataFrame, DataFrame]:
     one = F.min(F.struct("doc_id", "row", "text_hash")).alias("one")
     grouped = with_set.groupBy("set_key").agg(one, F.first("n_shingles").alias("n"), F.count("*").alias("copies"))
     classes = checkpoint(grouped.select(F.col("one.row").alias("node"), "set_key", "one.doc_id", "one.text_hash", "n", "copies"))
-    lows = written(wide.select(F.col("row").alias("node"), "low", "sketch").join(classes.select("node", "n"), "node"))
+    n = classes.count()
+    lows = written(wide.select(F.col("row").alias("node"), "low", "sketch").join(near(classes.select("node", "n"), n), "node"))
     discard(wide)
-    near = links_of(docs, classes, lows, p)
+    label = links_of(docs, near(classes, n, 100_000), lows, p)
     discard(lows)
     # Documents of several rows link the classes of their texts.
     several = with_set.groupBy("doc_id").agg(F.min("set_key").alias("first"), F.max("set_key").alias("last")).filter("first <> last")
     of = classes.select("set_key", "node")
     same = with_set.select("doc_id", "set_key").join(several, "doc_id").select("set_key", "first").distinct().join(of.withColumnRenamed("node", "a"), "set_key").join(of.select(F.col("set_key").alias("first"), F.col("node").alias("b")), "first").select("a", "b")
-    label = components(near.unionByName(same))
+    if several.limit(1).count():
+        label = components(stars(label).unionByName(same))
     # A component is called after its smallest doc_id, over its classes.
     members = label.join(classes.select("node", "set_key", "doc_id"), "node")
     names = members.groupBy("component").agg(F.min("doc_id").alias("name"))
