@@ -69,12 +69,12 @@ def sized(rows: DataFrame) -> DataFrame:
     return rows.join(sizes, "cell")
 
 
-def banded(rows: DataFrame, group: Column, p: Cells) -> DataFrame:
+def banded(rows: DataFrame, group: Column, p: Cells, parts: int | None = None) -> DataFrame:
     """cell, size, node, n, home of rows (group, node, n): a group's size bands. Points are at home in their own band and
     also go to the next one; bands are a hundredth wider than sizes of linked points can differ."""
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(101.0 / p.percent)))
     both = F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home")))).alias("x")
-    return sized(checkpoint(rows.select(group.alias("g"), "node", "n", both).select(F.xxhash64("g", "x.band").alias("cell"), "node", "n", "x.home")))
+    return sized(checkpoint(rows.select(group.alias("g"), "node", "n", both).select(F.xxhash64("g", "x.band").alias("cell"), "node", "n", "x.home"), parts))
 
 
 def _by_group(df: DataFrame, keys: list[str], order: list[str], body: Callable[[dict], Iterator[list]], schema: str, tasks: int) -> DataFrame:
@@ -159,17 +159,17 @@ def in_blocks(stuck: DataFrame, p: Cells) -> DataFrame:
     return rows.select(F.xxhash64("cell", F.least("part", "other"), F.greatest("part", "other")).alias("cell"), F.lit(p.cap).cast("long").alias("size"), "node", "n", "home", "sketch")
 
 
-def bounded(now: DataFrame, p: Cells) -> DataFrame:
+def bounded(now: DataFrame, p: Cells, parts: int | None = None) -> DataFrame:
     """The same points in cells of bounded size. now: a written table of rows. A cell that windows would more than double, or
     that a split hardly shrinks, has all its points about as far from each other: it is joined in blocks as it is."""
     done, large = now.filter(F.col("size") <= p.cap), now.filter(F.col("size") > p.cap)
     for turn in range(p.depth):
         if not large.limit(1).count():
             return done
-        parted = checkpoint(split(large, turn, p))
+        parted = checkpoint(split(large, turn, p), parts)
         blown = parted.groupBy("parent").agg(F.count("*").alias("rows"), F.first("before").alias("before")).filter("rows > 2 * before").select(F.col("parent").alias("cell"))
         done = done.unionByName(in_blocks(large.join(blown, "cell", "left_semi").select(*COLUMNS), p))
-        parted = checkpoint(sized(parted.join(blown.withColumnRenamed("cell", "parent"), "parent", "left_anti")))
+        parted = checkpoint(sized(parted.join(blown.withColumnRenamed("cell", "parent"), "parent", "left_anti")), parts)
         stuck = (F.col("size") > p.cap) & (F.col("size") * 4 > F.col("before") * 3)
         done = done.unionByName(parted.filter(F.col("size") <= p.cap).select(*COLUMNS)).unionByName(in_blocks(parted.filter(stuck).select(*COLUMNS), p))
         large = parted.filter((F.col("size") > p.cap) & ~stuck).select(*COLUMNS)

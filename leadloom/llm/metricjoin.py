@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cells import Cells, banded, bounded, candidates, sketch
-from .common import checkpoint, discard, looked_up, near, shuffles_dropped, small_batches, tasks_for, written
+from .common import checkpoint, discard, looked_up, near, parts_for, shuffles_dropped, small_batches, tasks_for, written
 from .linking import components, stars
 from .minhash import _set_key, _texts, _Words, shingles
 
@@ -87,7 +87,7 @@ def described(docs: DataFrame, p: MetricJoin) -> DataFrame:
     return rows.mapInArrow(run, "row long, doc_id long, text_hash long, n_shingles long, set_key binary, low array<long>, sketch binary")
 
 
-def keyed(lows: DataFrame, p: MetricJoin) -> DataFrame:
+def keyed(lows: DataFrame, p: MetricJoin, parts: int | None = None) -> DataFrame:
     """node, n, anchors, common: the first k anchors that aren't crowded, and the crowded ones among the first k where
     these are needed, too.
 
@@ -101,16 +101,16 @@ def keyed(lows: DataFrame, p: MetricJoin) -> DataFrame:
     lows = lows.withColumn("k", n - ceil(n) + 1)
     first = lows.select("node", F.explode(F.slice("low", F.lit(1), k.cast("int"))).alias("s"))
     # Shingles of one set alone can't be crowded.
-    shared = checkpoint(first.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1"))
-    crowded = checkpoint(shared.filter(F.col("c") > p.crowd).select("s"))
-    hit = checkpoint(first.join(near(crowded, crowded.count()), "s").select("node").distinct())
+    shared = checkpoint(first.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1"), parts)
+    crowded = checkpoint(shared.filter(F.col("c") > p.crowd).select("s"), parts)
+    hit = checkpoint(first.join(near(crowded, crowded.count()), "s").select("node").distinct(), parts)
     # Once more, with the shingles that those documents go on to. Any set of crowded shingles gives right results, so one that
     # is crowded by the last documents alone may pass; it only makes a larger region.
     more = lows.join(near(hit, hit.count()), "node").select("node", F.explode(F.slice("low", k.cast("int") + 1, F.size("low"))).alias("s"))
     counts = shared.unionByName(more.groupBy("s").agg(F.count("*").alias("c"))).groupBy("s").agg(F.sum("c").alias("c"))
-    crowded = checkpoint(counts.filter(F.col("c") > p.crowd).select("s"))
+    crowded = checkpoint(counts.filter(F.col("c") > p.crowd).select("s"), parts)
     at_hand = near(crowded, crowded.count())
-    hit = checkpoint(first.join(at_hand, "s").select("node").distinct())
+    hit = checkpoint(first.join(at_hand, "s").select("node").distinct(), parts)
     touched = near(hit, hit.count())
     held = lows.join(touched, "node").select("node", F.explode("low").alias("s")).join(at_hand, "s").groupBy("node").agg(F.collect_list("s").alias("held"))
     none = F.array().cast("array<long>")
@@ -123,10 +123,10 @@ def keyed(lows: DataFrame, p: MetricJoin) -> DataFrame:
     return told.select("node", "n", free.alias("anchors"), common.alias("common"))
 
 
-def regions(lows: DataFrame, p: MetricJoin) -> DataFrame:
+def regions(lows: DataFrame, p: MetricJoin, parts: int | None = None) -> DataFrame:
     """pivot, node, n: documents that share an anchor are in the region of the smallest one that has it, unless
     none there is near enough to them in size."""
-    found = checkpoint(keyed(lows, p))
+    found = checkpoint(keyed(lows, p, parts), parts)
     at, by_size = Window.partitionBy("s"), Window.partitionBy("s").orderBy("n")
     fits = lambda small, large: F.coalesce(100 * small >= p.percent * large, F.lit(False))
     near = fits(F.lag("n").over(by_size), F.col("n")) | fits(F.col("n"), F.lead("n").over(by_size))
@@ -136,9 +136,10 @@ def regions(lows: DataFrame, p: MetricJoin) -> DataFrame:
     return free.filter("near").select("pivot", "node", "n").unionByName(common.join(leads, "s").select("pivot", "node", "n")).distinct()
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, p: MetricJoin) -> DataFrame:
+def confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, p: MetricJoin, most: int | None = None) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. Each a is sent to the tasks of its pairs, once, and each b to that
-    of a pair; a's pairs are dealt into parts of 500, and a task holds one set at a time beside the one it reads."""
+    of a pair; a's pairs are dealt into parts of 500, and a task holds one set at a time beside the one it reads. Tables have no
+    more than `most` partitions."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
@@ -165,33 +166,33 @@ def confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, p: MetricJo
     parts = pairs.groupBy("a").agg((F.floor(F.count("*") / 500) + 1).alias("parts"))
     dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
     ends = dealt.unionByName(dealt.select("a", "part", F.col("a").alias("b")).distinct())
-    wanted = checkpoint(ends.join(classes.select(F.col("node").alias("b"), "set_key", "doc_id", "text_hash"), "b"))
+    wanted = checkpoint(ends.join(classes.select(F.col("node").alias("b"), "set_key", "doc_id", "text_hash"), "b"), most)
     n = wanted.count()
     sets = _texts(small_batches(docs)).join(near(wanted, n), ["doc_id", "text_hash"]).select("a", "part", "b", "text", "set_key").mapInArrow(hashed, "a long, part long, b long, hashes binary")
     # Of a and its partners a comes first, as they are larger.
     dealt_out = sets.repartition(tasks_for(docs.sparkSession, n * 5000), "a", "part").sortWithinPartitions("a", "part", "b")
-    return checkpoint(dealt_out.mapInArrow(compared, "a long, b long"))
+    return checkpoint(dealt_out.mapInArrow(compared, "a long, b long"), most)
 
 
-def links_of(docs: DataFrame, classes: DataFrame, lows: DataFrame, p: MetricJoin) -> DataFrame:
+def links_of(docs: DataFrame, classes: DataFrame, lows: DataFrame, p: MetricJoin, parts: int | None = None) -> DataFrame:
     """(node, component) of the classes that have confirmed links, as all links would connect them."""
     spark = docs.sparkSession
-    rows = banded(regions(lows, p), F.col("pivot"), p.cells)
-    small = written(bounded(written(rows.join(lows.select("node", "sketch"), "node")), p.cells))
+    rows = banded(regions(lows, p, parts), F.col("pivot"), p.cells, parts)
+    small = written(bounded(written(rows.join(lows.select("node", "sketch"), "node")), p.cells, parts))
     tasks = tasks_for(spark, small.count() * 300)
-    tested = checkpoint(candidates(small.withColumn("label", F.col("node")), p.cells, "centres", tasks))
-    label = components(confirmed(docs, tested, classes, p))
+    tested = checkpoint(candidates(small.withColumn("label", F.col("node")), p.cells, "centres", tasks), parts)
+    label = components(confirmed(docs, tested, classes, p, parts), parts)
     crowds = small.filter(F.col("size") > p.cells.few)
     for mode in ("nearest", "whole"):
         # Cells of one label make no pairs.
         apart = crowds.join(near(label, label.count()), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-        found = checkpoint(candidates(apart, p.cells, mode, tasks).join(tested, ["a", "b"], "left_anti"))
+        found = checkpoint(candidates(apart, p.cells, mode, tasks).join(tested, ["a", "b"], "left_anti"), parts)
         if not found.limit(1).count():
             continue  # all nearest ones may have been tested in other cells; the next mode holds all others
         # A component is a star: its nodes and the smallest.
-        more = confirmed(docs, found, classes, p)
+        more = confirmed(docs, found, classes, p, parts)
         if more.limit(1).count():
-            label = components(stars(label).unionByName(more))
+            label = components(stars(label).unionByName(more), parts)
         tested = tested.unionByName(found)
     discard(small)
     return label
@@ -210,23 +211,24 @@ def _named(docs: DataFrame, p: MetricJoin) -> tuple[DataFrame, DataFrame]:
     """The rows with their set_key; and set_key, copies, name of its component."""
     wide = written(described(docs, p))
     found = checkpoint(wide.drop("low", "sketch"))
+    parts = parts_for(docs.sparkSession, found.count())
     with_set = found.filter(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull())
     one = F.min(F.struct("doc_id", "row", "text_hash")).alias("one")
     grouped = with_set.groupBy("set_key").agg(one, F.first("n_shingles").alias("n"), F.count("*").alias("copies"))
-    classes = checkpoint(grouped.select(F.col("one.row").alias("node"), "set_key", "one.doc_id", "one.text_hash", "n", "copies"))
+    classes = checkpoint(grouped.select(F.col("one.row").alias("node"), "set_key", "one.doc_id", "one.text_hash", "n", "copies"), parts)
     n = classes.count()
     lows = written(wide.select(F.col("row").alias("node"), "low", "sketch").join(near(classes.select("node", "n"), n), "node"))
     discard(wide)
-    label = links_of(docs, near(classes, n, 100_000), lows, p)
+    label = links_of(docs, near(classes, n, 100_000), lows, p, parts)
     discard(lows)
     # Documents of several rows link the classes of their texts.
     several = with_set.groupBy("doc_id").agg(F.min("set_key").alias("first"), F.max("set_key").alias("last")).filter("first <> last")
     of = classes.select("set_key", "node")
     same = with_set.select("doc_id", "set_key").join(several, "doc_id").select("set_key", "first").distinct().join(of.withColumnRenamed("node", "a"), "set_key").join(of.select(F.col("set_key").alias("first"), F.col("node").alias("b")), "first").select("a", "b")
     if several.limit(1).count():
-        label = components(stars(label).unionByName(same))
+        label = components(stars(label).unionByName(same), parts)
     # A component is called after its smallest doc_id, over its classes.
     members = label.join(classes.select("node", "set_key", "doc_id"), "node")
     names = members.groupBy("component").agg(F.min("doc_id").alias("name"))
     linked = members.join(names, "component").select("set_key", "name")
-    return found, checkpoint(classes.select("set_key", "doc_id", "copies").join(linked, "set_key", "left").select("set_key", "copies", F.coalesce("name", "doc_id").alias("name")))
+    return found, checkpoint(classes.select("set_key", "doc_id", "copies").join(linked, "set_key", "left").select("set_key", "copies", F.coalesce("name", "doc_id").alias("name")), parts)
